@@ -20,9 +20,56 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import chat_format
+
+    return chat_format(_table(spark, sf_dir, "conversations"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import decontaminate
+
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("item_ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_quality_rules": op7_quality_rules}
+    return {
+        "op3_chat_format": op3_chat_format,
+        "op7_quality_rules": op7_quality_rules,
+        "op9_decontaminate": op9_decontaminate,
+    }
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+SQL_OP3 = """
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, list({'r': role, 't': text} ORDER BY k) AS l,
+         string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY k) AS rendered
+  FROM t GROUP BY conv_id),
+proper AS (SELECT DISTINCT list_slice(l, 1, j) AS l FROM c, unnest(range(1, len(l))) AS u(j)),
+uniq AS (SELECT l, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY l)
+SELECT u.conv_id, CAST(len(u.l) AS BIGINT) AS n_turns, u.n_copies, c.rendered
+FROM uniq u JOIN c USING (conv_id) ANTI JOIN proper p ON u.l = p.l
+"""
+
+SQL_OP9 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, list_slice(w, s, s + least(len(w), 10) - 1) AS g FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(s) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT len(g) AS l FROM win),
+dw AS (SELECT doc_id, s, l, list_slice(w, s, s + l - 1) AS g FROM d, lens, unnest(range(1, greatest(len(w) - l + 1, 0) + 1)) AS t(s)),
+hits AS (SELECT doc_id, s, l, item FROM dw JOIN win USING (g)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, s, l FROM hits), unnest(range(s, s + l)) AS t(p) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_format": SQL_OP3, "op9_decontaminate": SQL_OP9}
