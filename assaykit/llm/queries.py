@@ -20,6 +20,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), outputs=("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import chat_format
 
@@ -34,6 +40,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_chat_format": op3_chat_format,
         "op7_quality_rules": op7_quality_rules,
         "op9_decontaminate": op9_decontaminate,
@@ -42,6 +49,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+SQL_OP2 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM d, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS t(i)),
+m AS (SELECT g, min(doc_id) AS low FROM w GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, b FROM (SELECT doc_id, i FROM w JOIN m USING (g) WHERE low < doc_id), unnest(range(i, i + 50)) AS t(b)),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS n_spans FROM (SELECT doc_id, b, lag(b) OVER (PARTITION BY doc_id ORDER BY b) AS p FROM gone) WHERE p IS NULL OR p < b - 1 GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(c, '' ORDER BY b) AS kept FROM (SELECT doc_id, b, substr(h, 2 * b + 1, 2) AS c FROM d, unnest(range(0, len(h) // 2)) AS t(b)) ANTI JOIN gone USING (doc_id, b) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 SQL_OP3 = """
 WITH t AS (
   SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
@@ -72,4 +92,4 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": SQL_OP3, "op9_decontaminate": SQL_OP9}
+    return {"op2_suffix_dedup": SQL_OP2, "op3_chat_format": SQL_OP3, "op9_decontaminate": SQL_OP9}
