@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_jaccard import ngram_jaccard
+
+    return ngram_jaccard(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
@@ -42,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_chat_format": op3_chat_format,
+        "op4_ngram_jaccard": op4_ngram_jaccard,
         "op7_quality_rules": op7_quality_rules,
         "op9_decontaminate": op9_decontaminate,
     }
@@ -76,6 +83,20 @@ SELECT u.conv_id, CAST(len(u.l) AS BIGINT) AS n_turns, u.n_copies, c.rendered
 FROM uniq u JOIN c USING (conv_id) ANTI JOIN proper p ON u.l = p.l
 """
 
+SQL_OP4 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + least(len(w), 5) - 1) AS g FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+c AS MATERIALIZED (SELECT doc_id, g FROM s SEMI JOIN common USING (g)),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM c a JOIN c b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS v, doc_id AS c FROM d UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.v),
+m AS (SELECT v, min(c) AS component_id FROM r GROUP BY v)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.v = d.doc_id
+"""
+
 SQL_OP9 = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
@@ -92,4 +113,4 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": SQL_OP2, "op3_chat_format": SQL_OP3, "op9_decontaminate": SQL_OP9}
+    return {"op2_suffix_dedup": SQL_OP2, "op3_chat_format": SQL_OP3, "op4_ngram_jaccard": SQL_OP4, "op9_decontaminate": SQL_OP9}
