@@ -38,11 +38,11 @@ from pyspark.sql import DataFrame
 from .blocks import Blocks, decode_batch, id_array, pack, slices, split_key
 from .kernels import PrefixHash, buffers, mix64, sliding_min
 
-GRAM = 16
+GRAM = 32
 #: Windows of a segment at most; cuts runs of a repeated gram.
 MAX_RUN = 128
 #: Distinct segments of one key from which its windows get keys of their own.
-HOT = 2048
+HOT = 256
 U64 = np.uint64
 
 
@@ -268,37 +268,53 @@ def _answer_segments(blobs: list[bytes]) -> list[bytes]:
     return [x.tobytes() for x in np.split(code, np.cumsum([len(p) for p in parts])[:-1])]
 
 
-def _pack_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndarray, width: int) -> bytes:
+#: Symbols merged at a time; keys are independent of each other, and so much stays in a core's cache.
+MERGE_SYMBOLS = 1 << 16
+
+
+def _pack_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, least: np.ndarray, rest: np.ndarray, width: int) -> bytes:
     length = size + width - 1
     at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
-    return np.int64(len(start)).tobytes() + size.astype(np.int64).tobytes() + least.tobytes() + data[at].tobytes()
+    return np.int64(len(start)).tobytes() + size.astype(np.int64).tobytes() + least.tobytes() + rest.astype(np.int64).tobytes() + data[at].tobytes()
 
 
 def _answer_windows(width: int):
     def answer(blobs: list[bytes]) -> list[bytes]:
-        sizes, leasts, texts, counts = [], [], [], []
+        sizes, leasts, rests, texts, counts = [], [], [], [], []
         for b in blobs:
             n = int(np.frombuffer(b, np.int64, 1)[0])
-            head = np.frombuffer(b, np.int64, 2 * n, 8)
+            head = np.frombuffer(b, np.int64, 3 * n, 8)
             sizes.append(head[:n])
-            leasts.append(head[n:])
-            texts.append(np.frombuffer(b, np.uint8, offset=8 + 16 * n))
+            leasts.append(head[n : 2 * n])
+            rests.append(head[2 * n :])
+            texts.append(np.frombuffer(b, np.uint8, offset=8 + 24 * n))
             counts.append(n)
-        size, least, text = np.concatenate(sizes), np.concatenate(leasts), np.concatenate(texts)
+        size, least, rest, text = np.concatenate(sizes), np.concatenate(leasts), np.concatenate(rests), np.concatenate(texts)
         offsets = np.concatenate(([0], np.cumsum(size + width - 1)))
         content = PrefixHash(text).of(offsets[:-1], offsets[1:])
-        order = np.lexsort((least, content))
+        order = np.lexsort((least, content, rest))
         new = np.ones(len(order), bool)
-        new[1:] = content[order][1:] != content[order][:-1]
+        new[1:] = (content[order][1:] != content[order][:-1]) | (rest[order][1:] != rest[order][:-1])
         of = np.empty(len(order), np.int64)
         of[order] = np.cumsum(new) - 1
         first = order[new]
-        if len(first) == 1:
-            owners = [np.full(size[first[0]], least[first[0]])]
-        else:
-            length = (size + width - 1)[first]
-            at = np.repeat(offsets[first] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            owners = window_owners(text[at], np.concatenate(([0], np.cumsum(length))), size[first], least[first], width)
+        owners: list[np.ndarray] = []
+        key_start = np.flatnonzero(np.concatenate(([True], rest[first][1:] != rest[first][:-1])))
+        filled = np.concatenate(([0], np.cumsum((size + width)[first])))
+        i = 0
+        while i < len(first):
+            k = np.searchsorted(key_start, np.searchsorted(filled, filled[i] + MERGE_SYMBOLS, "right"), "right") - 1
+            j = int(key_start[k]) if k >= 0 and key_start[k] > i else int(key_start[n]) if (n := np.searchsorted(key_start, i, "right")) < len(key_start) else len(first)
+            if filled[-1] - filled[i] <= MERGE_SYMBOLS:
+                j = len(first)
+            some = first[i:j]
+            if len(some) == 1:
+                owners.append(np.full(size[some[0]], least[some[0]]))
+            else:
+                length = (size + width - 1)[some]
+                at = np.repeat(offsets[some] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+                owners += window_owners(text[at], np.concatenate(([0], np.cumsum(length))), size[some], least[some], width)
+            i = j
         flat, begin = np.concatenate(owners), np.concatenate(([0], np.cumsum(size[first])))[of]
         each = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
         removed = flat[each] < np.repeat(least, size)
@@ -352,7 +368,7 @@ def suffix_dedup(docs: DataFrame, width: int = 50, text: str = "text", doc_id: s
         block = open_block(batch)
         start, size, least, key, *_ = block.strings(codes(block, answers))
         for b, i, j in slices(split_key(key, bits)[0]):
-            yield b, _pack_strings(block.data, start[i:j], size[i:j], least[i:j], width)
+            yield b, _pack_strings(block.data, start[i:j], size[i:j], least[i:j], split_key(key[i:j], bits)[1], width)
 
     known = first.unionByName(second)
     third = blocks.ask(ask_windows, _answer_windows(width), 3, known)
