@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,14 +45,71 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+#: Where the public tokenizers lie; a parameter, never copied into the repository.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scratch import Scratch
+    from .token_counts import TokenRollup, byte_bpe_tokenizer, words_tokenizer
+
+    tokenizers = {"words@1": words_tokenizer(), "byte_bpe_50k@1": byte_bpe_tokenizer(TOKENIZERS, "byte_bpe_50k.tiktoken")}
+    rollup = TokenRollup(spark, Scratch(spark).dir, tokenizers)
+    inserts = _table(spark, sf_dir, "documents").withColumn("sign", F.lit(1))
+    rollup.commit("load", inserts)
+    rollup.commit("load", inserts)  # a batch that comes again counts once
+    return rollup.totals()
+
+
+def token_counts_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup with the tokenizer that SQL can express: loads, then deletes one source and revises another."""
+    from .scratch import Scratch
+    from .token_counts import TokenRollup, words_tokenizer
+
+    rollup = TokenRollup(spark, Scratch(spark).dir, {"words@1": words_tokenizer()})
+    docs = _table(spark, sf_dir, "documents")
+    rollup.commit("load", docs.withColumn("sign", F.lit(1)))
+    rollup.commit("delete-src1", docs.where("source = 'src1'").withColumn("sign", F.lit(-1)))
+    old = docs.where("source = 'src2'")
+    rollup.commit("revise-src2", old.withColumn("sign", F.lit(-1)).unionByName(old.withColumns({"sign": F.lit(1), "text": F.concat("text", F.lit(" revised"))})))
+    rollup.commit("revise-src2", old.withColumn("sign", F.lit(-1)))
+    return rollup.totals()
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import warc_round_trip
+
+    return warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_unigram import sentencepiece
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece(docs, f"{TOKENIZERS}/piece_bpe_32k.model", outputs=("n_tokens", "n_byte_tokens", "ids_sha256", "round_trip")).drop("text")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, toxicity
+
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = fit(docs, labels.where(~held))
+    return toxicity(docs, model, spans=False).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import lm_scoring, mark_target
+
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    return lm_scoring(mark_target(docs, labels.where("quality = 1")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op2_suffix_dedup": op2_suffix_dedup,
-        "op3_chat_format": op3_chat_format,
-        "op4_ngram_jaccard": op4_ngram_jaccard,
-        "op7_quality_rules": op7_quality_rules,
-        "op9_decontaminate": op9_decontaminate,
-    }
+    return {f.__name__: f for f in (
+        op1_token_counts, op2_suffix_dedup, op3_chat_format, op4_ngram_jaccard, op5_warc, op6_sentencepiece, op7_quality_rules, op8_toxicity, op9_decontaminate,
+        op10_lm_scoring, token_counts_words,
+    )}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -97,6 +155,21 @@ m AS (SELECT v, min(c) AS component_id FROM r GROUP BY v)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.v = d.doc_id
 """
 
+SQL_OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x FROM p),
+b AS (SELECT *, list_aggregate(list_transform(range(0, 8), lambda i: list_aggregate(list_transform([15, 10, 5, 0], lambda k:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, CAST(5 * i + 1 AS INT), 5) AS INT) >> k) & 31 AS INT) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS digest,
+        min(page_id) OVER (PARTITION BY n, x) AS low FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> low THEN low END AS refers_to FROM b
+"""
+
+SQL_TOKENS = """
+WITH t AS (SELECT source, lang, len(regexp_extract_all(coalesce(CASE WHEN source = 'src2' THEN text || ' revised' ELSE text END, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents WHERE source <> 'src1' OR source IS NULL)
+SELECT source, lang, 'words@1' AS tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM t GROUP BY source, lang
+"""
+
 SQL_OP9 = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
@@ -113,4 +186,4 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": SQL_OP2, "op3_chat_format": SQL_OP3, "op4_ngram_jaccard": SQL_OP4, "op9_decontaminate": SQL_OP9}
+    return {"op2_suffix_dedup": SQL_OP2, "op3_chat_format": SQL_OP3, "op4_ngram_jaccard": SQL_OP4, "op5_warc": SQL_OP5, "token_counts_words": SQL_TOKENS, "op9_decontaminate": SQL_OP9}
