@@ -44,6 +44,8 @@ from .scratch import Scratch
 U64 = np.uint64
 #: N-grams with at least 2 ** (FREQUENT - 1) documents are frequent; parts for their pairs.
 FREQUENT, PARTS = 9, 64
+#: Rounds with other leaders before the remaining pairs are compared.
+STAR_ROUNDS = 2
 
 
 def sets_of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -211,13 +213,25 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "t
     leaders = sigs.groupBy("sig").agg(F.min(F.struct("cls", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("sig", F.col("lead.cls").alias("a"), F.col("lead.n").alias("na"))
     stars = scratch.table(sigs.join(leaders, "sig").where(F.col("cls") != F.col("a")).where(fits(F.col("n"), F.col("na"))).select("a", F.col("cls").alias("b")).distinct())
     links = scratch.table(_verified(stars, sets, percent))
-    first = components(links, scratch)
-    labelled = sigs.join(first.withColumnRenamed("v", "cls"), "cls", "left").select("sig", "cls", "n", F.coalesce("c", "cls").alias("c"))
-    mixed = labelled.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
-    open_ = scratch.table(labelled.join(mixed, "sig"))
+    def unsettled() -> DataFrame:
+        """Signature rows whose classes are still in different components."""
+        found = components(links, scratch)
+        labelled = sigs.join(found.withColumnRenamed("v", "cls"), "cls", "left").select("sig", "cls", "n", F.coalesce("c", "cls").alias("c"))
+        mixed = labelled.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
+        return scratch.table(labelled.join(mixed, "sig"))
+
+    # other leaders join what the first ones could not, so that few pairs are left to compare one by one
+    tested, open_ = stars, unsettled()
+    for salt in range(STAR_ROUNDS):
+        lead = open_.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cls", F.lit(salt)), F.col("cls").alias("x"), F.col("n").alias("m"), F.col("c").alias("d"))).alias("l")).select("sig", "l.x", "l.m", "l.d")
+        more = open_.join(lead, "sig").where("c <> d").where(fits(F.col("n"), F.col("m"))).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
+        more = scratch.table(more.join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(more)
+        links = scratch.table(links.unionByName(_verified(more, sets, percent)))
+        open_ = unsettled()
     other = open_.select("sig", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     cross = open_.select("sig", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")).join(other, "sig").where("ca <> cb AND a < b").where(fits(F.col("na"), F.col("nb")))
-    cross = scratch.table(cross.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
+    cross = scratch.table(cross.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
     every = links.unionByName(_verified(cross, sets, percent))
     every = scratch.table(every)
     final = components(every, scratch)
