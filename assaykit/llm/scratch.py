@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,10 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        # shuffle files of what has just been written go only when the driver collects its garbage
+        del df
+        gc.collect()
+        self.spark._jvm.System.gc()
         return out
 
     def drop(self, df: DataFrame) -> None:
