@@ -1,0 +1,305 @@
+"""A small SMILES kernel: parse, standardise, canonical text, and exact descriptors.
+
+Pure Python, no Spark. It covers the organic subset, bracket atoms, charges, isotopes,
+ring closures, branches and dots. Chirality and bond direction are read and dropped.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+#: Standard atomic weights (fixed values).
+WEIGHTS = {
+    "H": 1.008, "B": 10.81, "C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998, "Na": 22.990, "Mg": 24.305, "Al": 26.982, "Si": 28.085, "P": 30.974, "S": 32.06,
+    "Cl": 35.45, "K": 39.098, "Ca": 40.078, "Fe": 55.845, "Cu": 63.546, "Zn": 65.38, "As": 74.922, "Se": 78.971, "Br": 79.904, "Pt": 195.084, "I": 126.904, "Li": 6.94,
+}
+VALENCES = {"B": (3,), "C": (4,), "N": (3, 5), "O": (2,), "P": (3, 5), "S": (2, 4, 6), "F": (1,), "Cl": (1,), "Br": (1,), "I": (1,)}
+_TOKEN = re.compile(r"(\[[^\]]*\])|(Br|Cl|[BCNOPSFI])|([bcnops])|(\*)|([-=#$:/\\])|([()])|(%\d\d|\d)|(\.)")
+_BRACKET = re.compile(r"\[(\d+)?([A-Z][a-z]?|[bcnops]|se|as|\*)(@{0,2})(H\d*)?([+-]+\d*|[+-]\d+)?(?::\d+)?\]$")
+
+
+class SmilesError(ValueError):
+    """Text that is not a molecule."""
+
+
+@dataclass
+class Atom:
+    symbol: str
+    aromatic: bool = False
+    charge: int = 0
+    hydrogens: int = -1  # -1: by valence
+    isotope: int = 0
+    bonds: dict[int, float] = field(default_factory=dict)
+
+
+def parse(text: str) -> list[Atom]:
+    """Atoms with their bonds (1.5 for aromatic ones) and hydrogens."""
+    text = text.strip()
+    if not text:
+        raise SmilesError("empty")
+    atoms: list[Atom] = []
+    stack: list[int] = []
+    rings: dict[str, tuple[int, str]] = {}
+    last, bond, at = -1, "", 0
+
+    def connect(a: int, b: int, kind: str) -> None:
+        if a == b or b in atoms[a].bonds:
+            raise SmilesError("bond to itself or twice")
+        aromatic = atoms[a].aromatic and atoms[b].aromatic
+        order = {"": 1.5 if aromatic else 1, "-": 1, "/": 1, "\\": 1, "=": 2, "#": 3, "$": 4, ":": 1.5}[kind]
+        atoms[a].bonds[b] = atoms[b].bonds[a] = order
+
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise SmilesError(f"unexpected {text[at]!r}")
+        at = m.end()
+        bracket, organic, aromatic, star, kind, paren, ring, dot = m.groups()
+        if bracket or organic or aromatic or star:
+            if bracket:
+                b = _BRACKET.match(bracket)
+                if not b:
+                    raise SmilesError(f"bad atom {bracket}")
+                iso, symbol, _, h, q = b.groups()
+                charge = 0
+                if q:
+                    charge = (1 if q[0] == "+" else -1) * (int(q.lstrip("+-")) if q.lstrip("+-") else len(q))
+                name = symbol.capitalize()
+                if symbol != "*" and name not in WEIGHTS:
+                    raise SmilesError(f"unknown element {symbol}")
+                atom = Atom(name, symbol.islower(), charge, int(h[1:] or 1) if h else 0, int(iso or 0))
+            else:
+                atom = Atom((organic or aromatic or "*").capitalize(), bool(aromatic), hydrogens=0 if star else -1)
+            atoms.append(atom)
+            if last >= 0:
+                connect(last, len(atoms) - 1, bond)
+            last, bond = len(atoms) - 1, ""
+        elif kind:
+            bond = kind
+        elif paren == "(":
+            if last < 0:
+                raise SmilesError("branch without an atom")
+            stack.append(last)
+        elif paren == ")":
+            if not stack:
+                raise SmilesError("unbalanced )")
+            last = stack.pop()
+        elif ring:
+            if last < 0:
+                raise SmilesError("ring without an atom")
+            if ring in rings:
+                other, k = rings.pop(ring)
+                connect(other, last, bond or k)
+            else:
+                rings[ring] = (last, bond)
+            bond = ""
+        elif dot:
+            last, bond = -1, ""
+    if stack or rings or bond or not atoms:
+        raise SmilesError("unclosed ring, branch or bond")
+    for a in atoms:
+        _hydrogens(a)
+    if all(a.symbol == "*" for a in atoms):
+        raise SmilesError("only attachment points")
+    return atoms
+
+
+def _hydrogens(a: Atom) -> None:
+    if a.hydrogens >= 0 or a.symbol not in VALENCES:
+        a.hydrogens = max(a.hydrogens, 0)
+        return
+    n_aromatic = sum(1 for o in a.bonds.values() if o == 1.5)
+    used = sum(1 if o == 1.5 else int(o) for o in a.bonds.values()) + (1 if a.aromatic and n_aromatic and a.symbol in ("C", "B") and all(o in (1, 1.5) for o in a.bonds.values()) else 0)
+    if a.aromatic and a.symbol in ("N", "P", "O", "S") and n_aromatic:
+        a.hydrogens = 0
+        return
+    fits = [v for v in VALENCES[a.symbol] if v >= used]
+    if not fits:
+        raise SmilesError(f"valence of {a.symbol} exceeded")
+    a.hydrogens = fits[0] - used
+
+
+def fragments(atoms: list[Atom]) -> list[list[int]]:
+    seen, out = set(), []
+    for i in range(len(atoms)):
+        if i in seen:
+            continue
+        todo, part = [i], []
+        seen.add(i)
+        while todo:
+            x = todo.pop()
+            part.append(x)
+            for y in atoms[x].bonds:
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        out.append(sorted(part))
+    return out
+
+
+def standardise(atoms: list[Atom]) -> list[Atom]:
+    """The largest fragment, with charges that hydrogens can settle taken away."""
+    keep = max(fragments(atoms), key=lambda p: (sum(a.symbol == "C" for a in map(atoms.__getitem__, p)) > 0, len(p), sum(WEIGHTS.get(atoms[i].symbol, 0) for i in p)))
+    number = {x: i for i, x in enumerate(keep)}
+    out = [Atom(a.symbol, a.aromatic, a.charge, a.hydrogens, a.isotope, {number[y]: o for y, o in a.bonds.items()}) for a in (atoms[x] for x in keep)]
+    for a in out:
+        neighbours = [out[y].charge for y in a.bonds]
+        if a.charge == -1 and not any(q > 0 for q in neighbours):
+            a.charge, a.hydrogens = 0, a.hydrogens + 1
+        elif a.charge == 1 and a.hydrogens > 0 and not any(q < 0 for q in neighbours):
+            a.charge, a.hydrogens = 0, a.hydrogens - 1
+    return out
+
+
+def _ranks(atoms: list[Atom]) -> list[int]:
+    """Canonical ranks by refinement; ties are broken one at a time."""
+    n = len(atoms)
+    keys: list = [(a.symbol, a.aromatic, a.charge, a.hydrogens, a.isotope, len(a.bonds)) for a in atoms]
+
+    def dense(values: list) -> list[int]:
+        order = {v: i for i, v in enumerate(sorted(set(values)))}
+        return [order[v] for v in values]
+
+    def refine(rank: list[int]) -> list[int]:
+        while True:
+            new = dense([(rank[i], tuple(sorted((rank[j], o) for j, o in atoms[i].bonds.items()))) for i in range(n)])
+            if max(new, default=0) == max(rank, default=0):
+                return new
+            rank = new
+
+    rank = refine(dense(keys))
+    while max(rank) < n - 1:
+        low = min(r for r in rank if rank.count(r) > 1)
+        first = rank.index(low)
+        rank = refine([2 * r + (1 if r == low and i != first else 0) for i, r in enumerate(rank)])
+        rank = dense(rank)
+    return rank
+
+
+def write(atoms: list[Atom]) -> str:
+    """SMILES in canonical order, without stereo."""
+    rank, out = _ranks(atoms), []
+    for part in fragments(atoms):
+        root = min(part, key=rank.__getitem__)
+        order, parent, closures, seen = [], {root: -1}, {}, set()
+        back: set[tuple[int, int]] = set()
+
+        def visit(root: int) -> None:
+            todo = [(root, -1)]
+            while todo:
+                x, p = todo.pop()
+                if x in seen:
+                    continue
+                seen.add(x)
+                parent[x] = p
+                order.append(x)
+                todo += [(y, x) for y in sorted(atoms[x].bonds, key=rank.__getitem__, reverse=True) if y not in seen]
+            for x in order:
+                for y in atoms[x].bonds:
+                    if parent[x] != y and parent[y] != x:
+                        back.add((min(x, y), max(x, y)))
+
+        visit(root)
+        place = {x: i for i, x in enumerate(order)}
+        for i, (x, y) in enumerate(sorted(back, key=lambda e: tuple(sorted((place[e[0]], place[e[1]])))), 1):
+            closures.setdefault(x, []).append((i, y))
+            closures.setdefault(y, []).append((i, x))
+        children: dict[int, list[int]] = {}
+        for x in order:
+            if parent[x] >= 0:
+                children.setdefault(parent[x], []).append(x)
+
+        def bond(x: int, y: int) -> str:
+            o = atoms[x].bonds[y]
+            return {1: "-" if atoms[x].aromatic and atoms[y].aromatic else "", 2: "=", 3: "#", 4: "$", 1.5: ""}[o]
+
+        text, todo = [], [root]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                text.append(x)
+                continue
+            if parent[x] >= 0:
+                text.append(bond(parent[x], x))
+            text.append(_atom(atoms[x]))
+            for i, y in closures.get(x, []):
+                text.append((bond(x, y) if place[x] < place[y] else "") + (str(i) if i < 10 else f"%{i}"))
+            kids = children.get(x, [])
+            for k, y in reversed(list(enumerate(kids))):
+                todo += [y] if k == len(kids) - 1 else [")", y, "("]
+        out.append("".join(text))
+    return ".".join(sorted(out))
+
+
+def _atom(a: Atom) -> str:
+    probe = Atom(a.symbol, a.aromatic, bonds=a.bonds)
+    try:
+        _hydrogens(probe)
+    except SmilesError:
+        probe.hydrogens = -2
+    name = a.symbol.lower() if a.aromatic else a.symbol
+    if a.symbol in VALENCES and not a.charge and not a.isotope and probe.hydrogens == a.hydrogens:
+        return name
+    h = "" if not a.hydrogens else "H" if a.hydrogens == 1 else f"H{a.hydrogens}"
+    q = "" if not a.charge else ("+" if a.charge > 0 else "-") + (str(abs(a.charge)) if abs(a.charge) > 1 else "")
+    return f"[{a.isotope or ''}{name}{h}{q}]"
+
+
+def ring_bonds(atoms: list[Atom]) -> set[tuple[int, int]]:
+    """Bonds that lie on a ring: those that are no bridges."""
+    out = set()
+    for i, a in enumerate(atoms):
+        for j in a.bonds:
+            if i < j:
+                seen, todo = {i}, [y for y in a.bonds if y != j]
+                while todo and j not in seen:
+                    x = todo.pop()
+                    if x not in seen:
+                        seen.add(x)
+                        todo += atoms[x].bonds
+                if j in seen:
+                    out.add((i, j))
+    return out
+
+
+def scaffold(atoms: list[Atom]) -> str | None:
+    """Rings and linkers, with atoms double-bonded to them; None without a ring."""
+    if not ring_bonds(atoms):
+        return None
+    alive = set(range(len(atoms)))
+    while gone := [i for i in alive if len([j for j in atoms[i].bonds if j in alive]) <= 1]:
+        alive -= set(gone)
+    alive |= {j for i in list(alive) for j, o in atoms[i].bonds.items() if o == 2 and j not in alive}
+    keep = sorted(alive)
+    number = {x: i for i, x in enumerate(keep)}
+    out = []
+    for x in keep:
+        a = atoms[x]
+        lost = sum(1 if o == 1.5 else int(o) for j, o in a.bonds.items() if j not in alive)
+        out.append(Atom(a.symbol, a.aromatic, a.charge, a.hydrogens + lost if not (a.aromatic and a.symbol == "N") else a.hydrogens, a.isotope, {number[j]: o for j, o in a.bonds.items() if j in alive}))
+    return write(out)
+
+
+def descriptors(atoms: list[Atom]) -> dict[str, float | int]:
+    """The descriptors that the graph alone settles."""
+    heavy = [a for a in atoms if a.symbol != "H"]
+    hydrogens = sum(a.hydrogens for a in atoms) + sum(a.symbol == "H" for a in atoms)
+    carbons = [a for a in heavy if a.symbol == "C"]
+    sp3 = sum(1 for a in carbons if not a.aromatic and all(o == 1 for o in a.bonds.values()))
+    n_bonds = sum(len(a.bonds) for a in atoms) // 2
+    ring = ring_bonds(atoms)
+    terminal = [len(a.bonds) < 2 for a in atoms]
+    rotatable = sum(1 for i, a in enumerate(atoms) for j, o in a.bonds.items() if i < j and o == 1 and (i, j) not in ring and not terminal[i] and not terminal[j] and not _amide(atoms, i, j))
+    return {
+        "molecular_weight": sum((a.isotope or WEIGHTS.get(a.symbol, 0.0)) + 1.008 * a.hydrogens for a in atoms), "heavy_atoms": len(heavy), "total_atoms": len(heavy) + hydrogens,
+        "hbd": sum(1 for a in atoms if a.symbol in ("N", "O") and a.hydrogens > 0), "hba": sum(a.symbol in ("N", "O") for a in atoms), "rotatable_bonds": rotatable,
+        "rings": n_bonds - len(atoms) + len(fragments(atoms)), "fraction_csp3": sp3 / len(carbons) if carbons else 0.0, "formal_charge": sum(a.charge for a in atoms),
+    }
+
+
+def _amide(atoms: list[Atom], i: int, j: int) -> bool:
+    for c, n in ((i, j), (j, i)):
+        if atoms[c].symbol == "C" and atoms[n].symbol == "N" and any(o == 2 and atoms[k].symbol == "O" for k, o in atoms[c].bonds.items()):
+            return True
+    return False
