@@ -5,7 +5,7 @@ with a smaller id. Matches never cross documents, overlaps count, and strings ar
 judged on the input.
 
 1. Windows of ``width`` bytes fall into runs that share the smallest rolling hash of
-   a 16-byte gram inside (winnowing). Equal windows have equal keys, so one round of
+   a gram of ``GRAM`` bytes inside (winnowing). Equal windows have equal keys, so one round of
    questions finds the keys that more than one document has; all else is unique.
 2. A run's bytes are a segment. In a second round each block sends digests of its
    distinct segments. If all segments of a key are the same string, the smallest id
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 
 from .blocks import Blocks, decode_batch, id_array, pack, slices, split_key
 from .kernels import PrefixHash, buffers, mix64, sliding_min
+from .scratch import Scratch
 
 GRAM = 32
 #: Windows of a segment at most; cuts runs of a repeated gram.
@@ -347,7 +348,9 @@ def suffix_dedup(docs: DataFrame, width: int = 50, text: str = "text", doc_id: s
     def open_block(batch: pa.RecordBatch) -> _Block:
         return _Block(batch, text_at, id_at, width, bits)
 
-    first = blocks.ask(lambda batch, _: _ask_shared(open_block(batch)), _answer_shared, 1)
+    # the answers are small; as written tables they are made once, though later rounds read them again
+    scratch = Scratch(docs.sparkSession)
+    first = scratch.table(blocks.ask(lambda batch, _: _ask_shared(open_block(batch)), _answer_shared, 1))
 
     def ask_segments(batch: pa.RecordBatch, answers: dict):
         block = open_block(batch)
@@ -358,7 +361,7 @@ def suffix_dedup(docs: DataFrame, width: int = 50, text: str = "text", doc_id: s
         for b, i, j in slices(bucket):
             yield b, out[i:j].tobytes()
 
-    second = blocks.ask(ask_segments, _answer_segments, 2, first)
+    second = scratch.table(blocks.ask(ask_segments, _answer_segments, 2, first))
 
     def codes(block: _Block, answers: dict) -> np.ndarray:
         _shared(block, answers.get(1, []))
@@ -371,7 +374,7 @@ def suffix_dedup(docs: DataFrame, width: int = 50, text: str = "text", doc_id: s
             yield b, _pack_strings(block.data, start[i:j], size[i:j], least[i:j], split_key(key[i:j], bits)[1], width)
 
     known = first.unionByName(second)
-    third = blocks.ask(ask_windows, _answer_windows(width), 3, known)
+    third = scratch.table(blocks.ask(ask_windows, _answer_windows(width), 3, known))
 
     keep = [c for c in docs.columns if c != text]
     types = dict(docs.dtypes)
