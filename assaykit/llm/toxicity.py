@@ -1,7 +1,8 @@
 """Toxicity: maximum-scoring segments over token log-odds.
 
-Tokens are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A token's
-log-odds between toxic and clean labelled texts have an informative Dirichlet prior
+Tokens are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Inflected
+forms share a stem, so a token without evidence of its own backs off to its first
+``STEM`` bytes. A token's log-odds between toxic and clean labelled texts have an informative Dirichlet prior
 (the pooled counts, scaled to ``prior`` tokens); those whose z value passes ``min_z``
 count, shrunk by ``shrink`` standard errors, and all others get a small negative
 ``drift``. A linear scan (Ruzzo and Tompa) finds every maximal segment of a text. Their
@@ -31,12 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import Words, buffers, groups
+from .kernels import PrefixHash, Words, buffers, groups
 from .scratch import Scratch
 
 TOKEN = np.zeros(256, bool)
 TOKEN[48:58] = TOKEN[65:91] = TOKEN[97:123] = TOKEN[128:] = True
 MAX_FIT_ROWS = 20_000
+STEM = 4
+_STEM_SALT = np.uint64(0x6A09E667F3BCC909)
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
+    """Words of the texts (with their hashes), and the hashes of their stems."""
+    words = Words(data, offsets, TOKEN, lower=True)
+    return words, PrefixHash(data, lower=True).of(words.start, np.minimum(words.end, words.start + STEM)) ^ _STEM_SALT
 
 
 @dataclass
@@ -50,11 +59,12 @@ class ToxicModel:
     cut: float
     rate: float
 
-    def token_scores(self, hashes: np.ndarray) -> np.ndarray:
+    def token_scores(self, hashes: np.ndarray, stems: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.full(len(hashes), self.drift)
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.scores[at], self.drift)
+        back = np.minimum(np.searchsorted(self.keys, stems), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.scores[at], np.where(self.keys[back] == stems, self.scores[back], self.drift))
 
     def statistic(self, best: list[float], n: int) -> float:
         if not best:
@@ -95,8 +105,8 @@ def _scan(column: pa.Array, model: ToxicModel) -> tuple[np.ndarray, np.ndarray,
     data, offsets = buffers(column)
     ns, stats, found = [], [], []
     for i, j in groups(offsets):
-        words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], TOKEN, lower=True)
-        scores = model.token_scores(words.hash)
+        words, stems = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        scores = model.token_scores(words.hash, stems)
         for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
             segments = maximal_segments(scores[a:b])
             ns.append(b - a)
@@ -114,15 +124,16 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 5000.0, min_z: float
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = Words(*buffers(batch.column(0)), TOKEN, lower=True)
+            words, stems = features(*buffers(batch.column(0)))
             toxic = np.array(batch.column(1).to_pylist(), np.int64)[words.owners()]
-            keys, of = np.unique(words.hash, return_inverse=True)
-            ones = np.bincount(of, weights=toxic, minlength=len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ones), pa.array(np.bincount(of, minlength=len(keys)) - ones)], names=["k", "y1", "y0"])
+            for kind, hashes in enumerate((words.hash, stems)):
+                keys, of = np.unique(hashes, return_inverse=True)
+                ones = np.bincount(of, weights=toxic, minlength=len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([kind] * len(keys), pa.int32()), pa.array(ones), pa.array(np.bincount(of, minlength=len(keys)) - ones)], names=["k", "stem", "y1", "y0"])
 
-    counts = sample.where("first").select("text", "toxic").mapInArrow(count, "k bigint, y1 bigint, y0 bigint").groupBy("k").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
+    counts = sample.where("first").select("text", "toxic").mapInArrow(count, "k bigint, stem int, y1 bigint, y0 bigint").groupBy("k", "stem").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
     counts = scratch.table(counts)
-    n1, n0 = (x or 0 for x in counts.agg(F.sum("y1"), F.sum("y0")).first())
+    n1, n0 = (x or 0 for x in counts.where("stem = 0").agg(F.sum("y1"), F.sum("y0")).first())
     n_rows, rate = sample.agg(F.count("*"), F.avg("toxic")).first()
     empty = ToxicModel(np.zeros(0, np.uint64), np.zeros(0), drift, 1.0, 1.0, 0.0, 0.0, rate or 0.0)
     if not n_rows or not n1 or not n0:
@@ -137,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 5000.0, min_z: float
     use = np.abs(delta) / error >= min_z
     keys = frequent.k.to_numpy(np.int64).view(np.uint64)[use]
     order = np.argsort(keys)
-    share = y0[use] / n0
+    share = np.where(frequent.stem.to_numpy()[use] == 0, y0[use] / n0, 0.0)  # of the clean texts' tokens; stems only back off
     scores = value[use] + drift
 
     def excess(lam: float) -> float:
