@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from .functions import score as X
 from .operators import selection as S
 from .operators import similarity as T
 from .plans.triage import TriageConfig, describe, triage
+from .sources.sinks import json_lines
 
 #: Descriptors derived from order keys; the same text runs in Spark and DuckDB.
 PROXY = """o_orderkey AS ord, 'C' || CAST(o_orderkey AS VARCHAR(20)) AS identifier, CAST(100 + (o_orderkey * 37) % 500 AS DOUBLE) AS molecular_weight,
@@ -112,6 +114,31 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FP = "WITH f AS (SELECT vec_id AS id, list_filter(range(0, 64), lambda i: embedding[i + 1] > 0) AS bits FROM embeddings), s AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.bits, b.bits)) AS c, len(a.bits) AS x, len(b.bits) AS y FROM f a, f b WHERE a.id <> b.id)"
 
 
+def butina_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def table(df: DataFrame) -> DataFrame:
+        return df.checkpoint()
+
+    _checkpoints(spark)
+    return T.butina(fingerprints(spark, sf_dir), 0.5, table=table).select("id", F.col("cluster_id").cast("long").alias("cluster_id"), "is_centroid")
+
+
+def _checkpoints(spark: SparkSession) -> None:
+    """The session's checkpoint folder; one of its own only where none is set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp())
+
+
+def scaffold_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = describe(molecules(spark, sf_dir)).where("parse_ok")
+    return rows.groupBy("murcko_scaffold").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"))
+
+
+def ndjson_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = judged(spark, sf_dir).select("ord", "drop_reason")
+    return json_lines(rows)
+
+
 def triage_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = triage(molecules(spark, sf_dir).drop("n"), TriageConfig(rule_sets=()))
     return out.select("identifier", "parse_ok", "duplicate_of", "report_group")
@@ -134,6 +161,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "representatives": lambda s, d: S.representatives(scored(s, d)).where("is_cluster_representative").select("cluster_id", "ord"),
         "descriptors_alkanol": descriptors_alkanol,
         "triage_end_to_end": triage_end_to_end,
+        "butina_clusters": butina_clusters,
+        "scaffold_groups": scaffold_groups,
+        "ndjson_rows": ndjson_rows,
         "tanimoto_pairs": lambda s, d: T.threshold_pairs(fingerprints(s, d), 0.5).select("a", "b", F.round("similarity", 9).alias("similarity")),
         "nearest_neighbours": lambda s, d: T.nearest(fingerprints(s, d).where("id % 50 = 0"), fingerprints(s, d), 3).select("q", "t", F.round("similarity", 9).alias("similarity"), F.col("rank").cast("long").alias("rank")),
     }
@@ -156,6 +186,8 @@ def oracle_sql() -> dict[str, str]:
         "representatives": f"{P}, s AS (SELECT *, round({_SCORE}, 9) AS score FROM p) SELECT cluster_id, ord FROM s QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, identifier DESC, ord) = 1",
         "descriptors_alkanol": "SELECT p_partkey AS ord, true AS parse_ok, round(12.011 * p_size + 1.008 * (2 * p_size + 2) + 15.999, 6) AS molecular_weight, CAST(p_size + 1 AS INT) AS heavy_atoms, CAST(3 * p_size + 3 AS INT) AS total_atoms, 1 AS hbd, 1 AS hba, CAST(greatest(p_size - 2, 0) AS INT) AS rotatable_bonds, 0 AS rings, true AS acyclic FROM part WHERE p_partkey % 5 < 3",
         "triage_end_to_end": f"{_MOL}, j AS (SELECT *, CASE WHEN key IS NOT NULL AND min(ord) OVER (PARTITION BY key) < ord THEN arg_min(identifier, ord) OVER (PARTITION BY key) END AS d FROM k) SELECT identifier, kind < 4 AS parse_ok, d AS duplicate_of, CASE WHEN kind = 4 THEN 3 WHEN d IS NOT NULL THEN 1 ELSE 0 END AS report_group FROM j",
+        "scaffold_groups": f"{_MOL} SELECT CASE WHEN kind = 3 THEN 'c1ccccc1' END AS murcko_scaffold, count(*) AS n, min(ord) AS first_ord FROM m WHERE kind < 4 GROUP BY 1",
+        "ndjson_rows": f"{_JUDGED} SELECT '{{\"ord\":' || ord || ',\"drop_reason\":' || coalesce('\"' || drop_reason || '\"', 'null') || '}}' AS value FROM j",
         "tanimoto_pairs": f"{_FP} SELECT a, b, round(c / (x + y - c), 9) AS similarity FROM s WHERE a < b AND c / (x + y - c) >= 0.5",
         "nearest_neighbours": f"{_FP} SELECT a AS q, b AS t, round(c / (x + y - c), 9) AS similarity, row_number() OVER (PARTITION BY a ORDER BY c / (x + y - c) DESC, b) AS rank FROM s WHERE a % 50 = 0 QUALIFY rank <= 3",
     }
