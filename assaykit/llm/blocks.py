@@ -31,7 +31,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import GROUP_BYTES, buffers, groups
+from .kernels import GROUP_BYTES, buffers, groups, release
 
 NULL_ID = np.iinfo(np.int64).max
 _IPC = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -77,6 +77,7 @@ class Blocks:
                 for batch in batches:
                     for block_id, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                         yield send(block_id, body.as_py(), {})
+                        release()
 
             sent = self.df.mapInArrow(from_blocks, schema)
         else:
@@ -85,6 +86,7 @@ class Blocks:
         def reply(key: tuple, table: pa.Table) -> pa.Table:
             got = answer([b.as_py() for b in table.column("blob")])
             n = len(got)
+            release()
             return pa.table({"block_id": table.column("block_id"), "tag": pa.array([tag] * n, pa.int32()), "bucket": table.column("bucket"), "blob": pa.array(got, pa.binary())})
 
         return sent.groupBy("bucket").applyInArrow(reply, "block_id long, tag int, bucket int, blob binary")
@@ -98,6 +100,7 @@ class Blocks:
                 by_tag.setdefault(tag, []).append((bucket, blob))
             sorted_ = {t: [b.as_py() for _, b in sorted(x, key=lambda y: y[0])] for t, x in by_tag.items()}
             out = [use(i, body.as_py(), sorted_) for i, body in zip(left.column("block_id").to_pylist(), left.column("body"), strict=True)]
+            release()
             return pa.Table.from_batches([b for o in out for b in (o.to_batches() if isinstance(o, pa.Table) else [o])])
 
         return self.df.groupBy("block_id").cogroup(answers.groupBy("block_id")).applyInArrow(run, schema)

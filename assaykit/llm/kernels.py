@@ -6,6 +6,9 @@ hands them over, so no Python string is ever built on the hot paths.
 
 from __future__ import annotations
 
+import ctypes
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 
@@ -23,6 +26,17 @@ NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed scratch memory back to the system; workers are reused and would keep it."""
+    if trim := _trim():
+        trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser; a bijection of 64-bit values."""
     x = x.astype(U64, copy=True)

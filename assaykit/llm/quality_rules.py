@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import NOT_SPACE, Words, buffers, gram_hashes, groups
+from .kernels import NOT_SPACE, Words, buffers, gram_hashes, groups, release
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -162,5 +162,7 @@ def quality_rules(docs: DataFrame, params: QualityParams = QualityParams(), text
                 got = measure(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], params)
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(got[n], t) for n, t in OUTPUT)], names=[*keep, *names])
+                del got
+                release()
 
     return source.mapInArrow(run, schema)
