@@ -120,8 +120,11 @@ def read_archive(content: bytes) -> Iterator[dict]:
 def _train(pages: DataFrame) -> bytes:
     import zstandard
 
-    sample = pages.where("octet_length(html) > 64").select("page_id", F.expr(f"substring(CAST(html AS BINARY), 1, {DICT_PAGE_BYTES})").alias("b"))
-    rows = sample.orderBy(F.xxhash64("page_id"), "page_id").limit(DICT_PAGES).collect()  # bounded by both limits
+    # ids first: else every task would send that many pages to the driver for the choice
+    usable = pages.where("octet_length(html) > 64 AND page_id IS NOT NULL")
+    ids = [r[0] for r in usable.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(DICT_PAGES).collect()]
+    sample = usable.where(F.col("page_id").isin(ids)).select("page_id", F.expr(f"substring(CAST(html AS BINARY), 1, {DICT_PAGE_BYTES})").alias("b"))
+    rows = sorted(sample.limit(DICT_PAGES).collect(), key=lambda r: (r.page_id, bytes(r.b))) if ids else []  # bounded by both limits
     try:
         return zstandard.train_dictionary(DICT_BYTES, [bytes(r.b) for r in rows]).as_bytes() if len(rows) >= 8 else b""
     except zstandard.ZstdError:
