@@ -18,8 +18,11 @@ component under these links. Exact.
 3. Texts with equal sets are one class from here on. For each signature its classes are
    checked against one leader; a verified link joins components. Signatures whose
    classes are still in different components then yield those pairs that cross
-   components and pass the length bound, which are verified as well. So pairs inside a
-   group of copies are never enumerated, yet no link between components is lost.
+   components and pass the length and bitmap bounds, which are verified as well. So pairs
+   inside a group of copies are never enumerated, yet no link between components is lost.
+   The bitmap holds the parity of the n-grams per bit; an n-gram that only one of two sets
+   has changes one bit, so sets whose bitmaps differ in more bits than the threshold
+   allows n-grams to differ can't link.
 
 Cases: null or empty texts and texts without words have no set and are alone; equal
 sets always link; repeated rows are rows of their own; a null id takes part, but is
@@ -30,10 +33,12 @@ that clash with an output name are replaced; empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import decode_batch, pack, slices, split_key
@@ -44,6 +49,8 @@ from .scratch import Scratch
 U64 = np.uint64
 #: N-grams with at least 2 ** (FREQUENT - 1) documents are frequent; parts for their pairs.
 FREQUENT, PARTS = 9, 64
+#: 64-bit words of a bitmap.
+BITMAP = 16
 #: Rounds with other leaders before the remaining pairs are compared.
 STAR_ROUNDS = 2
 
@@ -143,6 +150,19 @@ def signatures(value: np.ndarray, cls: np.ndarray, spare: int, frequent: int = F
     return np.unique(np.concatenate(out))
 
 
+def parity_bitmap(value: np.ndarray) -> np.ndarray:
+    """Parity of the number of values per bit, as BITMAP signed 64-bit words."""
+    bit = (mix64(value) % U64(64 * BITMAP)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=64 * BITMAP) & 1).astype(bool)).view(np.int64)
+
+
+def _may_link(n: str, m: str, bits: str, bobs: str, percent: int) -> Column:
+    """Length and bitmap bounds of two sets, by the names of their sizes and bitmaps."""
+    x, y = F.col(n), F.col(m)
+    differ = reduce(add, (F.bit_count(F.get(bits, F.lit(i)).bitwiseXOR(F.get(bobs, F.lit(i)))) for i in range(BITMAP)))
+    return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (differ * (100 + percent) <= (x + y) * (100 - percent))
+
+
 def _scan(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
     """Each row without its text, with n_shingles, and, if it may link, cls, grams and sigs."""
     blocks = pack(docs, text)
@@ -151,7 +171,7 @@ def _scan(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
     keep = [c for c in docs.columns if c != text]
     where = {c: docs.columns.index(c) for c in keep}
     types = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["n_shingles bigint, cls bigint, grams binary, sigs array<bigint>"])
+    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["n_shingles bigint, cls bigint, grams binary, sigs array<bigint>, bits array<bigint>"])
 
     def use(block_id: int, body: bytes, got: dict) -> pa.RecordBatch:
         batch = decode_batch(body)
@@ -162,7 +182,7 @@ def _scan(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
         order = np.argsort(owner, kind="stable")
         value, cls, size = value[order], cls[order], np.bincount(owner, minlength=m)
         ends = np.cumsum(size)
-        ids, grams, sigs = [None] * m, [None] * m, [None] * m
+        ids, grams, sigs, maps = [None] * m, [None] * m, [None] * m, [None] * m
         for i in range(m):
             v, c = value[ends[i] - size[i] : ends[i]], cls[ends[i] - size[i] : ends[i]]
             need = -(-percent * int(size[i]) // 100)
@@ -170,10 +190,10 @@ def _scan(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
             if size[i] and shared.sum() >= need:
                 s = signatures(v[shared], c[shared], int(shared.sum()) - need)
                 digest = mix64(np.bitwise_xor.reduce(mix64(v), keepdims=True) + v.sum(dtype=U64, keepdims=True) + U64(size[i]))
-                ids[i], grams[i], sigs[i] = int(digest.view(np.int64)[0]), v[shared].tobytes(), s.view(np.int64)
+                ids[i], grams[i], sigs[i], maps[i] = int(digest.view(np.int64)[0]), v[shared].tobytes(), s.view(np.int64), parity_bitmap(v)
         return pa.RecordBatch.from_arrays(
-            [*(batch.column(where[c]) for c in keep), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), pa.array(grams, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
-            names=[*keep, "n_shingles", "cls", "grams", "sigs"],
+            [*(batch.column(where[c]) for c in keep), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), pa.array(grams, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))],
+            names=[*keep, "n_shingles", "cls", "grams", "sigs", "bits"],
         )
 
     return blocks.with_answers(answers, use, schema)
@@ -204,33 +224,34 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "t
 
     n_links counts links that were verified on the way to the component, not all there are.
     """
-    docs = docs.select(*[c for c in docs.columns if c in (text, doc_id) or c.lower() not in ("n_shingles", "component_id", "n_links", "cls", "grams", "sigs")])
+    docs = docs.select(*[c for c in docs.columns if c in (text, doc_id) or c.lower() not in ("n_shingles", "component_id", "n_links", "cls", "grams", "sigs", "bits")])
     scratch = Scratch(docs.sparkSession)
     rows = scratch.table(_scan(docs, text, n, percent))
-    sets = scratch.table(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min(doc_id).alias("low"), *(F.first(c).alias(c) for c in ("n_shingles", "grams", "sigs"))))
+    sets = scratch.table(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min(doc_id).alias("low"), *(F.first(c).alias(c) for c in ("n_shingles", "grams", "sigs", "bits"))))
     sigs = sets.select("cls", F.col("n_shingles").alias("n"), F.explode("sigs").alias("sig"))
     fits = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     leaders = sigs.groupBy("sig").agg(F.min(F.struct("cls", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("sig", F.col("lead.cls").alias("a"), F.col("lead.n").alias("na"))
     stars = scratch.table(sigs.join(leaders, "sig").where(F.col("cls") != F.col("a")).where(fits(F.col("n"), F.col("na"))).select("a", F.col("cls").alias("b")).distinct())
     links = scratch.table(_verified(stars, sets, percent))
+
     def unsettled() -> DataFrame:
         """Signature rows whose classes are still in different components."""
         found = components(links, scratch)
         labelled = sigs.join(found.withColumnRenamed("v", "cls"), "cls", "left").select("sig", "cls", "n", F.coalesce("c", "cls").alias("c"))
         mixed = labelled.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
-        return scratch.table(labelled.join(mixed, "sig"))
+        return scratch.table(labelled.join(mixed, "sig").join(sets.select("cls", "bits"), "cls"))
 
     # other leaders join what the first ones could not, so that few pairs are left to compare one by one
     tested, open_ = stars, unsettled()
     for salt in range(STAR_ROUNDS):
-        lead = open_.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cls", F.lit(salt)), F.col("cls").alias("x"), F.col("n").alias("m"), F.col("c").alias("d"))).alias("l")).select("sig", "l.x", "l.m", "l.d")
-        more = open_.join(lead, "sig").where("c <> d").where(fits(F.col("n"), F.col("m"))).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
+        lead = open_.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cls", F.lit(salt)), F.col("cls").alias("x"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("bits").alias("bobs"))).alias("l")).select("sig", "l.x", "l.m", "l.d", "l.bobs")
+        more = open_.join(lead, "sig").where("c <> d").where(_may_link("n", "m", "bits", "bobs", percent)).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
         more = scratch.table(more.join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(more)
         links = scratch.table(links.unionByName(_verified(more, sets, percent)))
         open_ = unsettled()
-    other = open_.select("sig", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    cross = open_.select("sig", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")).join(other, "sig").where("ca <> cb AND a < b").where(fits(F.col("na"), F.col("nb")))
+    other = open_.select("sig", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("bits").alias("bobs"))
+    cross = open_.select("sig", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "bits").join(other, "sig").where("ca <> cb AND a < b").where(_may_link("na", "nb", "bits", "bobs", percent))
     cross = scratch.table(cross.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
     every = links.unionByName(_verified(cross, sets, percent))
     every = scratch.table(every)
@@ -239,5 +260,5 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "t
     member = sets.select("cls", "low").join(final.withColumnRenamed("v", "cls"), "cls", "left").withColumn("c", F.coalesce("c", "cls"))
     smallest = member.groupBy("c").agg(F.min("low").alias("component_id"))
     by_class = member.join(smallest, "c").join(ends, "cls", "left").select("cls", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    keep = [c for c in rows.columns if c not in ("cls", "grams", "sigs")]
+    keep = [c for c in rows.columns if c not in ("cls", "grams", "sigs", "bits")]
     return rows.join(by_class, "cls", "left").select(*keep, F.coalesce("component_id", doc_id).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
