@@ -241,10 +241,10 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "t
         mixed = labelled.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
         return scratch.table(labelled.join(mixed, "sig").join(sets.select("cls", "bits"), "cls"))
 
-    # other leaders join what the first ones could not, so that few pairs are left to compare one by one
+    # other leaders, not the same in each signature, join what the first ones could not, so that few pairs are left to compare one by one
     tested, open_ = stars, unsettled()
     for salt in range(STAR_ROUNDS):
-        lead = open_.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cls", F.lit(salt)), F.col("cls").alias("x"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("bits").alias("bobs"))).alias("l")).select("sig", "l.x", "l.m", "l.d", "l.bobs")
+        lead = open_.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cls", "sig", F.lit(salt)), F.col("cls").alias("x"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("bits").alias("bobs"))).alias("l")).select("sig", "l.x", "l.m", "l.d", "l.bobs")
         more = open_.join(lead, "sig").where("c <> d").where(_may_link("n", "m", "bits", "bobs", percent)).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
         more = scratch.table(more.join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(more)
