@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import Blocks, decode_batch, id_array, pack, slices, split_key
-from .kernels import PrefixHash, buffers, mix64, sliding_min
+from .kernels import PrefixHash, buffers, groups, mix64, sliding_min
 from .scratch import Scratch
 
 GRAM = 32
@@ -292,7 +292,8 @@ def _answer_windows(width: int):
             counts.append(n)
         size, least, rest, text = np.concatenate(sizes), np.concatenate(leasts), np.concatenate(rests), np.concatenate(texts)
         offsets = np.concatenate(([0], np.cumsum(size + width - 1)))
-        content = PrefixHash(text).of(offsets[:-1], offsets[1:])
+        # in groups: tables as long as the bucket's text would stay with the worker
+        content = np.concatenate([PrefixHash(text[offsets[i] : offsets[j]]).of(offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i]) for i, j in groups(offsets)])
         order = np.lexsort((least, content, rest))
         new = np.ones(len(order), bool)
         new[1:] = (content[order][1:] != content[order][:-1]) | (rest[order][1:] != rest[order][:-1])
