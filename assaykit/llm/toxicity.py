@@ -1,19 +1,23 @@
 """Toxicity: maximum-scoring segments over token log-odds.
 
 Tokens are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Inflected
-forms share a stem, so a token without evidence of its own backs off to its first
-``STEM`` bytes. A token's log-odds between toxic and clean labelled texts have an informative Dirichlet prior
-(the pooled counts, scaled to ``prior`` tokens); those whose z value passes ``min_z``
-count, shrunk by ``shrink`` standard errors, and all others get a small negative
-``drift``. A linear scan (Ruzzo and Tompa) finds every maximal segment of a text. Their
+forms share a stem, so a token without evidence of its own backs off to its first bytes,
+the longest of ``STEMS`` first. Evidence is counted in texts, as a word's occurrences in
+one text are not independent: z is the signed root of the likelihood ratio that a word's
+share of toxic texts is the overall one, which has no bound for words of toxic texts
+alone. Words and stems whose z passes ``min_z`` score their log-odds between toxic and
+clean texts, smoothed by ``prior`` texts at the overall rate and shrunk by ``shrink``
+standard errors; all others get a small negative ``drift``. Cross-validation inside the
+labels given chooses ``min_z`` and the shortest stem, by the loss of the fitted scores.
+A linear scan (Ruzzo and Tompa) finds every maximal segment of a text. Their
 extreme-value parameters come from clean texts: lambda solves E[exp(lambda s)] = 1 and K
 is the moment estimate from the largest segments. A text's statistic is the best sum of
 normalised scores of its r best segments less r log(K n) (Karlin and Altschul), which a
-logistic curve, fitted on labelled texts that the log-odds did not see, turns into a
-score. Labels, languages, sources and ids are no inputs of a score.
+logistic curve, fitted on statistics of labelled texts from log-odds of the other folds,
+turns into a score; the final log-odds use all labels given. Labels, languages, sources and ids are no inputs of a score.
 
 Fitting uses at most ``MAX_FIT_ROWS`` labelled rows (the smallest hashes of doc_id),
-whole texts; token counts are summed in Spark. The lexicon is bounded by that sample.
+whole texts; counts are summed in Spark. The lexicon is bounded by that sample.
 Scoring is a narrow map over all whole texts.
 
 Cases: null and empty texts have no segment and get the score of such texts; repeated
@@ -38,14 +42,19 @@ from .scratch import Scratch
 TOKEN = np.zeros(256, bool)
 TOKEN[48:58] = TOKEN[65:91] = TOKEN[97:123] = TOKEN[128:] = True
 MAX_FIT_ROWS = 20_000
-STEM = 4
-_STEM_SALT = np.uint64(0x6A09E667F3BCC909)
+#: Bytes of the stems, in the order in which tokens back off to them.
+STEMS = (8, 6, 5, 4)
+FOLDS = 5
+#: What cross-validation chooses from: (least z, number of STEMS).
+CHOICES = tuple((z, k) for k in (3, 4) for z in (3.0, 4.0, 5.0))
+_STEM_SALT = 0x6A09E667F3BCC909
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
-    """Words of the texts (with their hashes), and the hashes of their stems."""
-    words = Words(data, offsets, TOKEN, lower=True)
-    return words, PrefixHash(data, lower=True).of(words.start, np.minimum(words.end, words.start + STEM)) ^ _STEM_SALT
+def features(data: np.ndarray, offsets: np.ndarray, stems: int = len(STEMS)) -> tuple[Words, list[np.ndarray]]:
+    """Words of the texts, and the hashes of the words and of each of their stems."""
+    words, prefix = Words(data, offsets, TOKEN, lower=True), PrefixHash(data, lower=True)
+    salts = [np.uint64(_STEM_SALT * (2 * i + 1) % (1 << 64)) for i in range(stems)]
+    return words, [words.hash, *(prefix.of(words.start, np.minimum(words.end, words.start + n)) ^ salt for n, salt in zip(STEMS, salts))]
 
 
 @dataclass
@@ -58,13 +67,16 @@ class ToxicModel:
     slope: float
     cut: float
     rate: float
+    stems: int = len(STEMS)
 
-    def token_scores(self, hashes: np.ndarray, stems: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(hashes), self.drift)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        back = np.minimum(np.searchsorted(self.keys, stems), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.scores[at], np.where(self.keys[back] == stems, self.scores[back], self.drift))
+    def token_scores(self, levels: list[np.ndarray]) -> np.ndarray:
+        """Scores of tokens from the hashes of the words and their stems; the first that is known counts."""
+        out = np.full(len(levels[0]), self.drift)
+        if len(self.keys):
+            for hashes in reversed(levels[: self.stems + 1]):
+                at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+                out = np.where(self.keys[at] == hashes, self.scores[at], out)
+        return out
 
     def statistic(self, best: list[float], n: int) -> float:
         if not best:
@@ -105,8 +117,8 @@ def _scan(column: pa.Array, model: ToxicModel) -> tuple[np.ndarray, np.ndarray,
     data, offsets = buffers(column)
     ns, stats, found = [], [], []
     for i, j in groups(offsets):
-        words, stems = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        scores = model.token_scores(words.hash, stems)
+        words, levels = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model.stems)
+        scores = model.token_scores(levels)
         for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
             segments = maximal_segments(scores[a:b])
             ns.append(b - a)
@@ -115,76 +127,170 @@ def _scan(column: pa.Array, model: ToxicModel) -> tuple[np.ndarray, np.ndarray,
     return np.array(ns, np.int64), np.array(stats), found
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float = 5000.0, min_z: float = 5.0, shrink: float = 2.0, drift: float = -0.1, max_rows: int = MAX_FIT_ROWS) -> ToxicModel:
+def evidence(d1: np.ndarray, d0: np.ndarray, m1: float, m0: float, prior: float, shrink: float) -> tuple[np.ndarray, np.ndarray]:
+    """z and shrunk log-odds of words that d1 of m1 toxic and d0 of m0 clean texts have."""
+    t, m, r = d1 + d0, m1 + m0, m1 / (m1 + m0)
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-300)), 0.0)
+
+    z = np.sqrt(np.maximum(2 * (part(d1, t * r) + part(d0, t * (1 - r)) + part(m1 - d1, (m - t) * r) + part(m0 - d0, (m - t) * (1 - r))), 0))
+    p1, p0 = d1 + prior * r, d0 + prior * (1 - r)
+    delta = np.log(p1 / (m1 - d1 + prior * r)) - np.log(p0 / (m0 - d0 + prior * (1 - r)))
+    return z, np.sign(delta) * np.maximum(np.abs(delta) - shrink * np.sqrt(1 / p1 + 1 / p0), 0)
+
+
+@dataclass
+class Counts:
+    """Per key (sorted) its level, its shorter stems, and texts and clean tokens by fold."""
+
+    keys: np.ndarray
+    level: np.ndarray
+    above: np.ndarray  # keys of the shorter stems, by level
+    d1: np.ndarray
+    d0: np.ndarray
+    y0: np.ndarray
+    m1: np.ndarray  # texts by fold
+    m0: np.ndarray
+    n0: np.ndarray  # clean tokens by fold
+
+    def model(self, fold: int | None, min_z: float, stems: int, prior: float, shrink: float, drift: float) -> ToxicModel:
+        """Log-odds and lambda of all folds but ``fold``."""
+        d1, d0, y0, m1, m0, n0 = ((x.sum(-1) - (x[..., fold] if fold is not None else 0)).astype(float) for x in (self.d1, self.d0, self.y0, self.m1, self.m0, self.n0))
+        if not len(self.keys) or not m1 or not m0:
+            return ToxicModel(np.zeros(0, np.uint64), np.zeros(0), drift, 1.0, 1.0, 0.0, 0.0, 0.0, stems)
+        z, value = evidence(d1, d0, m1, m0, prior, shrink)
+        use = (z >= min_z) & (self.level <= stems) & (d1 + d0 > 0)
+        # clean tokens that stop at each key: its own less those that stop at longer ones
+        share = y0.copy()
+        for level in range(stems):
+            at = np.flatnonzero(use & (self.level == level))
+            for up in range(level, stems):
+                to = np.minimum(np.searchsorted(self.keys, self.above[at, up]), len(self.keys) - 1)
+                here = self.keys[to] == self.above[at, up]
+                share -= np.bincount(to[here], weights=share[at[here]], minlength=len(share))
+        share, scores = share[use] / max(n0, 1), value[use] + drift
+
+        def excess(lam: float) -> float:
+            return float((share * np.exp(lam * scores)).sum() + max(0.0, 1 - share.sum()) * np.exp(lam * drift) - 1)
+
+        low, high = 1e-3, 1.0
+        while excess(high) < 0 and high < 16:
+            high *= 2
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if excess(mid) < 0 else (low, mid)
+        return ToxicModel(self.keys[use], scores, drift, low, 1.0, 0.0, 0.0, 0.0, stems)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Slope, cut and mean loss of a logistic curve."""
+    mean, scale = x.mean(), x.std() or 1.0
+    z, w = (x - mean) / scale, np.zeros(2)
+    for _ in range(50):  # Newton's method with a small ridge
+        p = 1 / (1 + np.exp(-np.clip(w[0] + w[1] * z, -30, 30)))
+        g = np.array([(y - p).sum(), ((y - p) * z).sum()]) - 0.1 * w
+        v = p * (1 - p)
+        h = np.array([[v.sum(), (v * z).sum()], [(v * z).sum(), (v * z * z).sum()]]) + 0.1 * np.eye(2)
+        w += np.linalg.solve(h, g)
+    slope = max(w[1] / scale, 1e-6)
+    cut = float(mean - w[0] / slope)
+    p = 1 / (1 + np.exp(-np.clip(slope * (x - cut), -40, 40)))
+    return float(slope), cut, float(-np.log(np.maximum(np.where(y == 1, p, 1 - p), 1e-12)).mean())
+
+
+def fit(docs: DataFrame, labels: DataFrame, prior: float = 1.0, choices: tuple[tuple[float, int], ...] = CHOICES, shrink: float = 2.0, drift: float = -0.1, max_rows: int = MAX_FIT_ROWS) -> ToxicModel:
     """Fits on labelled rows (doc_id, toxic); callers leave out what is held out."""
     scratch = Scratch(docs.sparkSession)
     chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     chosen = scratch.table(chosen)  # at most max_rows pairs of numbers
-    sample = scratch.table(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic", (F.abs(F.xxhash64(F.col("doc_id"), F.lit(7))) % 10 < 7).alias("first")).where("text IS NOT NULL"))
+    fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(FOLDS)).cast("int")
+    sample = scratch.table(docs.join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL").select("text", F.col("toxic").cast("int").alias("toxic"), fold.alias("fold")))
+
+    ups = [f"up_{i}" for i in range(len(STEMS))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, stems = features(*buffers(batch.column(0)))
-            toxic = np.array(batch.column(1).to_pylist(), np.int64)[words.owners()]
-            for kind, hashes in enumerate((words.hash, stems)):
-                keys, of = np.unique(hashes, return_inverse=True)
-                ones = np.bincount(of, weights=toxic, minlength=len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([kind] * len(keys), pa.int32()), pa.array(ones), pa.array(np.bincount(of, minlength=len(keys)) - ones)], names=["k", "stem", "y1", "y0"])
-
-    counts = sample.where("first").select("text", "toxic").mapInArrow(count, "k bigint, stem int, y1 bigint, y0 bigint").groupBy("k", "stem").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
-    counts = scratch.table(counts)
-    n1, n0 = (x or 0 for x in counts.where("stem = 0").agg(F.sum("y1"), F.sum("y0")).first())
+            words, levels = features(*buffers(batch.column(0)))
+            owner = words.owners()
+            toxic, part = np.array(batch.column(1).to_pylist(), np.int64), np.array(batch.column(2).to_pylist(), np.int64)
+            for level, hashes in enumerate(levels):
+                keys, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+                in_fold = of * FOLDS + part[owner]
+                pairs = np.unique(of * len(toxic) + owner)  # a word counts once a text
+                key, text = pairs // max(len(toxic), 1), pairs % max(len(toxic), 1)
+                at, size = key * FOLDS + part[text], len(keys) * FOLDS
+                d1, d0 = (np.bincount(at[toxic[text] == kind], minlength=size) for kind in (1, 0))
+                y0 = np.bincount(in_fold[toxic[owner] == 0], minlength=size)
+                some = np.flatnonzero(d1 + d0)
+                above = [levels[i][first].view(np.int64)[some // FOLDS] if i > level else np.zeros(len(some), np.int64) for i in range(1, len(levels))]
+                cols = [keys.view(np.int64)[some // FOLDS], np.full(len(some), level, np.int32), *above, (some % FOLDS).astype(np.int32), *(x[some].astype(np.int32) for x in (d1, d0, y0))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k", "level", *ups, "fold", "d1", "d0", "y0"])
+
+    by_fold = [f"CAST(sum(IF(fold = {f}, {c}, 0)) AS INT) AS {c}_{f}" for c in ("d1", "d0", "y0") for f in range(FOLDS)]
+    counts = sample.select("text", "toxic", "fold").mapInArrow(count, f"k bigint, level int, {', '.join(f'{u} bigint' for u in ups)}, fold int, d1 int, d0 int, y0 int")
+    counts = scratch.table(counts.groupBy("k", "level").agg(*(F.first(u).alias(u) for u in ups), *map(F.expr, by_fold)))
+    tokens = counts.where("level = 0").agg(*(F.sum(f"y0_{f}") for f in range(FOLDS))).first()
+    texts = {(r.fold, r.toxic): r["count"] for r in sample.groupBy("fold", "toxic").count().collect()}
     n_rows, rate = sample.agg(F.count("*"), F.avg("toxic")).first()
-    empty = ToxicModel(np.zeros(0, np.uint64), np.zeros(0), drift, 1.0, 1.0, 0.0, 0.0, rate or 0.0)
-    if not n_rows or not n1 or not n0:
-        return empty
-    frequent = counts.where("y1 + y0 >= 5").toPandas()  # tokens of the bounded sample
-    y1, y0 = frequent.y1.to_numpy(float), frequent.y0.to_numpy(float)
-    alpha = prior * (y1 + y0) / (n1 + n0)
-    a1, a0 = n1 + prior, n0 + prior
-    delta = np.log((y1 + alpha) / (a1 - y1 - alpha)) - np.log((y0 + alpha) / (a0 - y0 - alpha))
-    error = np.sqrt(1 / (y1 + alpha) + 1 / (y0 + alpha))
-    value = np.sign(delta) * np.maximum(np.abs(delta) - shrink * error, 0)
-    use = np.abs(delta) / error >= min_z
-    keys = frequent.k.to_numpy(np.int64).view(np.uint64)[use]
-    order = np.argsort(keys)
-    share = np.where(frequent.stem.to_numpy()[use] == 0, y0[use] / n0, 0.0)  # of the clean texts' tokens; stems only back off
-    scores = value[use] + drift
-
-    def excess(lam: float) -> float:
-        return float((share * np.exp(lam * scores)).sum() + max(0.0, 1 - share.sum()) * np.exp(lam * drift) - 1)
-
-    low, high = 1e-3, 1.0
-    while excess(high) < 0 and high < 16:
-        high *= 2
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if excess(mid) < 0 else (low, mid)
-    model = ToxicModel(keys[order], scores[order], drift, low, 1.0, 0.0, 0.0, float(rate))
+    m1, m0 = (np.array([texts.get((f, kind), 0) for f in range(FOLDS)]) for kind in (1, 0))
+    if not n_rows or not m1.sum() or not m0.sum():
+        return ToxicModel(np.zeros(0, np.uint64), np.zeros(0), drift, 1.0, 1.0, 0.0, 0.0, rate or 0.0)
+    places, least = [[counts.columns.index(f"{c}_{f}") for f in range(FOLDS)] for c in ("d1", "d0")], min(z for z, _ in choices)
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys that some model can use."""
+        for batch in batches:
+            d1, d0 = (np.stack([batch.column(i).to_numpy() for i in at], 1).astype(float) for at in places)
+            use = np.zeros(len(d1), bool)
+            for f in (None, *range(FOLDS)):
+                a, b, c, d = (x.sum(-1) - (x[..., f] if f is not None else 0) for x in (d1, d0, m1, m0))
+                if c and d:
+                    use |= evidence(a, b, float(c), float(d), prior, shrink)[0] >= least
+            yield batch.filter(pa.array(use))
+
+    # words and stems of the bounded sample
+    frequent = counts.mapInArrow(passing, counts.schema).toPandas()
+    frequent = frequent.iloc[np.argsort(frequent.k.to_numpy(np.int64).view(np.uint64))]
+    keys, above = (np.ascontiguousarray(frequent[c].to_numpy(np.int64)).view(np.uint64) for c in ("k", ups))
+    d1, d0, y0 = (frequent[[f"{c}_{f}" for f in range(FOLDS)]].to_numpy(np.int64) for c in ("d1", "d0", "y0"))
+    every = Counts(keys, frequent.level.to_numpy(), above, d1, d0, y0, m1, m0, np.array([x or 0 for x in tokens]))
+    models = [[every.model(f, z, k, prior, shrink, drift) for f in range(FOLDS)] for z, k in choices]
 
     def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Segments of each text under each choice, from the log-odds of the other folds."""
         for batch in batches:
-            n, _, found = _scan(batch.column(0), model)
-            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array([[s for *_, s in f] for f in found], pa.list_(pa.float64())), batch.column(1).cast(pa.int32()), batch.column(2)], names=["n", "best", "toxic", "first"])
+            data, offsets = buffers(batch.column(0))
+            part, ns, best = np.array(batch.column(2).to_pylist(), np.int64), [], [[] for _ in models]
+            for i, j in groups(offsets):
+                words, levels = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                of = part[i:j][words.owners()]
+                ns += words.counts.tolist()
+                for choice, by_fold in enumerate(models):
+                    scores = np.full(len(of), drift)
+                    for f, model in enumerate(by_fold):
+                        scores[of == f] = model.token_scores([h[of == f] for h in levels])
+                    best[choice] += [[s for *_, s in maximal_segments(scores[a:b])] for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ns, pa.int64()), *(pa.array(b, pa.list_(pa.float64())) for b in best), *batch.columns[1:]], names=["n", *(f"best_{c}" for c in range(len(models))), "toxic", "fold"])
 
     # numbers of at most max_rows texts
-    seen = sample.select("text", "toxic", "first").mapInArrow(largest, "n bigint, best array<double>, toxic int, first boolean").toPandas()
-    clean = seen[(seen.toxic == 0) & (seen.n > 0)]
-    top = np.array([max(b, default=0.0) for b in clean.best])
-    model.k = float(1 / max(np.mean(clean.n.to_numpy(float) * np.exp(-model.lam * top)), 1e-9)) if len(clean) else 1.0
-    test = seen[~seen["first"]] if (~seen["first"]).sum() >= 20 else seen
-    x = np.array([model.statistic(list(b), int(n)) for b, n in zip(test.best, test.n, strict=True)])
-    y = test.toxic.to_numpy(float)
-    mean, scale = x.mean(), x.std() or 1.0
-    z, w = (x - mean) / scale, np.zeros(2)
-    for _ in range(50):  # Newton's method with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(w[0] + w[1] * z, -30, 30)))
-        g = np.array([(y - p).sum(), ((y - p) * z).sum()]) - 0.1 * w
-        v = p * (1 - p)
-        h = np.array([[v.sum(), (v * z).sum()], [(v * z).sum(), (v * z * z).sum()]]) + 0.1 * np.eye(2)
-        w += np.linalg.solve(h, g)
-    slope = max(w[1] / scale, 1e-6)
-    model.slope, model.cut = float(slope), float(mean - w[0] / slope)
+    schema = ", ".join(["n bigint", *(f"best_{c} array<double>" for c in range(len(models))), "toxic int", "fold int"])
+    seen = sample.select("text", "toxic", "fold").mapInArrow(largest, schema).toPandas()
+    n, part, y = seen.n.to_numpy(), seen.fold.to_numpy(), seen.toxic.to_numpy(float)
+    clean, found = (y == 0) & (n > 0), None
+    for choice, (z, k) in enumerate(choices):
+        best, by_fold = seen[f"best_{choice}"], models[choice]
+        lam = np.array([m.lam for m in by_fold])[part]
+        top = np.array([max(b, default=0.0) for b in best])
+        same = float(1 / max(np.mean(n[clean] * np.exp(-lam[clean] * top[clean])), 1e-9)) if clean.any() else 1.0
+        for m in by_fold:
+            m.k = same
+        slope, cut, loss = _logistic(np.array([by_fold[f].statistic(list(b), int(m)) for f, b, m in zip(part.tolist(), best, n, strict=True)]), y)
+        if found is None or loss < found[0]:
+            found = (loss, z, k, same, slope, cut)
+    _, z, k, same, slope, cut = found
+    model = every.model(None, z, k, prior, shrink, drift)
+    model.k, model.slope, model.cut, model.rate = same, slope, cut, float(rate)
     return model
 
 

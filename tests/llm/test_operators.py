@@ -237,6 +237,20 @@ def test_toxicity(spark):
     assert none[0].score == none[1].score < 0.3
 
 
+def test_toxic_words_need_few_texts(spark):
+    """Words of toxic texts alone count from a few texts on, and inflected forms by their longest known stem."""
+    rng = random.Random(10)
+    # clean texts share four bytes with the toxic words; each toxic word is in 8 fitted texts of 2 000
+    clean = [(i, words(60, rng) + " reeu" + rng.choice("abcdef") * 3, 0) for i in range(1840)]
+    toxic = [(2000 + i, words(60, rng) + f" reeuxvi{'abcde'[i % 5]}{'klmnopqrst'[i // 5 % 10]} vile{i % 20}", 1) for i in range(160)]
+    df = spark.createDataFrame(clean + toxic, "doc_id bigint, text string, toxic int")
+    model = TX.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    new = spark.createDataFrame([(i, words(60, rng) + f" reeuxvi{i}zz", 1) for i in range(20)] + [(i, words(60, rng) + " reeuaaa", 0) for i in range(20)], df.schema)
+    assert all(r.predicted == r.toxic for r in TX.toxicity(new, model).collect())
+    z = [TX.evidence(np.array([float(n)]), np.zeros(1), 300.0 * n, 2700.0 * n, 1.0, 2.0)[0][0] for n in (4, 16, 64)]
+    assert z[1] == pytest.approx(2 * z[0], rel=0.01) and z[2] == pytest.approx(4 * z[0], rel=0.01)
+
+
 def test_lm_scoring(spark, docs):
     rows = lm_scoring(mark_target(docs, docs.where("doc_id < 4"))).collect()
     assert len(rows) == docs.count()
