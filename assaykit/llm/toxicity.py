@@ -81,7 +81,7 @@ class ToxicModel:
     def statistic(self, best: list[float], n: int) -> float:
         if not best:
             return -np.log(self.k * max(n, 1) + 1)
-        norm = self.lam * np.sort(np.array(best))[::-1][:64] - np.log(self.k * max(n, 1) + 1)
+        norm = self.lam * np.sort(np.array(best))[::-1] - np.log(self.k * max(n, 1) + 1)
         return float(np.cumsum(norm).max())
 
     def score(self, statistic: np.ndarray) -> np.ndarray:

@@ -251,6 +251,12 @@ def test_toxic_words_need_few_texts(spark):
     assert z[1] == pytest.approx(2 * z[0], rel=0.01) and z[2] == pytest.approx(4 * z[0], rel=0.01)
 
 
+def test_statistic_takes_all_segments():
+    model = TX.ToxicModel(np.zeros(0, np.uint64), np.zeros(0), -0.1, 1.0, 1.0, 1.0, 0.0, 0.1)
+    norm = 3.0 - np.log(11)
+    assert model.statistic([3.0] * 100, 10) == pytest.approx(100 * norm) and norm > 0
+
+
 def test_lm_scoring(spark, docs):
     rows = lm_scoring(mark_target(docs, docs.where("doc_id < 4"))).collect()
     assert len(rows) == docs.count()
