@@ -105,6 +105,12 @@ def descriptors_alkanol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("ord", "parse_ok", F.round("molecular_weight", 6).alias("molecular_weight"), "heavy_atoms", "total_atoms", "hbd", "hba", "rotatable_bonds", "rings", F.col("murcko_scaffold").isNull().alias("acyclic"))
 
 
+def descriptors_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``descriptors_alkanol``, over all kinds of molecules and the broken records."""
+    d = describe(molecules(spark, sf_dir))
+    return d.select("ord", "parse_ok", F.round("molecular_weight", 6).alias("molecular_weight"), "heavy_atoms", "total_atoms", "hbd", "hba", "rotatable_bonds", "rings", "murcko_scaffold")
+
+
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("embedding")[i] > 0)
@@ -160,6 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "page": lambda s, d: S.page(scored(s, d), 100, 50).select("ord", "identifier", "score"),
         "representatives": lambda s, d: S.representatives(scored(s, d)).where("is_cluster_representative").select("cluster_id", "ord"),
         "descriptors_alkanol": descriptors_alkanol,
+        "descriptors_library": descriptors_library,
         "triage_end_to_end": triage_end_to_end,
         "butina_clusters": butina_clusters,
         "scaffold_groups": scaffold_groups,
@@ -185,6 +192,12 @@ def oracle_sql() -> dict[str, str]:
         "page": f"{P} SELECT ord, identifier, round({_SCORE}, 9) AS score FROM p ORDER BY score DESC, identifier, ord LIMIT 50 OFFSET 100",
         "representatives": f"{P}, s AS (SELECT *, round({_SCORE}, 9) AS score FROM p) SELECT cluster_id, ord FROM s QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, identifier DESC, ord) = 1",
         "descriptors_alkanol": "SELECT p_partkey AS ord, true AS parse_ok, round(12.011 * p_size + 1.008 * (2 * p_size + 2) + 15.999, 6) AS molecular_weight, CAST(p_size + 1 AS INT) AS heavy_atoms, CAST(3 * p_size + 3 AS INT) AS total_atoms, 1 AS hbd, 1 AS hba, CAST(greatest(p_size - 2, 0) AS INT) AS rotatable_bonds, 0 AS rings, true AS acyclic FROM part WHERE p_partkey % 5 < 3",
+        "descriptors_library": """SELECT p_partkey AS ord, p_partkey % 5 < 4 AS parse_ok,
+            round(CASE WHEN p_partkey % 5 < 3 THEN 12.011 * p_size + 1.008 * (2 * p_size + 2) + 15.999 WHEN p_partkey % 5 = 3 THEN 12.011 * (p_size + 6) + 1.008 * (2 * p_size + 6) END, 6) AS molecular_weight,
+            CAST(CASE WHEN p_partkey % 5 < 3 THEN p_size + 1 WHEN p_partkey % 5 = 3 THEN p_size + 6 END AS INT) AS heavy_atoms, CAST(CASE WHEN p_partkey % 5 < 3 THEN 3 * p_size + 3 WHEN p_partkey % 5 = 3 THEN 3 * p_size + 12 END AS INT) AS total_atoms,
+            CASE WHEN p_partkey % 5 < 3 THEN 1 WHEN p_partkey % 5 = 3 THEN 0 END AS hbd, CASE WHEN p_partkey % 5 < 3 THEN 1 WHEN p_partkey % 5 = 3 THEN 0 END AS hba,
+            CAST(CASE WHEN p_partkey % 5 < 3 THEN greatest(p_size - 2, 0) WHEN p_partkey % 5 = 3 THEN greatest(p_size - 1, 0) END AS INT) AS rotatable_bonds,
+            CASE WHEN p_partkey % 5 < 3 THEN 0 WHEN p_partkey % 5 = 3 THEN 1 END AS rings, CASE WHEN p_partkey % 5 = 3 THEN 'c1ccccc1' END AS murcko_scaffold FROM part""",
         "triage_end_to_end": f"{_MOL}, j AS (SELECT *, CASE WHEN key IS NOT NULL AND min(ord) OVER (PARTITION BY key) < ord THEN arg_min(identifier, ord) OVER (PARTITION BY key) END AS d FROM k) SELECT identifier, kind < 4 AS parse_ok, d AS duplicate_of, CASE WHEN kind = 4 THEN 3 WHEN d IS NOT NULL THEN 1 ELSE 0 END AS report_group FROM j",
         "scaffold_groups": f"{_MOL} SELECT CASE WHEN kind = 3 THEN 'c1ccccc1' END AS murcko_scaffold, count(*) AS n, min(ord) AS first_ord FROM m WHERE kind < 4 GROUP BY 1",
         "ndjson_rows": f"{_JUDGED} SELECT '{{\"ord\":' || ord || ',\"drop_reason\":' || coalesce('\"' || drop_reason || '\"', 'null') || '}}' AS value FROM j",

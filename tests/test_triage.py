@@ -77,3 +77,21 @@ def test_butina_equals_greedy(spark):
             centres.add(i)
             free -= near[i] | {i}
     assert {i for i, r in got.items() if r.is_centroid} == centres and len(got) == 40
+
+
+def test_descriptors_of_all_kinds(spark, tmp_path):
+    """The registered query has every row of part: alkanols, alkylbenzenes and broken records."""
+    from assaykit import queries as Q
+
+    spark.createDataFrame([(k, 1 + k % 7) for k in range(1, 51)], "p_partkey bigint, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    rows = {r.ord: r for r in Q.queries()["descriptors_library"](spark, str(tmp_path)).collect()}
+    assert sorted(rows) == list(range(1, 51)) and "descriptors_library" in Q.oracle_sql()
+    for k, r in rows.items():
+        n = 1 + k % 7
+        got = (r.parse_ok, r.heavy_atoms, r.total_atoms, r.hbd, r.hba, r.rotatable_bonds, r.rings, r.murcko_scaffold)
+        if k % 5 == 4:
+            assert got == (False, *[None] * 7) and r.molecular_weight is None
+        elif k % 5 == 3:
+            assert got == (True, n + 6, 3 * n + 12, 0, 0, n - 1, 1, "c1ccccc1") and r.molecular_weight == pytest.approx(12.011 * (n + 6) + 1.008 * (2 * n + 6))
+        else:
+            assert got == (True, n + 1, 3 * n + 3, 1, 1, max(n - 2, 0), 0, None)
