@@ -1,4 +1,8 @@
-"""The triage plan: kernel, filters, dedup, score, clusters, ranking, report and counts."""
+"""The triage plan: kernel, filters, dedup, score, report and counts.
+
+It neither clusters nor picks representatives (``operators`` has both). Without alerts
+and rules every score is 1, so that the shortlist is in order of the identifier.
+"""
 
 from __future__ import annotations
 
@@ -24,7 +28,7 @@ _SQL = {pa.float64(): "double", pa.int32(): "int"}
 class TriageConfig:
     standardize: bool = True
     deduplicate: bool = True
-    rule_sets: tuple[str, ...] = ("fragment_size",)
+    rule_sets: tuple[str, ...] = ()
     drop_rule_failures: bool = False
     descriptor_windows: dict[str, tuple[float | None, float | None]] = field(default_factory=dict)
     top_n: int | None = None
@@ -69,8 +73,8 @@ def describe(library: DataFrame, standardize: bool = True) -> DataFrame:
 
 
 def finalize(described: DataFrame, config: TriageConfig) -> DataFrame:
-    """Adds drop_reason, duplicate_of and score_rank inputs to rows with parse_ok, key and descriptors."""
-    rules = R.evaluate([r for r in config.rule_sets if r in R.RULES], described.columns) if set(config.rule_sets) & set(R.RULES) else None
+    """Adds drop_reason and duplicate_of to rows with parse_ok, standard_smiles and descriptors; an unknown rule set is an error."""
+    rules = R.evaluate(list(config.rule_sets), described.columns) if config.rule_sets else None
     reason = F.when(F.col("parse_ok"), R.drop_reason(config.descriptor_windows, rules if config.drop_rule_failures else None, None))
     rows = described.withColumn("drop_reason", reason)
     live = F.col("parse_ok") & F.col("drop_reason").isNull()

@@ -95,3 +95,10 @@ def test_descriptors_of_all_kinds(spark, tmp_path):
             assert got == (True, n + 6, 3 * n + 12, 0, 0, n - 1, 1, "c1ccccc1") and r.molecular_weight == pytest.approx(12.011 * (n + 6) + 1.008 * (2 * n + 6))
         else:
             assert got == (True, n + 1, 3 * n + 3, 1, 1, max(n - 2, 0), 0, None)
+
+
+def test_unknown_rule_set_is_an_error(spark):
+    lib = readers.inline(spark, ["CCO", "C((("])
+    with pytest.raises(KeyError):
+        triage(lib, TriageConfig(rule_sets=("lipinsky",)))
+    assert triage(lib)[1].first().retained == 1
