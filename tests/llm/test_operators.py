@@ -262,3 +262,31 @@ def test_lm_scoring(spark, docs):
     assert len(rows) == docs.count()
     assert all((r.score is None) == (r.n_words == 0) for r in rows)
     assert all(r.ce_target > 0 and abs(r.score - (r.ce_target - r.ce_background)) < 1e-9 for r in rows if r.n_words)
+
+
+def test_lm_cross_entropies(spark, docs, texts):
+    """The losses by counting words and pairs of all rows in plain Python."""
+    from collections import Counter
+
+    lower = lambda g: re.sub(rb"[A-Z]", lambda m: m[0].lower(), g)
+    rows = [(i, [lower(g) for g in split(t)]) for i, t in [*enumerate(texts), (3, texts[3])]]
+    every = Counter(g for _, w in rows for g in w)
+    known = {g for g, n in every.items() if n >= 2}
+    rows = [(i, [g if g in known else None for g in w]) for i, w in rows]
+    want = {}
+    for kind in (0, 1):
+        inside = [w for i, w in rows if (i < 4) == (kind == 0)]
+        uni, pair = Counter(g for w in inside for g in w), Counter(p for w in inside for p in itertools.pairwise(w))
+        for i, w in rows:
+            own, own2 = (Counter(w), Counter(itertools.pairwise(w))) if (i < 4) == (kind == 0) else (Counter(), Counter())
+            total = uni.total() - own.total()
+            loss = []
+            for k, g in enumerate(w):
+                p1 = (uni[g] - own[g] + 1) / (total + len(known) + 1)
+                before = uni[w[k - 1]] - own[w[k - 1]] if k else 0
+                p2 = (pair[w[k - 1], g] - own2[w[k - 1], g]) / before if before > 0 else p1
+                loss.append(-np.log(0.5 * min(p2, 1) + 0.5 * p1))
+            want.setdefault(i, {})[kind] = np.mean(loss) if loss else None
+    for r in lm_scoring(mark_target(docs, docs.where("doc_id < 4"))).collect():
+        for kind, got in enumerate((r.ce_target, r.ce_background)):
+            assert got == (None if want[r.doc_id][kind] is None else pytest.approx(want[r.doc_id][kind], abs=1e-9))
