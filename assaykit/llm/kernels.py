@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Odd multiplier of the prefix hash and its inverse modulo 2**64.
+#: Odd multiplier of the rolling values and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Texts are handled in groups of about so many bytes, which bounds the scratch arrays.
@@ -48,8 +48,54 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Keeps the first k bytes of eight.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
+#: Longer ranges are hashed as the hashes of their pieces of so many bytes.
+PIECE = 256
+
+
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, eight bytes a round, each round a bijection of what it mixes in.
+
+    Ranges of at most eight bytes of one length never collide, others only by chance: no
+    sum of powers is involved that structured texts could cancel.
+    """
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = end - start
+    out = size.astype(U64) * U64(0x2545F4914F6CDD1D)
+    long = np.flatnonzero(size > PIECE)
+    rows = np.flatnonzero(size <= PIECE) if len(long) else None
+    at, left = (start, size) if rows is None else (start[rows], size[rows])
+    while len(at):
+        x = eight[at]
+        x &= _KEEP[np.minimum(left, 8)]
+        if rows is None:
+            out = mix64(out ^ x)
+        else:
+            out[rows] = mix64(out[rows] ^ x)
+        more = np.flatnonzero(left > 8)
+        rows = more if rows is None else rows[more]
+        at, left = at[more] + 8, left[more] - 8
+    if len(long):
+        pieces = -(-size[long] // PIECE)
+        last = np.cumsum(pieces)
+        first = np.repeat(start[long], pieces) + (np.arange(last[-1]) - np.repeat(last - pieces, pieces)) * PIECE
+        parts = hash_ranges(data, first, np.minimum(first + PIECE, np.repeat(end[long], pieces)))
+        out[long] = mix64(out[long] ^ hash_ranges(parts.view(np.uint8), (last - pieces) * 8, last * 8))
+    return out
+
+
+def same_ranges(data: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether the ranges hold the same bytes as those of equal sizes that begin at ``other``."""
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    bad = data[np.repeat(start, size) + step] != data[np.repeat(other, size) + step]
+    wrong = np.zeros(len(size), bool)
+    wrong[np.repeat(np.arange(len(size)), size)[bad]] = True
+    return ~wrong
+
+
 _BYTE_VALUE = mix64(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
-_LOWER_VALUE = _BYTE_VALUE[LOWER]
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -63,22 +109,16 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-class PrefixHash:
-    """Hashes of any substrings of a buffer in constant time each, through one cumulative sum."""
-
-    def __init__(self, data: np.ndarray, lower: bool = False):
-        power, self.inverse = _power_tables(len(data) + 1)
-        value = (_LOWER_VALUE if lower else _BYTE_VALUE)[data]
-        value *= power[: len(data)]
-        self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(value, out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = self.sums[end]
-        h -= self.sums[start]
-        h *= self.inverse[start]
-        h += (end - start).astype(U64) * U64(0x2545F4914F6CDD1D)
-        return mix64(h)
+def rolling(data: np.ndarray, width: int) -> np.ndarray:
+    """A value for each ``width`` consecutive bytes, equal for equal bytes. It picks places; it is no proof of equality."""
+    power, inverse = _power_tables(len(data) + 1)
+    value = _BYTE_VALUE[data]
+    value *= power[: len(data)]
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum(value, out=sums[1:])
+    out = sums[width:] - sums[:-width]
+    out *= inverse[: len(out)]
+    return out
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +165,7 @@ class Words:
         #: bounds[i]:bounds[i + 1] are the words of text i
         self.bounds = np.searchsorted(self.start, offsets)
         self.counts = np.diff(self.bounds)
-        self.hash = PrefixHash(data, lower).of(self.start, self.end) if hashes else None
+        self.hash = hash_ranges(LOWER[data] if lower else data, self.start, self.end) if hashes else None
 
     def owners(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import PrefixHash, buffers, groups
+from .kernels import buffers, groups, hash_ranges, same_ranges
 
 MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
@@ -274,8 +274,15 @@ class Encoder:
         end = np.concatenate((start[1:], [len(text)])).astype(np.int64)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
-        _, head, of = np.unique(PrefixHash(text).of(start, end), return_index=True, return_inverse=True)
-        u_start, u_size = start[head], (end - start)[head]
+        hashes, units = hash_ranges(text, start, end), end - start
+        _, head, of = np.unique(hashes, return_index=True, return_inverse=True)
+        # a unit that isn't what its hash stands for is a unit of its own
+        odd = np.flatnonzero(units != units[head][of])
+        even = np.flatnonzero(units == units[head][of])
+        odd = np.concatenate((odd, even[~same_ranges(text, start[even], units[even], start[head][of][even])]))
+        of[odd] = len(head) + np.arange(len(odd))
+        head = np.concatenate((head, odd))
+        u_start, u_size = start[head], units[head]
         order = np.argsort(u_size, kind="stable")
         counts = np.zeros(len(head), np.int64)
         parts, i = [], 0

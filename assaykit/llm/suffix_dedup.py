@@ -12,10 +12,11 @@ judged on the input.
    among them settles every window in them.
 3. For the others the blocks send the segments themselves. In each bucket they form
    shards; each shard gets its suffix array and BWT, and the BWTs are merged by
-   iterative interleave refinement (Holt and McMillan): step k sorts the merged
-   suffixes by k symbols, from the interleave of k - 1 symbols and the BWT symbols
-   alone, and where a new boundary opens the common prefix is k - 1. After ``width``
-   steps the intervals without boundary are the repeated windows; the smallest id in
+   iterative interleave refinement (Holt and McMillan): a step sorts the merged
+   suffixes by q symbols more, from the interleave so far and the BWT symbols alone
+   (the q symbols before each suffix, as many as fit in 16 bits), and where a new
+   boundary opens the suffixes share what had been sorted before. After ``width``
+   symbols the intervals without boundary are the repeated windows; the smallest id in
    each decides. No suffix of the merged text is compared or sorted anew.
    A key with very many different segments (a passage that a large share of the
    documents quote, each with its own neighbours) is sent window by window under
@@ -30,13 +31,14 @@ are replaced; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import Blocks, decode_batch, id_array, pack, slices, split_key
-from .kernels import PrefixHash, buffers, groups, mix64, sliding_min
+from .kernels import buffers, hash_ranges, mix64, rolling, sliding_min
 from .scratch import Scratch
 
 GRAM = 32
@@ -44,97 +46,131 @@ GRAM = 32
 MAX_RUN = 128
 #: Distinct segments of one key from which its windows get keys of their own.
 HOT = 256
+#: Bytes of a text whose rolling values are made at a time.
+CACHED = 1 << 16
 U64 = np.uint64
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, width: int, sums: PrefixHash | None = None) -> tuple[np.ndarray, ...]:
+def _lowest_grams(data: np.ndarray, width: int) -> np.ndarray:
+    """For each window the smallest value of a gram inside, in pieces that stay in a core's cache."""
+    n = len(data) - width + 1
+    out = np.empty(n, U64)
+    for a in range(0, n, CACHED):
+        part = data[a : min(a + CACHED, n) + width - 1]
+        out[a : a + CACHED] = sliding_min(rolling(part, GRAM), width - GRAM + 1)
+    return out
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     """Runs of windows: start, number of windows, text, key."""
     n = len(data) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
-    p = sums or PrefixHash(data)
-    grams = p.sums[GRAM:] - p.sums[:-GRAM]
-    grams *= p.inverse[: len(grams)]
-    low = sliding_min(grams, width - GRAM + 1)[:n]
-    del grams
+    low = _lowest_grams(data, width)
     new = np.ones(n, bool)
-    new[1:] = low[1:] != low[:-1]
-    first = offsets[:-1][offsets[:-1] < n]
-    new[first] = True
-    # windows that would leave their text: the last width - 1 starts of each
-    bad = np.zeros(len(data) + 1, np.int32)
-    np.add.at(bad, np.maximum(offsets[1:] - width + 1, offsets[:-1]), 1)
-    np.add.at(bad, offsets[1:], -1)
-    bad = np.cumsum(bad[:n]) > 0
-    edge = np.flatnonzero(np.diff(bad.astype(np.int8))) + 1
-    new[edge] = True
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    new[offsets[:-1][offsets[:-1] < n]] = True
     start = np.flatnonzero(new)
-    length = np.diff(np.concatenate((start, [n])))
-    good = ~bad[start]
-    start, length = start[good], length[good]
+    text = np.searchsorted(offsets, start, "right") - 1
+    # windows that would leave their text, the last width - 1 starts of each, don't count
+    length = np.minimum(np.concatenate((start[1:], [n])), offsets[text + 1] - width + 1) - start
+    good = length > 0
+    start, length, text = start[good], length[good], text[good]
     if len(length) and length.max() > MAX_RUN:
         parts = -(-length // MAX_RUN)
         which = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        start, length = np.repeat(start, parts) + which * MAX_RUN, np.minimum(np.repeat(length, parts) - which * MAX_RUN, MAX_RUN)
-    text = np.searchsorted(offsets, start, "right") - 1
+        start, length, text = np.repeat(start, parts) + which * MAX_RUN, np.minimum(np.repeat(length, parts) - which * MAX_RUN, MAX_RUN), np.repeat(text, parts)
     return start, length, text, mix64(low[start] ^ U64(0x5851F42D4C957F2D))
 
 
-def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Positions sorted by up to ``depth`` symbols, each read up to its terminator (symbol 0), ties by position."""
-    n = len(symbols)
-    end = np.flatnonzero(symbols == 0)
-    left = end[np.searchsorted(end, np.arange(n))] - np.arange(n)  # symbols before the terminator
-    padded = np.concatenate((symbols, np.zeros(8, symbols.dtype))).astype(U64)
-    key = np.zeros(n, U64)
-    for k in range(4):
-        key = (key << U64(16)) | np.where(left > k, padded[k : k + n], U64(0))
-    done = 4
-    while True:
-        order = np.argsort(key, kind="stable")
-        if done >= depth:
-            return order
+class Strings:
+    """Strings with a terminator each, read in circles: a position's symbols end where it began.
+
+    What follows a terminator is of no meaning, but orders all positions, so that the
+    step from a position to the one ``q`` symbols before is a permutation.
+    """
+
+    def __init__(self, texts: np.ndarray, offsets: np.ndarray):
+        m = len(offsets) - 1
+        self.begin = offsets[:-1] + np.arange(m)
+        self.size = np.diff(offsets) + 1
+        used = np.zeros(256, bool)
+        used[texts] = True
+        #: symbols: the bytes that occur, in order, behind the terminator 0
+        self.kinds = int(used.sum()) + 1
+        self.symbols = np.zeros(len(texts) + m, U64)
+        keep = np.ones(len(self.symbols), bool)
+        keep[self.begin + self.size - 1] = False
+        self.symbols[keep] = np.cumsum(used).astype(U64)[texts]
+        #: symbols that fit in 16 bits, and in 64
+        self.step, self.wide = (next(q for q in range(most, 0, -1) if self.kinds**q <= limit) for most, limit in ((16, 1 << 16), (64, 1 << 64)))
+
+    def ahead(self, by: int) -> np.ndarray:
+        """The position ``by`` symbols further on, for all positions."""
+        at = np.arange(by, len(self.symbols) + by)
+        # only the last positions of a string go round
+        last = np.minimum(self.size, by)
+        size = np.repeat(self.size, last)
+        step = np.arange(len(size)) - np.repeat(np.cumsum(last) - last, last)
+        past = np.repeat(self.begin + self.size - last, last) + step
+        at[past] = np.repeat(self.begin, last) + (at[past] - np.repeat(self.begin, last)) % size
+        return at
+
+    def codes(self, n: int) -> np.ndarray:
+        """The next ``n`` symbols of each position as one number."""
+        if n == 1:
+            return self.symbols
+        half = self.codes(n // 2)
+        out = half * U64(self.kinds ** (n // 2)) + half[self.ahead(n // 2)]
+        return out * U64(self.kinds) + self.symbols[self.ahead(n - 1)] if n % 2 else out
+
+
+def suffix_array(strings: Strings, wide: np.ndarray, low: int, high: int, depth: int) -> np.ndarray:
+    """Positions of whole strings low to high, sorted by ``depth`` symbols at least; ties in any order."""
+    key, done = wide[low:high], strings.wide
+    order = np.argsort(key)
+    while done < depth:
         s = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([1], (s[1:] != s[:-1]).astype(np.int64))))
-        ahead = np.where(left > done, rank[np.minimum(np.arange(n) + done, n - 1)], 0)
-        key = (rank.astype(U64) << U64(32)) | ahead.astype(U64)
+        rank = np.empty(len(order), U64)
+        rank[order] = np.cumsum(np.concatenate(([0], s[1:] != s[:-1]))).astype(U64)
+        key = (rank << U64(32)) | rank[strings.ahead(done)[low:high] - low]
+        order = np.argsort(key)
         done *= 2
+    return order + low
 
 
-def merge_bwts(bwts: list[np.ndarray], strings: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleaves shard BWTs; returns the merged order (global item numbers) and common prefixes.
+def merge_bwts(sizes: list[int], bwt: Callable[[int], np.ndarray], step: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleaves the BWTs of shards with ``sizes`` suffixes; returns the merged order (global item numbers) and common prefixes.
 
-    ``bwts[s][r]`` is the symbol before the suffix of rank r in shard s, 0 before a
-    whole string; ``strings[s]`` how many strings the shard has (its first ranks are
-    their terminators). ``lcp[j]`` is the common prefix of merged suffixes j - 1 and
-    j, or ``depth`` if it is at least that.
+    ``bwt(q)`` holds the ``q`` symbols before each shard's suffixes in order of their rank.
+    Each step refines the interleave by ``step`` symbols, the first by what else is left:
+    merged suffixes sorted stably by the symbols before them are the suffixes that begin
+    there, in order. ``lcp[j]`` says how many symbols merged suffixes j - 1 and j were
+    known to share when a boundary opened between them (``depth``: none opened).
     """
-    bwt = np.concatenate(bwts)
-    total, n_ends = len(bwt), sum(strings)
-    sizes = np.array([len(b) for b in bwts])
-    shard_type = np.uint8 if len(bwts) <= 256 else np.uint16
-    z = np.repeat(np.arange(len(bwts)), sizes).astype(shard_type)
-    ends = np.repeat(np.arange(len(bwts)), strings).astype(shard_type)
-    item = np.arange(total)
-    group = np.zeros(total, np.int32)
+    total = sum(sizes)
+    ranks = item = np.arange(total, dtype=np.int32)
+    z, group = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint8), np.zeros(total, np.int32)
     lcp = np.full(total, depth, np.int16)
-    lcp[0] = 0
-    for k in range(1, depth + 1):
-        symbol = bwt[item]
-        order = np.argsort(symbol, kind="stable")[n_ends:]
-        symbol, before = symbol[order], group[order]
-        z[n_ends:] = z[order]
-        z[:n_ends] = ends
-        item[np.argsort(z, kind="stable")] = np.arange(total)
-        edge = np.zeros(total, bool)
-        edge[n_ends : n_ends + 1] = True
-        edge[n_ends + 1 :] = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])
-        np.cumsum(edge, out=group)
-        lcp[edge & (lcp == depth)] = k - 1
-        if k > 8 and edge.sum() + n_ends >= total:  # every suffix stands alone
+    lcp[0] = done = 0
+    while done < depth:
+        q = step if (depth - done) % step == 0 else (depth - done) % step
+        if done <= step:  # the first step, or the first whole one
+            symbols = bwt(q)
+        symbol = symbols[item]
+        order = np.argsort(symbol, kind="stable")
+        symbol, group = symbol[order], group[order]
+        z = z[order]
+        item = np.empty(total, np.int32)
+        item[np.argsort(z, kind="stable")] = ranks
+        edge = (symbol[1:] != symbol[:-1]) | (group[1:] != group[:-1])
+        opened = lcp[1:]
+        opened[edge & (opened == depth)] = done
+        np.cumsum(edge, out=group[1:])
+        group[0] = 0
+        done += q
+        if group[-1] == total - 1:  # every suffix stands alone
             break
-    lcp[1:n_ends] = 0
     return item, lcp
 
 
@@ -142,35 +178,28 @@ def window_owners(texts: np.ndarray, offsets: np.ndarray, n_windows: np.ndarray,
     """For each string the smallest owner of each of its windows, among all the strings."""
     m = len(offsets) - 1
     n_shards = max(1, min(n_shards, m))
-    size = np.diff(offsets)
-    symbols = np.zeros(int(offsets[-1]) + m, np.uint16)
-    begin = offsets[:-1] + np.arange(m)
-    keep = np.ones(len(symbols), bool)
-    keep[begin + size] = False
-    symbols[keep] = texts.astype(np.uint16) + 1
-    cuts = np.searchsorted(begin, np.linspace(0, len(symbols), n_shards + 1)[1:-1])
+    strings = Strings(texts, offsets)
+    begin, total = strings.begin, len(strings.symbols)
+    cuts = np.searchsorted(begin, np.linspace(0, total, n_shards + 1)[1:-1])
     edges = np.unique(np.concatenate(([0], cuts, [m])))
-    bwts, counts, arrays = [], [], []
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        low, high = begin[a], begin[b] if b < m else len(symbols)
-        part = symbols[low:high]
-        sa = suffix_array(part, width)
-        before = part[sa - 1]
-        before[sa == 0] = 0
-        bwts.append(before)
-        counts.append(int(b - a))
-        arrays.append(sa + low)
-    if max(int(b.max(initial=0)) for b in bwts) < 256:
-        bwts = [b.astype(np.uint8) for b in bwts]
-    item, lcp = merge_bwts(bwts, counts, width)
-    place = np.concatenate(arrays)[item]
+    wide = strings.codes(strings.wide)
+    arrays = [suffix_array(strings, wide, int(begin[a]), int(begin[b]) if b < m else total, width) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    every = np.concatenate(arrays)
+
+    def bwt(q: int) -> np.ndarray:
+        before = np.empty(total, np.uint16)
+        before[strings.ahead(q)] = strings.codes(q)
+        return before[every]
+
+    item, lcp = merge_bwts([len(sa) for sa in arrays], bwt, strings.step, width)
+    place = every[item]
     string = np.searchsorted(begin, place, "right") - 1
     window = (place - begin[string]) < n_windows[string]
     value = np.where(window, owner[string], np.iinfo(np.int64).max)
     head = np.flatnonzero(lcp < width)
     least = np.minimum.reduceat(value, head)
-    at = np.empty(len(symbols), np.int64)
-    at[place] = np.repeat(least, np.diff(np.concatenate((head, [len(place)]))))
+    at = np.empty(total, np.int64)
+    at[place] = np.repeat(least, np.diff(np.concatenate((head, [total]))))
     return [at[b : b + w] for b, w in zip(begin.tolist(), n_windows.tolist(), strict=True)]
 
 
@@ -181,8 +210,7 @@ class _Block:
         self.width, self.bits = width, bits
         self.data, self.offsets = buffers(batch.column(text_at))
         self.ids = id_array(batch.column(id_at))
-        self.sums = PrefixHash(self.data)
-        self.start, self.length, self.text, self.key = segments(self.data, self.offsets, width, self.sums)
+        self.start, self.length, self.text, self.key = segments(self.data, self.offsets, width)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         unique, inverse = np.unique(self.key, return_inverse=True)
@@ -195,7 +223,7 @@ class _Block:
     def distinct(self, shared: np.ndarray) -> None:
         """Keeps the runs with a shared key; collapses equal segments to their smallest id."""
         self.start, self.length, self.text, self.key = (x[shared] for x in (self.start, self.length, self.text, self.key))
-        content = self.sums.of(self.start, self.start + self.length + self.width - 1)
+        content = hash_ranges(self.data, self.start, self.start + self.length + self.width - 1)
         ids = self.ids[self.text]
         order = np.lexsort((ids, content, self.key))
         new = np.ones(len(order), bool)
@@ -213,7 +241,7 @@ class _Block:
         hot = np.flatnonzero(code == 3)
         lengths = self.length[self.first[hot]]
         each = np.repeat(self.start[self.first[hot]], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        window = self.sums.of(each, each + self.width)
+        window = hash_ranges(self.data, each, each + self.width)
         owner = np.repeat(self.least[hot], lengths)
         order = np.lexsort((owner, window))
         new = np.ones(len(order), bool)
@@ -292,8 +320,7 @@ def _answer_windows(width: int):
             counts.append(n)
         size, least, rest, text = np.concatenate(sizes), np.concatenate(leasts), np.concatenate(rests), np.concatenate(texts)
         offsets = np.concatenate(([0], np.cumsum(size + width - 1)))
-        # in groups: tables as long as the bucket's text would stay with the worker
-        content = np.concatenate([PrefixHash(text[offsets[i] : offsets[j]]).of(offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i]) for i, j in groups(offsets)])
+        content = hash_ranges(text, offsets[:-1], offsets[1:])
         order = np.lexsort((least, content, rest))
         new = np.ones(len(order), bool)
         new[1:] = (content[order][1:] != content[order][:-1]) | (rest[order][1:] != rest[order][:-1])

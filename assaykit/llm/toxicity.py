@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import PrefixHash, Words, buffers, groups
+from .kernels import LOWER, Words, buffers, groups, hash_ranges
 from .scratch import Scratch
 
 TOKEN = np.zeros(256, bool)
@@ -52,9 +52,10 @@ _STEM_SALT = 0x6A09E667F3BCC909
 
 def features(data: np.ndarray, offsets: np.ndarray, stems: int = len(STEMS)) -> tuple[Words, list[np.ndarray]]:
     """Words of the texts, and the hashes of the words and of each of their stems."""
-    words, prefix = Words(data, offsets, TOKEN, lower=True), PrefixHash(data, lower=True)
+    lower = LOWER[data]
+    words = Words(lower, offsets, TOKEN)
     salts = [np.uint64(_STEM_SALT * (2 * i + 1) % (1 << 64)) for i in range(stems)]
-    return words, [words.hash, *(prefix.of(words.start, np.minimum(words.end, words.start + n)) ^ salt for n, salt in zip(STEMS, salts))]
+    return words, [words.hash, *(hash_ranges(lower, words.start, np.minimum(words.end, words.start + n)) ^ salt for n, salt in zip(STEMS, salts))]
 
 
 @dataclass
