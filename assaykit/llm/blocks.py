@@ -13,15 +13,17 @@ key would cost far more than the key. Instead
   bucket in numpy and returns one small buffer per block;
 * the block picks the answers up in a co-grouping on ``block_id``.
 
-The number of buckets follows the input's size, so what one task holds does not.
+The number of buckets follows the input's size, so what one task holds does not; blocks
+and buckets grow with its root up to ``GROW`` times, so that buffers stay worth a row each.
 Keys are mixed hashes: buckets are even whatever the data look like. Blocks are
 built from a deterministic scan; if an executor is lost, Spark recomputes the lost
-blocks and buffers from the input. Input that comes out of a shuffle should be
+blocks and buffers from the input. Input that comes out of a shuffle must be
 written (or checkpointed) first.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 
 from .kernels import GROUP_BYTES, buffers, groups, release
 
+#: Blocks and buckets grow to so many times their least size, from inputs of ``GROW_FROM`` bytes of text on.
+GROW, GROW_FROM = 4, 4 << 30
 NULL_ID = np.iinfo(np.int64).max
 _IPC = pa.ipc.IpcWriteOptions(compression="zstd")
 
@@ -44,6 +48,35 @@ def encode_batch(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def pack_ints(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length of integers of at least 0, compressed by planes of equal significance."""
+    parts, widths = [], bytearray()
+    for x in arrays:
+        top = int(x.max(initial=0))
+        width = (top.bit_length() + 7) // 8
+        widths.append(width)
+        parts.append(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    flat = b"".join(parts)
+    return struct.pack("<I", len(arrays[0])) + bytes(widths) + (_CODEC.compress(flat, asbytes=True) if flat else b"")
+
+
+def unpack_ints(blob: bytes, n_arrays: int) -> list[np.ndarray]:
+    """What ``pack_ints`` got, as 64-bit numbers."""
+    n, widths = struct.unpack_from("<I", blob)[0], blob[4 : 4 + n_arrays]
+    size = n * sum(widths)
+    flat = np.frombuffer(_CODEC.decompress(blob[4 + n_arrays :], size), np.uint8) if size else np.zeros(0, np.uint8)
+    out, at = [], 0
+    for width in widths:
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = flat[at : at + n * width].reshape(width, n).T
+        out.append(x.view("<u8").reshape(-1))
+        at += n * width
+    return out
+
+
 def decode_batch(body: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(body).read_next_batch()
 
@@ -112,12 +145,14 @@ def pack(docs: DataFrame, text: str = "text", bucket_bytes: int = 8 << 20) -> Bl
     docs = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
     rows, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     at = docs.columns.index(text)
+    grow = min(GROW, max(1.0, (total / GROW_FROM) ** 0.5))
+    block_bytes, bucket_bytes = int(GROUP_BYTES * grow), bucket_bytes * grow
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             _, offsets = buffers(batch.column(at))
-            for i, j in groups(offsets):
+            for i, j in groups(offsets, block_bytes):
                 yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([encode_batch(batch.slice(i, j - i))], pa.binary())], names=["block_id", "body"])
                 n += 1
 

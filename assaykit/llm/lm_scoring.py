@@ -8,7 +8,10 @@ lower is closer to the target. A text's own counts are taken out of its model fi
 
 Counts cover all texts: in two rounds of questions each block sends its distinct words,
 then its distinct word pairs, with their counts in both parts, and gets the totals
-back. A frequent word is one entry per block, and no table of counts is collected.
+back. A frequent word is one entry per block, and no table of counts is collected. Words
+and pairs are 64-bit hashes (words of at most eight bytes don't collide with others of
+their length): among n different pairs, n * n / 2**65 are expected to be counted
+with another one. Totals are 64-bit numbers.
 
 Cases: null and empty texts have no words and null scores; repeated rows are texts of
 their own and count as such; extra columns are kept, and those that clash with an
@@ -25,42 +28,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import decode_batch, pack, slices, split_key
+from .blocks import decode_batch, pack, pack_ints, slices, split_key, unpack_ints
 from .kernels import Words, buffers, mix64
 from .scratch import Scratch
 
 U64 = np.uint64
 UNKNOWN = np.uint64(0x0123456789ABCDEF)
-_ENTRY = np.dtype([("rest", np.uint32), ("t", np.uint32), ("b", np.uint32)])
-_TOTAL = np.dtype([("t", np.uint32), ("b", np.uint32)])
 MIX, SMOOTH = 0.5, 1.0
 
 
 def _entries(keys: np.ndarray, target: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
+    """Per bucket the distinct keys, as steps from one to the next, with their counts in both parts."""
     unique, of = np.unique(keys, return_inverse=True)
-    t = np.bincount(of, weights=target, minlength=len(unique))
-    bucket, rest = split_key(unique, bits)
-    out = np.zeros(len(unique), _ENTRY)
-    out["rest"], out["t"], out["b"] = rest, t, np.bincount(of, minlength=len(unique)) - t
-    for b, i, j in slices(bucket):
-        yield b, out[i:j].tobytes()
+    t = np.bincount(of, weights=target, minlength=len(unique)).astype(np.int64)
+    b = np.bincount(of, minlength=len(unique)) - t
+    bucket, _ = split_key(unique, bits)
+    low = unique & U64((1 << 64 - bits) - 1)
+    for k, i, j in slices(bucket):
+        yield k, pack_ints(np.diff(low[i:j], prepend=U64(0)), t[i:j], b[i:j])
 
 
 def _answer(blobs: list[bytes]) -> list[bytes]:
     """Totals of the keys that other blocks have too, behind a bit for each key."""
-    parts = [np.frombuffer(b, _ENTRY) for b in blobs]
-    every = np.concatenate(parts)
-    order = np.argsort(every["rest"], kind="stable")
+    parts = [unpack_ints(b, 3) for b in blobs]
+    key = np.concatenate([np.cumsum(p[0]) for p in parts])
+    order = np.argsort(key, kind="stable")
     new = np.ones(len(order), bool)
-    new[1:] = every["rest"][order][1:] != every["rest"][order][:-1]
-    at = np.cumsum(new) - 1
-    total = np.zeros(len(order), _TOTAL)
-    for c in ("t", "b"):
-        total[c][order] = np.add.reduceat(every[c][order].astype(np.int64), np.flatnonzero(new))[at]
+    new[1:] = key[order][1:] != key[order][:-1]
+    at, head = np.cumsum(new) - 1, np.flatnonzero(new)
     many = np.zeros(len(order), bool)
-    many[order] = np.bincount(at)[at] > 1
-    cuts = np.cumsum([len(p) for p in parts])[:-1]
-    return [np.packbits(m).tobytes() + x[m].tobytes() for m, x in zip(np.split(many, cuts), np.split(total, cuts), strict=True)]
+    many[order] = (np.diff(np.append(head, len(order))) > 1)[at]
+    totals = []
+    for c in (1, 2):
+        total = np.empty(len(order), np.int64)
+        total[order] = np.add.reduceat(np.concatenate([p[c] for p in parts]).astype(np.int64)[order], head)[at]
+        totals.append(total)
+    out, i = [], 0
+    for p in parts:
+        j = i + len(p[0])
+        m = many[i:j]
+        out.append(np.packbits(m).tobytes() + pack_ints(*(x[i:j][m] for x in totals)))
+        i = j
+    return out
 
 
 def _totals(keys: np.ndarray, target: np.ndarray, bits: int, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +80,7 @@ def _totals(keys: np.ndarray, target: np.ndarray, bits: int, blobs: list[bytes])
     for (_, i, j), blob in zip(slices(split_key(unique, bits)[0]), blobs, strict=True):
         size = -(-(j - i) // 8)
         many = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, size), count=j - i)) + i
-        got = np.frombuffer(blob, _TOTAL, offset=size)
-        t[many], b[many] = got["t"], got["b"]
+        t[many], b[many] = unpack_ints(blob[size:], 2)
     return t[of], b[of]
 
 
@@ -175,7 +183,11 @@ def lm_scoring(docs: DataFrame, target: str = "target", text: str = "text", leas
 
 
 def mark_target(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """``docs`` with ``target``: whether doc_id is in ``ids``; broadcast only if those are counted to be few."""
+    """``docs`` with ``target``: whether doc_id is in ``ids``; broadcast only if those are counted to be few.
+
+    Beyond that the shuffled join is written as a table, so that blocks are always made of the same rows.
+    """
     ids = ids.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
     few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    marked = docs.drop("target").join(F.broadcast(ids) if few else ids, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    return marked if few else Scratch(docs.sparkSession).table(marked)
