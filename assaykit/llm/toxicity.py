@@ -90,26 +90,31 @@ class ToxicModel:
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score), by one scan."""
+    """All maximal scoring segments (start, end, score), by one scan.
+
+    Each candidate remembers the nearest earlier one that begins lower, so that a search
+    skips what an earlier search has passed, and the scan is linear.
+    """
     positive = np.flatnonzero(scores > 0)
     if not len(positive):
         return []
     total = np.concatenate(([0.0], np.cumsum(scores)))
-    left, right, start, end = [], [], [], []
-    for i in positive.tolist():
-        l, r, s, e = float(total[i]), float(total[i + 1]), i, i + 1
+    left, right, start, end, lower = [], [], [], [], []
+    for i, l, r in zip(positive.tolist(), total[positive].tolist(), total[positive + 1].tolist(), strict=True):
+        s, e, j = i, i + 1, len(left) - 1
         while True:
-            j = len(left) - 1
             while j >= 0 and left[j] >= l:
-                j -= 1
+                j = lower[j]
             if j < 0 or right[j] >= r:
                 break
-            l, s = left[j], start[j]
-            del left[j:], right[j:], start[j:], end[j:]
+            l, s, next_j = left[j], start[j], lower[j]
+            del left[j:], right[j:], start[j:], end[j:], lower[j:]
+            j = next_j
         left.append(l)
         right.append(r)
         start.append(s)
         end.append(e)
+        lower.append(j)
     return [(s, e, r - l) for s, e, l, r in zip(start, end, left, right, strict=True)]
 
 
