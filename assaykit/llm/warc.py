@@ -9,8 +9,9 @@ Payloads are equal when length and SHA-1 are; of equal payloads (of at least
 ``least_bytes`` bytes) the record with the smallest page_id is a response and the
 others are revisits of it. The smallest id per digest is combined before the shuffle
 and joined back on the digest, a join that Spark may split where a digest is hot.
-Archives are rows (archive, content) of a table in the shared folder, each of at most
-``ARCHIVE_BYTES`` of payload or one record; ``read_archives`` also takes the rows of
+Archives are rows (archive, content) of a table in the shared folder, each of about
+``ARCHIVE_BYTES`` of records, ``ARCHIVE_RECORDS`` of them, or one; a frame's end follows from
+its block headers, so that reading is linear. ``read_archives`` also takes the rows of
 ``spark.read.format("binaryFile")``. The dictionary is trained on the driver from at
 most ``DICT_PAGES`` pages of at most ``DICT_PAGE_BYTES`` bytes each.
 
@@ -36,7 +37,9 @@ from .scratch import Scratch
 #: Fixed values of the format: the skippable frame for dictionaries, and frames in general.
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 DICT_PAGES, DICT_PAGE_BYTES, DICT_BYTES = 400, 16 << 10, 32 << 10
-ARCHIVE_BYTES = 8 << 20
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 8 << 20, 20_000
+#: A record may not claim more bytes than Spark's binary values can hold.
+RECORD_BYTES = (1 << 31) - 1
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
 
@@ -94,6 +97,30 @@ def write_archive(records: list[bytes], dictionary: bytes, level: int = 3) -> by
     return struct.pack("<II", DICT_MAGIC, len(dictionary)) + dictionary + b"".join(packer.compress(r) for r in records)
 
 
+def frame_end(content: bytes, at: int) -> int:
+    """Where the Zstandard frame at ``at`` ends, from its header and the headers of its blocks."""
+    import zstandard
+
+    if len(content) - at < 6 or struct.unpack_from("<I", content, at)[0] != FRAME_MAGIC:
+        raise ArchiveError(f"no frame at {at}")
+    head = content[at : at + 18]
+    try:
+        here, checksum = at + zstandard.frame_header_size(head), zstandard.get_frame_parameters(head).has_checksum
+    except zstandard.ZstdError as e:
+        raise ArchiveError(f"frame at {at}: {e}") from e
+    last = 0
+    while not last:
+        if here + 3 > len(content):
+            raise ArchiveError(f"frame at {at} is cut off")
+        block = int.from_bytes(content[here : here + 3], "little")
+        last, kind = block & 1, block >> 1 & 3
+        here += 3 + (1 if kind == 1 else block >> 3)  # kind 1 repeats one byte
+    here += 4 if checksum else 0
+    if here > len(content):
+        raise ArchiveError(f"frame at {at} is cut off")
+    return here
+
+
 def read_archive(content: bytes) -> Iterator[dict]:
     import zstandard
 
@@ -104,16 +131,19 @@ def read_archive(content: bytes) -> Iterator[dict]:
         raise ArchiveError("dictionary frame is cut off")
     dictionary = content[8:at]
     unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-    view = memoryview(content)
     while at < len(content):
-        one = unpacker.decompressobj()
+        end = frame_end(content, at)
+        frame = content[at:end]
+        size = zstandard.frame_content_size(frame)
+        if not 0 <= size <= RECORD_BYTES:
+            raise ArchiveError(f"frame at {at} does not tell a record's length")
         try:
-            raw = one.decompress(view[at:])
+            raw = unpacker.decompress(frame)
         except zstandard.ZstdError as e:
             raise ArchiveError(f"frame at {at}: {e}") from e
-        if not one.eof:
-            raise ArchiveError(f"frame at {at} is cut off")
-        at = len(content) - len(one.unused_data)
+        if len(raw) != size:
+            raise ArchiveError(f"frame at {at}: {len(raw)} bytes, not {size}")
+        at = end
         yield parse_record(raw)
 
 
@@ -157,8 +187,8 @@ def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         for batch in batches:
             for page_id, url, body, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 records.append(record_bytes(page_id, url, body, digest(body), refers))
-                size += len(body)
-                if size >= ARCHIVE_BYTES:
+                size += len(records[-1])
+                if size >= ARCHIVE_BYTES or len(records) >= ARCHIVE_RECORDS:
                     yield out()
                     records, size = [], 0
         if records:
