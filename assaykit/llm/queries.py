@@ -49,31 +49,38 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 
-def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _maintained(spark: SparkSession, sf_dir: str, tokenizers: dict) -> DataFrame:
+    """Loads all documents, deletes one source, revises another, compacts; every batch comes twice."""
     from .scratch import Scratch
-    from .token_counts import TokenRollup, byte_bpe_tokenizer, words_tokenizer
+    from .token_counts import TokenRollup
 
-    tokenizers = {"words@1": words_tokenizer(), "byte_bpe_50k@1": byte_bpe_tokenizer(TOKENIZERS, "byte_bpe_50k.tiktoken")}
     rollup = TokenRollup(spark, Scratch(spark).dir, tokenizers)
-    inserts = _table(spark, sf_dir, "documents").withColumn("sign", F.lit(1))
-    rollup.commit("load", inserts)
-    rollup.commit("load", inserts)  # a batch that comes again counts once
+    docs = _table(spark, sf_dir, "documents")
+    old = docs.where("source = 'src2'")
+    revised = old.withColumns({"sign": F.lit(1), "text": F.concat("text", F.lit(" revised"))})
+    batches = {
+        "load": docs.withColumn("sign", F.lit(1)),
+        "delete src1": docs.where("source = 'src1'").withColumn("sign", F.lit(-1)),
+        "revise src2": old.withColumn("sign", F.lit(-1)).unionByName(revised),
+    }
+    for name, changes in batches.items():
+        rollup.commit(name, changes)
+        rollup.commit(name, changes)  # a batch that comes again counts once
+    rollup.compact()
     return rollup.totals()
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import byte_bpe_tokenizer, words_tokenizer
+
+    return _maintained(spark, sf_dir, {"words@1": words_tokenizer(), "byte_bpe_50k@1": byte_bpe_tokenizer(TOKENIZERS, "byte_bpe_50k.tiktoken")})
+
+
 def token_counts_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rollup with the tokenizer that SQL can express: loads, then deletes one source and revises another."""
-    from .scratch import Scratch
-    from .token_counts import TokenRollup, words_tokenizer
+    """The rollup with the tokenizer that SQL can express."""
+    from .token_counts import words_tokenizer
 
-    rollup = TokenRollup(spark, Scratch(spark).dir, {"words@1": words_tokenizer()})
-    docs = _table(spark, sf_dir, "documents")
-    rollup.commit("load", docs.withColumn("sign", F.lit(1)))
-    rollup.commit("delete-src1", docs.where("source = 'src1'").withColumn("sign", F.lit(-1)))
-    old = docs.where("source = 'src2'")
-    rollup.commit("revise-src2", old.withColumn("sign", F.lit(-1)).unionByName(old.withColumns({"sign": F.lit(1), "text": F.concat("text", F.lit(" revised"))})))
-    rollup.commit("revise-src2", old.withColumn("sign", F.lit(-1)))
-    return rollup.totals()
+    return _maintained(spark, sf_dir, {"words@1": words_tokenizer()})
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

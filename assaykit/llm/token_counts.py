@@ -3,10 +3,12 @@
 Totals by source, language and tokenizer version are additive. A batch of changes is
 a table of signed rows: an insert is a row with sign 1, a delete the old row with sign
 -1, a revision both. Each batch is counted once, summed to its signed deltas (partial
-sums before the shuffle, so a hot source is a few rows), written to a folder of its
-own, and made visible by creating one marker file that must not exist before. A batch
+sums before the shuffle, so a hot source is a few rows), written to a staging folder, and
+made visible by one rename to ``deltas/<batch>``, which fails where that exists. A batch
 that is committed again, or by two drivers at once, therefore counts once; a batch
-that dies leaves nothing visible. ``totals`` sums the committed deltas.
+that dies leaves nothing visible. ``totals`` sums the committed deltas. ``compact`` sums
+them into a base, published by a rename as well, and empties their folders; the folders
+themselves stay, so that a batch keeps counting once.
 
 Cases: null texts have no tokens but count as documents; null sources and languages
 are groups of their own; repeated rows count as often as they occur; an empty batch
@@ -21,6 +23,7 @@ import importlib.util
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -82,41 +85,75 @@ def deltas(changes: DataFrame, tokenizers: dict[str, Callable[[pa.Array], np.nda
 class TokenRollup:
     """Rollup whose batches live under ``path``, a folder that driver and executors share."""
 
+    SCHEMA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
+
     def __init__(self, spark: SparkSession, path: str, tokenizers: dict[str, Callable[[pa.Array], np.ndarray]]):
         self.spark, self.path, self.tokenizers = spark, path, tokenizers
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{path}/commits"))
-
-    def committed(self) -> dict[str, str]:
-        """Batch id to the folder of its deltas."""
-        out = {}
-        for status in self._fs.listStatus(self._path(f"{self.path}/commits")):
-            batch, _, folder = status.getPath().getName().rpartition(".")
-            if batch:
-                out[batch] = f"{self.path}/deltas/{folder}"
-        return out
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(path).getFileSystem(conf)
+        for name in ("deltas", "bases", "staging"):
+            self._fs.mkdirs(self._path(f"{path}/{name}"))
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        self._no_options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+
+    def _names(self, folder: str) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/{folder}"))]
+
+    def _publish(self, staged: str, to: str) -> bool:
+        """Renames a staged folder; False, and the folder gone, where the name is taken."""
+        source, target = self._path(staged), self._path(f"{self.path}/{to}")
+        try:
+            self._context.rename(source, target, self._no_options)
+            return True
+        except Exception:  # noqa: BLE001  py4j has one class for all of them
+            self._fs.delete(source, True)
+            if not self._fs.exists(target):
+                raise
+            return False
+
+    def committed(self) -> list[str]:
+        """Ids of the batches that count."""
+        return sorted(unquote(n) for n in self._names("deltas"))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Applies a batch; False if it was committed before."""
-        marker = self._path(f"{self.path}/claims/{batch_id}")
-        if batch_id in self.committed():
-            return False
-        folder = uuid.uuid4().hex
-        deltas(changes, self.tokenizers).write.parquet(f"{self.path}/deltas/{folder}")
-        # the claim names the folder in its own name only after an exclusive create
-        try:
-            self._fs.create(marker, False).close()
-        except Exception:  # noqa: BLE001  another driver was first
-            if batch_id in self.committed():
+        name = quote(batch_id, safe="")
+        if not name or self._fs.exists(self._path(f"{self.path}/deltas/{name}")):
+            if name:
                 return False
-            self._fs.delete(marker, False)  # a claim whose driver died before it became visible
-            self._fs.create(marker, False).close()
-        self._fs.create(self._path(f"{self.path}/commits/{batch_id}.{folder}"), False).close()
-        return True
+            raise ValueError("a batch needs an id")
+        staged = f"{self.path}/staging/{uuid.uuid4().hex}"
+        deltas(changes, self.tokenizers).write.parquet(staged)
+        return self._publish(staged, f"deltas/{name}")
+
+    def _base(self) -> tuple[int, set[str]]:
+        """Number of the latest base (0: none) and the folders of the batches it holds."""
+        last = max((int(n) for n in self._names("bases")), default=0)
+        held = self.spark.read.schema("name string").parquet(f"{self.path}/bases/{last}/batches").collect() if last else []
+        return last, {r.name for r in held}  # a name per commit
+
+    def _rows(self) -> tuple[DataFrame, int, set[str], list[str]]:
+        last, held = self._base()
+        fresh = [n for n in self._names("deltas") if n not in held]
+        folders = [f"{self.path}/bases/{last}/totals"] * (last > 0) + [f"{self.path}/deltas/{n}" for n in fresh]
+        rows = self.spark.read.schema(self.SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], self.SCHEMA)
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 OR n_tokens <> 0"), last, held, fresh
 
     def totals(self) -> DataFrame:
-        folders = list(self.committed().values())
-        schema = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
-        rows = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 OR n_tokens <> 0")
+        return self._rows()[0]
+
+    def compact(self) -> bool:
+        """Sums all committed deltas into a new base; False if there are none, or another driver was first."""
+        totals, last, held, fresh = self._rows()
+        if not fresh:
+            return False
+        staged = f"{self.path}/staging/{uuid.uuid4().hex}"
+        totals.write.parquet(f"{staged}/totals")
+        self.spark.createDataFrame([(n,) for n in sorted(held | set(fresh))], "name string").coalesce(1).write.parquet(f"{staged}/batches")
+        if not self._publish(staged, f"bases/{last + 1}"):
+            return False
+        for name in fresh:
+            for status in self._fs.listStatus(self._path(f"{self.path}/deltas/{name}")):
+                self._fs.delete(status.getPath(), True)
+        return True
