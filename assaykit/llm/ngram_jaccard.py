@@ -3,18 +3,23 @@
 A text's set holds its distinct word n-grams (words split on ASCII white space, A-Z
 lower-cased; a text with fewer words is one n-gram). Two texts link when the Jaccard
 similarity of their sets is at least ``percent`` / 100; the result has each text's
-component under these links. Exact.
+component under these links. Candidates are complete, whatever the data; n-grams are
+64-bit hashes, of which two of n different ones are equal by chance with probability
+n * n / 2**65.
 
 1. Frequencies: one round of questions gives each block the class (bit length of the
    document frequency) of its n-grams. N-grams that no other text has can't be shared;
    a text with more of them than the threshold allows is settled without candidates.
 2. Signatures: the rest order their n-grams by class, rarest first. Rare ones are
-   signatures alone. The frequent ones fall into ``PARTS`` parts by hash, and in each
+   signatures alone. The frequent ones fall into parts by hash, and in each
    part pairs of them are signatures, so that m n-grams there cover m - 1 mismatches;
    prefixes are extended until the cover exceeds the allowed mismatches. Then two texts
    that link share a signature: the one whose prefix ends first would otherwise miss
-   more n-grams of the other than allowed. A text whose n-grams can't give such a cover
-   adds its frequent n-grams singly, which meets all others of this kind.
+   more n-grams of the other than allowed. There are a quarter as many parts as the power
+   of two below the set's size, so that signatures are fewer than n-grams at every size;
+   a set whose partners may have another power has signatures for both. A set that can't
+   give such a cover (at 80 percent only one of a single n-gram) adds its frequent n-grams
+   singly, which meets all others of this kind.
 3. Texts with equal sets are one class from here on. For each signature its classes are
    checked against one leader; a verified link joins components. Signatures whose
    classes are still in different components then yield those pairs that cross
@@ -47,8 +52,8 @@ from .kernels import Words, buffers, gram_hashes, gram_starts, mix64
 from .scratch import Scratch
 
 U64 = np.uint64
-#: N-grams with at least 2 ** (FREQUENT - 1) documents are frequent; parts for their pairs.
-FREQUENT, PARTS = 9, 64
+#: N-grams with at least 2 ** (FREQUENT - 1) documents are frequent.
+FREQUENT = 9
 #: 64-bit words of a bitmap.
 BITMAP = 16
 #: Rounds with other leaders before the remaining pairs are compared.
@@ -124,29 +129,36 @@ def _classes(blobs: list[bytes], counts: list[int]) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def signatures(value: np.ndarray, cls: np.ndarray, spare: int, frequent: int = FREQUENT, parts: int = PARTS) -> np.ndarray:
-    """Signatures of a set's shared n-grams when up to ``spare`` of them may be missing in a partner."""
+def levels(size: int, percent: int) -> range:
+    """Powers of two at or below the sizes that a partner of a set may have."""
+    return range(max(1, -(-size * percent // 100)).bit_length() - 1, (size * 100 // percent).bit_length())
+
+
+def signatures(value: np.ndarray, cls: np.ndarray, spare: int, parts: list[int], frequent: int = FREQUENT) -> np.ndarray:
+    """Signatures of a set's shared n-grams when up to ``spare`` of them may be missing in a partner, for each number of parts."""
     order = np.lexsort((value, cls))
-    v, often = value[order], cls[order] >= frequent
-    part = (v >> U64(20)).astype(np.int64) % parts
-    gain = np.ones(len(v), np.int64)
+    every, often = value[order], cls[order] >= frequent
     at = np.flatnonzero(often)
-    if len(at):
-        by = at[np.argsort(part[at], kind="stable")]
-        gain[by[_runs(part[by])]] = 0  # the first of a part covers nothing
-    cover = np.cumsum(gain)
-    end = int(np.searchsorted(cover, spare + 1)) + 1
-    short = end > len(v)
-    v, often, part = v[:end], often[:end], part[:end]
-    out = [mix64(v[~often] ^ U64(0xA5A5A5A5))]
-    w, p = v[often], part[often]
-    for k in np.unique(p):
-        x = np.sort(w[p == k])
-        if len(x) > 1:
-            i, j = np.triu_indices(len(x), 1)
-            out.append(mix64(x[i] * U64(0x9FB21C651E98DF25) + x[j]))
-    if short:
-        out.append(mix64(w ^ U64(0x5A5A5A5A)))
+    out = []
+    for n_parts in parts:
+        part = (mix64(every[at]) >> U64(20)).astype(np.int64) % n_parts
+        gain = np.ones(len(every), np.int64)
+        if len(at):
+            by = np.argsort(part, kind="stable")
+            gain[at[by[_runs(part[by])]]] = 0  # the first of a part covers nothing
+        end = int(np.searchsorted(np.cumsum(gain), spare + 1)) + 1
+        rare, w = every[:end][~often[:end]], every[at[at < end]]
+        out.append(mix64(rare ^ U64(0xA5A5A5A5)))
+        # pairs inside a part: each n-gram with those before it, a step further back at a time
+        by = np.lexsort((w, part[: len(w)]))
+        w, p = w[by], part[: len(w)][by]
+        for back in range(1, len(w)):
+            same = np.flatnonzero(p[back:] == p[:-back])
+            if not len(same):
+                break
+            out.append(mix64((w[same] * U64(0x9FB21C651E98DF25) + w[same + back]) ^ U64(n_parts)))
+        if end > len(every):
+            out.append(mix64(w ^ U64(0x5A5A5A5A)))
     return np.unique(np.concatenate(out))
 
 
@@ -163,15 +175,15 @@ def _may_link(n: str, m: str, bits: str, bobs: str, percent: int) -> Column:
     return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (differ * (100 + percent) <= (x + y) * (100 - percent))
 
 
-def _scan(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    """Each row without its text, with n_shingles, and, if it may link, cls, grams and sigs."""
+def _scan(docs: DataFrame, text: str, n: int, percent: int, frequent: int, extra: list[str]) -> DataFrame:
+    """Each row without its text, with n_shingles, and, if it may link, the ``extra`` columns: class, n-grams, signatures, bitmap."""
     blocks = pack(docs, text)
     bits, at = blocks.bits, docs.columns.index(text)
     answers = blocks.ask(lambda batch, _: _ask(batch.column(at), n, bits), _answer, 1)
     keep = [c for c in docs.columns if c != text]
     where = {c: docs.columns.index(c) for c in keep}
     types = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["n_shingles bigint, cls bigint, grams binary, sigs array<bigint>, bits array<bigint>"])
+    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["n_shingles bigint", *(f"`{c}` {t}" for c, t in zip(extra, ("bigint", "binary", "array<bigint>", "array<bigint>"), strict=True))])
 
     def use(block_id: int, body: bytes, got: dict) -> pa.RecordBatch:
         batch = decode_batch(body)
@@ -188,12 +200,13 @@ def _scan(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
             need = -(-percent * int(size[i]) // 100)
             shared = c > 1
             if size[i] and shared.sum() >= need:
-                s = signatures(v[shared], c[shared], int(shared.sum()) - need)
+                parts = sorted({max(1, (1 << level) // 4) for level in levels(int(size[i]), percent)})
+                s = signatures(v[shared], c[shared], int(shared.sum()) - need, parts, frequent)
                 digest = mix64(np.bitwise_xor.reduce(mix64(v), keepdims=True) + v.sum(dtype=U64, keepdims=True) + U64(size[i]))
                 ids[i], grams[i], sigs[i], maps[i] = int(digest.view(np.int64)[0]), v[shared].tobytes(), s.view(np.int64), parity_bitmap(v)
         return pa.RecordBatch.from_arrays(
             [*(batch.column(where[c]) for c in keep), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), pa.array(grams, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))],
-            names=[*keep, "n_shingles", "cls", "grams", "sigs", "bits"],
+            names=[*keep, "n_shingles", *extra],
         )
 
     return blocks.with_answers(answers, use, schema)
@@ -219,15 +232,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ga", "gb").mapInArrow(run, "a bigint, b bigint")
 
 
-def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the text, with n_shingles, component_id and n_links.
+def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", frequent: int = FREQUENT) -> DataFrame:
+    """``docs`` without the text, with n_shingles, component_id and n_verified.
 
-    n_links counts links that were verified on the way to the component, not all there are.
+    n_verified counts links between different sets that were verified on the way to the
+    component, not all there are. ``doc_id`` may be of any type that has an order.
     """
-    docs = docs.select(*[c for c in docs.columns if c in (text, doc_id) or c.lower() not in ("n_shingles", "component_id", "n_links", "cls", "grams", "sigs", "bits")])
+    docs = docs.select(*[c for c in docs.columns if c in (text, doc_id) or c.lower() not in ("n_shingles", "component_id", "n_verified")])
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.table(_scan(docs, text, n, percent))
-    sets = scratch.table(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min(doc_id).alias("low"), *(F.first(c).alias(c) for c in ("n_shingles", "grams", "sigs", "bits"))))
+    extra = ["cls", "grams", "sigs", "bits"]
+    while {c.lower() for c in docs.columns} & set(extra):  # not the names of columns that are kept
+        extra = [f"_{c}" for c in extra]
+    rows = scratch.table(_scan(docs, text, n, percent, frequent, extra))
+    own = rows.select(F.col(f"`{doc_id}`").alias("low"), "n_shingles", *(F.col(c).alias(k) for c, k in zip(extra, ("cls", "grams", "sigs", "bits"), strict=True)))
+    sets = scratch.table(own.where("cls IS NOT NULL").groupBy("cls").agg(F.min("low").alias("low"), *(F.first(c).alias(c) for c in ("n_shingles", "grams", "sigs", "bits"))))
     sigs = sets.select("cls", F.col("n_shingles").alias("n"), F.explode("sigs").alias("sig"))
     fits = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     leaders = sigs.groupBy("sig").agg(F.min(F.struct("cls", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("sig", F.col("lead.cls").alias("a"), F.col("lead.n").alias("na"))
@@ -256,9 +274,9 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "t
     every = links.unionByName(_verified(cross, sets, percent))
     every = scratch.table(every)
     final = components(every, scratch)
-    ends = every.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    ends = every.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_verified"))
     member = sets.select("cls", "low").join(final.withColumnRenamed("v", "cls"), "cls", "left").withColumn("c", F.coalesce("c", "cls"))
     smallest = member.groupBy("c").agg(F.min("low").alias("component_id"))
-    by_class = member.join(smallest, "c").join(ends, "cls", "left").select("cls", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    keep = [c for c in rows.columns if c not in ("cls", "grams", "sigs", "bits")]
-    return rows.join(by_class, "cls", "left").select(*keep, F.coalesce("component_id", doc_id).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    by_class = member.join(smallest, "c").join(ends, "cls", "left").select(F.col("cls").alias(extra[0]), "component_id", F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
+    keep = [F.col(f"`{c}`") for c in rows.columns if c not in extra]
+    return rows.join(by_class, extra[0], "left").select(*keep, F.coalesce("component_id", F.col(f"`{doc_id}`")).alias("component_id"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
