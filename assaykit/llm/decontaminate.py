@@ -11,8 +11,10 @@ and is verified word by word in place.
 Everything is DataFrame code: one generator and one hash join in the same
 generated stage, then an aggregation that shuffles one marker row per document
 plus the verified matches. The side with the windows is broadcast only after its
-size has been measured (``broadcast_bytes``); above that bound the same join runs
-as a shuffled join on the prefix word and verifies after a join on the row's key.
+size has been measured (``broadcast_bytes``). Above that bound words are counted with
+partial sums before the shuffle, the same join runs as a shuffled join on the prefix
+word, in which Spark may split hot words, verifies after a join on the row's key, and
+documents without a match come from a left join.
 
 Cases: null or empty texts have no words and no hits; an item without words is
 ignored; repeated windows and ties in rarity (broken by the word itself) don't
@@ -66,7 +68,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, broadcast
     hint = F.broadcast if small else (lambda df: df)
     windows = item_windows(items, window)
     vocabulary = windows.select(F.explode("g").alias("word")).distinct()
-    counts = _exploded(texts, "doc_id").join(hint(vocabulary), "word").groupBy("word").agg(F.count("*").alias("df"))
+    if small:
+        counts = _exploded(texts, "doc_id").join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("df"))
+    else:
+        counts = texts.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df")).join(vocabulary, "word")
     # the rarest word of each window; a word that no document has makes the window impossible
     ranked = (
         windows.select("g", "items", "length", F.posexplode("g").alias("off", "word"))
@@ -78,19 +83,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, broadcast
     marker = spark.range(1).select(
         F.lit(_MARK).alias("word"), F.lit(0).alias("off"), F.lit(0).alias("length"), F.array().cast("array<string>").alias("g"), F.array().cast("array<string>").alias("items")
     )
-    keys = prefixes.unionByName(marker)
+    keys = prefixes.unionByName(marker) if small else prefixes
     begin = (F.col("pos") - F.col("off")).alias("start")
     bounds = (F.col("length") == 0) | ((F.col("pos") >= F.col("off")) & (F.col("pos") - F.col("off") + F.col("length") <= F.col("n_words")))
     same = (F.col("length") == 0) | (F.slice("w", F.col("pos") - F.col("off") + 1, F.greatest("length", F.lit(1))) == F.col("g"))
     if small:
         found = _exploded(texts, "doc_id", "key", "n_words", "w").join(F.broadcast(keys), "word").where(bounds).where(same)
     else:
-        near = _exploded(texts, "doc_id", "key", "n_words").join(keys, "word").where(bounds)
+        near = texts.select("doc_id", "key", "n_words", F.posexplode("w").alias("pos", "word")).join(keys, "word").where(bounds)
         near = near.withColumnsRenamed({"doc_id": "d", "key": "k", "n_words": "n"})
         found = near.join(texts, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("key"))).where(same)
-    hits = found.select("doc_id", "key", "n_words", begin, "length", "items")
-    span = F.when(F.col("length") > 0, F.struct("start", "length"))
-    by_doc = hits.groupBy("doc_id", "key", "n_words").agg(F.collect_set(span).alias("spans"), F.collect_set(F.when(F.col("length") > 0, F.col("items"))).alias("found"))
+    span = F.when(F.col("length") > 0, F.struct(begin, "length"))
+    by_doc = found.groupBy("doc_id", "key", "n_words").agg(F.collect_set(span).alias("spans"), F.collect_set(F.when(F.col("length") > 0, F.col("items"))).alias("found"))
+    if not small:
+        hit = by_doc.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "spans", "found")
+        rows = texts.groupBy("doc_id", "key", "n_words").agg(F.lit(0).alias("z"))
+        empty = {"spans": F.array().cast("array<struct<start:int,length:int>>"), "found": F.array().cast("array<array<string>>")}
+        by_doc = rows.join(hit, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("key")), "left").withColumns({c: F.coalesce(c, e) for c, e in empty.items()})
 
     def widen(acc: Column, s: Column) -> Column:
         end = s["start"] + s["length"]
