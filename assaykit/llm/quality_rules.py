@@ -3,8 +3,9 @@
 Words are maximal runs of bytes other than ASCII white space (0x20, 0x09-0x0D).
 For each text, n-grams of several lengths get rolling hashes in numpy; a group of
 equal hashes is confirmed word by word, so a collision can't change a result.
-Coverage is the share of word characters inside n-grams (or lines) that occur
-before or again in the same text.
+Coverage is the share of word characters inside n-grams that occur before or again in
+the same text, and of the bytes of lines (those with a word) in lines equal to an
+earlier one.
 
 The operator is a narrow map: no shuffle, one text never leaves its row, and
 memory is bounded by one Arrow batch plus scratch of a few times ``GROUP_BYTES``
@@ -134,7 +135,9 @@ def measure(data: np.ndarray, offsets: np.ndarray, p: QualityParams) -> dict[str
                 dup_share = max(dup_share, share)
                 rejected |= share > p.dup[g]
             if g in p.top:
-                most = np.bincount(cls).argmax()
+                often = np.bincount(cls)[cls]
+                best = starts[often == often.max()].min()  # of equally frequent ones the first in the text
+                most = cls[np.flatnonzero(starts == best)[0]]
                 share = float(size[covered(starts[cls == most], g, n)].sum()) / word_chars
                 top_share = max(top_share, share)
                 rejected |= share > p.top[g]
