@@ -24,7 +24,7 @@ judged on the input.
 
 Cases: a null text is empty; texts shorter than ``width`` lose nothing; rows with one
 id don't cover each other; a null id counts as the largest; repeated rows are
-separate rows; extra columns pass through, and those that clash with an output name
+separate rows; extra columns pass through, and those that clash with a chosen output
 are replaced; an empty table gives an empty result.
 """
 
@@ -36,6 +36,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .blocks import Blocks, decode_batch, id_array, pack, slices, split_key
 from .kernels import buffers, hash_ranges, mix64, rolling, sliding_min
@@ -369,7 +370,7 @@ OUTPUT = [("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"),
 
 def suffix_dedup(docs: DataFrame, width: int = 50, text: str = "text", doc_id: str = "doc_id", outputs: tuple[str, ...] = tuple(n for n, _ in OUTPUT)) -> DataFrame:
     """``docs`` without the text, with the chosen ``outputs`` (all of ``OUTPUT`` by default)."""
-    docs = docs.select(*[c for c in docs.columns if c in (text, doc_id) or c.lower() not in dict(OUTPUT)])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c in (text, doc_id) or c.lower() not in outputs])
     blocks: Blocks = pack(docs, text)
     text_at, id_at, bits = docs.columns.index(text), docs.columns.index(doc_id), blocks.bits
 
