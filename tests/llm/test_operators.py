@@ -71,6 +71,8 @@ def test_quality_rules(docs, texts):
         hit = {i + k for s in where.values() if len(s) > 1 for i in s for k in range(5)}
         assert (r.n_words, r.n_repeat_words, r.word_chars) == (n, len(hit), sum(len(x.decode()) for x in g))
         assert r.base_failed == (n < 10 or 100 * len(hit) > 20 * n) and not (r.base_failed and r.kept)
+        lines = [x for x in (texts[r.doc_id] or "").split("\n") if x.strip(" \t\r\x0b\x0c")]
+        assert (r.n_symbols, r.n_dup_lines) == (sum((texts[r.doc_id] or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)))
     assert quality_rules(docs.limit(0)).count() == 0
 
 
@@ -121,28 +123,67 @@ def test_ngram_jaccard(docs, texts):
     for t in texts:
         g = [w.lower() if w.isascii() else re.sub(rb"[A-Z]", lambda m: m[0].lower(), w) for w in split(t)]
         sets.append({tuple(g[i : i + 5]) for i in range(len(g) - 4)} if len(g) >= 5 else {tuple(g)} if g else set())
-    comp = list(range(len(texts)))
-    for _ in texts:
-        for a, b in itertools.combinations(range(len(texts)), 2):
-            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                comp[a] = comp[b] = min(comp[a], comp[b])
+    comp = brute_components(texts)
     rows = ngram_jaccard(docs).collect()
     assert len(rows) == len(texts) + 1
     for r in rows:
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), comp[r.doc_id])
 
 
-def test_frequent_classes_use_pairs(spark, monkeypatch):
+def brute_components(texts):
+    sets = []
+    for t in texts:
+        g = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), w) for w in split(t)]
+        sets.append({tuple(g[i : i + 5]) for i in range(len(g) - 4)} if len(g) >= 5 else {tuple(g)} if g else set())
+    comp = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] and comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            low, high = sorted((comp[a], comp[b]))
+            comp = [low if c == high else c for c in comp]
+    return comp
+
+
+@pytest.mark.parametrize("frequent", [2, 3])
+def test_frequent_classes_use_pairs(spark, frequent):
+    """With nearly all shared n-grams frequent, texts meet in pairs of n-grams alone."""
     from assaykit.llm import ngram_jaccard as module
 
     rng = random.Random(2)
-    base = words(80, rng).split()
-    rows = [(i, " ".join(w if rng.random() > 0.02 else f"z{i}{k}" for k, w in enumerate(base))) for i in range(30)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    want = {r.doc_id: r.component_id for r in module.ngram_jaccard(df).collect()}
-    value, cls = np.arange(1, 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.full(39, 12, np.uint8)
-    assert len(module.signatures(value, cls, 5)) > 6
-    assert want[0] == 0
+    texts = []
+    for size in (12, 40, 90, 300):
+        for _ in range(3):
+            base = words(size, rng).split()
+            texts += [" ".join(w if rng.random() > 0.03 else f"z{rng.randint(0, 9)}" for w in base[: rng.randint(size - size // 9, size)]) for _ in range(9)]
+    texts += [words(k, rng) for k in (1, 2, 3, 4, 5, 6)] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in module.ngram_jaccard(df, frequent=frequent).collect()}
+    want = brute_components(texts)
+    assert [got[i] for i in range(len(texts))] == want and 1 < len(set(want)) < len(texts)
+
+
+def test_signatures_of_linking_sets_meet():
+    from assaykit.llm import ngram_jaccard as module
+
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        pool = module.mix64(rng.integers(1, 1 << 60, 2 * n, dtype=np.uint64))
+        cls = dict(zip(pool.tolist(), rng.integers(2, 4, 2 * n).tolist()))
+        x = pool[:n]
+        lost = int(rng.integers(0, n // 5 + 1))
+        y = np.concatenate((x[lost:], pool[n : n + int(rng.integers(0, n // 8 + 1))]))
+        if 5 * len(np.intersect1d(x, y)) < 4 * len(np.union1d(x, y)):
+            continue
+        found = []
+        for v in (x, y):
+            parts = sorted({max(1, (1 << k) // 4) for k in module.levels(len(v), 80)})
+            s = module.signatures(v, np.array([cls[k] for k in v.tolist()], np.uint8), len(v) + -(-80 * len(v) // -100), parts, 3)
+            assert len(s) <= 3 * len(v) + 8
+            found.append(s)
+        assert len(np.intersect1d(*found))
+    v = module.mix64(np.arange(100_000, dtype=np.uint64))
+    parts = sorted({max(1, (1 << k) // 4) for k in module.levels(len(v), 80)})
+    assert len(module.signatures(v, np.full(len(v), 12, np.uint8), 20_000, parts)) < 200_000
 
 
 def test_decontaminate_both_ways(spark, docs, texts):
@@ -172,12 +213,65 @@ def test_chat_format(spark):
 
 
 def test_token_rollup(spark, docs):
-    rollup = TokenRollup(spark, Scratch(spark).dir, {"w": words_tokenizer()})
+    path = Scratch(spark).dir
+    rollup = TokenRollup(spark, path, {"w": words_tokenizer()})
     rows = spark.createDataFrame([("s", "en", "a b c", 1), ("s", "en", None, 1), (None, "de", "x", 1)], "source string, lang string, text string, sign int")
-    assert rollup.commit("1", rows) and not rollup.commit("1", rows)
+    assert rollup.commit("1/a b", rows) and not rollup.commit("1/a b", rows)
     assert rollup.commit("2", spark.createDataFrame([(None, "de", "x", -1), ("s", "en", "a b c", -1), ("s", "en", "a", 1)], rows.schema))
-    assert rollup.commit("3", rows.limit(0))
-    assert [(r.source, r.lang, r.n_docs, r.n_tokens) for r in rollup.totals().collect()] == [("s", "en", 2, 1)]
+    assert rollup.commit("3", rows.limit(0)) and rollup.committed() == ["1/a b", "2", "3"]
+    want = [("s", "en", 2, 1)]
+    read = lambda r: [(x.source, x.lang, x.n_docs, x.n_tokens) for x in r.totals().collect()]
+    assert read(rollup) == want
+    # a driver that has staged its deltas when another one commits the batch loses
+    staged = f"{path}/staging/late"
+    rows.selectExpr("source", "lang", "'w' tokenizer", "1L n_docs", "1L n_tokens").write.parquet(staged)
+    assert not rollup._publish(staged, "deltas/2") and read(rollup) == want
+    other = TokenRollup(spark, path, {"w": words_tokenizer()})
+    assert rollup.compact() and not rollup.compact() and read(other) == want
+    assert not other.commit("2", rows) and other.commit("4", rows) and rollup.compact()
+    assert read(other) == [("s", "en", 4, 4), (None, "de", 1, 1)] or sorted(map(str, read(other))) == sorted(map(str, [("s", "en", 4, 4), (None, "de", 1, 1)]))
+
+
+def test_byte_bpe_counts(spark, docs, texts):
+    """The byte-level BPE against merges in plain Python, rank by rank."""
+    from assaykit.llm.queries import TOKENIZERS
+    from assaykit.llm.token_counts import byte_bpe_tokenizer
+    import base64
+    import importlib.util
+
+    import regex
+
+    spec = importlib.util.spec_from_file_location("tokenizer_folder", f"{TOKENIZERS}/__init__.py")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    rank = {}
+    with open(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
+        for line in f:
+            a, b = line.split()
+            rank[base64.b64decode(a)] = int(b)
+
+    def count(t):
+        total = 0
+        for m in regex.findall(module.PATTERN, t or ""):
+            parts = [bytes([c]) for c in m.encode()]
+            while len(parts) > 1:
+                low, k = min((rank.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                if low == 1 << 60:
+                    break
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            total += len(parts)
+        return total
+
+    rollup = TokenRollup(spark, Scratch(spark).dir, {"bpe": byte_bpe_tokenizer(TOKENIZERS, "byte_bpe_50k.tiktoken")})
+    change = docs.selectExpr("cast(doc_id % 3 as string) source", "'x' lang", "text", "if(doc_id = 5, -1, 1) sign")
+    rollup.commit("all", change)
+    got = {r.source: (r.n_docs, r.n_tokens) for r in rollup.totals().collect()}
+    want = {}
+    for i, t in [*enumerate(texts), (3, texts[3])]:
+        n, k = want.get(str(i % 3), (0, 0))
+        sign = -1 if i == 5 else 1
+        want[str(i % 3)] = (n + sign, k + sign * count(t))
+    assert got == want
 
 
 def test_warc(spark):
@@ -223,7 +317,33 @@ def test_maximal_segments():
         got = TX.maximal_segments(x)
         best = max((x[i:j].sum() for i in range(len(x)) for j in range(i + 1, len(x) + 1)), default=0)
         assert max((s for *_, s in got), default=0) == pytest.approx(max(best, 0))
-        assert all(a[1] <= b[0] for a, b in itertools.pairwise(got))
+        assert [(a, b) for a, b, _ in got] == list(all_maximal(x.tolist(), 0))
+
+
+def all_maximal(x, at):
+    """The best segment (of ties the first, then the shortest), then those on its two sides."""
+    spans = [(-sum(x[i:j]), i, j) for i in range(len(x)) for j in range(i + 1, len(x) + 1)]
+    if spans and min(spans)[0] < 0:
+        # a maximal segment has no proper part of the same score and no neighbour that adds to it
+        best = min(spans)[0]
+        ties = [(i, j) for s, i, j in spans if abs(s - best) < 1e-9]
+        i, j = min((t for t in ties if not any(u != t and t[0] <= u[0] and u[1] <= t[1] for u in ties)), default=ties[0])
+        yield from all_maximal(x[:i], at)
+        yield (at + i, at + j)
+        yield from all_maximal(x[j:], at + j)
+
+
+def test_scan_is_linear():
+    import time
+
+    def took(n):
+        x = np.tile([1.0, -2.0], n // 2)
+        began = time.perf_counter()
+        assert len(TX.maximal_segments(x)) == n // 2
+        return time.perf_counter() - began
+
+    took(40_000)
+    assert took(400_000) < 40 * max(took(40_000), 0.005)
 
 
 def test_toxicity(spark):
