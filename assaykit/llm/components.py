@@ -33,3 +33,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if not changed:
             scratch.drop(arcs)
             return labels.select("v", "c")
+
+
+def joined(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``labels`` (v, c) after more ``edges``, by the components of the components that these touch."""
+    if edges.isEmpty():
+        return labels
+    ends = [labels.select(F.col("v").alias(x), F.col("c").alias(f"c{x}")) for x in ("a", "b")]
+    named = edges.select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    named = scratch.table(named.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
+    moved = components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch).withColumnsRenamed({"v": "w", "c": "d"})
+    fresh = named.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(labels, "v", "left_anti").select("v", F.col("v").alias("c"))
+    every = labels.unionByName(fresh)
+    return scratch.table(every.join(moved, F.col("c") == F.col("w"), "left").select("v", F.coalesce("d", "c").alias("c")))

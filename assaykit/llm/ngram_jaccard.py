@@ -15,9 +15,9 @@ n * n / 2**65.
    part pairs of them are signatures, so that m n-grams there cover m - 1 mismatches;
    prefixes are extended until the cover exceeds the allowed mismatches. Then two texts
    that link share a signature: the one whose prefix ends first would otherwise miss
-   more n-grams of the other than allowed. There are a quarter as many parts as the power
-   of two below the set's size, so that signatures are fewer than n-grams at every size;
-   a set whose partners may have another power has signatures for both. A set that can't
+   more n-grams of the other than allowed. There are as many parts as the power of
+   four at or below the set's size, so that signatures are about as many as n-grams at
+   most; a set whose partners may have another power has signatures for both. A set that can't
    give such a cover (at 80 percent only one of a single n-gram) adds its frequent n-grams
    singly, which meets all others of this kind.
 3. Texts with equal sets are one class from here on. For each signature its classes are
@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import decode_batch, pack, slices, split_key
-from .components import components
+from .components import components, joined
 from .kernels import Words, buffers, gram_hashes, gram_starts, mix64
 from .scratch import Scratch
 
@@ -130,8 +130,8 @@ def _classes(blobs: list[bytes], counts: list[int]) -> np.ndarray:
 
 
 def levels(size: int, percent: int) -> range:
-    """Powers of two at or below the sizes that a partner of a set may have."""
-    return range(max(1, -(-size * percent // 100)).bit_length() - 1, (size * 100 // percent).bit_length())
+    """Powers of four at or below the sizes that a partner of a set may have."""
+    return range((max(1, -(-size * percent // 100)).bit_length() - 1) // 2, ((size * 100 // percent).bit_length() + 1) // 2)
 
 
 def signatures(value: np.ndarray, cls: np.ndarray, spare: int, parts: list[int], frequent: int = FREQUENT) -> np.ndarray:
@@ -200,7 +200,7 @@ def _scan(docs: DataFrame, text: str, n: int, percent: int, frequent: int, extra
             need = -(-percent * int(size[i]) // 100)
             shared = c > 1
             if size[i] and shared.sum() >= need:
-                parts = sorted({max(1, (1 << level) // 4) for level in levels(int(size[i]), percent)})
+                parts = [4**level for level in levels(int(size[i]), percent)]
                 s = signatures(v[shared], c[shared], int(shared.sum()) - need, parts, frequent)
                 digest = mix64(np.bitwise_xor.reduce(mix64(v), keepdims=True) + v.sum(dtype=U64, keepdims=True) + U64(size[i]))
                 ids[i], grams[i], sigs[i], maps[i] = int(digest.view(np.int64)[0]), v[shared].tobytes(), s.view(np.int64), parity_bitmap(v)
@@ -252,28 +252,33 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "t
     stars = scratch.table(sigs.join(leaders, "sig").where(F.col("cls") != F.col("a")).where(fits(F.col("n"), F.col("na"))).select("a", F.col("cls").alias("b")).distinct())
     links = scratch.table(_verified(stars, sets, percent))
 
+    labels = components(links, scratch)
+
     def unsettled() -> DataFrame:
         """Signature rows whose classes are still in different components."""
-        found = components(links, scratch)
-        labelled = sigs.join(found.withColumnRenamed("v", "cls"), "cls", "left").select("sig", "cls", "n", F.coalesce("c", "cls").alias("c"))
+        labelled = sigs.join(labels.withColumnRenamed("v", "cls"), "cls", "left").select("sig", "cls", "n", F.coalesce("c", "cls").alias("c"))
         mixed = labelled.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
         return scratch.table(labelled.join(mixed, "sig").join(sets.select("cls", "bits"), "cls"))
 
     # other leaders, not the same in each signature, join what the first ones could not, so that few pairs are left to compare one by one
-    tested, open_ = stars, unsettled()
-    for salt in range(STAR_ROUNDS):
-        lead = open_.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cls", "sig", F.lit(salt)), F.col("cls").alias("x"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("bits").alias("bobs"))).alias("l")).select("sig", "l.x", "l.m", "l.d", "l.bobs")
-        more = open_.join(lead, "sig").where("c <> d").where(_may_link("n", "m", "bits", "bobs", percent)).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
+    tested = stars
+    for salt in range(STAR_ROUNDS + 1):
+        open_ = unsettled()
+        if open_.isEmpty():
+            break
+        if salt < STAR_ROUNDS:
+            lead = open_.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cls", "sig", F.lit(salt)), F.col("cls").alias("x"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("bits").alias("bobs"))).alias("l")).select("sig", "l.x", "l.m", "l.d", "l.bobs")
+            more = open_.join(lead, "sig").where("c <> d").where(_may_link("n", "m", "bits", "bobs", percent)).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
+        else:
+            other = open_.select("sig", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("bits").alias("bobs"))
+            more = open_.select("sig", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "bits").join(other, "sig").where("ca <> cb AND a < b")
+            more = more.where(_may_link("na", "nb", "bits", "bobs", percent)).select("a", "b").distinct()
         more = scratch.table(more.join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(more)
-        links = scratch.table(links.unionByName(_verified(more, sets, percent)))
-        open_ = unsettled()
-    other = open_.select("sig", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("bits").alias("bobs"))
-    cross = open_.select("sig", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "bits").join(other, "sig").where("ca <> cb AND a < b").where(_may_link("na", "nb", "bits", "bobs", percent))
-    cross = scratch.table(cross.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-    every = links.unionByName(_verified(cross, sets, percent))
-    every = scratch.table(every)
-    final = components(every, scratch)
+        more = scratch.table(_verified(more, sets, percent))
+        links = links.unionByName(more)
+        labels = joined(labels, more, scratch)
+    every, final = links, labels
     ends = every.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_verified"))
     member = sets.select("cls", "low").join(final.withColumnRenamed("v", "cls"), "cls", "left").withColumn("c", F.coalesce("c", "cls"))
     smallest = member.groupBy("c").agg(F.min("low").alias("component_id"))

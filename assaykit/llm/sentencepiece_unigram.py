@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import buffers, groups, hash_ranges, same_ranges
+from .kernels import buffers, groups, hash_ranges, release, same_ranges
 
 MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
@@ -276,10 +276,12 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
         hashes, units = hash_ranges(text, start, end), end - start
         _, head, of = np.unique(hashes, return_index=True, return_inverse=True)
-        # a unit that isn't what its hash stands for is a unit of its own
-        odd = np.flatnonzero(units != units[head][of])
-        even = np.flatnonzero(units == units[head][of])
-        odd = np.concatenate((odd, even[~same_ranges(text, start[even], units[even], start[head][of][even])]))
+        # a unit that isn't what its hash stands for is a unit of its own; up to eight bytes hashes don't collide
+        odd = [np.flatnonzero(units != units[head][of])]
+        long = np.flatnonzero((units == units[head][of]) & (units > 8) & (start != start[head][of]))
+        for part in np.array_split(long, 1 + len(long) // 8192):
+            odd.append(part[~same_ranges(text, start[part], units[part], start[head][of[part]])])
+        odd = np.concatenate(odd)
         of[odd] = len(head) + np.arange(len(odd))
         head = np.concatenate((head, odd))
         u_start, u_size = start[head], units[head]
@@ -356,5 +358,7 @@ def sentencepiece(docs: DataFrame, model_path: str, text: str = "text", outputs:
                         cols["decoded"] = [b.decode("utf-8", "replace") for b in back]
                     cols["round_trip"] = [b == whole[x:y] for b, x, y in zip(back, where[:-1].tolist(), where[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:-1], *(x if isinstance(x := cols[o], pa.Array) else pa.array(x, _KINDS[o]) for o in outputs)], names=[*keep, *outputs])
+                del ids, cols
+                release()
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text")).mapInArrow(run, schema)

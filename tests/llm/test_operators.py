@@ -176,13 +176,13 @@ def test_signatures_of_linking_sets_meet():
             continue
         found = []
         for v in (x, y):
-            parts = sorted({max(1, (1 << k) // 4) for k in module.levels(len(v), 80)})
+            parts = [4**k for k in module.levels(len(v), 80)]
             s = module.signatures(v, np.array([cls[k] for k in v.tolist()], np.uint8), len(v) + -(-80 * len(v) // -100), parts, 3)
             assert len(s) <= 3 * len(v) + 8
             found.append(s)
         assert len(np.intersect1d(*found))
     v = module.mix64(np.arange(100_000, dtype=np.uint64))
-    parts = sorted({max(1, (1 << k) // 4) for k in module.levels(len(v), 80)})
+    parts = [4**k for k in module.levels(len(v), 80)]
     assert len(module.signatures(v, np.full(len(v), 12, np.uint8), 20_000, parts)) < 200_000
 
 
