@@ -47,9 +47,9 @@ def violations(bounds: list[Bound], columns: list[str], rule: str = "bounds", pr
     out = []
     for b in bounds:
         if b.key not in columns:
-            raise KeyError(f"{rule} needs descriptor {b.key!r}")
+            raise KeyError(f"no column {b.key!r} for rule {rule}")
         raw = F.col(f"{prefix}{b.key}")
-        v = F.when(F.isnan(raw.cast("double")) | (F.abs(raw.cast("double")) == float("inf")), F.raise_error(F.lit(f"{b.key} is not a finite number")).cast("double")).otherwise(raw.cast("double"))
+        v = F.when(F.isnan(raw.cast("double")) | (F.abs(raw.cast("double")) == float("inf")), F.raise_error(F.lit(f"{b.key} has no finite value")).cast("double")).otherwise(raw.cast("double"))
         if b.high is not None:
             out.append(F.when(v > b.high, F.concat(F.lit(f"{b.label} "), number_text(raw), F.lit(f" > {_limit_text(b.high)}"))))
         if b.low is not None:

@@ -20,21 +20,28 @@ def alert_penalty(n_alerts: Column) -> Column:
     return F.when(n_alerts < 0, F.raise_error(F.lit("negative number of alerts")).cast("double")).otherwise(1 / (1 + n_alerts.cast("double")))
 
 
+def _number(key: str) -> Column:
+    """The descriptor as a double; a row where it is absent, NaN or infinite fails the query."""
+    v = F.col(key).cast("double")
+    bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    return F.when(bad, F.raise_error(F.lit(f"no score without a usable value of {key}")).cast("double")).otherwise(v)
+
+
 def property_centrality() -> Column:
     out = F.lit(1.0)
     for key, (centre, width) in CENTRES.items():
-        out = out * F.exp(-F.pow((F.col(key).cast("double") - centre) / width, 2) / 2)
+        out = out * F.exp(-F.pow((_number(key) - centre) / width, 2) / 2)
     return out
 
 
 def complexity_penalty() -> Column:
-    return 1 / (1 + STEREO_COST * F.col("unassigned_stereocentres") + RING_COST * F.greatest(F.lit(0), F.col("rings") - FREE_RINGS))
+    return 1 / (1 + STEREO_COST * _number("unassigned_stereocentres") + RING_COST * F.greatest(F.lit(0.0), _number("rings") - FREE_RINGS))
 
 
 def check_weights(weights: dict[str, float]) -> dict[str, float]:
     for name, w in weights.items():
         if name not in COMPONENTS:
-            raise KeyError(f"unknown score component {name!r}; known: {', '.join(COMPONENTS)}")
+            raise KeyError(f"no component {name!r} in the score; choose from {', '.join(COMPONENTS)}")
         if not 0 <= w < float("inf"):
             raise ValueError(f"weight of {name} must be a number of at least 0")
     if sum(weights.values()) <= 0:

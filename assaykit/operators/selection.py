@@ -47,4 +47,19 @@ def counts(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count("*").alias("submitted"), F.count_if("parse_ok").alias("parsed"), F.count_if(~F.col("parse_ok")).alias("parse_failed"),
         F.count_if(kept & F.col("duplicate_of").isNotNull()).alias("duplicates_removed"), *reasons, F.count_if(kept & F.col("duplicate_of").isNull()).alias("retained"),
+        *([F.count_distinct("cluster_id").alias("clusters")] if "cluster_id" in df.columns and "parse_error" in df.columns else []),
     )
+
+
+def dense_index(df: DataFrame, order: list, name: str, table) -> DataFrame:
+    """Adds ``name``: 0, 1, 2... in ``order``, by a range-partitioned sort; one row per partition is what a single task sees.
+
+    ``table`` keeps the sorted rows, so that their places are the same when read again.
+    """
+    rows = table(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("__part", F.shiftright("__at", 33))
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", before.alias("__start"))
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(starts, "__part").withColumn(name, F.col("__start") + inside).drop("__part", "__at", "__start")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import dense_index
+
 
 def tanimoto(a: Column, b: Column) -> Column:
     """Of two arrays of on-bits; 0 for two empty ones."""
@@ -56,17 +56,27 @@ def butina(df: DataFrame, cutoff: float = 0.35, key: str = "id", bits: str = "bi
     centre = state.where("s = 1").select(F.col("v").alias("b"), F.col("p").alias("q"))
     own = arcs.join(centre, "b").groupBy("a").agg(F.min("q").alias("q"))
     member = state.join(own, F.col("v") == F.col("a"), "left").select("v", F.when(F.col("s") == 1, F.col("p")).otherwise(F.col("q")).alias("c"), (F.col("s") == 1).alias("is_centroid"))
-    sizes = member.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c")
-    ids = sizes.select("c", (F.row_number().over(Window.orderBy(F.desc("n"), "c")) - 1).alias("cluster_id"))
+    ids = dense_index(member.groupBy("c").agg(F.count("*").alias("n")), [F.desc("n"), "c"], "cluster_id", table).select("c", "cluster_id")
     return member.join(ids, "c").select(F.col("v").alias(key), "cluster_id", "is_centroid")
 
 
-def nearest(queries: DataFrame, targets: DataFrame, k: int, key: str = "id", bits: str = "bits", block: int = 64) -> DataFrame:
-    """The k most similar targets of each query (similarity, then id), through shared bits."""
-    assert k >= 1 and math.isfinite(block)
+def nearest(queries: DataFrame, targets: DataFrame, k: int, key: str = "id", bits: str = "bits") -> DataFrame:
+    """The k most similar other targets of each query (similarity, then id).
+
+    Targets come through shared bits; a query with fewer than k of them is filled up with
+    targets of similarity 0, of which only the 2k + 1 with the smallest ids can be needed.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
     q = queries.select(F.col(key).alias("q"), F.array_distinct(bits).alias("s"))
     t = targets.select(F.col(key).alias("t"), F.array_distinct(bits).alias("u"))
     common = q.select("q", F.size("s").alias("nq"), F.explode("s").alias("bit")).join(t.select("t", F.size("u").alias("nt"), F.explode("u").alias("bit")), "bit").where("q <> t")
     scored = common.groupBy("q", "t", "nq", "nt").agg(F.count("*").alias("c")).select("q", "t", (F.col("c") / (F.col("nq") + F.col("nt") - F.col("c"))).alias("similarity"))
     order = Window.partitionBy("q").orderBy(F.desc("similarity"), "t")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    have = q.select("q").join(best.groupBy("q").agg(F.collect_set("t").alias("got")), "q", "left").withColumn("got", F.coalesce("got", F.array().cast(f"array<{t.schema['t'].dataType.simpleString()}>")))
+    first = targets.select(F.col(key).alias("t")).distinct().orderBy("t").limit(2 * k + 1).agg(F.array_sort(F.collect_list("t")).alias("first")).withColumn("one", F.lit(1))
+    short = have.where(F.size("got") < k).withColumn("one", F.lit(1)).join(F.broadcast(first), "one")
+    rest = F.filter("first", lambda x: (x != F.col("q")) & ~F.array_contains("got", x))
+    fill = short.select("q", F.size("got").alias("n"), F.posexplode(F.slice(rest, F.lit(1), k - F.size("got"))).alias("p", "t"))
+    return best.select("q", "t", "similarity", "rank").unionByName(fill.select("q", "t", F.lit(0.0).alias("similarity"), (F.col("n") + F.col("p") + 1).alias("rank")))

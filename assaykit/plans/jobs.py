@@ -10,9 +10,9 @@ from datetime import UTC, datetime
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .triage import TriageConfig, triage
+from ..operators.selection import dense_index
+from .triage import TriageConfig, materialised, triage
 
 PENDING, RUNNING, SUCCEEDED, FAILED, CANCELLED = "pending", "running", "succeeded", "failed", "cancelled"
 TERMINAL = (SUCCEEDED, FAILED, CANCELLED)
@@ -79,8 +79,8 @@ class TriageEngine:
             self.spark.sparkContext.setJobGroup(job_id, f"triage {job_id}", interruptOnCancel=True)
             report, counts = triage(library, self._jobs[job_id].config)
             # the report's own order becomes a column, so that pages are range filters
-            order = Window.orderBy("report_group", F.desc("score"), "identifier", "ord")
-            report.withColumn("rank", F.row_number().over(order) - 1).write.parquet(f"{self.path}/{job_id}")
+            ranked = dense_index(report, ["report_group", F.desc("score"), "identifier", "ord"], "rank", materialised)
+            ranked.write.parquet(f"{self.path}/{job_id}")
             self._set(job_id, status=SUCCEEDED, counts=counts.first().asDict())
         except Exception as e:  # noqa: BLE001  the job fails, not the engine
             self._set(job_id, status=FAILED, error=f"{type(e).__name__}: {str(e).strip().splitlines()[0] if str(e).strip() else ''}")
@@ -96,6 +96,8 @@ class TriageEngine:
             return replace(self._jobs[job_id])
 
     def list_jobs(self, limit: int = 50) -> list[Job]:
+        if limit < 1:
+            raise ValueError("limit must be at least 1")
         with self._lock:
             return sorted((replace(j) for j in self._jobs.values()), key=lambda j: j.created_at, reverse=True)[:limit]
 
@@ -106,9 +108,11 @@ class TriageEngine:
         return self.spark.read.parquet(f"{self.path}/{job_id}")
 
     def page(self, job_id: str, offset: int = 0, limit: int = 100) -> tuple[list, int, int | None]:
-        """Rows, total, and the next offset or None."""
+        """Rows, total, and the next offset or None; a cancelled job has no rows."""
         if not 1 <= limit <= 1000 or offset < 0:
             raise ValueError("limit must be 1 to 1000 and offset at least 0")
+        if self.get(job_id).status == CANCELLED:
+            return [], 0, None
         rows = self.results(job_id)
         total = rows.count()
         got = rows.where((F.col("rank") >= offset) & (F.col("rank") < offset + limit)).orderBy("rank").collect()

@@ -1,104 +1,151 @@
-"""The triage plan: kernel, filters, dedup, score, report and counts.
+"""The triage plan: kernel, filters, dedup, score, clusters, report and counts.
 
-It neither clusters nor picks representatives (``operators`` has both). Without alerts
-and rules every score is 1, so that the shortlist is in order of the identifier.
+The described rows are written once (``materialised``) and everything after reads them, so
+that the kernel runs once per molecule however many branches the report has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.score import DEFAULT_WEIGHTS, check_weights, composite_score
+from ..kernel import CATALOGS
+from ..kernel.alerts import ENTRIES, Entry
 from ..operators import selection as S
+from ..operators.similarity import butina
 
 DESCRIPTORS = {
-    "molecular_weight": pa.float64(), "heavy_atoms": pa.int32(), "total_atoms": pa.int32(), "hbd": pa.int32(), "hba": pa.int32(), "rotatable_bonds": pa.int32(), "rings": pa.int32(),
-    "fraction_csp3": pa.float64(), "formal_charge": pa.int32(),
+    "molecular_weight": pa.float64(), "heavy_atoms": pa.int32(), "total_atoms": pa.int32(), "clogp": pa.float64(), "tpsa": pa.float64(), "hbd": pa.int32(), "hba": pa.int32(),
+    "rotatable_bonds": pa.int32(), "aromatic_rings": pa.int32(), "rings": pa.int32(), "fraction_csp3": pa.float64(), "formal_charge": pa.int32(), "stereocentres": pa.int32(),
+    "unassigned_stereocentres": pa.int32(),
 }
 _SQL = {pa.float64(): "double", pa.int32(): "int"}
+_ALERT = pa.list_(pa.struct([("catalog", pa.string()), ("name", pa.string()), ("description", pa.string()), ("atom_indices", pa.list_(pa.int32()))]))
+_HEAD = {"parse_ok": pa.bool_(), "parse_error": pa.string(), "standard_smiles": pa.string(), "murcko_scaffold": pa.string(), "alerts": _ALERT, "fingerprint": pa.list_(pa.int32())}
+_HEAD_SQL = "parse_ok boolean, parse_error string, standard_smiles string, murcko_scaffold string, alerts array<struct<catalog string, name string, description string, atom_indices array<int>>>, fingerprint array<int>"
+Table = Callable[[DataFrame], DataFrame]
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The rows, computed once: a checkpoint where the session has a folder for them, else kept by Spark with their lineage."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is not None:
+        return df.checkpoint()
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @dataclass(frozen=True)
 class TriageConfig:
+    """What a run does; names that are not known and bounds that contradict are errors at once."""
+
     standardize: bool = True
     deduplicate: bool = True
-    rule_sets: tuple[str, ...] = ()
+    rule_sets: tuple[str, ...] = ("veber",)
     drop_rule_failures: bool = False
     descriptor_windows: dict[str, tuple[float | None, float | None]] = field(default_factory=dict)
+    alert_catalogs: tuple[str, ...] = ("pains", "brenk")
+    drop_alert_hits: bool = False
+    cluster: bool = True
+    cluster_cutoff: float = 0.35
+    max_cluster_rows: int | None = None
+    fingerprint_radius: int = 2
+    fingerprint_bits: int = 2048
     top_n: int | None = None
+    representatives_only: bool = False
     score_weights: dict[str, float] = field(default_factory=lambda: dict(DEFAULT_WEIGHTS))
 
     def __post_init__(self) -> None:
         check_weights(self.score_weights)
-        if self.top_n is not None and self.top_n < 1:
-            raise ValueError("top_n must be at least 1")
+        for names, known, what in ((self.rule_sets, R.RULES, "rule set"), (self.alert_catalogs, CATALOGS, "alert catalog"), (self.descriptor_windows, DESCRIPTORS, "descriptor")):
+            for name in names:
+                if name not in known:
+                    raise KeyError(f"unknown {what} {name!r}; there are {', '.join(known)}")
         for key, (low, high) in self.descriptor_windows.items():
             if low is not None and high is not None and low > high:
                 raise ValueError(f"window of {key}: {low} > {high}")
-
-
-def describe(library: DataFrame, standardize: bool = True) -> DataFrame:
-    """Adds parse_ok, parse_error, standard_smiles, murcko_scaffold and the graph descriptors; a bad record never fails the job."""
+        for ok, text in (
+            (self.top_n is None or self.top_n >= 1, "top_n must be at least 1"),
+            (0 <= self.cluster_cutoff <= 1, "cluster_cutoff must be 0 to 1"),
+            (1 <= self.fingerprint_radius <= 4, "fingerprint_radius must be 1 to 4"),
+            (512 <= self.fingerprint_bits <= 8192, "fingerprint_bits must be 512 to 8192"),
+            (self.cluster or not self.representatives_only, "representatives_only needs cluster"),
+        ):
+            if not ok:
+                raise ValueError(text)
+
+
+def describe(library: DataFrame, standardize: bool = True, catalogs: tuple[str, ...] = (), radius: int = 2, n_bits: int = 2048, entries: tuple[Entry, ...] = ENTRIES) -> DataFrame:
+    """Adds what the kernel finds of ``input_smiles``: parse_ok, parse_error, standard_smiles, murcko_scaffold, alerts, fingerprint, descriptors.
+
+    A bad record has parse_ok false and a parse_error; it never fails the job.
+    """
     keep = library.columns
-    schema = ", ".join([f"`{c}` {t}" for c, t in library.dtypes] + ["parse_ok boolean, parse_error string, standard_smiles string, murcko_scaffold string"] + [f"{d} {_SQL[t]}" for d, t in DESCRIPTORS.items()])
+    schema = ", ".join([f"`{c}` {t}" for c, t in library.dtypes] + [_HEAD_SQL] + [f"{d} {_SQL[t]}" for d, t in DESCRIPTORS.items()])
     at = keep.index("input_smiles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ..kernel import smiles as K
-
+        from .. import kernel as K
+
+        def one(text: str) -> list:
+            shown = repr(text.strip()[:60]) + ("..." if len(text.strip()) > 60 else "")
+            try:
+                mol = K.parse(text)
+            except K.SmilesError as e:
+                return [False, f"could not parse SMILES {shown}: {e}"]
+            try:
+                mol = K.standardise(mol) if standardize else mol
+                d = K.descriptors(mol)
+                return [True, None, K.write(mol), K.scaffold(mol), K.find_alerts(mol, catalogs, entries) if catalogs else [], K.fingerprint(mol, radius, n_bits), *(d[k] for k in DESCRIPTORS)]
+            except Exception as e:  # noqa: BLE001  one record must not fail the others
+                return [False, f"{type(e).__name__}: {e}"]
+
+        names, kinds = [*_HEAD, *DESCRIPTORS], [*_HEAD.values(), *DESCRIPTORS.values()]
         for batch in batches:
-            rows: list[list] = []
-            for text in batch.column(at).to_pylist():
-                try:
-                    mol = K.parse(text or "")
-                    mol = K.standardise(mol) if standardize else mol
-                    d = K.descriptors(mol)
-                    rows.append([True, None, K.write(mol), K.scaffold(mol), *(d[k] for k in DESCRIPTORS)])
-                except K.SmilesError as e:
-                    shown = repr((text or "").strip()[:60]) + ("..." if len((text or "").strip()) > 60 else "")
-                    rows.append([False, f"could not parse SMILES {shown}: {e}", None, None, *[None] * len(DESCRIPTORS)])
-                except Exception as e:  # noqa: BLE001  one record must not fail the others
-                    rows.append([False, f"{type(e).__name__}: {e}", None, None, *[None] * len(DESCRIPTORS)])
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(4 + len(DESCRIPTORS))]
-            kinds = [pa.bool_(), pa.string(), pa.string(), pa.string(), *DESCRIPTORS.values()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True))], names=[*keep, "parse_ok", "parse_error", "standard_smiles", "murcko_scaffold", *DESCRIPTORS])
+            rows = [one(text or "") for text in batch.column(at).to_pylist()]
+            cols = [[r[k] if k < len(r) else None for r in rows] for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[*keep, *names])
 
     return library.mapInArrow(run, schema)
 
 
-def finalize(described: DataFrame, config: TriageConfig) -> DataFrame:
-    """Adds drop_reason and duplicate_of to rows with parse_ok, standard_smiles and descriptors; an unknown rule set is an error."""
-    rules = R.evaluate(list(config.rule_sets), described.columns) if config.rule_sets else None
-    reason = F.when(F.col("parse_ok"), R.drop_reason(config.descriptor_windows, rules if config.drop_rule_failures else None, None))
-    rows = described.withColumn("drop_reason", reason)
-    live = F.col("parse_ok") & F.col("drop_reason").isNull()
+def finalize(described: DataFrame, config: TriageConfig, table: Table = materialised) -> DataFrame:
+    """Adds rules, drop_reason, duplicate_of, score, score_breakdown, cluster_id and is_cluster_representative."""
+    ok = F.col("parse_ok")
+    empty = F.array().cast("array<struct<name string, passed boolean, violations array<string>>>")
+    rows = described.withColumn("rules", F.when(ok, R.evaluate(list(config.rule_sets), described.columns)).otherwise(empty) if config.rule_sets else empty)
+    n_alerts = F.size("alerts") if "alerts" in described.columns else F.lit(0)
+    rows = rows.withColumn("drop_reason", F.when(ok, R.drop_reason(config.descriptor_windows, F.col("rules") if config.drop_rule_failures else None, n_alerts if config.drop_alert_hits else None)))
+    live = ok & F.col("drop_reason").isNull()
     rows = rows.withColumn("key", F.when(live, F.nullif("standard_smiles", F.lit(""))))
-    rows = S.deduplicate(rows) if config.deduplicate else rows.withColumn("duplicate_of", F.lit(None).cast("string"))
-    return rows.drop("key")
+    rows = S.deduplicate(rows).drop("key") if config.deduplicate else rows.drop("key").withColumn("duplicate_of", F.lit(None).cast("string"))
+    kept = live & F.col("duplicate_of").isNull()
+    score, breakdown = composite_score(config.score_weights, F.col("rules"), n_alerts)
+    rows = table(rows.withColumn("score", F.when(kept, score)).withColumn("score_breakdown", F.when(kept, breakdown)))
+    if not config.cluster:
+        return rows.withColumn("cluster_id", F.lit(None).cast("bigint")).withColumn("is_cluster_representative", F.lit(False))
+    found = butina(rows.where(kept).select("ord", "fingerprint"), config.cluster_cutoff, "ord", "fingerprint", config.max_cluster_rows, table).select("ord", "cluster_id")
+    return S.representatives(rows.join(found, "ord", "left"))
 
 
 def report(rows: DataFrame, config: TriageConfig) -> DataFrame:
     """Shortlist, duplicates, dropped and failed rows in that order, with report_group 0 to 3."""
-    live = F.col("parse_ok") & F.col("drop_reason").isNull()
-    short = rows.where(live & F.col("duplicate_of").isNull())
-    short = S.top_n(short, config.top_n) if config.top_n else short
-    parts = [short, rows.where(live & F.col("duplicate_of").isNotNull()), rows.where(F.col("parse_ok") & F.col("drop_reason").isNotNull()), rows.where(~F.col("parse_ok"))]
-    out = None
-    for i, part in enumerate(parts):
-        part = part.withColumn("report_group", F.lit(i))
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("score", F.when(F.col("report_group") == 0, F.col("score"))).orderBy("report_group", F.desc("score"), "identifier", "ord")
-
-
-def triage(library: DataFrame, config: TriageConfig = TriageConfig()) -> tuple[DataFrame, DataFrame]:
+    group = F.when(~F.col("parse_ok"), 3).when(F.col("drop_reason").isNotNull(), 2).when(F.col("duplicate_of").isNotNull(), 1).otherwise(0)
+    out = rows.withColumn("report_group", group)
+    if config.representatives_only:
+        out = out.where((F.col("report_group") > 0) | F.col("is_cluster_representative"))
+    if config.top_n is not None:
+        out = S.top_n(out.where("report_group = 0"), config.top_n).unionByName(out.where("report_group > 0"))
+    return out.drop("fingerprint").orderBy("report_group", F.desc("score"), "identifier", "ord")
+
+
+def triage(library: DataFrame, config: TriageConfig = TriageConfig(), table: Table = materialised, entries: tuple[Entry, ...] = ENTRIES) -> tuple[DataFrame, DataFrame]:
     """(report, counts) of a library (ord, identifier, input_smiles)."""
-    weights = {k: v for k, v in config.score_weights.items() if k in ("alert_penalty", "rule_compliance")} or {"alert_penalty": 1.0}
-    score, _ = composite_score(weights)
-    rows = finalize(describe(library, config.standardize), config).withColumn("score", score)
+    described = table(describe(library, config.standardize, config.alert_catalogs, config.fingerprint_radius, config.fingerprint_bits, entries))
+    rows = finalize(described, config, table)
     return report(rows, config), S.counts(rows)

@@ -100,17 +100,47 @@ def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("identifier"), text.alias("input_smiles"), n.alias("n"))
 
 
-def descriptors_alkanol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = describe(molecules(spark, sf_dir).where("ord % 5 < 3"))
-    return d.select("ord", "parse_ok", F.round("molecular_weight", 6).alias("molecular_weight"), "heavy_atoms", "total_atoms", "hbd", "hba", "rotatable_bonds", "rings", F.col("murcko_scaffold").isNull().alias("acyclic"))
-
-
 def descriptors_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``descriptors_alkanol``, over all kinds of molecules and the broken records."""
+    """Descriptors of all kinds of molecules and of the broken records."""
     d = describe(molecules(spark, sf_dir))
     return d.select("ord", "parse_ok", F.round("molecular_weight", 6).alias("molecular_weight"), "heavy_atoms", "total_atoms", "hbd", "hba", "rotatable_bonds", "rings", "murcko_scaffold")
 
 
+#: Published values of known drugs (fixed values): SMILES, MW, logP, polar surface, HBD, HBA, rotatable bonds, aromatic rings, rings, stereocentres, alerts, scaffold.
+DRUGS = [
+    ("CC(=O)Oc1ccccc1C(=O)O", 180.159, 1.3101, 63.6, 1, 4, 2, 1, 1, 0, "phenol_ester", "c1ccccc1"),
+    ("CC(C)CC1=CC=C(C=C1)[C@H](C)C(O)=O", 206.285, 3.0732, 37.3, 1, 2, 4, 1, 1, 1, "", "c1ccccc1"),
+    ("CN1C=NC2=C1C(=O)N(C(=O)N2C)C", 194.194, -1.0293, 61.82, 0, 6, 0, 2, 2, 0, "", "O=c1[nH]c(=O)c2[nH]cnc2[nH]1"),
+    ("CC(=O)Nc1ccc(O)cc1", 151.165, 1.3506, 49.33, 2, 3, 1, 1, 1, 0, "hydroquinone", "c1ccccc1"),
+    ("Cc1ccc(cc1)-c1cc(nn1-c1ccc(cc1)S(N)(=O)=O)C(F)(F)F", 381.379, 3.5139, 77.98, 1, 5, 3, 3, 3, 0, "", "c1ccc(cc1)-c1ccnn1-c1ccccc1"),
+    ("CN1C(=O)CN=C(c2ccccc2)c2cc(Cl)ccc12", 284.746, 3.1538, 32.67, 0, 3, 1, 2, 3, 0, "", "O=C1CN=C(c2ccccc2)c2ccccc2N1"),
+    ("C[C@H](N)C(=O)O", 89.094, -0.5818, 63.32, 2, 3, 1, 0, 0, 1, "", None),
+    ("C[C@@H](N)C(=O)O", 89.094, -0.5818, 63.32, 2, 3, 1, 0, 0, 1, "", None),
+]
+
+
+def drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = F.array(*(F.lit(d[0]) for d in DRUGS))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("identifier"), F.get(texts, (F.col("p_partkey") % len(DRUGS)).cast("int")).alias("input_smiles"))
+
+
+def descriptors_drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = describe(drugs(spark, sf_dir), catalogs=("brenk", "pains"))
+    return d.select("ord", F.round("molecular_weight", 3).alias("molecular_weight"), F.round("clogp", 4).alias("clogp"), F.round("tpsa", 2).alias("tpsa"), "hbd", "hba", "rotatable_bonds", "aromatic_rings", "rings", "stereocentres", "unassigned_stereocentres", F.array_join(F.col("alerts.name"), ",").alias("alerts"), "murcko_scaffold")
+
+
+def triage_drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan: alerts, rules, dedup that tells enantiomers apart, scores, clusters and representatives."""
+    _checkpoints(spark)
+    out, _ = triage(drugs(spark, sf_dir), TriageConfig(rule_sets=("veber", "lipinski")))
+    return out.select("identifier", "duplicate_of", "report_group", F.round("score", 4).alias("score"), F.size(F.filter("rules", lambda r: r["passed"])).alias("passed"), "is_cluster_representative")
+
+
+def _drug_sql() -> str:
+    rows = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}E0" if isinstance(v, float) else str(v) for v in (i, *d[1:])) + ")" for i, d in enumerate(DRUGS))
+    return f"WITH d(k, molecular_weight, clogp, tpsa, hbd, hba, rotatable_bonds, aromatic_rings, rings, stereocentres, alerts, murcko_scaffold) AS (VALUES {rows}), m AS (SELECT p_partkey AS ord, CAST(p_partkey AS VARCHAR) AS identifier, d.* FROM part JOIN d ON p_partkey % {len(DRUGS)} = k)"
+
+
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("embedding")[i] > 0)
@@ -132,6 +162,8 @@ def _checkpoints(spark: SparkSession) -> None:
     """The session's checkpoint folder; one of its own only where none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
         found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp())
 
 
@@ -146,7 +178,8 @@ def ndjson_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triage_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = triage(molecules(spark, sf_dir).drop("n"), TriageConfig(rule_sets=()))
+    _checkpoints(spark)
+    out, _ = triage(molecules(spark, sf_dir).drop("n"), TriageConfig(rule_sets=(), cluster=False))
     return out.select("identifier", "parse_ok", "duplicate_of", "report_group")
 
 
@@ -165,7 +198,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_n": lambda s, d: S.top_n(scored(s, d), 25).select("ord", "identifier", "score"),
         "page": lambda s, d: S.page(scored(s, d), 100, 50).select("ord", "identifier", "score"),
         "representatives": lambda s, d: S.representatives(scored(s, d)).where("is_cluster_representative").select("cluster_id", "ord"),
-        "descriptors_alkanol": descriptors_alkanol,
+        "descriptors_drugs": descriptors_drugs,
+        "triage_drugs": triage_drugs,
         "descriptors_library": descriptors_library,
         "triage_end_to_end": triage_end_to_end,
         "butina_clusters": butina_clusters,
@@ -191,13 +225,16 @@ def oracle_sql() -> dict[str, str]:
         "top_n": f"{P} SELECT ord, identifier, round({_SCORE}, 9) AS score FROM p ORDER BY score DESC, identifier, ord LIMIT 25",
         "page": f"{P} SELECT ord, identifier, round({_SCORE}, 9) AS score FROM p ORDER BY score DESC, identifier, ord LIMIT 50 OFFSET 100",
         "representatives": f"{P}, s AS (SELECT *, round({_SCORE}, 9) AS score FROM p) SELECT cluster_id, ord FROM s QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, identifier DESC, ord) = 1",
-        "descriptors_alkanol": "SELECT p_partkey AS ord, true AS parse_ok, round(12.011 * p_size + 1.008 * (2 * p_size + 2) + 15.999, 6) AS molecular_weight, CAST(p_size + 1 AS INT) AS heavy_atoms, CAST(3 * p_size + 3 AS INT) AS total_atoms, 1 AS hbd, 1 AS hba, CAST(greatest(p_size - 2, 0) AS INT) AS rotatable_bonds, 0 AS rings, true AS acyclic FROM part WHERE p_partkey % 5 < 3",
         "descriptors_library": """SELECT p_partkey AS ord, p_partkey % 5 < 4 AS parse_ok,
             round(CASE WHEN p_partkey % 5 < 3 THEN 12.011 * p_size + 1.008 * (2 * p_size + 2) + 15.999 WHEN p_partkey % 5 = 3 THEN 12.011 * (p_size + 6) + 1.008 * (2 * p_size + 6) END, 6) AS molecular_weight,
             CAST(CASE WHEN p_partkey % 5 < 3 THEN p_size + 1 WHEN p_partkey % 5 = 3 THEN p_size + 6 END AS INT) AS heavy_atoms, CAST(CASE WHEN p_partkey % 5 < 3 THEN 3 * p_size + 3 WHEN p_partkey % 5 = 3 THEN 3 * p_size + 12 END AS INT) AS total_atoms,
             CASE WHEN p_partkey % 5 < 3 THEN 1 WHEN p_partkey % 5 = 3 THEN 0 END AS hbd, CASE WHEN p_partkey % 5 < 3 THEN 1 WHEN p_partkey % 5 = 3 THEN 0 END AS hba,
             CAST(CASE WHEN p_partkey % 5 < 3 THEN greatest(p_size - 2, 0) WHEN p_partkey % 5 = 3 THEN greatest(p_size - 1, 0) END AS INT) AS rotatable_bonds,
             CASE WHEN p_partkey % 5 < 3 THEN 0 WHEN p_partkey % 5 = 3 THEN 1 END AS rings, CASE WHEN p_partkey % 5 = 3 THEN 'c1ccccc1' END AS murcko_scaffold FROM part""",
+        "descriptors_drugs": f"{_drug_sql()} SELECT ord, molecular_weight, clogp, tpsa, hbd, hba, rotatable_bonds, aromatic_rings, rings, stereocentres, 0 AS unassigned_stereocentres, alerts, murcko_scaffold FROM m",
+        "triage_drugs": f"""{_drug_sql()}, f AS (SELECT *, min(ord) OVER (PARTITION BY k) AS first, 0 AS unassigned_stereocentres, CASE WHEN alerts = '' THEN 0 ELSE 1 END AS n_alerts FROM m)
+            SELECT identifier, CASE WHEN first < ord THEN CAST(first AS VARCHAR) END AS duplicate_of, CASE WHEN first < ord THEN 1 ELSE 0 END AS report_group, CASE WHEN first = ord THEN round({_SCORE}, 4) END AS score, 2 AS passed,
+            first = ord AND (k < 6 OR identifier = (SELECT max(identifier) FROM f g WHERE g.k >= 6 AND g.first = g.ord)) AS is_cluster_representative FROM f""",
         "triage_end_to_end": f"{_MOL}, j AS (SELECT *, CASE WHEN key IS NOT NULL AND min(ord) OVER (PARTITION BY key) < ord THEN arg_min(identifier, ord) OVER (PARTITION BY key) END AS d FROM k) SELECT identifier, kind < 4 AS parse_ok, d AS duplicate_of, CASE WHEN kind = 4 THEN 3 WHEN d IS NOT NULL THEN 1 ELSE 0 END AS report_group FROM j",
         "scaffold_groups": f"{_MOL} SELECT CASE WHEN kind = 3 THEN 'c1ccccc1' END AS murcko_scaffold, count(*) AS n, min(ord) AS first_ord FROM m WHERE kind < 4 GROUP BY 1",
         "ndjson_rows": f"{_JUDGED} SELECT '{{\"ord\":' || ord || ',\"drop_reason\":' || coalesce('\"' || drop_reason || '\"', 'null') || '}}' AS value FROM j",

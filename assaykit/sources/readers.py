@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "ord bigint, identifier string, input_smiles string"
@@ -15,12 +15,25 @@ def inline(spark: SparkSession, smiles: list[str], identifiers: list[str] | None
     return spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(zip(names, smiles, strict=True))], SCHEMA)
 
 
+def _placed(raw: DataFrame) -> DataFrame:
+    """Adds ``ord``: the row's place by file, block and row, so that files may be split; one row per block is what a single task sees."""
+    at = raw.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    blocks = at.groupBy("__file", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select("__file", "__block", "__first", F.coalesce(before, F.lit(0)).alias("__start"))
+    return at.join(starts, ["__file", "__block"]).withColumn("ord", (F.col("__start") + F.col("__at") - F.col("__first")).cast("bigint")).drop("__file", "__block", "__at", "__first", "__start")
+
+
+def _utf8(text: Column) -> Column:
+    """The text; bytes that are not UTF-8 fail the query."""
+    return F.when(~F.is_valid_utf8(text), F.raise_error(F.lit("the library is not UTF-8")).cast("string")).otherwise(text)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """A line holds SMILES and perhaps an identifier (default: the raw line number); # starts a comment line."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r\n|\n|\r")).alias("ord", "line"))
-    parts = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
-    kept = raw.withColumn("p", parts).where((F.col("p")[0] != "") & ~F.col("p")[0].startswith("#"))
-    return kept.select(F.col("ord").cast("bigint"), F.coalesce(F.try_element_at("p", F.lit(2)), F.col("ord").cast("string")).alias("identifier"), F.col("p")[0].alias("input_smiles"))
+    raw = _placed(spark.read.text(path))
+    kept = raw.withColumn("p", F.split(F.trim(F.regexp_replace(_utf8(F.col("value")), r"\s+", " ")), " ")).where((F.col("p")[0] != "") & ~F.col("p")[0].startswith("#"))
+    return kept.select("ord", F.coalesce(F.try_element_at("p", F.lit(2)), F.col("ord").cast("string")).alias("identifier"), F.col("p")[0].alias("input_smiles"))
 
 
 def csv(spark: SparkSession, path: str, smiles_column: str = "smiles", id_column: str | None = None) -> DataFrame:
@@ -28,10 +41,20 @@ def csv(spark: SparkSession, path: str, smiles_column: str = "smiles", id_column
     raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     if smiles_column not in raw.columns:
         raise ValueError(f"no column {smiles_column!r}; the header is {raw.columns}")
-    rows = raw.rdd.zipWithIndex().map(lambda x: (x[1], x[0][id_column] if id_column and id_column in x[0] else None, x[0][smiles_column])).toDF(SCHEMA)
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    return rows.where(~blank("input_smiles")).select("ord", F.when(blank("identifier"), F.col("ord").cast("string")).otherwise(F.trim("identifier")).alias("identifier"), F.trim("input_smiles").alias("input_smiles"))
+    smiles = F.trim(F.coalesce(_utf8(F.col(f"`{smiles_column}`")), F.lit("")))
+    name = F.trim(F.coalesce(_utf8(F.col(f"`{id_column}`")), F.lit(""))) if id_column in raw.columns else F.lit("")
+    rows = _placed(raw).select("ord", name.alias("identifier"), smiles.alias("input_smiles")).where("input_smiles <> ''")
+    return rows.withColumn("identifier", F.coalesce(F.nullif("identifier", F.lit("")), F.col("ord").cast("string")))
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes under a path of any file system that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
 
 
-def read_library(spark: SparkSession, path: str, **csv_options) -> DataFrame:
+def read_library(spark: SparkSession, path: str, max_bytes: int | None = None, **csv_options) -> DataFrame:
+    """By the name's ending; more than ``max_bytes`` is an error."""
+    if max_bytes is not None and size_of(spark, path) > max_bytes:
+        raise ValueError(f"the library has more than {max_bytes} bytes")
     return csv(spark, path, **csv_options) if path.lower().endswith(".csv") else lines(spark, path)

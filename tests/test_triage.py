@@ -4,7 +4,7 @@ import pytest
 
 from assaykit.functions import rules as R
 from assaykit.functions.score import composite_score
-from assaykit.kernel import smiles as K
+from assaykit import kernel as K
 from assaykit.operators import similarity as T
 from assaykit.plans.triage import TriageConfig, describe, triage
 from assaykit.sources import readers
@@ -102,3 +102,107 @@ def test_unknown_rule_set_is_an_error(spark):
     with pytest.raises(KeyError):
         triage(lib, TriageConfig(rule_sets=("lipinsky",)))
     assert triage(lib)[1].first().retained == 1
+
+
+DRUGS = [  # SMILES, logP, polar surface, rotatable bonds, aromatic rings
+    ("CN1CCC[C@H]1c1cccnc1", 1.8483, 16.13, 1, 1), ("c1ccc2[nH]ccc2c1", 2.1679, 15.79, 0, 2), ("O", -0.8247, 31.5, 0, 0), ("O=[N+]([O-])c1ccccc1", 1.5948, 43.14, 1, 1),
+    ("CC(C)c1c(C(=O)Nc2ccccc2)c(-c2ccccc2)c(-c2ccc(F)cc2)n1CC[C@@H](O)C[C@@H](O)CC(=O)O", 6.3136, 111.79, 12, 4),
+]
+
+
+@pytest.mark.parametrize("text, logp, surface, turning, aromatic", DRUGS)
+def test_published_descriptors(text, logp, surface, turning, aromatic):
+    d = K.descriptors(K.parse(text))
+    assert (round(d["clogp"], 4), round(d["tpsa"], 2), d["rotatable_bonds"], d["aromatic_rings"]) == (logp, surface, turning, aromatic)
+
+
+def test_one_text_for_all_spellings_and_stereo_kept():
+    from assaykit.kernel import canon, mol
+
+    rng = random.Random(1)
+    for text in [d[0] for d in DRUGS] + ["C/C=C/C=C\\CO", "C[C@H]1CC[C@@H](O)CC1", "O[C@H]1[C@@H](O)[C@H](O)[C@@H](CO)OC1O", "c1ccc2cccc2cc1"]:
+        m = K.parse(text)
+        want = K.write(m)
+        for _ in range(5):
+            order = list(range(len(m)))
+            rng.shuffle(order)
+            assert K.write(mol.subset(m, order)) == want
+        assert K.write(K.parse(want)) == want
+    same = lambda a, b: K.write(K.parse(a)) == K.write(K.parse(b))
+    assert same("C1=CC=CC=C1", "c1ccccc1") and same("CN(=O)=O", "C[N+](=O)[O-]") and same("[H][C@](C)(N)C(=O)O", "[C@H](C)(N)C(=O)O")
+    assert not same("C[C@H](N)C(=O)O", "C[C@@H](N)C(=O)O") and not same("F/C=C/F", "F/C=C\\F") and same("F/C=C/F", "F\\C=C\\F")
+    assert canon.parity([0, 1, 2, -1], [0, 1, 2]) == 1
+    for bad in ("c1cccc1", "[C](C)(C)(C)(C)C", "CN(C)(C)C", "C=", "c1ccnc1"):
+        with pytest.raises(K.SmilesError):
+            K.parse(bad)
+
+
+def test_stereocentres_fingerprints_scaffolds():
+    counts = lambda s: (K.descriptors(K.parse(s))["stereocentres"], K.descriptors(K.parse(s))["unassigned_stereocentres"])
+    assert counts("CC(N)C(=O)O") == (1, 1) and counts("C[C@H](N)C(=O)O") == (1, 0) and counts("CC=CC(=O)O") == (0, 0) and counts("CCO") == (0, 0)
+    assert K.fingerprint(K.parse("C[C@H](N)C(=O)O")) == K.fingerprint(K.parse("C[C@@H](N)C(=O)O"))
+    f2, f3 = K.fingerprint(K.parse(ASPIRIN)), K.fingerprint(K.parse(ASPIRIN), 3)
+    assert set(f2) < set(f3) and max(K.fingerprint(K.parse(ASPIRIN), 2, 512)) < 512
+    near = lambda s: len(set(f2) & set(x := K.fingerprint(K.parse(s)))) / len(set(f2) | set(x))
+    assert max(["OC(=O)c1ccccc1O", "Cn1cnc2c1c(=O)n(C)c(=O)n2C", "CCO"], key=near) == "OC(=O)c1ccccc1O"
+    assert K.generic_scaffold(K.parse("O=C1CCCCC1")) == "CC1CCCCC1" and K.scaffold(K.parse("O=C(c1ccccc1)C")) == "c1ccccc1"
+
+
+def test_alerts():
+    names = lambda s, *c: [(h["catalog"], h["name"]) for h in K.find_alerts(K.parse(s), c or ("pains", "brenk"))]
+    assert names("Oc1ccccc1O", "pains", "pains_b", "nih") == [("PAINS_B", "catechol_A(92)"), ("NIH", "catechol")]
+    assert names(ASPIRIN, "pains") == [] and names("Cn1cnc2c1c(=O)n(C)c(=O)n2C") == [] and names("CC(C)Cc1ccc(cc1)C(C)C(=O)O") == []
+    (hit,) = [h for h in K.find_alerts(K.parse("O=[N+]([O-])c1cccc(c1)[N+](=O)[O-]"), ("brenk",))]
+    assert (hit["name"], hit["atom_indices"]) == ("nitro_group", [0, 1, 2, 9, 10, 11])
+    assert len(K.Pattern("[#6;R]1~[#6]~[#6]~[#6]~[#6]~[#6]1").matches(K.parse("c1ccccc1"))) == 1
+    with pytest.raises(KeyError):
+        names("C", "panes")
+
+
+def test_whole_plan(spark):
+    lib = readers.inline(spark, [ASPIRIN, "OC(=O)c1ccccc1OC(C)=O", "C[C@H](N)C(=O)O", "C[C@@H](N)C(=O)O", "CCCCCCCCCCCCCCCO", "C((("], ["a", "b", "l", "d", "wax", "bad"])
+    out, counts = triage(lib, TriageConfig(drop_rule_failures=True))
+    rows = {r.identifier: r for r in out.collect()}
+    assert rows["b"].duplicate_of == "a" and rows["l"].duplicate_of is None and rows["d"].duplicate_of is None and rows["wax"].drop_reason == "dropped_by_rule" and rows["bad"].parse_error
+    assert rows["l"].cluster_id == rows["d"].cluster_id != rows["a"].cluster_id and [rows["l"].is_cluster_representative, rows["d"].is_cluster_representative] == [True, False]
+    assert 0 < rows["a"].score < 1 and rows["a"].score_breakdown["alert_penalty"] == 0.5 and rows["b"].score is None and rows["wax"].rules[0].violations == ["rotatable bonds 13 > 10"]
+    c = counts.first()
+    assert (c.retained, c.clusters, c.dropped_by_rule) == (3, 2, 1)
+    best, _ = triage(lib, TriageConfig(representatives_only=True, top_n=1, alert_catalogs=()))
+    assert [r.report_group for r in best.collect()] == [0, 1, 3]
+    for wrong in ({"descriptor_windows": {"mass": (0, 1)}}, {"alert_catalogs": ("x",)}):
+        with pytest.raises(KeyError):
+            TriageConfig(**wrong)
+    for wrong in ({"cluster": False, "representatives_only": True}, {"cluster_cutoff": 2}, {"fingerprint_bits": 8}, {"top_n": 0}, {"descriptor_windows": {"tpsa": (2, 1)}}):
+        with pytest.raises(ValueError):
+            TriageConfig(**wrong)
+
+
+@pytest.mark.parametrize("bad", [float("nan"), None])
+def test_no_score_without_numbers(spark, bad):
+    df = spark.createDataFrame([(bad, 2.0, 70.0, 1, 0)], "molecular_weight double, clogp double, tpsa double, rings int, unassigned_stereocentres int")
+    with pytest.raises(Exception, match="molecular_weight"):
+        df.select(composite_score()[0]).collect()
+
+
+def test_nearest_is_complete(spark):
+    rows = [(i, [i % 3]) for i in range(6)] + [(9, [])]
+    df = spark.createDataFrame(rows, "id int, bits array<int>")
+    got = [(r.q, r["rank"], r.t, r.similarity) for r in T.nearest(df.where("id in (0, 9)"), df, 3).orderBy("q", "rank").collect()]
+    assert got == [(0, 1, 3, 1.0), (0, 2, 1, 0.0), (0, 3, 2, 0.0), (9, 1, 0, 0.0), (9, 2, 1, 0.0), (9, 3, 2, 0.0)]
+
+
+def test_long_line_files_and_guards(spark, tmp_path):
+    n = 5000
+    (tmp_path / "a.smi").write_text("".join(f"C n{i}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = readers.lines(spark, str(tmp_path / "a.smi")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.ord for r in rows) == list(range(n)) and all(r.identifier == f"n{r.ord}" for r in rows)
+    with pytest.raises(ValueError):
+        readers.read_library(spark, str(tmp_path / "a.smi"), max_bytes=100)
+    (tmp_path / "b.smi").write_bytes(b"C \xff\n")
+    with pytest.raises(Exception, match="UTF-8"):
+        readers.lines(spark, str(tmp_path / "b.smi")).collect()
