@@ -146,6 +146,9 @@ def report(rows: DataFrame, config: TriageConfig) -> DataFrame:
 
 def triage(library: DataFrame, config: TriageConfig = TriageConfig(), table: Table = materialised, entries: tuple[Entry, ...] = ENTRIES) -> tuple[DataFrame, DataFrame]:
     """(report, counts) of a library (ord, identifier, input_smiles)."""
+    cores = library.sparkSession.sparkContext.defaultParallelism
+    if library.rdd.getNumPartitions() < cores:
+        library = library.repartition(cores)  # short rows, long work: a small file must not leave the kernel to one task
     described = table(describe(library, config.standardize, config.alert_catalogs, config.fingerprint_radius, config.fingerprint_bits, entries))
     rows = finalize(described, config, table)
     return report(rows, config), S.counts(rows)
