@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import lru_cache
 from typing import NamedTuple
 
-from .mol import Mol
+from .mol import NUMBER, Mol
 from .smarts import Pattern
 
 
@@ -76,9 +76,11 @@ def _family(name: str, entries: tuple[Entry, ...]) -> tuple[Entry, ...]:
 def find_alerts(mol: Mol, catalogs: tuple[str, ...], entries: tuple[Entry, ...] = ENTRIES) -> list[dict]:
     """Every entry that occurs, in order of request, with the atoms of all its occurrences; equal hits once."""
     out: dict[tuple, dict] = {}
+    present = {NUMBER[a.symbol] for a in mol}
     for name in dict.fromkeys(catalogs):
         for e in _family(name, entries):
-            found = _compiled(e.smarts).matches(mol)
+            pattern = _compiled(e.smarts)
+            found = pattern.needs <= present and pattern.matches(mol)
             if found:
                 atoms = sorted(frozenset().union(*found))
                 out.setdefault((e.catalog, e.name, tuple(atoms)), {"catalog": e.catalog, "name": e.name, "description": e.description, "atom_indices": atoms})
