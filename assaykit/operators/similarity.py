@@ -60,6 +60,20 @@ def butina(df: DataFrame, cutoff: float = 0.35, key: str = "id", bits: str = "bi
     return member.join(ids, "c").select(F.col("v").alias(key), "cluster_id", "is_centroid")
 
 
+def check_clusters(rows: DataFrame, clusters: DataFrame, key: str = "id") -> DataFrame:
+    """``clusters`` (key, cluster_id), held to be a partition of ``rows``; else a ValueError names the smallest offender."""
+    all_, given = rows.select(key).distinct(), clusters.select(key, "cluster_id").distinct()
+    for bad, text in (
+        (given.join(all_, key, "left_anti"), "belongs to a cluster but is no row"),
+        (given.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "belongs to more than one cluster"),
+        (all_.join(given, key, "left_anti"), "belongs to no cluster"),
+    ):
+        worst = bad.agg(F.min(key)).first()[0]
+        if worst is not None:
+            raise ValueError(f"row {worst} {text}")
+    return clusters
+
+
 def nearest(queries: DataFrame, targets: DataFrame, k: int, key: str = "id", bits: str = "bits") -> DataFrame:
     """The k most similar other targets of each query (similarity, then id).
 

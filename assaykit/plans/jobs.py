@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import threading
 import uuid
-from dataclasses import dataclass, field, replace
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields, replace
 from datetime import UTC, datetime
 
 from pyspark import InheritableThread
@@ -12,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.selection import dense_index
-from .triage import TriageConfig, materialised, triage
+from ..kernel import parse, write
+from ..sources.readers import read_library
+from .triage import TriageConfig, describe, finalize, materialised, standardised, triage
 
 PENDING, RUNNING, SUCCEEDED, FAILED, CANCELLED = "pending", "running", "succeeded", "failed", "cancelled"
 TERMINAL = (SUCCEEDED, FAILED, CANCELLED)
@@ -26,6 +30,37 @@ class JobStateError(RuntimeError):
     """The job's state does not allow the request."""
 
 
+class TooLargeError(ValueError):
+    """More rows than a direct call may have; submit a job instead."""
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Limits of an engine; ``from_env`` reads ASSAYKIT_MAX_LIBRARY_SIZE and the like."""
+
+    max_library_size: int = 250_000
+    max_direct_rows: int = 100
+    max_file_bytes: int = 64 << 20
+
+    @classmethod
+    def from_env(cls, env: Mapping[str, str] = os.environ) -> Settings:
+        found = {f.name: int(env[name]) for f in fields(cls) if (name := f"ASSAYKIT_{f.name.upper()}") in env}
+        return cls(**found)
+
+
+@dataclass(frozen=True)
+class Progress:
+    """Tasks of the job's Spark jobs so far; Spark plans as it goes, so the total may still grow."""
+
+    phase: str = PENDING
+    done: int = 0
+    total: int = 0
+
+    @property
+    def fraction(self) -> float:
+        return self.done / self.total if self.total else 0.0
+
+
 @dataclass
 class Job:
     id: str
@@ -38,12 +73,18 @@ class Job:
     counts: dict[str, int] = field(default_factory=dict)
     error: str | None = None
 
+    @property
+    def duration_seconds(self) -> float | None:
+        """Since the start, until the end or now; None before the start."""
+        return ((self.finished_at or datetime.now(UTC)) - self.started_at).total_seconds() if self.started_at else None
+
 
 class TriageEngine:
     """Runs jobs in threads of one session; reports are Parquet under ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str, max_library_size: int = 250_000):
-        self.spark, self.path, self.max_library_size = spark, path, max_library_size
+    def __init__(self, spark: SparkSession, path: str, max_library_size: int | None = None, settings: Settings | None = None):
+        self.spark, self.path, self.settings = spark, path, settings or Settings()
+        self.max_library_size = max_library_size or self.settings.max_library_size
         self._jobs: dict[str, Job] = {}
         self._threads: dict[str, InheritableThread] = {}
         self._lock = threading.Lock()
@@ -61,6 +102,49 @@ class TriageEngine:
         self._threads[job.id].start()
         return job.id
 
+    def submit_path(self, path: str, config: TriageConfig = TriageConfig(), name: str | None = None, **csv_options) -> str:
+        """A job over a .smi or .csv file, named like the file unless ``name`` says otherwise."""
+        library = read_library(self.spark, path, self.settings.max_file_bytes, **csv_options)
+        return self.submit(library, config, path.rstrip("/").rsplit("/", 1)[-1] if name is None else name)
+
+    def _direct(self, library: DataFrame) -> DataFrame:
+        n = library.limit(self.settings.max_direct_rows + 1).count()
+        if n > self.settings.max_direct_rows:
+            raise TooLargeError(f"more than {self.settings.max_direct_rows} rows")
+        if not n:
+            raise ValueError("the library is empty")
+        return library
+
+    def describe(self, library: DataFrame, config: TriageConfig = TriageConfig()) -> DataFrame:
+        """Few rows at once: the kernel's columns and the rules, without filters, clusters or scores."""
+        rows = describe(self._direct(library), config.standardize, config.alert_catalogs, config.fingerprint_radius, config.fingerprint_bits)
+        plain = replace(config, descriptor_windows={}, drop_rule_failures=False, drop_alert_hits=False, deduplicate=False, cluster=False, representatives_only=False)
+        out = finalize(rows, plain, lambda x: x)
+        return out.select(*(c for c in out.columns if c not in ("fingerprint", "score", "score_breakdown", "drop_reason", "duplicate_of", "cluster_id", "is_cluster_representative"))).orderBy("ord")
+
+    def standardize(self, library: DataFrame) -> DataFrame:
+        """Few rows at once: (input_smiles, standard_smiles, error) in order."""
+        return standardised(self._direct(library)).orderBy("ord").select("input_smiles", "standard_smiles", "error")
+
+    def health(self) -> dict[str, object]:
+        """Whether the session is alive and the kernel does its work."""
+        alive = self.spark.sparkContext._jsc is not None and not self.spark.sparkContext._jsc.sc().isStopped()
+        kernel = write(parse("OCC")) == write(parse("CCO"))
+        return {"status": "ok" if alive and kernel else "degraded", "session": alive, "kernel": kernel}
+
+    def progress(self, job_id: str) -> Progress:
+        """Tasks done and known of the job's Spark jobs."""
+        job, tracker = self.get(job_id), self.spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup(job_id) if (info := tracker.getJobInfo(j)) for s in info.stageIds}
+        known = [info for s in stages if (info := tracker.getStageInfo(s))]
+        return Progress(job.status, sum(i.numCompletedTasks for i in known), sum(i.numTasks for i in known))
+
+    def close(self) -> None:
+        """Cancels what still runs."""
+        for job in self.list_jobs(max(len(self._jobs), 1)):
+            if job.status not in TERMINAL:
+                self.cancel(job.id)
+
     def _set(self, job_id: str, **changes) -> bool:
         with self._lock:
             job = self._jobs.get(job_id)

@@ -80,6 +80,14 @@ class TriageConfig:
                 raise ValueError(text)
 
 
+def spread(library: DataFrame) -> DataFrame:
+    """A batch library of fewer partitions than cores, over all cores: short rows, long work."""
+    if library.isStreaming:
+        return library
+    cores = library.sparkSession.sparkContext.defaultParallelism
+    return library.repartition(cores) if library.rdd.getNumPartitions() < cores else library
+
+
 def describe(library: DataFrame, standardize: bool = True, catalogs: tuple[str, ...] = (), radius: int = 2, n_bits: int = 2048, entries: tuple[Entry, ...] = ENTRIES) -> DataFrame:
     """Adds what the kernel finds of ``input_smiles``: parse_ok, parse_error, standard_smiles, murcko_scaffold, alerts, fingerprint, descriptors.
 
@@ -111,7 +119,42 @@ def describe(library: DataFrame, standardize: bool = True, catalogs: tuple[str,
             cols = [[r[k] if k < len(r) else None for r in rows] for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[*keep, *names])
 
-    return library.mapInArrow(run, schema)
+    return spread(library).mapInArrow(run, schema)
+
+
+def standardised(library: DataFrame) -> DataFrame:
+    """(ord, identifier, input_smiles, standard_smiles, error): the kernel's first half only; a bad record has an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .. import kernel as K
+
+        def one(text: str) -> tuple[str | None, str | None]:
+            try:
+                return K.write(K.standardise(K.parse(text))), None
+            except Exception as e:  # noqa: BLE001  one record must not fail the others
+                return None, f"could not standardise: {e}"
+
+        for batch in batches:
+            found = [one(text or "") for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], names=["ord", "identifier", "input_smiles", "standard_smiles", "error"])
+
+    rows = spread(library.select(F.col("ord").cast("bigint"), F.col("identifier").cast("string"), "input_smiles"))
+    return rows.mapInArrow(run, "ord bigint, identifier string, input_smiles string, standard_smiles string, error string")
+
+
+def generic_scaffolds(described: DataFrame) -> DataFrame:
+    """Adds ``generic_scaffold``: each different Murcko scaffold is worked on once; null without one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .. import kernel as K
+
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([K.generic_scaffold(K.parse(t)) for t in texts], pa.string())], names=["__scaffold", "generic_scaffold"])
+
+    each = described.where(F.col("murcko_scaffold").isNotNull()).select(F.col("murcko_scaffold").alias("__scaffold")).distinct()
+    found = each.mapInArrow(run, "__scaffold string, generic_scaffold string")
+    return described.join(found, F.col("murcko_scaffold") == F.col("__scaffold"), "left").drop("__scaffold")
 
 
 def finalize(described: DataFrame, config: TriageConfig, table: Table = materialised) -> DataFrame:
@@ -129,7 +172,8 @@ def finalize(described: DataFrame, config: TriageConfig, table: Table = material
     rows = table(rows.withColumn("score", F.when(kept, score)).withColumn("score_breakdown", F.when(kept, breakdown)))
     if not config.cluster:
         return rows.withColumn("cluster_id", F.lit(None).cast("bigint")).withColumn("is_cluster_representative", F.lit(False))
-    found = butina(rows.where(kept).select("ord", "fingerprint"), config.cluster_cutoff, "ord", "fingerprint", config.max_cluster_rows, table).select("ord", "cluster_id")
+    bits = F.when(F.col("fingerprint").isNull(), F.raise_error(F.concat(F.lit("no fingerprint to cluster for "), "identifier"))).otherwise(F.col("fingerprint"))
+    found = butina(rows.where(kept).select("ord", bits.cast("array<int>").alias("fingerprint")), config.cluster_cutoff, "ord", "fingerprint", config.max_cluster_rows, table).select("ord", "cluster_id")
     return S.representatives(rows.join(found, "ord", "left"))
 
 
@@ -146,9 +190,6 @@ def report(rows: DataFrame, config: TriageConfig) -> DataFrame:
 
 def triage(library: DataFrame, config: TriageConfig = TriageConfig(), table: Table = materialised, entries: tuple[Entry, ...] = ENTRIES) -> tuple[DataFrame, DataFrame]:
     """(report, counts) of a library (ord, identifier, input_smiles)."""
-    cores = library.sparkSession.sparkContext.defaultParallelism
-    if library.rdd.getNumPartitions() < cores:
-        library = library.repartition(cores)  # short rows, long work: a small file must not leave the kernel to one task
     described = table(describe(library, config.standardize, config.alert_catalogs, config.fingerprint_radius, config.fingerprint_bits, entries))
     rows = finalize(described, config, table)
     return report(rows, config), S.counts(rows)

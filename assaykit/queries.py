@@ -12,7 +12,7 @@ from .functions import rules as R
 from .functions import score as X
 from .operators import selection as S
 from .operators import similarity as T
-from .plans.triage import TriageConfig, describe, triage
+from .plans.triage import TriageConfig, describe, generic_scaffolds, standardised, triage
 from .sources.sinks import json_lines
 
 #: Descriptors derived from order keys; the same text runs in Spark and DuckDB.
@@ -129,6 +129,28 @@ def descriptors_drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("ord", F.round("molecular_weight", 3).alias("molecular_weight"), F.round("clogp", 4).alias("clogp"), F.round("tpsa", 2).alias("tpsa"), "hbd", "hba", "rotatable_bonds", "aromatic_rings", "rings", "stereocentres", "unassigned_stereocentres", F.array_join(F.col("alerts.name"), ",").alias("alerts"), "murcko_scaffold")
 
 
+def generic_scaffold_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaffolds with all atoms carbon and all bonds single, and how many drugs have them."""
+    rows = generic_scaffolds(describe(drugs(spark, sf_dir)).select("ord", "murcko_scaffold"))
+    return rows.groupBy("generic_scaffold").agg(F.count("*").alias("n"), F.count_distinct("murcko_scaffold").alias("scaffolds"), F.min("ord").alias("first_ord"))
+
+
+#: Generic scaffolds of the drugs above, in their order (fixed values).
+GENERIC = ["C1CCCCC1", "C1CCCCC1", "CC1CC(C)C2CCCC2C1", "C1CCCCC1", "C1CCC(CC1)C1CCCC1C1CCCCC1", "CC1CCC(C2CCCCC2)C2CCCCC2C1", None, None]
+
+
+def standardised_drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each standard text stands for, and whether it is one of several inputs."""
+    rows = standardised(drugs(spark, sf_dir))
+    return rows.groupBy("standard_smiles").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"), F.count("error").alias("errors")).drop("standard_smiles")
+
+
+def cluster_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fingerprint is in exactly one cluster."""
+    rows, found = fingerprints(spark, sf_dir), butina_clusters(spark, sf_dir)
+    return T.check_clusters(rows, found).agg(F.count("*").alias("n"))
+
+
 def triage_drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan: alerts, rules, dedup that tells enantiomers apart, scores, clusters and representatives."""
     _checkpoints(spark)
@@ -136,6 +158,10 @@ def triage_drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("identifier", "duplicate_of", "report_group", F.round("score", 4).alias("score"), F.size(F.filter("rules", lambda r: r["passed"])).alias("passed"), "is_cluster_representative")
 
 
+def _text(value: str | None) -> str:
+    return "NULL" if value is None else f"'{value}'"
+
+
 def _drug_sql() -> str:
     rows = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}E0" if isinstance(v, float) else str(v) for v in (i, *d[1:])) + ")" for i, d in enumerate(DRUGS))
     return f"WITH d(k, molecular_weight, clogp, tpsa, hbd, hba, rotatable_bonds, aromatic_rings, rings, stereocentres, alerts, murcko_scaffold) AS (VALUES {rows}), m AS (SELECT p_partkey AS ord, CAST(p_partkey AS VARCHAR) AS identifier, d.* FROM part JOIN d ON p_partkey % {len(DRUGS)} = k)"
@@ -200,6 +226,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "representatives": lambda s, d: S.representatives(scored(s, d)).where("is_cluster_representative").select("cluster_id", "ord"),
         "descriptors_drugs": descriptors_drugs,
         "triage_drugs": triage_drugs,
+        "generic_scaffold_groups": generic_scaffold_groups,
+        "standardised_drugs": standardised_drugs,
+        "cluster_check": cluster_check,
         "descriptors_library": descriptors_library,
         "triage_end_to_end": triage_end_to_end,
         "butina_clusters": butina_clusters,
@@ -235,6 +264,9 @@ def oracle_sql() -> dict[str, str]:
         "triage_drugs": f"""{_drug_sql()}, f AS (SELECT *, min(ord) OVER (PARTITION BY k) AS first, 0 AS unassigned_stereocentres, CASE WHEN alerts = '' THEN 0 ELSE 1 END AS n_alerts FROM m)
             SELECT identifier, CASE WHEN first < ord THEN CAST(first AS VARCHAR) END AS duplicate_of, CASE WHEN first < ord THEN 1 ELSE 0 END AS report_group, CASE WHEN first = ord THEN round({_SCORE}, 4) END AS score, 2 AS passed,
             first = ord AND (k < 6 OR identifier = (SELECT max(identifier) FROM f g WHERE g.k >= 6 AND g.first = g.ord)) AS is_cluster_representative FROM f""",
+        "generic_scaffold_groups": f"{_drug_sql()}, g AS (SELECT *, CASE k {' '.join(f'WHEN {i} THEN {_text(g)}' for i, g in enumerate(GENERIC))} END AS generic_scaffold FROM m) SELECT generic_scaffold, count(*) AS n, count(DISTINCT murcko_scaffold) AS scaffolds, min(ord) AS first_ord FROM g GROUP BY 1",
+        "standardised_drugs": f"{_drug_sql()} SELECT count(*) AS n, min(ord) AS first_ord, CAST(0 AS BIGINT) AS errors FROM m GROUP BY k",
+        "cluster_check": "SELECT count(*) AS n FROM embeddings",
         "triage_end_to_end": f"{_MOL}, j AS (SELECT *, CASE WHEN key IS NOT NULL AND min(ord) OVER (PARTITION BY key) < ord THEN arg_min(identifier, ord) OVER (PARTITION BY key) END AS d FROM k) SELECT identifier, kind < 4 AS parse_ok, d AS duplicate_of, CASE WHEN kind = 4 THEN 3 WHEN d IS NOT NULL THEN 1 ELSE 0 END AS report_group FROM j",
         "scaffold_groups": f"{_MOL} SELECT CASE WHEN kind = 3 THEN 'c1ccccc1' END AS murcko_scaffold, count(*) AS n, min(ord) AS first_ord FROM m WHERE kind < 4 GROUP BY 1",
         "ndjson_rows": f"{_JUDGED} SELECT '{{\"ord\":' || ord || ',\"drop_reason\":' || coalesce('\"' || drop_reason || '\"', 'null') || '}}' AS value FROM j",
