@@ -112,10 +112,22 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring(mark_target(docs, labels.where("quality = 1")))
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import html_extract
+
+    return html_extract(_table(spark, sf_dir, "pages"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import lexical_search
+
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_token_counts, op2_suffix_dedup, op3_chat_format, op4_ngram_jaccard, op5_warc, op6_sentencepiece, op7_quality_rules, op8_toxicity, op9_decontaminate,
-        op10_lm_scoring, token_counts_words,
+        op10_lm_scoring, op11_html_extract, op12_lexical_search, token_counts_words,
     )}
 
 
@@ -192,5 +204,27 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+#: The pages of these tables mark their article, so its text can be cut out by position.
+SQL_OP11 = """
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS h FROM pages),
+t AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(regexp_replace(h, '</?(h1|p)>|<br>', ' ', 'g'), '<b>', ''), '&quot;', '"', 'g'), '\\s+', ' ', 'g')) AS h FROM a),
+d AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&#x27;', chr(39), 'g'), '&amp;?', '&', 'g')) AS text FROM t)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""
+
+SQL_OP12 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+qt AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+v AS (SELECT DISTINCT term FROM qt),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) SEMI JOIN v USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s),
+m AS (SELECT doc_id, 25 + (75 * len(w) * n_docs) // n_terms AS m FROM d, s),
+i AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS part FROM tf JOIN m USING (doc_id) JOIN w USING (term)),
+r AS (SELECT item_id, doc_id, CAST(sum(times * part) AS BIGINT) AS score FROM qt JOIN i USING (term) GROUP BY ALL HAVING sum(times * part) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM r QUALIFY rank <= 10
+"""
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": SQL_OP2, "op3_chat_format": SQL_OP3, "op4_ngram_jaccard": SQL_OP4, "op5_warc": SQL_OP5, "token_counts_words": SQL_TOKENS, "op9_decontaminate": SQL_OP9}
+    return {"op2_suffix_dedup": SQL_OP2, "op3_chat_format": SQL_OP3, "op4_ngram_jaccard": SQL_OP4, "op5_warc": SQL_OP5, "token_counts_words": SQL_TOKENS, "op9_decontaminate": SQL_OP9, "op11_html_extract": SQL_OP11, "op12_lexical_search": SQL_OP12}
