@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def deduplicate(df: DataFrame, key: str = "key", order: str = "ord", name: str = "identifier") -> DataFrame:
     """Adds ``duplicate_of``: the identifier of the first row with the key, null on that row.
 
-    Null keys are always kept. The first row of each key is combined before the shuffle
+    Null keys and rows without an ``order`` are always kept. The first row of each key is combined before the shuffle
     and joined back, a join that can be split where a key is hot, so no key's rows need
     to meet in one task.
     """
-    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(order, name)).alias("__first"))
+    first = df.where(F.col(key).isNotNull() & F.col(order).isNotNull()).groupBy(key).agg(F.min(F.struct(F.col(order).alias("o"), F.col(name).alias("n"))).alias("__first"))
     joined = df.join(first, key, "left")
-    return joined.withColumn("duplicate_of", F.when(F.col(f"__first.{order}") < F.col(order), F.col(f"__first.{name}"))).select(*df.columns, "duplicate_of")
+    return joined.withColumn("duplicate_of", F.when(F.col("__first.o") < F.col(order), F.col("__first.n"))).select(*df.columns, "duplicate_of")
 
 
 def ranked(df: DataFrame, score: str = "score", name: str = "identifier", order: str = "ord") -> DataFrame:
@@ -40,15 +40,24 @@ def page(df: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
     return ranked(df).offset(offset).limit(limit)
 
 
-def counts(df: DataFrame) -> DataFrame:
-    """One row of reconciling counts of rows with parse_ok, drop_reason, duplicate_of."""
+def count_columns(clusters: bool = False) -> list[Column]:
+    """Reconciling counts of rows with parse_ok, drop_reason, duplicate_of as aggregates, for ``agg`` or ``observe``.
+
+    ``clusters`` counts the representatives, of which each cluster has one: a sum, where
+    distinct ids would need a shuffle and can't be observed.
+    """
     kept = F.col("parse_ok") & F.col("drop_reason").isNull()
     reasons = [F.count_if(F.col("parse_ok") & (F.col("drop_reason") == r)).alias(r) for r in ("dropped_by_window", "dropped_by_rule", "dropped_by_alert")]
-    return df.agg(
+    return [
         F.count("*").alias("submitted"), F.count_if("parse_ok").alias("parsed"), F.count_if(~F.col("parse_ok")).alias("parse_failed"),
         F.count_if(kept & F.col("duplicate_of").isNotNull()).alias("duplicates_removed"), *reasons, F.count_if(kept & F.col("duplicate_of").isNull()).alias("retained"),
-        *([F.count_distinct("cluster_id").alias("clusters")] if "cluster_id" in df.columns and "parse_error" in df.columns else []),
-    )
+        *([F.count_if("is_cluster_representative").alias("clusters")] if clusters else []),
+    ]
+
+
+def counts(df: DataFrame, clusters: bool = False) -> DataFrame:
+    """One row of ``count_columns``."""
+    return df.agg(*count_columns(clusters))
 
 
 def dense_index(df: DataFrame, order: list, name: str, table) -> DataFrame:

@@ -192,4 +192,4 @@ def triage(library: DataFrame, config: TriageConfig = TriageConfig(), table: Tab
     """(report, counts) of a library (ord, identifier, input_smiles)."""
     described = table(describe(library, config.standardize, config.alert_catalogs, config.fingerprint_radius, config.fingerprint_bits, entries))
     rows = finalize(described, config, table)
-    return report(rows, config), S.counts(rows)
+    return report(rows, config), S.counts(rows, config.cluster)
