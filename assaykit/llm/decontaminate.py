@@ -12,19 +12,23 @@ Everything is DataFrame code: one generator and one hash join in the same
 generated stage, then an aggregation that shuffles one marker row per document
 plus the verified matches. The side with the windows is broadcast only after its
 size has been measured (``broadcast_bytes``). Above that bound words are counted with
-partial sums before the shuffle, the same join runs as a shuffled join on the prefix
-word, in which Spark may split hot words, verifies after a join on the row's key, and
-documents without a match come from a left join.
+partial sums before the shuffle, and the distinct prefix words, far fewer than the windows,
+are broadcast in slices of measured size: each slice of a scan keeps the occurrences of its
+words only, with the ``window`` words to either side, and only those go to the shuffled join
+with the windows, in which Spark may split hot words and which verifies in place.
 
 Cases: null or empty texts have no words and no hits; an item without words is
-ignored; repeated windows and ties in rarity (broken by the word itself) don't
-change the result; rows equal in ``doc_id`` and text give one row; other columns
+ignored; the windows of an item without an id are hit like others, but the item is neither
+counted nor listed; repeated windows and ties in rarity (broken by the word itself) don't
+change the result; rows equal in ``doc_id`` and text give a row each; other columns
 of the inputs are ignored, whatever their names; empty tables give empty results
 or, without items, clean documents.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +49,8 @@ def words_of(text: Column) -> Column:
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """Distinct windows (g, length, item_ids as strings) of the items."""
-    w = items.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w")).where("size(w) > 0 AND item IS NOT NULL")
+    """Distinct windows (g, length, items: ids as strings, without nulls) of the items."""
+    w = items.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w")).where("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)))
     each = w.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s"), F.lit(window)).alias("g"))
     return each.groupBy("g").agg(F.collect_set("item").alias("items")).withColumn("length", F.size("g"))
@@ -83,23 +87,31 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, broadcast
     marker = spark.range(1).select(
         F.lit(_MARK).alias("word"), F.lit(0).alias("off"), F.lit(0).alias("length"), F.array().cast("array<string>").alias("g"), F.array().cast("array<string>").alias("items")
     )
-    keys = prefixes.unionByName(marker) if small else prefixes
     begin = (F.col("pos") - F.col("off")).alias("start")
-    bounds = (F.col("length") == 0) | ((F.col("pos") >= F.col("off")) & (F.col("pos") - F.col("off") + F.col("length") <= F.col("n_words")))
-    same = (F.col("length") == 0) | (F.slice("w", F.col("pos") - F.col("off") + 1, F.greatest("length", F.lit(1))) == F.col("g"))
+    ends_inside = (F.col("pos") >= F.col("off")) & (F.col("pos") - F.col("off") + F.col("length") <= F.col("n_words"))
+    found = ["doc_id", "key", "n_words", begin, "length", "items"]
     if small:
-        found = _exploded(texts, "doc_id", "key", "n_words", "w").join(F.broadcast(keys), "word").where(bounds).where(same)
+        same = F.slice("w", F.col("pos") - F.col("off") + 1, F.greatest("length", F.lit(1))) == F.col("g")
+        near = _exploded(texts, "doc_id", "key", "n_words", "w").join(F.broadcast(prefixes.unionByName(marker)), "word")
+        found = near.where((F.col("length") == 0) | (ends_inside & same)).select(*found)
     else:
-        near = texts.select("doc_id", "key", "n_words", F.posexplode("w").alias("pos", "word")).join(keys, "word").where(bounds)
-        near = near.withColumnsRenamed({"doc_id": "d", "key": "k", "n_words": "n"})
-        found = near.join(texts, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("key"))).where(same)
-    span = F.when(F.col("length") > 0, F.struct(begin, "length"))
-    by_doc = found.groupBy("doc_id", "key", "n_words").agg(F.collect_set(span).alias("spans"), F.collect_set(F.when(F.col("length") > 0, F.col("items"))).alias("found"))
-    if not small:
-        hit = by_doc.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "spans", "found")
-        rows = texts.groupBy("doc_id", "key", "n_words").agg(F.lit(0).alias("z"))
-        empty = {"spans": F.array().cast("array<struct<start:int,length:int>>"), "found": F.array().cast("array<array<string>>")}
-        by_doc = rows.join(hit, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("key")), "left").withColumns({c: F.coalesce(c, e) for c, e in empty.items()})
+        around = F.slice("w", F.greatest(F.col("pos") - window + 2, F.lit(1)), 2 * window - 1).alias("around")
+        wanted = prefixes.select("word").distinct()
+        size = wanted.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
+        n_slices = max(1, -(-size // broadcast_bytes)) if broadcast_bytes else 1
+        each = texts.select("doc_id", "key", "n_words", "w", F.posexplode("w").alias("pos", "word"))
+        parts = [wanted.where(F.pmod(F.xxhash64("word"), F.lit(n_slices)) == i) for i in range(n_slices)]
+        if broadcast_bytes:
+            parts = [F.broadcast(p) for p in parts]
+        near = reduce(DataFrame.unionByName, (each.join(p, "word", "leftsemi").select("doc_id", "key", "n_words", "pos", "word", around) for p in parts))
+        at = F.col("pos") - F.col("off") - F.greatest(F.col("pos") - window + 1, F.lit(0)) + 1
+        same = F.slice("around", F.greatest(at, F.lit(1)), "length") == F.col("g")
+        found = near.join(prefixes, "word").where(ends_inside & same).select(*found)
+        found = found.unionByName(texts.select("doc_id", "key", "n_words", F.lit(0).alias("start"), F.lit(0).alias("length"), F.array().cast("array<string>").alias("items")))
+    span = F.when(F.col("length") > 0, F.struct("start", "length"))
+    by_doc = found.groupBy("doc_id", "key", "n_words").agg(
+        F.collect_set(span).alias("spans"), F.collect_set(F.when(F.col("length") > 0, F.col("items"))).alias("found"), F.count_if(F.col("length") == 0).alias("copies")
+    )
 
     def widen(acc: Column, s: Column) -> Column:
         end = s["start"] + s["length"]
@@ -107,7 +119,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, broadcast
 
     n_hit = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), widen)["n"].cast("long")
     item_ids = F.array_sort(F.array_distinct(F.flatten("found")))
-    return by_doc.select("doc_id", "n_words", n_hit.alias("n_hit"), item_ids.alias("item_ids")).select(
+    each = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))  # equal rows have been judged together
+    return by_doc.select("doc_id", "n_words", n_hit.alias("n_hit"), item_ids.alias("item_ids"), each.alias("copy")).select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids",
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )

@@ -133,17 +133,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Windows are cut out of pieces of 512 bytes and what is kept out of the gaps between spans, as substr() walks from the start of its text.
 SQL_OP2 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM d, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS t(i)),
-m AS (SELECT g, min(doc_id) AS low FROM w GROUP BY g),
-gone AS (SELECT DISTINCT doc_id, b FROM (SELECT doc_id, i FROM w JOIN m USING (g) WHERE low < doc_id), unnest(range(i, i + 50)) AS t(b)),
-n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
-s AS (SELECT doc_id, count(*) AS n_spans FROM (SELECT doc_id, b, lag(b) OVER (PARTITION BY doc_id ORDER BY b) AS p FROM gone) WHERE p IS NULL OR p < b - 1 GROUP BY doc_id),
-k AS (SELECT doc_id, string_agg(c, '' ORDER BY b) AS kept FROM (SELECT doc_id, b, substr(h, 2 * b + 1, 2) AS c FROM d, unnest(range(0, len(h) // 2)) AS t(b)) ANTI JOIN gone USING (doc_id, b) GROUP BY doc_id)
+p AS MATERIALIZED (SELECT doc_id, len(h) // 2 AS n, 512 * j AS o, substr(h, 1024 * j + 1, 1122) AS piece FROM d, unnest(range(0, len(h) // 1024 + 1)) AS t(j)),
+w AS MATERIALIZED (SELECT doc_id, o + i AS i, substr(piece, 2 * i + 1, 100) AS g FROM p, unnest(range(0, greatest(least(n - 49 - o, 512), 0))) AS t(i)),
+m AS (SELECT g, min(doc_id) AS low FROM w GROUP BY g HAVING count(*) > 1),
+b AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS new FROM w JOIN m USING (g) WHERE low < doc_id),
+r AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM b),
+s AS (SELECT doc_id, k, min(i) AS b, max(i) + 50 AS e FROM r GROUP BY doc_id, k),
+n AS (SELECT doc_id, sum(e - b) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id),
+gap AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS b, b AS e FROM s UNION ALL SELECT doc_id, max(e), NULL FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * b + 1, coalesce(2 * (e - b), len(h))), '' ORDER BY b) AS kept FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN k USING (doc_id)
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 SQL_OP3 = """
@@ -197,7 +201,7 @@ lens AS (SELECT DISTINCT len(g) AS l FROM win),
 dw AS (SELECT doc_id, s, l, list_slice(w, s, s + l - 1) AS g FROM d, lens, unnest(range(1, greatest(len(w) - l + 1, 0) + 1)) AS t(s)),
 hits AS (SELECT doc_id, s, l, item FROM dw JOIN win USING (g)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, s, l FROM hits), unnest(range(s, s + l)) AS t(p) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)

@@ -7,8 +7,12 @@ sums before the shuffle, so a hot source is a few rows), written to a staging fo
 made visible by one rename to ``deltas/<batch>``, which fails where that exists. A batch
 that is committed again, or by two drivers at once, therefore counts once; a batch
 that dies leaves nothing visible. ``totals`` sums the committed deltas. ``compact`` sums
-them into a base, published by a rename as well, and empties their folders; the folders
-themselves stay, so that a batch keeps counting once.
+them into a base, published by a rename as well, and empties the folders of batches that the
+base before it held already; the folders themselves stay, so that a batch keeps counting once.
+Readers take the latest base and the deltas that it does not hold, and look again where the base
+has changed meanwhile; what they have read stays until the second compaction after. A frame of
+``totals`` that is older than that fails with a missing file and is never short of a batch. Renames
+must be atomic on the file system used, as they are on HDFS and local disks.
 
 Cases: null texts have no tokens but count as documents; null sources and languages
 are groups of their own; repeated rows count as often as they occur; an empty batch
@@ -127,17 +131,27 @@ class TokenRollup:
         deltas(changes, self.tokenizers).write.parquet(staged)
         return self._publish(staged, f"deltas/{name}")
 
+    def _last(self) -> int:
+        return max((int(n) for n in self._names("bases")), default=0)
+
+    def _held(self, base: int) -> set[str]:
+        """Folders of the batches that a base holds; a name per commit."""
+        return {r.name for r in self.spark.read.schema("name string").parquet(f"{self.path}/bases/{base}/batches").collect()} if base else set()
+
     def _base(self) -> tuple[int, set[str]]:
         """Number of the latest base (0: none) and the folders of the batches it holds."""
-        last = max((int(n) for n in self._names("bases")), default=0)
-        held = self.spark.read.schema("name string").parquet(f"{self.path}/bases/{last}/batches").collect() if last else []
-        return last, {r.name for r in held}  # a name per commit
+        last = self._last()
+        return last, self._held(last)
 
     def _rows(self) -> tuple[DataFrame, int, set[str], list[str]]:
-        last, held = self._base()
-        fresh = [n for n in self._names("deltas") if n not in held]
-        folders = [f"{self.path}/bases/{last}/totals"] * (last > 0) + [f"{self.path}/deltas/{n}" for n in fresh]
-        rows = self.spark.read.schema(self.SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], self.SCHEMA)
+        while True:
+            last, held = self._base()
+            fresh = [n for n in self._names("deltas") if n not in held]
+            folders = [f"{self.path}/bases/{last}/totals"] * (last > 0) + [f"{self.path}/deltas/{n}" for n in fresh]
+            # the files are listed here
+            rows = self.spark.read.schema(self.SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], self.SCHEMA)
+            if self._last() == last:
+                break
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 OR n_tokens <> 0"), last, held, fresh
 
     def totals(self) -> DataFrame:
@@ -153,7 +167,8 @@ class TokenRollup:
         self.spark.createDataFrame([(n,) for n in sorted(held | set(fresh))], "name string").coalesce(1).write.parquet(f"{staged}/batches")
         if not self._publish(staged, f"bases/{last + 1}"):
             return False
-        for name in fresh:
+        # readers of the last base still need what it lacks
+        for name in held - self._held(last - 1) if last else ():
             for status in self._fs.listStatus(self._path(f"{self.path}/deltas/{name}")):
                 self._fs.delete(status.getPath(), True)
         return True

@@ -15,8 +15,14 @@ its block headers, so that reading is linear. ``read_archives`` also takes the r
 ``spark.read.format("binaryFile")``. The dictionary is trained on the driver from at
 most ``DICT_PAGES`` pages of at most ``DICT_PAGE_BYTES`` bytes each.
 
+The reader also takes what others write: WARC/1.0, archives without a dictionary or with a
+compressed one, further skippable frames, frames that don't tell their size, folded header lines, other
+types of records and HTTP responses, whose payload is what follows the HTTP headers. There
+``page_id`` and ``refers_to`` are null and ``record_id`` says what the record is; digests
+are checked where they are SHA-1 and, of payloads, not transfer-encoded.
+
 Cases: a null html is an empty payload; a null url is empty; a null page_id is written
-as -1 and comes back null, after all others in the choice of a response; repeated rows
+without a number and comes back null, after all others in the choice of a response; repeated rows
 are records of their own, and one of equal id revisits the first; extra columns are
 ignored; an empty table gives no archives and an empty result.
 """
@@ -41,22 +47,35 @@ ARCHIVE_BYTES, ARCHIVE_RECORDS = 8 << 20, 20_000
 #: A record may not claim more bytes than Spark's binary values can hold.
 RECORD_BYTES = (1 << 31) - 1
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
+RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary, record_id string, date string"
+#: Pages have no date of their own; a writer may give another.
+DATE = "1970-01-01T00:00:00Z"
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(page_id: int, url: str, payload: bytes, sha: str, refers_to: int | None) -> bytes:
-    revisit = refers_to is not None
+def _name(page_id: int | None) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}>"
+
+
+def _number(name: str) -> int | None:
+    """The page id in a record's name; null where it has none."""
+    digits = name.removeprefix("<urn:page:").removesuffix(">") if name.startswith("<urn:page:") else ""
+    return int(digits) if digits else None
+
+
+def record_bytes(page_id: int | None, url: str, payload: bytes, sha: str, refers_to: int | None, revisit: bool | None = None, date: str = DATE) -> bytes:
+    """``revisit`` (default: whether there is a page to refer to) leaves the payload out."""
+    revisit = refers_to is not None if revisit is None else revisit
     body = b"" if revisit else payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {url}".replace("\r", "%0D").replace("\n", "%0A"),
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {url}".replace("\r", "%0D").replace("\n", "%0A"),
         f"WARC-Payload-Digest: sha1:{sha}", f"X-Payload-Length: {len(payload)}", f"Content-Length: {len(body)}",
     ]
     if revisit:
-        head += [f"WARC-Profile: {_REVISIT}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {_REVISIT}", f"WARC-Refers-To: {_name(refers_to)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -64,30 +83,57 @@ class ArchiveError(ValueError):
     """An archive that breaks the format."""
 
 
-def parse_record(raw: bytes) -> dict:
-    head, gap, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    if not gap or lines[0] != "WARC/1.1":
-        raise ArchiveError("not a WARC/1.1 record")
-    fields = {}
+def _fields(head: bytes) -> dict[str, str]:
+    try:
+        lines = head.decode("utf-8").split("\r\n")
+    except UnicodeDecodeError as e:
+        raise ArchiveError(f"headers are not UTF-8: {e}") from e
+    if lines[0] not in ("WARC/1.0", "WARC/1.1"):
+        raise ArchiveError("not a WARC/1.0 or WARC/1.1 record")
+    fields, last = {}, ""
     for line in lines[1:]:
+        if line[:1] in (" ", "\t") and last:
+            fields[last] = f"{fields[last]} {line.strip()}".strip()
+            continue
         name, colon, value = line.partition(":")
-        if not colon or not name.strip():
+        last = name.strip().lower()
+        if not colon or not last:
             raise ArchiveError(f"malformed header line {line[:60]!r}")
-        fields[name.strip().lower()] = value.strip()
+        fields[last] = value.strip()
+    return fields
+
+
+def _sha1(fields: dict[str, str], key: str) -> str | None:
+    kind, _, value = fields.get(key, "").partition(":")
+    return value if kind.lower() == "sha1" and len(value) == 32 else None
+
+
+def parse_record(raw: bytes) -> dict:
+    head, gap, rest = raw.partition(b"\r\n\r\n")
+    if not gap:
+        raise ArchiveError("a record without an end of its headers")
+    fields = _fields(head)
     try:
-        kind, length, sha = fields["warc-type"], int(fields["content-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
-        page_id, full = int(fields["warc-record-id"].removeprefix("<urn:page:").rstrip(">")), int(fields["x-payload-length"])
+        kind, length, name = fields["warc-type"], int(fields["content-length"]), fields["warc-record-id"]
+        page_id, full, refers = _number(name), int(fields.get("x-payload-length", -1)), _number(fields.get("warc-refers-to", ""))
     except (KeyError, ValueError) as e:
         raise ArchiveError(f"missing or malformed header: {e}") from e
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
-        raise ArchiveError(f"record of page {page_id}: content length {length} does not match {len(rest) - 4}")
-    payload, refers = rest[:length], None
-    if kind == "revisit":
-        refers = int(fields["warc-refers-to"].removeprefix("<urn:page:").rstrip(">"))
-    elif kind != "response" or length != full or digest(payload) != sha:
-        raise ArchiveError(f"record of page {page_id}: type, length or digest is wrong")
-    return {"page_id": page_id, "url": fields.get("warc-target-uri", ""), "record_type": kind, "refers_to": refers, "payload_bytes": full, "payload_digest": sha, "payload": payload}
+        raise ArchiveError(f"record {name}: content length {length} does not match {len(rest) - 4}")
+    block, encoded = rest[:length], False
+    payload = block
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        http, found, payload = block.partition(b"\r\n\r\n")
+        payload, encoded = payload if found else b"", b"\r\ntransfer-encoding:" in http.lower()
+    sha, whole = _sha1(fields, "warc-payload-digest"), _sha1(fields, "warc-block-digest")
+    if whole and digest(block) != whole:
+        raise ArchiveError(f"record {name}: the block's digest is wrong")
+    if kind != "revisit" and ((sha and not encoded and digest(payload) != sha) or full not in (-1, len(payload))):
+        raise ArchiveError(f"record {name}: the payload's digest or length is wrong")
+    return {
+        "page_id": page_id, "url": fields.get("warc-target-uri", "").strip("<>"), "record_type": kind, "refers_to": refers, "payload_bytes": full if full >= 0 else None if kind == "revisit" else len(payload),
+        "payload_digest": sha or (None if kind == "revisit" else digest(payload)), "payload": payload, "record_id": name, "date": fields.get("warc-date"),
+    }
 
 
 def write_archive(records: list[bytes], dictionary: bytes, level: int = 3) -> bytes:
@@ -124,29 +170,54 @@ def frame_end(content: bytes, at: int) -> int:
 def read_archive(content: bytes) -> Iterator[dict]:
     import zstandard
 
-    if len(content) < 8 or struct.unpack_from("<I", content)[0] != DICT_MAGIC:
-        raise ArchiveError("no dictionary frame at the start")
-    at = 8 + struct.unpack_from("<I", content, 4)[0]
-    if at > len(content):
-        raise ArchiveError("dictionary frame is cut off")
-    dictionary = content[8:at]
+    if len(content) < 8:
+        raise ArchiveError("no frame at the start")
+    at, dictionary = 0, b""
+    if struct.unpack_from("<I", content)[0] == DICT_MAGIC:
+        at = 8 + struct.unpack_from("<I", content, 4)[0]
+        if at > len(content):
+            raise ArchiveError("dictionary frame is cut off")
+        dictionary = content[8:at]
+    if dictionary[:4] == struct.pack("<I", FRAME_MAGIC):
+        dictionary = _unpacked(zstandard.ZstdDecompressor(), dictionary, 8)
     unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
     while at < len(content):
+        if len(content) - at >= 8 and struct.unpack_from("<I", content, at)[0] >> 4 == DICT_MAGIC >> 4:
+            at += 8 + struct.unpack_from("<I", content, at + 4)[0]  # a skippable frame
+            if at > len(content):
+                raise ArchiveError("a skippable frame is cut off")
+            continue
         end = frame_end(content, at)
-        frame = content[at:end]
-        size = zstandard.frame_content_size(frame)
-        if not 0 <= size <= RECORD_BYTES:
-            raise ArchiveError(f"frame at {at} does not tell a record's length")
-        try:
-            raw = unpacker.decompress(frame)
-        except zstandard.ZstdError as e:
-            raise ArchiveError(f"frame at {at}: {e}") from e
-        if len(raw) != size:
-            raise ArchiveError(f"frame at {at}: {len(raw)} bytes, not {size}")
+        raw = _unpacked(unpacker, content[at:end], at)
         at = end
         yield parse_record(raw)
 
 
+def _unpacked(unpacker, frame: bytes, at: int) -> bytes:
+    """What a frame holds, with the length that it tells if it tells one."""
+    import zstandard
+
+    try:
+        size = zstandard.frame_content_size(frame)
+        if size > RECORD_BYTES:
+            raise ArchiveError(f"frame at {at} claims {size} bytes")
+        if size >= 0:
+            raw = unpacker.decompress(frame)
+        else:
+            parts, n, one = [], 0, unpacker.decompressobj()
+            for i in range(0, len(frame), 1 << 16):  # a little at a time: the frame may claim any size
+                parts.append(one.decompress(frame[i : i + (1 << 16)]))
+                n += len(parts[-1])
+                if n > RECORD_BYTES:
+                    raise ArchiveError(f"frame at {at} holds more than {RECORD_BYTES} bytes")
+            raw = b"".join(parts)
+    except zstandard.ZstdError as e:
+        raise ArchiveError(f"frame at {at}: {e}") from e
+    if size >= 0 and len(raw) != size:
+        raise ArchiveError(f"frame at {at}: {len(raw)} bytes, not {size}")
+    return raw
+
+
 def _train(pages: DataFrame) -> bytes:
     import zstandard
 
@@ -161,21 +232,22 @@ def _train(pages: DataFrame) -> bytes:
         return b""
 
 
-def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, least_bytes: int = 0, date: str = DATE) -> DataFrame:
     """Archives (archive, content) of a pages table, ready to be written."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.coalesce("page_id", F.lit(-1)).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"sha": F.sha1("payload"), "n": F.octet_length("payload")})
-    rank = F.when(F.col("page_id") < 0, F.lit((1 << 63) - 1)).otherwise(F.col("page_id"))
-    firsts = rows.groupBy("sha", "n").agg(F.min(rank).alias("low"), F.count("*").alias("m"))
-    shared = firsts.where(F.col("m") > 1).where(F.col("n") >= least_bytes).select("sha", "n", "low")
-    joined = rows.join(shared, ["sha", "n"], "left")
+    # a null id comes after all others
+    firsts = rows.groupBy("sha", "n").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id")).alias("f"), F.count("*").alias("m"))
+    shared = firsts.where(F.col("m") > 1).where(F.col("n") >= least_bytes).select("sha", "n", F.col("f.page_id").alias("low"), F.lit(True).alias("several"))
+    joined = rows.join(shared, ["sha", "n"], "left").withColumn("first", F.col("page_id").eqNullSafe(F.col("low")))
     # several rows may have the smallest id itself: the first of them is the response
-    same = joined.where(F.col("low") == F.col("page_id")).groupBy("sha", "n").agg(F.count("*").alias("k")).where("k > 1")
-    joined = joined.withColumn("refers", F.when(F.col("low").isNotNull() & (F.col("low") != rank), F.when(F.col("low") == (1 << 63) - 1, F.lit(-1)).otherwise(F.col("low"))))
+    same = joined.where(F.col("several") & F.col("first")).groupBy("sha", "n").agg(F.count("*").alias("k")).where("k > 1")
+    revisit = F.coalesce(F.col("several"), F.lit(False)) & ~F.col("first")
     if not same.isEmpty():
         order = F.row_number().over(Window.partitionBy("sha", "n", "page_id").orderBy("url"))
-        joined = joined.withColumn("refers", F.when(F.col("low") == F.col("page_id"), F.when(order > 1, F.col("low"))).otherwise(F.col("refers")))
+        revisit = F.coalesce(F.col("several"), F.lit(False)) & (~F.col("first") | (order > 1))
+    joined = joined.withColumn("revisit", revisit)
     dictionary = _train(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +257,8 @@ def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
         records, size = [], 0
         for batch in batches:
-            for page_id, url, body, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                records.append(record_bytes(page_id, url, body, digest(body), refers))
+            for page_id, url, body, refers, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                records.append(record_bytes(page_id, url, body, digest(body), refers, revisit, date))
                 size += len(records[-1])
                 if size >= ARCHIVE_BYTES or len(records) >= ARCHIVE_RECORDS:
                     yield out()
@@ -194,19 +266,17 @@ def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         if records:
             yield out()
 
-    return joined.select("page_id", "url", "payload", "refers").mapInArrow(run, "archive string, content binary")
+    return joined.select("page_id", "url", "payload", F.when(F.col("revisit"), F.col("low")).alias("refers"), "revisit").mapInArrow(run, "archive string, content binary")
 
 
 def read_archives(archives: DataFrame, content: str = "content") -> DataFrame:
     """The records of all archives, one row each."""
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("record_id", pa.string()), ("date", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one in batch.column(0):
                 found = list(read_archive(one.as_py()))
-                for r in found:
-                    r["page_id"] = None if r["page_id"] < 0 else r["page_id"]
                 yield pa.RecordBatch.from_pylist(found, schema=schema)
 
     return archives.select(content).mapInArrow(run, RECORD)

@@ -136,7 +136,7 @@ def test_archives_are_read_in_linear_time():
         return time.perf_counter() - began
 
     took(1000)
-    assert took(40_000) < 30 * took(4_000)
+    assert took(40_000) < 15 * max(took(4_000), 0.01)
 
 
 def test_archives_of_empty_pages_are_bounded(spark):
@@ -153,4 +153,94 @@ def test_large_benchmarks_count_every_copy(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (1, " ".join(words)), (2, None), (None, " ".join(words[5:30])), (3, "w1 w2")], "doc_id bigint, text string")
     items = spark.createDataFrame([(i, " ".join(words[3 + i : 16 + i])) for i in range(6)] + [(9, "w1 W2")], "item_id bigint, text string")
     a, b = (sorted(map(str, D.decontaminate(docs, items, broadcast_bytes=n).collect())) for n in (1 << 20, 0))
-    assert a == b and len(a) == 4
+    assert a == b and len(a) == 5 and a.count(a[0]) in (1, 2)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 300, 0])
+def test_items_without_an_id_are_hit(spark, limit):
+    """Windows without an item id count as hits, not as items; equal rows stay apart; slices of prefix words change nothing."""
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "x y z"), (3, "a b " + " ".join(words[:30])), (3, "a b " + " ".join(words[:30]))], "doc_id bigint, text string")
+    items = [(None, " ".join(words[10:22])), (None, "x Y"), *((i, " ".join(words[35 + i : 47 + i])) for i in range(12))]
+    got = {r.doc_id: (r.n_hit, r.n_items, r.item_ids, r.contaminated) for r in D.decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string"), broadcast_bytes=limit).collect()}
+    assert got == {1: (12 + 23, 12, sorted(map(str, range(12))), True), 2: (2, 0, [], True), 3: (12, 0, [], True)}
+    assert D.decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string"), broadcast_bytes=limit).count() == 4
+
+
+def test_large_benchmarks_shuffle_occurrences_of_prefix_words_only(spark):
+    docs = spark.createDataFrame([(1, "a b c d e")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "c d e " * 40)], "item_id bigint, text string")
+    plan = D.decontaminate(docs, items, broadcast_bytes=100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.count("Generate posexplode(w") >= 1
+
+
+def test_totals_while_batches_are_compacted(spark):
+    """A reader that took its base before a compaction, or its frame, still reads all batches."""
+    path = Scratch(spark).dir
+    rollup = TokenRollup(spark, path, {"w": words_tokenizer()})
+    rows = spark.createDataFrame([("s", "en", "a b c", 1), ("s", "en", "d e f", 1)], "source string, lang string, text string, sign int")
+    read = lambda df: [(r.n_docs, r.n_tokens) for r in df.collect()]
+    rollup.commit("1", rows)
+    late, other = TokenRollup(spark, path, {"w": words_tokenizer()}), TokenRollup(spark, path, {"w": words_tokenizer()})
+    early = late.totals()
+    base, names = late._base, late._names
+
+    def between():
+        found = base()
+        late._base = base
+        other.compact()
+        return found
+
+    late._base = between
+    assert read(late.totals()) == [(2, 6)] and read(early) == [(2, 6)]
+    rollup.commit("2", rows)
+    assert rollup.compact() and not rollup.compact() and read(late.totals()) == [(4, 12)]
+    rollup.commit("3", rows)
+    assert rollup.compact() and read(late.totals()) == [(6, 18)] and not rollup.commit("1", rows)
+    # what the base before the last held is gone
+    assert sorted(n for n in names("deltas") if not any(f.getPath().getName().endswith(".parquet") for f in late._fs.listStatus(late._path(f"{path}/deltas/{n}")))) == ["1", "2"]
+
+
+def test_page_ids_below_zero_and_none(spark):
+    rows = [(-5, "a", "same"), (3, "b", "same"), (-1, "c", "other"), (None, "d", "same"), (None, "e", "own"), (None, "f", "own"), ((1 << 63) - 1, "g", "last"), (None, "h", "last")]
+    got = {r.url: (r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in W.warc_round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    own = sorted([got.pop("e"), got.pop("f")], key=repr)
+    assert got == {"a": (-5, "response", None, 4), "b": (3, "revisit", -5, 4), "c": (-1, "response", None, 5), "d": (None, "revisit", -5, 4), "g": ((1 << 63) - 1, "response", None, 4), "h": (None, "revisit", (1 << 63) - 1, 4)}
+    assert own == [(None, "response", None, 3), (None, "revisit", None, 3)]
+
+
+def test_foreign_archives():
+    """Archives of other writers: WARC/1.0, no dictionary or a packed one, frames without a size, other record types, HTTP blocks, folded headers."""
+    import struct
+
+    import zstandard
+
+    def record(head, body, version="WARC/1.0"):
+        return "\r\n".join([version, *head, f"Content-Length: {len(body)}"]).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi</p>"
+    records = [
+        record(["WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1>", "WARC-Date: 2020-01-01T00:00:00Z"], b"software: x"),
+        record(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:2>", "WARC-Date: 2020-01-01T00:00:00Z", "WARC-Target-URI:", " http://a/", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{W.digest(b'<p>hi</p>')}", f"WARC-Block-Digest: sha1:{W.digest(http)}"], http),
+        record(["WARC-Type: resource", "WARC-Record-ID: <urn:uuid:3>", "WARC-Date: 2020-01-01T00:00:00Z"], b"", "WARC/1.1"),
+    ]
+    stream = lambda r: (lambda c: c.compress(r) + c.flush())(zstandard.ZstdCompressor(write_content_size=False).compressobj())
+    plain = b"".join(zstandard.ZstdCompressor().compress(r) for r in records[:1]) + struct.pack("<II", 0x184D2A50, 3) + b"xyz" + b"".join(map(stream, records[1:]))
+    got = list(W.read_archive(plain))
+    assert [(r["record_type"], r["page_id"], r["record_id"], r["url"], r["payload"], r["date"]) for r in got] == [
+        ("warcinfo", None, "<urn:uuid:1>", "", b"software: x", "2020-01-01T00:00:00Z"), ("response", None, "<urn:uuid:2>", "http://a/", b"<p>hi</p>", "2020-01-01T00:00:00Z"), ("resource", None, "<urn:uuid:3>", "", b"", "2020-01-01T00:00:00Z")]
+    assert got[1]["payload_digest"] == W.digest(b"<p>hi</p>")
+    raw = bytes(range(256)) * 8
+    dictionary = zstandard.ZstdCompressor().compress(raw)
+    packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+    packed = struct.pack("<II", W.DICT_MAGIC, len(dictionary)) + dictionary + b"".join(map(packer.compress, records))
+    assert [r["record_id"] for r in W.read_archive(packed)] == ["<urn:uuid:1>", "<urn:uuid:2>", "<urn:uuid:3>"]
+    wrong = [
+        record(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:2>", f"WARC-Block-Digest: sha1:{W.digest(b'no')}"], b"yes"),
+        record(["WARC-Record-ID: <urn:uuid:2>"], b"no type"), record(["WARC-Type: response"], b"no id"), records[0][:-1], records[0].replace(b"WARC/1.0", b"WARC/9.9"),
+    ]
+    for r in wrong:
+        with pytest.raises(W.ArchiveError):
+            list(W.read_archive(zstandard.ZstdCompressor().compress(r)))
+    own = W.record_bytes(7, "http://b/", b"abc", W.digest(b"abc"), None).split(b"\r\n")
+    assert b"WARC-Date: 1970-01-01T00:00:00Z" in own and own[0] == b"WARC/1.1"

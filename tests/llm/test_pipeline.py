@@ -112,7 +112,7 @@ def clean(rows, items):
 def tables(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("tables"))
     rows, items = rows_of()
-    items = [x for x in items if x[0] is not None]
+    assert any(i is None and t for i, t in items)
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder, rows, items
