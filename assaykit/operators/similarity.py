@@ -1,12 +1,27 @@
-"""Tanimoto similarity of bit sets: exact threshold join, nearest neighbours, sphere-exclusion clusters."""
+"""Tanimoto similarity of bit sets: exact threshold join, nearest neighbours, distance tiles, clusters.
+
+All of them compare blocks of packed rows (``bitblocks``). ``table`` cuts lineage: it writes a
+frame to the shared folder and returns it read back (``written`` by default).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.shared import written
+from . import bitblocks as B
 from .selection import dense_index
 
+#: Arcs between undecided rows from which a clustering ends in one task, some tens of megabytes.
+LOCAL_ARCS = 2_000_000
+
 
 def tanimoto(a: Column, b: Column) -> Column:
     """Of two arrays of on-bits; 0 for two empty ones."""
@@ -14,50 +29,213 @@ def tanimoto(a: Column, b: Column) -> Column:
     return F.when(either > 0, both / F.greatest(either, F.lit(1))).otherwise(0.0)
 
 
-def threshold_pairs(df: DataFrame, threshold: float, key: str = "id", bits: str = "bits") -> DataFrame:
-    """Pairs (a, b, similarity), a < b, of at least ``threshold``: an exact prefix-filtered join on bits, rarest first."""
+def threshold_pairs(df: DataFrame, threshold: float, key: str = "id", bits: str = "bits", table: B.Table = written) -> DataFrame:
+    """Pairs (a, b, similarity), a < b, of at least ``threshold``.
+
+    Sizes x <= y allow a similarity of x / y at most, so a block meets the blocks that begin
+    below hi / threshold and not before it. Sets without bits are similar to nothing.
+    """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    rows = df.select(F.col(key).alias("k"), F.array_distinct(bits).alias("s")).where("size(s) > 0")
-    each = rows.select("k", F.size("s").alias("n"), F.explode("s").alias("bit"))
-    rank = each.groupBy("bit").agg(F.count("*").alias("f"))
-    order = each.join(rank, "bit").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("f", "bit"))).alias("o"))
-    size = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    prefix = order.select("k", "n", F.explode(F.slice("o", F.lit(1), size.cast("int"))).alias("x")).select("k", "n", "x.bit")
-    other = prefix.select(F.col("k").alias("b"), F.col("n").alias("nb"), "bit")
-    fits = F.least("n", "nb") >= F.greatest("n", "nb") * threshold - 1e-9
-    pairs = prefix.join(other, "bit").where(F.col("k") < F.col("b")).where(fits).select(F.col("k").alias("a"), "b").distinct()
-    left, right = rows.select(F.col("k").alias("a"), F.col("s").alias("sa")), rows.select(F.col("k").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", tanimoto(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
-
-
-def butina(df: DataFrame, cutoff: float = 0.35, key: str = "id", bits: str = "bits", max_rows: int | None = None, table=None) -> DataFrame:
+    rows = df.where(F.size(bits) > 0)
+    (n,), width = B.width_of((rows, bits))
+    blocks = B.pack(rows, key, bits, table, n, width)
+    reach = B.last_block(blocks, blocks.meta(), F.floor(F.col("hi") / threshold + 1e-9))
+    pairs = reach.select(F.col("b").alias("i"), F.explode(F.sequence("b", F.greatest("b", "last"))).alias("j"))
+
+    def run(x: dict, y: dict, _: dict) -> Iterator[pa.RecordBatch]:
+        (ids, sizes, left), (ids_, sizes_, right) = B.rows_of(x, width), B.rows_of(y, width)
+        same = x["b"].as_py() == y["b"].as_py()
+        for at in B.chunks(len(sizes), len(sizes_)):
+            common = left[at] @ right.T
+            # common / (a + b - common) >= t; the exact test is for those that come near
+            p, q = np.nonzero(common * (1 + threshold) > (sizes[at, None] + sizes_[None, :]) * threshold - 0.1)
+            similarity = B.similarities(common[p, q], sizes[at][p], sizes_[q])
+            p = p + at.start
+            kept = (similarity >= threshold) & ((p < q) if same else True)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(p[kept])), ids_.take(pa.array(q[kept])), pa.array(similarity[kept])], names=["p", "q", "similarity"])
+
+    found = B.matched(blocks, blocks, pairs, run, f"p {blocks.key}, q {blocks.key}, similarity double")
+    return found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity").where("a < b")
+
+
+def _prefers(d: str, k: str, e: str, m: str) -> Column:
+    """Whether (degree d, key k) comes before (degree e, key m): more neighbours, then the smaller key."""
+    return (F.col(d) > F.col(e)) | ((F.col(d) == F.col(e)) & (F.col(k) < F.col(m)))
+
+
+def _members_here(arcs: DataFrame, kind: str) -> DataFrame:
+    """Members among the rows of a bounded arc table (a, da, b, db), in one task: the rows in order of priority, each undecided one a centroid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        n = rows.num_rows
+        codes = pa.chunked_array([*rows.column("a").chunks, *rows.column("b").chunks]).combine_chunks().dictionary_encode()
+        codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+        keys, code = codes.dictionary, codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        a, b = code[:n], code[n:]
+        degree = np.zeros(len(keys), np.int64)
+        degree[a] = rows.column("da").to_numpy()
+        by_key = np.empty(len(keys), np.int64)
+        by_key[pc.sort_indices(keys).to_numpy()] = np.arange(len(keys))
+        order = np.argsort(a, kind="stable")
+        other, start = b[order], np.searchsorted(a[order], np.arange(len(keys) + 1))
+        state = np.zeros(len(keys), np.int8)
+        for v in np.lexsort((by_key, -degree)).tolist():
+            if not state[v]:
+                state[v] = 1
+                near = other[start[v] : start[v + 1]]
+                state[near[state[near] == 0]] = 2
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.flatnonzero(state == 2)))], names=["m"])
+
+    return arcs.coalesce(1).mapInArrow(run, f"m {kind}")
+
+
+def _members(arcs: DataFrame, kind: str, table: B.Table, local_arcs: int) -> DataFrame:
+    """Rows (m) that a centroid takes out. Rounds over the arcs between undecided rows, which shrink, until few enough are left for one task."""
+    done = []
+    while arcs.count() > local_arcs:
+        free = arcs.groupBy("a").agg(F.bool_or(_prefers("db", "b", "da", "a")).alias("waits")).where(~F.col("waits")).select(F.col("a").alias("m"))
+        out = arcs.join(free, F.col("b") == F.col("m"), "leftsemi").select(F.col("a").alias("m")).distinct()
+        decided = table(free.withColumn("member", F.lit(False)).unionByName(out.withColumn("member", F.lit(True))))
+        done.append(decided.where("member").select("m"))
+        arcs = table(arcs.join(decided, F.col("a") == F.col("m"), "left_anti").join(decided, F.col("b") == F.col("m"), "left_anti"))
+    done.append(_members_here(arcs, kind))
+    members = done[0]
+    for d in done[1:]:
+        members = members.unionByName(d)
+    return table(members)
+
+
+def _guard(df: DataFrame, max_rows: int | None) -> None:
+    if max_rows is not None and df.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"more than {max_rows} rows to cluster; use leader_clusters (cluster_method 'leader'), group by scaffold, or raise max_rows")
+
+
+def butina(df: DataFrame, cutoff: float = 0.35, key: str = "id", bits: str = "bits", max_rows: int | None = None, table: B.Table = written, local_arcs: int = LOCAL_ARCS) -> DataFrame:
     """(key, cluster_id, is_centroid): greedy sphere exclusion by neighbour count, ties to the smaller key.
 
-    Equal to the sequential algorithm: in each round every undecided row without an
-    undecided neighbour of higher priority becomes a centroid and takes its undecided
-    neighbours out; at the end each row joins its highest centroid. ``table`` cuts the
-    lineage of a round (``DataFrame.checkpoint`` by default).
+    Equal to the sequential algorithm: a row without an undecided neighbour of higher
+    priority becomes a centroid and takes its undecided neighbours out; at the end each member
+    joins its highest centroid. A distance is 1 less the similarity in 32-bit floats. Cluster 0 is the largest; equal ones go by their centroids' priority. Where the
+    cutoff is 1 all rows are neighbours, and no pair is looked at.
     """
-    if max_rows is not None and df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"more than {max_rows} rows; group by scaffold instead, or raise max_rows")
-    table = table or (lambda x: x.checkpoint())
-    edges = threshold_pairs(df, max(1 - cutoff, 1e-9), key, bits).where(F.lit(1).cast("float") - F.col("similarity").cast("float") <= F.lit(cutoff))
-    arcs = table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    degree = arcs.groupBy("a").agg(F.count("*").alias("d"))
-    nodes = df.select(F.col(key).alias("v")).join(degree, F.col("v") == F.col("a"), "left").select("v", F.struct((-F.coalesce("d", F.lit(0))).alias("d"), F.col("v").alias("i")).alias("p"))
-    state = table(nodes.withColumn("s", F.lit(0)))  # 0 undecided, 1 centroid, 2 member
-    while not state.where("s = 0").isEmpty():
-        best = arcs.join(state.where("s = 0").select(F.col("v").alias("b"), F.col("p").alias("q")), "b").groupBy("a").agg(F.min("q").alias("q"))
-        picked = state.join(best, F.col("v") == F.col("a"), "left").select("v", "p", F.when((F.col("s") == 0) & (F.col("q").isNull() | (F.col("p") < F.col("q"))), 1).otherwise(F.col("s")).alias("s"))
-        picked = table(picked)
-        near = arcs.join(picked.where("s = 1").select(F.col("v").alias("b")), "b").select(F.col("a").alias("m")).distinct()
-        state = table(picked.join(near, F.col("v") == F.col("m"), "left").select("v", "p", F.when((F.col("s") == 0) & F.col("m").isNotNull(), 2).otherwise(F.col("s")).alias("s")))
-    centre = state.where("s = 1").select(F.col("v").alias("b"), F.col("p").alias("q"))
-    own = arcs.join(centre, "b").groupBy("a").agg(F.min("q").alias("q"))
-    member = state.join(own, F.col("v") == F.col("a"), "left").select("v", F.when(F.col("s") == 1, F.col("p")).otherwise(F.col("q")).alias("c"), (F.col("s") == 1).alias("is_centroid"))
-    ids = dense_index(member.groupBy("c").agg(F.count("*").alias("n")), [F.desc("n"), "c"], "cluster_id", table).select("c", "cluster_id")
-    return member.join(ids, "c").select(F.col("v").alias(key), "cluster_id", "is_centroid")
+    if not 0 <= cutoff <= 1:
+        raise ValueError("cutoff must be 0 to 1")
+    _guard(df, max_rows)
+    if cutoff == 1:
+        first = df.agg(F.min(key).alias("first")).withColumn("zero", F.lit(0).cast("bigint"))
+        return df.select(key, F.lit(0).cast("bigint").alias("zero")).join(F.broadcast(first), "zero").select(key, F.col("zero").alias("cluster_id"), (F.col(key) == F.col("first")).alias("is_centroid"))
+    kind = df.schema[key].dataType.simpleString()
+    edges = threshold_pairs(df, max(1 - cutoff - 1e-6, 1e-9), key, bits, table).where(F.lit(1).cast("float") - F.col("similarity").cast("float") <= F.lit(cutoff))
+    edges = table(edges.select("a", "b"))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.groupBy("a").agg(F.count("*").alias("d"))
+    arcs = table(both.join(degree.withColumnRenamed("d", "da"), "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("db")), "b"))
+    members = _members(arcs, kind, table, local_arcs)
+    # a member's neighbours that no centroid has taken out are centroids
+    near = arcs.join(members, F.col("a") == F.col("m"), "leftsemi").join(members, F.col("b") == F.col("m"), "left_anti")
+    taken = near.groupBy("a").agg(F.min(F.struct((-F.col("db")).alias("d"), F.col("b").alias("v"))).alias("c"))
+    own = arcs.groupBy("a").agg(F.first("da").alias("d")).select(F.col("a").alias("v"), (-F.col("d")).alias("d"))
+    rows = df.select(F.col(key).alias("k")).join(taken, F.col("k") == F.col("a"), "left").join(own, F.col("k") == F.col("v"), "left")
+    centre = F.coalesce("c", F.struct(F.coalesce("d", F.lit(0).cast("bigint")).alias("d"), F.col("k").alias("v")))
+    found = table(rows.select("k", centre.alias("c"), F.col("c").isNull().alias("is_centroid")))
+    ids = dense_index(found.groupBy("c").agg(F.count("*").alias("n")), [F.desc("n"), "c"], "cluster_id", table).select("c", F.col("cluster_id").cast("bigint").alias("cluster_id"))
+    return found.join(ids, "c").select(F.col("k").alias(key), "cluster_id", "is_centroid")
+
+
+def leader_clusters(df: DataFrame, cutoff: float = 0.35, key: str = "id", bits: str = "bits", batch_rows: int = 4096, table: B.Table = written) -> DataFrame:
+    """(key, leader, is_leader): each row in order of key joins the first leader within ``cutoff``, or becomes one.
+
+    For inputs whose neighbour lists are too many: work is rows times leaders and no edge is
+    ever written. A round takes the first ``batch_rows`` undecided rows, settles them in one
+    task, and sends their leaders (at most ``batch_rows``, some hundred bytes each) to the blocks
+    of undecided rows; what they cover leaves the state.
+    """
+    if not 0 <= cutoff <= 1:
+        raise ValueError("cutoff must be 0 to 1")
+    (n,), width = B.width_of((df, bits))
+    batch_rows = max(1, batch_rows)
+    blocks = B.pack(df, key, bits, table, n, width, min(B.block_rows(n), batch_rows), by_key=True)
+    state, kind, key_type = blocks.df.select("b", "n", "ids", "sizes", "words"), blocks.key, to_arrow_type(df.schema[key].dataType)
+    least, out = 1 - cutoff - 1e-6, []
+
+    def within(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        similarity = B.similarities(common, a, b)
+        return (similarity >= least) & ((np.float32(1) - similarity.astype(np.float32)).astype(np.float64) <= cutoff)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in pa.Table.from_batches([batch]).to_pylist()), key=lambda r: r["b"])
+        if not rows:
+            return
+        words, sizes = b"".join(r["words"] for r in rows), np.concatenate([r["sizes"] for r in rows]).astype(np.int64)
+        bits_ = B.unpacked(words, width)
+        leader = np.full(len(sizes), -1)
+        for i in range(len(sizes)):
+            if leader[i] < 0:
+                near = np.flatnonzero(leader[i:] < 0) + i
+                hit = near[within(bits_[near] @ bits_[i], sizes[near], sizes[i])]
+                leader[hit] = i
+                leader[i] = i
+        ids = pa.array([k for r in rows for k in r["ids"]], key_type)
+        rows_ = np.frombuffer(words, np.uint8).reshape(len(sizes), width)
+        cols = [ids, ids.take(pa.array(leader)), pa.array(sizes, pa.int32()), pa.array([w.tobytes() for w in rows_], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["k", "leader", "c", "word"])
+
+    while True:
+        first = state.select("b", "n").orderBy("b").limit(64).collect()
+        if not first:
+            break
+        chosen, held = [], 0
+        for r in first:
+            if chosen and held + r.n > batch_rows:
+                break
+            chosen.append(r.b)
+            held += r.n
+        settled = table(state.where(F.col("b").isin(chosen)).coalesce(1).mapInArrow(settle, f"k {kind}, leader {kind}, c int, word binary"))
+        out.append(settled.select("k", "leader"))
+        leaders = settled.where("k = leader").orderBy("k").collect()  # at most batch_rows
+        bits_l, sizes_l = B.unpacked(b"".join(bytes(r.word) for r in leaders), width), np.array([r.c for r in leaders], np.int64)
+        names = pa.array([r.k for r in leaders], key_type)
+
+        def cover(batches: Iterator[pa.RecordBatch], bits_l=bits_l, sizes_l=sizes_l, names=names) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    block = {c: batch.column(c)[k] for c in ("ids", "sizes", "words")}
+                    ids, sizes, bits_ = B.rows_of(block, width)
+                    taken = np.full(len(sizes), -1)
+                    for at in B.chunks(len(sizes), len(sizes_l)):
+                        hit = within(bits_[at] @ bits_l.T, sizes[at, None], sizes_l[None, :])
+                        taken[at] = np.where(hit.any(axis=1), hit.argmax(axis=1), -1)
+                    gone, left = np.flatnonzero(taken >= 0), np.flatnonzero(taken < 0)
+                    words = np.frombuffer(block["words"].as_py(), np.uint8).reshape(-1, width)[left]
+                    cols = [
+                        pa.array([batch.column("b")[k].as_py()], pa.int64()), pa.array([len(left)], pa.int32()), pa.array([ids.take(pa.array(left)).to_pylist()], pa.list_(key_type)),
+                        pa.array([sizes[left].tolist()], pa.list_(pa.int32())), pa.array([words.tobytes()], pa.binary()),
+                        pa.array([ids.take(pa.array(gone)).to_pylist()], pa.list_(key_type)), pa.array([names.take(pa.array(taken[gone])).to_pylist()], pa.list_(key_type)),
+                    ]
+                    yield pa.RecordBatch.from_arrays(cols, names=["b", "n", "ids", "sizes", "words", "gone", "by"])
+
+        schema = f"b bigint, n int, ids array<{kind}>, sizes array<int>, words binary, gone array<{kind}>, by array<{kind}>"
+        step = table(state.where(~F.col("b").isin(chosen)).mapInArrow(cover, schema))
+        out.append(step.select(F.explode(F.arrays_zip(F.col("gone").alias("k"), F.col("by").alias("leader"))).alias("x")).select("x.k", "x.leader"))
+        state = step.where("n > 0").select("b", "n", "ids", "sizes", "words")
+    if not out:
+        return df.select(key, F.col(key).alias("leader"), F.lit(True).alias("is_leader"))
+    rows = out[0]
+    for o in out[1:]:
+        rows = rows.unionByName(o)
+    return rows.select(F.col("k").alias(key), "leader", (F.col("k") == F.col("leader")).alias("is_leader"))
+
+
+def numbered_leaders(clusters: DataFrame, key: str = "id", table: B.Table = written) -> DataFrame:
+    """(key, cluster_id, is_centroid) of leader clusters: 0 is the largest, equal ones in order of their leaders."""
+    found = table(clusters)
+    ids = dense_index(found.groupBy("leader").agg(F.count("*").alias("n")), [F.desc("n"), "leader"], "cluster_id", table).select("leader", F.col("cluster_id").cast("bigint").alias("cluster_id"))
+    return found.join(ids, "leader").select(key, "cluster_id", F.col("is_leader").alias("is_centroid"))
 
 
 def check_clusters(rows: DataFrame, clusters: DataFrame, key: str = "id") -> DataFrame:
@@ -74,23 +252,125 @@ def check_clusters(rows: DataFrame, clusters: DataFrame, key: str = "id") -> Dat
     return clusters
 
 
-def nearest(queries: DataFrame, targets: DataFrame, k: int, key: str = "id", bits: str = "bits") -> DataFrame:
-    """The k most similar other targets of each query (similarity, then id).
+def distance_tiles(df: DataFrame, key: str = "id", bits: str = "bits", size: int = 1024, table: B.Table = written) -> DataFrame:
+    """The lower triangle of the distance matrix in tiles: (i, j, n_rows, n_columns, first_row, first_column, distances).
 
-    Targets come through shared bits; a query with fewer than k of them is filled up with
-    targets of similarity 0, of which only the 2k + 1 with the smallest ids can be needed.
+    Rows are numbered 0, 1, 2... by key; ``distances`` are 32-bit floats (little-endian), a row of
+    ``n_columns`` after another, for tile numbers i >= j. Only tiles that are asked for need to be
+    read: see ``distances_at``. Two sets without bits have distance 1.
+    """
+    (n,), width = B.width_of((df, bits))
+    blocks = B.pack(df, key, bits, table, n, width, size, by_key=True)
+    meta = blocks.meta()
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    first = table(meta.select("b", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
+    pairs = first.select(F.col("b").alias("i"), F.col("first").alias("first_row"), F.explode(F.sequence(F.lit(0).cast("bigint"), "b")).alias("j"))
+    pairs = pairs.join(first.select(F.col("b").alias("j"), F.col("first").alias("first_column")), "j")
+
+    def run(x: dict, y: dict, given: dict) -> Iterator[pa.RecordBatch]:
+        (_, sizes, left), (_, sizes_, right) = B.rows_of(x, width), B.rows_of(y, width)
+        parts = []
+        for at in B.chunks(len(sizes), len(sizes_)):
+            parts.append(np.float32(1) - B.similarities(left[at] @ right.T, sizes[at, None], sizes_[None, :]).astype(np.float32))
+        values = [x["b"].as_py(), y["b"].as_py(), len(sizes), len(sizes_), given["first_row"], given["first_column"], np.concatenate(parts).astype("<f4").tobytes()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=["i", "j", "n_rows", "n_columns", "first_row", "first_column", "distances"])
+
+    return B.matched(blocks, blocks, pairs, run, "i bigint, j bigint, n_rows int, n_columns int, first_row bigint, first_column bigint, distances binary", ["first_row", "first_column"])
+
+
+def distances_at(tiles: DataFrame, positions: DataFrame) -> DataFrame:
+    """(position, row, column, distance) of places in the flat triangle, where row r has columns 0..r-1 and starts at r(r-1)/2.
+
+    ``positions`` has a column ``position``; those outside the triangle have no row. ``tiles`` is best a written table: the join
+    needs its narrow columns first and the distances of tiles that are asked for.
+    """
+    p = F.col("position")
+    guess = F.floor((1 + F.sqrt(1 + 8 * p.cast("double"))) / 2).cast("bigint")
+    start = lambda r: F.shiftright(r * (r - 1), 1)
+    row = F.when(start(guess) > p, guess - 1).when(start(guess + 1) <= p, guess + 1).otherwise(guess)  # the root is a double
+    places = positions.where(p >= 0).select("position", row.alias("row")).withColumn("column", F.col("position") - start(F.col("row")))
+    size = tiles.agg(F.max("n_rows")).first()[0] or 1
+    spots = tiles.select("i", "first_row", "n_rows").distinct()
+    spots = places.withColumn("bucket", F.floor(F.col("row") / size)).join(spots.select("i", "first_row", "n_rows", F.explode(F.sequence(F.floor(F.col("first_row") / size), F.floor((F.col("first_row") + F.col("n_rows") - 1) / size))).alias("bucket")), "bucket")
+    spots = spots.where((F.col("row") >= F.col("first_row")) & (F.col("row") < F.col("first_row") + F.col("n_rows"))).select("position", "row", "column", F.col("i").alias("i_"), F.floor(F.col("column") / size).alias("column_bucket"))
+    wide = tiles.withColumn("column_bucket", F.explode(F.sequence(F.floor(F.col("first_column") / size), F.floor((F.col("first_column") + F.col("n_columns") - 1) / size))))
+    found = spots.join(wide, (F.col("i") == F.col("i_")) & (spots["column_bucket"] == wide["column_bucket"])).where((F.col("column") >= F.col("first_column")) & (F.col("column") < F.col("first_column") + F.col("n_columns")))
+    at = (F.col("row") - F.col("first_row")) * F.col("n_columns") + F.col("column") - F.col("first_column")
+    four = F.conv(F.hex(F.substring("distances", (4 * at + 1).cast("int"), F.lit(4))), 16, 10).cast("bigint")
+    return found.select("position", "row", "column", _float_of(four).alias("distance"))
+
+
+def _float_of(four: Column) -> Column:
+    """The 32-bit float whose little-endian bytes, read as a big-endian number, are ``four``; not negative, finite."""
+    byte = [F.shiftright(four, s).bitwiseAND(F.lit(255)) for s in (0, 8, 16, 24)]  # most significant byte of the float first
+    exponent = F.shiftleft(byte[0].bitwiseAND(F.lit(127)), 1) + F.shiftright(byte[1], 7)
+    fraction = byte[1].bitwiseAND(F.lit(127)) * 65536 + byte[2] * 256 + byte[3]
+    normal = (1 + fraction / 8388608.0) * F.pow(F.lit(2.0), exponent - 127)
+    return F.when(exponent == 0, fraction * F.pow(F.lit(2.0), F.lit(-149))).otherwise(normal).cast("float")
+
+
+def nearest(queries: DataFrame, targets: DataFrame, k: int, key: str = "id", bits: str = "bits", table: B.Table = written) -> DataFrame:
+    """(q, t, similarity, rank): the k most similar other targets of each query (similarity, then id).
+
+    Two waves over blocks sorted by their number of bits. The first compares each block of
+    queries with the block of targets of about its size, which gives each query k candidates and
+    the similarity that a better one must reach. The second visits the blocks outwards as far as
+    their sizes allow that for any query of the block, and in them compares only queries for
+    which they do. Queries without bits are similar to nothing: their answer is the k smallest ids.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    q = queries.select(F.col(key).alias("q"), F.array_distinct(bits).alias("s"))
-    t = targets.select(F.col(key).alias("t"), F.array_distinct(bits).alias("u"))
-    common = q.select("q", F.size("s").alias("nq"), F.explode("s").alias("bit")).join(t.select("t", F.size("u").alias("nt"), F.explode("u").alias("bit")), "bit").where("q <> t")
-    scored = common.groupBy("q", "t", "nq", "nt").agg(F.count("*").alias("c")).select("q", "t", (F.col("c") / (F.col("nq") + F.col("nt") - F.col("c"))).alias("similarity"))
-    order = Window.partitionBy("q").orderBy(F.desc("similarity"), "t")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    have = q.select("q").join(best.groupBy("q").agg(F.collect_set("t").alias("got")), "q", "left").withColumn("got", F.coalesce("got", F.array().cast(f"array<{t.schema['t'].dataType.simpleString()}>")))
-    first = targets.select(F.col(key).alias("t")).distinct().orderBy("t").limit(2 * k + 1).agg(F.array_sort(F.collect_list("t")).alias("first")).withColumn("one", F.lit(1))
-    short = have.where(F.size("got") < k).withColumn("one", F.lit(1)).join(F.broadcast(first), "one")
-    rest = F.filter("first", lambda x: (x != F.col("q")) & ~F.array_contains("got", x))
-    fill = short.select("q", F.size("got").alias("n"), F.posexplode(F.slice(rest, F.lit(1), k - F.size("got"))).alias("p", "t"))
-    return best.select("q", "t", "similarity", "rank").unionByName(fill.select("q", "t", F.lit(0.0).alias("similarity"), (F.col("n") + F.col("p") + 1).alias("rank")))
+    full = queries.where(F.size(bits) > 0)
+    (n_q, n_t), width = B.width_of((full, bits), (targets, bits))
+    q = B.pack(full, key, bits, table, n_q, width)
+    t = B.pack(targets, key, bits, table, n_t, width, min(B.block_rows(n_t), B.MOST_ROWS // 2))
+    kind, q_kind = t.key, q.key
+
+    def run(x: dict, y: dict, given: dict) -> Iterator[pa.RecordBatch]:
+        (ids, sizes, left), (ids_, sizes_, right) = B.rows_of(x, width), B.rows_of(y, width)
+        least = np.full(len(sizes), -1.0)
+        if given.get("least") is not None:
+            least[np.array(given["at"], int)] = given["least"]
+        bound = np.minimum(sizes, sizes_.max()) / np.maximum(np.maximum(sizes, sizes_.min()), 1)
+        rows = np.flatnonzero(bound >= least)
+        rank = np.empty(len(ids_), np.int64)
+        rank[pc.sort_indices(ids_).to_numpy()] = np.arange(len(ids_))
+        names, names_ = ids.to_numpy(zero_copy_only=False), ids_.to_numpy(zero_copy_only=False)
+        for part in B.chunks(len(rows), len(sizes_)):
+            some = rows[part]
+            s = B.similarities(left[some] @ right.T, sizes[some, None], sizes_[None, :])
+            s[names[some][:, None] == names_[None, :]] = -2.0
+            m = min(k, len(sizes_))
+            if m < len(sizes_):
+                # all that reach the m-th value, so that ties go by id
+                least_kept = np.partition(s, len(sizes_) - m, axis=1)[:, len(sizes_) - m]
+            else:
+                least_kept = np.full(len(some), -1.0)
+            p, c = np.nonzero(s >= np.maximum(np.maximum(least_kept, least[some]), -1.0)[:, None])
+            order = np.lexsort((rank[c], -s[p, c], p))
+            p, c = p[order], c[order]
+            place = np.arange(len(p)) - np.searchsorted(p, p)
+            p, c = p[place < k], c[place < k]
+            cols = [pa.array([x["b"].as_py()] * len(p), pa.int64()), pa.array(some[p], pa.int32()), ids.take(pa.array(some[p])), ids_.take(pa.array(c)), pa.array(s[p, c])]
+            yield pa.RecordBatch.from_arrays(cols, names=["b", "at", "q", "t", "similarity"])
+
+    schema = f"b bigint, at int, q {q_kind}, t {kind}, similarity double"
+    middle = B.last_block(t, q.meta(), F.floor((F.col("lo") + F.col("hi")) / 2)).withColumn("home", F.coalesce("last", F.lit(0).cast("bigint"))).drop("last")
+    middle = table(middle)
+    first = table(B.matched(q, t, middle.select(F.col("b").alias("i"), F.col("home").alias("j")), run, schema))
+    least = first.groupBy("b", "at").agg(F.min("similarity").alias("s"), F.count("*").alias("m")).select("b", "at", F.when(F.col("m") < k, -1.0).otherwise(F.col("s")).alias("s"))
+    # rows that found nothing at home have no entry, and none of their blocks may be left out
+    least = least.groupBy("b").agg(F.min("s").alias("low"), F.count("*").alias("m"), F.collect_list("at").alias("at"), F.collect_list("s").alias("least"))
+    open_ = middle.join(least, "b", "left").withColumn("low", F.when(F.col("least").isNull() | (least["m"] < F.col("n")), -1.0).otherwise(F.col("low")))
+    open_ = B.last_block(t, open_, F.when(F.col("low") > 0, F.floor(F.col("hi") / F.col("low") + 1e-9)).otherwise(F.lit(1 << 40))).withColumnRenamed("last", "up_to")
+    open_ = B.last_block(t, open_, F.when(F.col("low") > 0, F.ceil(F.col("lo") * F.col("low") - 1e-9) - 1).otherwise(F.lit(-1).cast("bigint")))
+    # the last block that begins below what is needed may still reach into it
+    ranges = open_.where(F.col("up_to").isNotNull()).select(F.col("b").alias("i"), "home", "at", "least", F.explode(F.sequence(F.coalesce("last", F.lit(0).cast("bigint")), "up_to")).alias("j"))
+    more = B.matched(q, t, ranges.where("j <> home").drop("home"), run, schema, ["at", "least"])
+    order = Window.partitionBy("b", "at").orderBy(F.desc("similarity"), "t")
+    best = first.unionByName(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "t", "similarity", "rank")
+    smallest = targets.select(F.col(key).alias("t")).orderBy("t").limit(k + 1).agg(F.array_sort(F.collect_list("t")).alias("s")).withColumn("one", F.lit(1))
+    none = queries.where(F.coalesce(F.size(bits), F.lit(0)) <= 0).select(F.col(key).alias("q"), F.lit(1).alias("one")).join(F.broadcast(smallest), "one")
+    fill = none.select("q", F.posexplode(F.slice(F.filter("s", lambda x: x != F.col("q")), 1, k)).alias("p", "t"))
+    return best.unionByName(fill.select("q", "t", F.lit(0.0).alias("similarity"), (F.col("p") + 1).alias("rank")))

@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +18,8 @@ from ..functions.score import DEFAULT_WEIGHTS, check_weights, composite_score
 from ..kernel import CATALOGS
 from ..kernel.alerts import ENTRIES, Entry
 from ..operators import selection as S
-from ..operators.similarity import butina
+from ..operators.similarity import butina, leader_clusters, numbered_leaders
+from ..sources.shared import written
 
 DESCRIPTORS = {
     "molecular_weight": pa.float64(), "heavy_atoms": pa.int32(), "total_atoms": pa.int32(), "clogp": pa.float64(), "tpsa": pa.float64(), "hbd": pa.int32(), "hba": pa.int32(),
@@ -33,16 +33,17 @@ _HEAD_SQL = "parse_ok boolean, parse_error string, standard_smiles string, murck
 Table = Callable[[DataFrame], DataFrame]
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """The rows, computed once: a checkpoint where the session has a folder for them, else kept by Spark with their lineage."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is not None:
-        return df.checkpoint()
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+#: The rows, computed once: a table in the shared folder.
+materialised = written
 
 
 @dataclass(frozen=True)
 class TriageConfig:
-    """What a run does; names that are not known and bounds that contradict are errors at once."""
+    """What a run does; names that are not known and bounds that contradict are errors at once.
+
+    Butina clusters of more than ``max_cluster_rows`` rows are refused (None: never); ``cluster_method`` "leader"
+    takes any number.
+    """
 
     standardize: bool = True
     deduplicate: bool = True
@@ -53,7 +54,8 @@ class TriageConfig:
     drop_alert_hits: bool = False
     cluster: bool = True
     cluster_cutoff: float = 0.35
-    max_cluster_rows: int | None = None
+    cluster_method: str = "butina"
+    max_cluster_rows: int | None = 20_000
     fingerprint_radius: int = 2
     fingerprint_bits: int = 2048
     top_n: int | None = None
@@ -72,6 +74,7 @@ class TriageConfig:
         for ok, text in (
             (self.top_n is None or self.top_n >= 1, "top_n must be at least 1"),
             (0 <= self.cluster_cutoff <= 1, "cluster_cutoff must be 0 to 1"),
+            (self.cluster_method in ("butina", "leader"), "cluster_method must be butina or leader"),
             (1 <= self.fingerprint_radius <= 4, "fingerprint_radius must be 1 to 4"),
             (512 <= self.fingerprint_bits <= 8192, "fingerprint_bits must be 512 to 8192"),
             (self.cluster or not self.representatives_only, "representatives_only needs cluster"),
@@ -173,7 +176,12 @@ def finalize(described: DataFrame, config: TriageConfig, table: Table = material
     if not config.cluster:
         return rows.withColumn("cluster_id", F.lit(None).cast("bigint")).withColumn("is_cluster_representative", F.lit(False))
     bits = F.when(F.col("fingerprint").isNull(), F.raise_error(F.concat(F.lit("no fingerprint to cluster for "), "identifier"))).otherwise(F.col("fingerprint"))
-    found = butina(rows.where(kept).select("ord", bits.cast("array<int>").alias("fingerprint")), config.cluster_cutoff, "ord", "fingerprint", config.max_cluster_rows, table).select("ord", "cluster_id")
+    sets = rows.where(kept).select("ord", bits.cast("array<int>").alias("fingerprint"))
+    if config.cluster_method == "leader":
+        found = numbered_leaders(leader_clusters(sets, config.cluster_cutoff, "ord", "fingerprint", table=table), "ord", table)
+    else:
+        found = butina(sets, config.cluster_cutoff, "ord", "fingerprint", config.max_cluster_rows, table)
+    found = found.select("ord", "cluster_id")
     return S.representatives(rows.join(found, "ord", "left"))
 
 

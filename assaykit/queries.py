@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from .functions import score as X
 from .operators import selection as S
 from .operators import similarity as T
 from .plans.triage import TriageConfig, describe, generic_scaffolds, standardised, triage
+from .sources.shared import written
 from .sources.sinks import json_lines
 
 #: Descriptors derived from order keys; the same text runs in Spark and DuckDB.
@@ -145,15 +145,8 @@ def standardised_drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("standard_smiles").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"), F.count("error").alias("errors")).drop("standard_smiles")
 
 
-def cluster_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fingerprint is in exactly one cluster."""
-    rows, found = fingerprints(spark, sf_dir), butina_clusters(spark, sf_dir)
-    return T.check_clusters(rows, found).agg(F.count("*").alias("n"))
-
-
 def triage_drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan: alerts, rules, dedup that tells enantiomers apart, scores, clusters and representatives."""
-    _checkpoints(spark)
     out, _ = triage(drugs(spark, sf_dir), TriageConfig(rule_sets=("veber", "lipinski")))
     return out.select("identifier", "duplicate_of", "report_group", F.round("score", 4).alias("score"), F.size(F.filter("rules", lambda r: r["passed"])).alias("passed"), "is_cluster_representative")
 
@@ -177,20 +170,30 @@ _FP = "WITH f AS (SELECT vec_id AS id, list_filter(range(0, 64), lambda i: embed
 
 
 def butina_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def table(df: DataFrame) -> DataFrame:
-        return df.checkpoint()
+    return T.butina(fingerprints(spark, sf_dir), 0.5).select("id", "cluster_id", "is_centroid")
 
-    _checkpoints(spark)
-    return T.butina(fingerprints(spark, sf_dir), 0.5, table=table).select("id", F.col("cluster_id").cast("long").alias("cluster_id"), "is_centroid")
 
+def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.leader_clusters(fingerprints(spark, sf_dir), 0.5)
+
+
+def cluster_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every fingerprint: its cluster's size and centroid, and whether it is within the cutoff of that centroid."""
+    rows = fingerprints(spark, sf_dir)
+    found = written(T.check_clusters(rows, written(T.butina(rows, 0.5))))
+    centre = found.where("is_centroid").select("cluster_id", F.col("id").alias("centroid")).join(rows.select(F.col("id").alias("centroid"), F.col("bits").alias("theirs")), "centroid")
+    sizes = found.groupBy("cluster_id").agg(F.count("*").alias("size"))
+    near = F.lit(1).cast("float") - T.tanimoto(F.col("bits"), F.col("theirs")).cast("float") <= 0.5
+    return found.join(rows, "id").join(centre, "cluster_id").join(sizes, "cluster_id").select("id", "size", "centroid", (near | (F.col("id") == F.col("centroid"))).alias("within"))
 
-def _checkpoints(spark: SparkSession) -> None:
-    """The session's checkpoint folder; one of its own only where none is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp())
+
+def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's distance to the row before it and to the row of half its number, read from the tiles of the triangle."""
+    rows = fingerprints(spark, sf_dir)
+    tiles = written(T.distance_tiles(rows, size=256))
+    r = F.col("id")
+    places = spark.range(1, rows.count()).select(F.explode(F.array(F.shiftright(r * (r - 1), 1) + r - 1, F.shiftright(r * (r - 1), 1) + F.shiftright(r, 1))).alias("position")).distinct()
+    return T.distances_at(tiles, places).select("position", "row", "column", F.col("distance").cast("double").alias("distance"))
 
 
 def scaffold_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +207,6 @@ def ndjson_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triage_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _checkpoints(spark)
     out, _ = triage(molecules(spark, sf_dir).drop("n"), TriageConfig(rule_sets=(), cluster=False))
     return out.select("identifier", "parse_ok", "duplicate_of", "report_group")
 
@@ -212,6 +214,23 @@ def triage_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MOL = "WITH m AS (SELECT p_partkey AS ord, CAST(p_partkey AS VARCHAR) AS identifier, p_partkey % 5 AS kind, p_size AS n FROM part), k AS (SELECT *, CASE WHEN kind < 3 THEN 'a' || n WHEN kind = 3 THEN 'b' || n END AS key FROM m)"
 
 
+def _greedy_sql(order: str) -> str:
+    """Rows in ``order``, one a step: an undecided one takes its undecided neighbours; ``c`` of row p is the place of the row that took it."""
+    return f"""WITH RECURSIVE f AS (SELECT vec_id AS id, list_filter(range(0, 64), lambda i: embedding[i + 1] > 0) AS bits FROM embeddings),
+ e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM f a, f b WHERE a.id <> b.id AND len(a.bits) > 0 AND len(b.bits) > 0
+  AND CAST(1 AS FLOAT) - CAST(len(list_intersect(a.bits, b.bits)) / (len(a.bits) + len(b.bits) - len(list_intersect(a.bits, b.bits))) AS FLOAT) <= 0.5),
+ o AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY {order}) AS p FROM f LEFT JOIN (SELECT a, count(*) AS d FROM e GROUP BY a) ON a = id),
+ n AS MATERIALIZED (SELECT x.p AS p, list(y.p) FILTER (y.p IS NOT NULL) AS near FROM o x LEFT JOIN e ON e.a = x.id LEFT JOIN o y ON y.id = e.b GROUP BY x.p),
+ r AS (SELECT 0 AS step, (SELECT list(0 ORDER BY p) FROM o) AS taken UNION ALL
+  SELECT step + 1, CASE WHEN taken[step + 1] > 0 THEN taken ELSE list_transform(taken, lambda x, i: CASE WHEN x = 0 AND (i = step + 1 OR list_contains(near, i)) THEN step + 1 ELSE x END) END FROM r JOIN n ON n.p = step + 1),
+ l AS (SELECT taken FROM r ORDER BY step DESC LIMIT 1),
+ g AS (SELECT o.id, o.p, l.taken[o.p] AS c FROM o, l),
+ z AS (SELECT c, count(*) AS size FROM g GROUP BY c)"""
+
+
+_BUTINA, _LEADER = _greedy_sql("coalesce(d, 0) DESC, id"), _greedy_sql("id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"rule_{r}": _rule(r) for r in R.RULES}
     out |= {
@@ -232,6 +251,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "descriptors_library": descriptors_library,
         "triage_end_to_end": triage_end_to_end,
         "butina_clusters": butina_clusters,
+        "leader_clusters": leader_clusters,
+        "distance_positions": distances,
+        "nearest_all": lambda s, d: T.nearest(fingerprints(s, d), fingerprints(s, d), 5).select("q", "t", F.round("similarity", 9).alias("similarity"), F.col("rank").cast("long").alias("rank")),
         "scaffold_groups": scaffold_groups,
         "ndjson_rows": ndjson_rows,
         "tanimoto_pairs": lambda s, d: T.threshold_pairs(fingerprints(s, d), 0.5).select("a", "b", F.round("similarity", 9).alias("similarity")),
@@ -266,7 +288,14 @@ def oracle_sql() -> dict[str, str]:
             first = ord AND (k < 6 OR identifier = (SELECT max(identifier) FROM f g WHERE g.k >= 6 AND g.first = g.ord)) AS is_cluster_representative FROM f""",
         "generic_scaffold_groups": f"{_drug_sql()}, g AS (SELECT *, CASE k {' '.join(f'WHEN {i} THEN {_text(g)}' for i, g in enumerate(GENERIC))} END AS generic_scaffold FROM m) SELECT generic_scaffold, count(*) AS n, count(DISTINCT murcko_scaffold) AS scaffolds, min(ord) AS first_ord FROM g GROUP BY 1",
         "standardised_drugs": f"{_drug_sql()} SELECT count(*) AS n, min(ord) AS first_ord, CAST(0 AS BIGINT) AS errors FROM m GROUP BY k",
-        "cluster_check": "SELECT count(*) AS n FROM embeddings",
+        "butina_clusters": f"{_BUTINA}, k AS (SELECT c, row_number() OVER (ORDER BY size DESC, c) - 1 AS cluster_id FROM z) SELECT id, CAST(cluster_id AS BIGINT) AS cluster_id, p = c AS is_centroid FROM g JOIN k USING (c)",
+        "cluster_check": f"{_BUTINA} SELECT g.id, size, m.id AS centroid, g.p = g.c OR EXISTS (SELECT 1 FROM e WHERE e.a = g.id AND e.b = m.id) AS within FROM g JOIN z USING (c) JOIN o m ON m.p = g.c",
+        "leader_clusters": f"{_LEADER} SELECT g.id, m.id AS leader, g.p = g.c AS is_leader FROM g JOIN o m ON m.p = g.c",
+        "distance_positions": """WITH f AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, list_filter(range(0, 64), lambda i: embedding[i + 1] > 0) AS bits FROM embeddings),
+            p AS (SELECT r AS i, unnest(list_distinct([r - 1, r // 2])) AS j FROM f WHERE r > 0)
+            SELECT i * (i - 1) // 2 + j AS position, i AS row, j AS "column", CAST(CAST(1 AS FLOAT) - CAST(CASE WHEN len(a.bits) + len(b.bits) = 0 THEN 0 ELSE len(list_intersect(a.bits, b.bits)) / (len(a.bits) + len(b.bits) - len(list_intersect(a.bits, b.bits))) END AS FLOAT) AS DOUBLE) AS distance
+            FROM p JOIN f a ON a.r = i JOIN f b ON b.r = j""",
+        "nearest_all": f"{_FP} SELECT a AS q, b AS t, round(c / (x + y - c), 9) AS similarity, row_number() OVER (PARTITION BY a ORDER BY c / (x + y - c) DESC, b) AS rank FROM s QUALIFY rank <= 5",
         "triage_end_to_end": f"{_MOL}, j AS (SELECT *, CASE WHEN key IS NOT NULL AND min(ord) OVER (PARTITION BY key) < ord THEN arg_min(identifier, ord) OVER (PARTITION BY key) END AS d FROM k) SELECT identifier, kind < 4 AS parse_ok, d AS duplicate_of, CASE WHEN kind = 4 THEN 3 WHEN d IS NOT NULL THEN 1 ELSE 0 END AS report_group FROM j",
         "scaffold_groups": f"{_MOL} SELECT CASE WHEN kind = 3 THEN 'c1ccccc1' END AS murcko_scaffold, count(*) AS n, min(ord) AS first_ord FROM m WHERE kind < 4 GROUP BY 1",
         "ndjson_rows": f"{_JUDGED} SELECT '{{\"ord\":' || ord || ',\"drop_reason\":' || coalesce('\"' || drop_reason || '\"', 'null') || '}}' AS value FROM j",

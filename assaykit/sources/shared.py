@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody else has."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder and read back: lineage ends here and nothing is computed twice."""
+    path = new_folder(df.sparkSession, "tables")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
