@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import json
-from dataclasses import fields
 
 from pyspark.sql import SparkSession
 
@@ -14,18 +13,7 @@ from .sources.readers import read_library
 from .sources.sinks import write_json_lines
 
 
-def config_of(text: str) -> TriageConfig:
-    """A configuration from a JSON object; names that are not known are errors."""
-    given = json.loads(text)
-    unknown = sorted(set(given) - {f.name for f in fields(TriageConfig)})
-    if unknown:
-        raise KeyError(f"unknown settings: {', '.join(unknown)}")
-    for name in ("rule_sets", "alert_catalogs"):
-        if name in given:
-            given[name] = tuple(given[name])
-    if "descriptor_windows" in given:
-        given["descriptor_windows"] = {k: (v.get("min"), v.get("max")) if isinstance(v, dict) else tuple(v) for k, v in given["descriptor_windows"].items()}
-    return TriageConfig(**given)
+config_of = TriageConfig.from_json
 
 
 def main(args: list[str] | None = None) -> None:

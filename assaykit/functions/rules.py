@@ -42,14 +42,21 @@ def _limit_text(x: float) -> str:
     return str(int(x)) if x == int(x) else f"{x:g}"
 
 
+def usable(raw: Column, key: str) -> Column:
+    """The value as a double; a row where it is absent, NaN or infinite fails the query."""
+    v = raw.cast("double")
+    bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    return F.when(bad, F.raise_error(F.lit(f"{key} has no finite value")).cast("double")).otherwise(v)
+
+
 def violations(bounds: list[Bound], columns: list[str], rule: str = "bounds", prefix: str = "") -> Column:
-    """Messages of broken bounds in order; not finite values raise."""
+    """Messages of broken bounds in order; an absent or not finite value raises, so that no row passes for lack of one."""
     out = []
     for b in bounds:
         if b.key not in columns:
             raise KeyError(f"no column {b.key!r} for rule {rule}")
         raw = F.col(f"{prefix}{b.key}")
-        v = F.when(F.isnan(raw.cast("double")) | (F.abs(raw.cast("double")) == float("inf")), F.raise_error(F.lit(f"{b.key} has no finite value")).cast("double")).otherwise(raw.cast("double"))
+        v = usable(raw, b.key)
         if b.high is not None:
             out.append(F.when(v > b.high, F.concat(F.lit(f"{b.label} "), number_text(raw), F.lit(f" > {_limit_text(b.high)}"))))
         if b.low is not None:
@@ -70,10 +77,11 @@ def evaluate(rules: list[str], columns: list[str], prefix: str = "") -> Column:
 
 
 def within(key: str, low: float | None = None, high: float | None = None) -> Column:
-    """Inclusive window; NaN passes, as no comparison with it holds."""
+    """Inclusive window; NaN passes, as no comparison with it holds. A row where the value is absent fails the query."""
     if low is not None and high is not None and low > high:
         raise ValueError(f"window of {key}: {low} > {high}")
-    v, out = F.col(key).cast("double"), F.lit(False)
+    raw = F.col(key).cast("double")
+    v, out = F.when(raw.isNull(), F.raise_error(F.lit(f"{key} has no value")).cast("double")).otherwise(raw), F.lit(False)
     if low is not None:
         out |= v < low
     if high is not None:

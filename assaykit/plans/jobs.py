@@ -3,27 +3,22 @@
 from __future__ import annotations
 
 import os
+import re
 import threading
 import uuid
 from collections.abc import Mapping
-from dataclasses import dataclass, field, fields, replace
-from datetime import UTC, datetime
+from dataclasses import dataclass, fields, replace
 
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators.selection import dense_index
 from ..kernel import parse, write
 from ..sources.readers import read_library
-from .triage import TriageConfig, describe, finalize, materialised, standardised, triage
+from ..sources.sinks import read_page
+from .store import CANCELLED, FAILED, MAX_NAME, PENDING, RUNNING, SUCCEEDED, TERMINAL, Job, JobNotFoundError, JobStore, MemoryStore, Progress
+from .triage import TriageConfig, describe, finalize, standardised, write_report
 
-PENDING, RUNNING, SUCCEEDED, FAILED, CANCELLED = "pending", "running", "succeeded", "failed", "cancelled"
-TERMINAL = (SUCCEEDED, FAILED, CANCELLED)
-
-
-class JobNotFoundError(KeyError):
-    """No job has this id."""
+__all__ = ["CANCELLED", "FAILED", "PENDING", "RUNNING", "SUCCEEDED", "TERMINAL", "Job", "JobNotFoundError", "JobStateError", "Progress", "Settings", "TooLargeError", "TriageEngine", "origin"]
 
 
 class JobStateError(RuntimeError):
@@ -48,62 +43,43 @@ class Settings:
         return cls(**found)
 
 
-@dataclass(frozen=True)
-class Progress:
-    """Tasks of the job's Spark jobs so far; Spark plans as it goes, so the total may still grow."""
-
-    phase: str = PENDING
-    done: int = 0
-    total: int = 0
-
-    @property
-    def fraction(self) -> float:
-        return self.done / self.total if self.total else 0.0
-
-
-@dataclass
-class Job:
-    id: str
-    name: str
-    config: TriageConfig
-    status: str = PENDING
-    created_at: datetime = field(default_factory=lambda: datetime.now(UTC))
-    started_at: datetime | None = None
-    finished_at: datetime | None = None
-    counts: dict[str, int] = field(default_factory=dict)
-    error: str | None = None
-
-    @property
-    def duration_seconds(self) -> float | None:
-        """Since the start, until the end or now; None before the start."""
-        return ((self.finished_at or datetime.now(UTC)) - self.started_at).total_seconds() if self.started_at else None
+def origin(error: BaseException) -> str:
+    """The error that a worker or an expression raised, without what Spark wraps around it."""
+    text = str(error).strip()
+    if raised := re.search(r"\[USER_RAISED_EXCEPTION\] (.*?)(?: SQLSTATE: \w+)?(?:\n|$)", text):
+        return raised.group(1)
+    in_worker = re.findall(r"^(?:\w+\.)*(\w+(?:Error|Exception|Interrupt): .*)$", text, re.M) if "Traceback (most recent call last)" in text else []
+    return in_worker[-1] if in_worker else f"{type(error).__name__}: {text.splitlines()[0] if text else ''}"
 
 
 class TriageEngine:
-    """Runs jobs in threads of one session; reports are Parquet under ``path``."""
+    """Runs jobs in threads of one session; jobs and their reports are in a store, by default one of this process under ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str, max_library_size: int | None = None, settings: Settings | None = None):
-        self.spark, self.path, self.settings = spark, path, settings or Settings()
+    def __init__(self, spark: SparkSession, path: str, max_library_size: int | None = None, settings: Settings | None = None, store: JobStore | None = None):
+        self.spark, self.settings, self.store = spark, settings or Settings(), store or MemoryStore(spark, path)
         self.max_library_size = max_library_size or self.settings.max_library_size
-        self._jobs: dict[str, Job] = {}
         self._threads: dict[str, InheritableThread] = {}
         self._lock = threading.Lock()
 
     def submit(self, library: DataFrame, config: TriageConfig = TriageConfig(), name: str = "") -> str:
+        if len(name) > MAX_NAME:
+            raise ValueError(f"a name has at most {MAX_NAME} characters")
         n = library.limit(self.max_library_size + 1).count()
         if not n:
             raise ValueError("the library is empty")
         if n > self.max_library_size:
-            raise ValueError(f"more than {self.max_library_size} records")
+            raise TooLargeError(f"more than {self.max_library_size} records")
         job = Job(uuid.uuid4().hex, name, config)
+        self.store.create(job)
+        self.store.update_progress(job.id, Progress(molecules_total=n))
         with self._lock:
-            self._jobs[job.id] = job
-        self._threads[job.id] = InheritableThread(target=self._run, args=(job.id, library))
-        self._threads[job.id].start()
+            self._threads[job.id] = InheritableThread(target=self._run, args=(job.id, library, n))
+            self._threads[job.id].start()
         return job.id
 
-    def submit_path(self, path: str, config: TriageConfig = TriageConfig(), name: str | None = None, **csv_options) -> str:
-        """A job over a .smi or .csv file, named like the file unless ``name`` says otherwise."""
+    def submit_path(self, path: str, config: TriageConfig | str = TriageConfig(), name: str | None = None, **csv_options) -> str:
+        """A job over a .smi or .csv file, named like the file unless ``name`` says otherwise; ``config`` may be JSON."""
+        config = TriageConfig.from_json(config) if isinstance(config, str) else config
         library = read_library(self.spark, path, self.settings.max_file_bytes, **csv_options)
         return self.submit(library, config, path.rstrip("/").rsplit("/", 1)[-1] if name is None else name)
 
@@ -133,80 +109,76 @@ class TriageEngine:
         return {"status": "ok" if alive and kernel else "degraded", "session": alive, "kernel": kernel}
 
     def progress(self, job_id: str) -> Progress:
-        """Tasks done and known of the job's Spark jobs."""
+        """The phase and its molecules, and the tasks done and known of the job's Spark jobs in this session."""
         job, tracker = self.get(job_id), self.spark.sparkContext.statusTracker()
         stages = {s for j in tracker.getJobIdsForGroup(job_id) if (info := tracker.getJobInfo(j)) for s in info.stageIds}
         known = [info for s in stages if (info := tracker.getStageInfo(s))]
-        return Progress(job.status, sum(i.numCompletedTasks for i in known), sum(i.numTasks for i in known))
+        return replace(job.progress, phase=job.status if job.status in TERMINAL or job.progress.phase == PENDING else job.progress.phase, done=sum(i.numCompletedTasks for i in known), total=sum(i.numTasks for i in known))
 
     def close(self) -> None:
-        """Cancels what still runs."""
-        for job in self.list_jobs(max(len(self._jobs), 1)):
-            if job.status not in TERMINAL:
-                self.cancel(job.id)
+        """Cancels what this engine still runs."""
+        for job_id in list(self._threads):
+            try:
+                if self.get(job_id).status not in TERMINAL:
+                    self.cancel(job_id)
+            except JobNotFoundError:
+                continue
+
+    def _run(self, job_id: str, library: DataFrame, n: int) -> None:
+        def phase(name: str) -> None:
+            if not self.store.update_progress(job_id, Progress(name, molecules_processed=0 if name == "per_molecule" else n, molecules_total=n)):
+                raise JobStateError(f"job {job_id} has ended")  # another engine may have cancelled it
 
-    def _set(self, job_id: str, **changes) -> bool:
-        with self._lock:
-            job = self._jobs.get(job_id)
-            if job is None or job.status in TERMINAL:
-                return False
-            for k, v in changes.items():
-                setattr(job, k, v)
-            if job.status in TERMINAL:
-                job.finished_at = datetime.now(UTC)
-            return True
-
-    def _run(self, job_id: str, library: DataFrame) -> None:
         try:
-            if not self._set(job_id, status=RUNNING, started_at=datetime.now(UTC)):
+            if not self.store.set_status(job_id, RUNNING):
                 return
             self.spark.sparkContext.setJobGroup(job_id, f"triage {job_id}", interruptOnCancel=True)
-            report, counts = triage(library, self._jobs[job_id].config)
-            # the report's own order becomes a column, so that pages are range filters
-            ranked = dense_index(report, ["report_group", F.desc("score"), "identifier", "ord"], "rank", materialised)
-            ranked.write.parquet(f"{self.path}/{job_id}")
-            self._set(job_id, status=SUCCEEDED, counts=counts.first().asDict())
+            counts = write_report(library, self.get(job_id).config, self.store.results_path(job_id), phase=phase)
+            self.store.set_status(job_id, SUCCEEDED, counts=counts)
+        except JobNotFoundError:
+            return
         except Exception as e:  # noqa: BLE001  the job fails, not the engine
-            self._set(job_id, status=FAILED, error=f"{type(e).__name__}: {str(e).strip().splitlines()[0] if str(e).strip() else ''}")
+            try:
+                self.store.set_status(job_id, FAILED, error=origin(e))
+            except JobNotFoundError:
+                return
 
     def wait(self, job_id: str, timeout: float | None = None) -> Job:
-        self._threads[job_id].join(timeout)
+        if job_id in self._threads:
+            self._threads[job_id].join(timeout)
         return self.get(job_id)
 
     def get(self, job_id: str) -> Job:
-        with self._lock:
-            if job_id not in self._jobs:
-                raise JobNotFoundError(job_id)
-            return replace(self._jobs[job_id])
+        return self.store.get(job_id)
 
-    def list_jobs(self, limit: int = 50) -> list[Job]:
-        if limit < 1:
-            raise ValueError("limit must be at least 1")
-        with self._lock:
-            return sorted((replace(j) for j in self._jobs.values()), key=lambda j: j.created_at, reverse=True)[:limit]
+    def list_jobs(self, limit: int = 50, offset: int = 0) -> list[Job]:
+        """Newest first, at most 200 at a time."""
+        return self.store.list_jobs(limit, offset)[0]
 
-    def results(self, job_id: str) -> DataFrame:
+    def _finished(self, job_id: str, *allowed: str) -> Job:
         job = self.get(job_id)
-        if job.status != SUCCEEDED:
-            raise JobStateError(f"job {job_id} is {job.status}")
-        return self.spark.read.parquet(f"{self.path}/{job_id}")
+        if job.status not in allowed:
+            raise JobStateError(f"job {job_id} is {job.status}" + (f": {job.error}" if job.error else ""))
+        return job
+
+    def results(self, job_id: str) -> DataFrame:
+        """All rows of the report."""
+        self._finished(job_id, SUCCEEDED)
+        return self.spark.read.parquet(f"{self.store.results_path(job_id)}/rows").drop("part")
 
     def page(self, job_id: str, offset: int = 0, limit: int = 100) -> tuple[list, int, int | None]:
         """Rows, total, and the next offset or None; a cancelled job has no rows."""
         if not 1 <= limit <= 1000 or offset < 0:
             raise ValueError("limit must be 1 to 1000 and offset at least 0")
-        if self.get(job_id).status == CANCELLED:
+        if self._finished(job_id, SUCCEEDED, CANCELLED).status == CANCELLED:
             return [], 0, None
-        rows = self.results(job_id)
-        total = rows.count()
-        got = rows.where((F.col("rank") >= offset) & (F.col("rank") < offset + limit)).orderBy("rank").collect()
-        return got, total, offset + limit if offset + limit < total else None
+        rows, total = read_page(self.spark, self.store.results_path(job_id), offset, limit)
+        got = rows.collect() if rows is not None else []
+        return got, total, offset + len(got) if offset + len(got) < total else None
 
     def cancel(self, job_id: str) -> None:
-        """Cancels a job that runs; removes one that has ended."""
-        if self.get(job_id).status in TERMINAL:
-            with self._lock:
-                self._jobs.pop(job_id)
+        """Cancels a job that runs; removes one that has ended, with its results."""
+        if not self.store.set_status(job_id, CANCELLED, error="cancelled by request"):
+            self.store.delete(job_id)
             return
-        self._set(job_id, status=CANCELLED)
         self.spark.sparkContext.cancelJobGroup(job_id)

@@ -6,11 +6,12 @@ that the kernel runs once per molecule however many branches the report has.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -19,7 +20,9 @@ from ..kernel import CATALOGS
 from ..kernel.alerts import ENTRIES, Entry
 from ..operators import selection as S
 from ..operators.similarity import butina, leader_clusters, numbered_leaders
+from ..sources.contract import REPORT, checked
 from ..sources.shared import written
+from ..sources.sinks import write_pages
 
 DESCRIPTORS = {
     "molecular_weight": pa.float64(), "heavy_atoms": pa.int32(), "total_atoms": pa.int32(), "clogp": pa.float64(), "tpsa": pa.float64(), "hbd": pa.int32(), "hba": pa.int32(),
@@ -82,6 +85,23 @@ class TriageConfig:
             if not ok:
                 raise ValueError(text)
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @classmethod
+    def from_json(cls, text: str) -> TriageConfig:
+        """A configuration from a JSON object; names that are not known are errors."""
+        given = json.loads(text)
+        unknown = sorted(set(given) - {f.name for f in fields(cls)})
+        if unknown:
+            raise KeyError(f"unknown settings: {', '.join(unknown)}")
+        for name in ("rule_sets", "alert_catalogs"):
+            if name in given:
+                given[name] = tuple(given[name])
+        if "descriptor_windows" in given:
+            given["descriptor_windows"] = {k: (v.get("min"), v.get("max")) if isinstance(v, dict) else tuple(v) for k, v in given["descriptor_windows"].items()}
+        return cls(**given)
+
 
 def spread(library: DataFrame) -> DataFrame:
     """A batch library of fewer partitions than cores, over all cores: short rows, long work."""
@@ -160,8 +180,11 @@ def generic_scaffolds(described: DataFrame) -> DataFrame:
     return described.join(found, F.col("murcko_scaffold") == F.col("__scaffold"), "left").drop("__scaffold")
 
 
-def finalize(described: DataFrame, config: TriageConfig, table: Table = materialised) -> DataFrame:
-    """Adds rules, drop_reason, duplicate_of, score, score_breakdown, cluster_id and is_cluster_representative."""
+def finalize(described: DataFrame, config: TriageConfig, table: Table = materialised, counts: Observation | None = None) -> DataFrame:
+    """Adds rules, drop_reason, duplicate_of, score, score_breakdown, cluster_id and is_cluster_representative.
+
+    ``counts`` observes the rows (``selection.count_columns``) as they are written for the steps after.
+    """
     ok = F.col("parse_ok")
     empty = F.array().cast("array<struct<name string, passed boolean, violations array<string>>>")
     rows = described.withColumn("rules", F.when(ok, R.evaluate(list(config.rule_sets), described.columns)).otherwise(empty) if config.rule_sets else empty)
@@ -172,7 +195,8 @@ def finalize(described: DataFrame, config: TriageConfig, table: Table = material
     rows = S.deduplicate(rows).drop("key") if config.deduplicate else rows.drop("key").withColumn("duplicate_of", F.lit(None).cast("string"))
     kept = live & F.col("duplicate_of").isNull()
     score, breakdown = composite_score(config.score_weights, F.col("rules"), n_alerts)
-    rows = table(rows.withColumn("score", F.when(kept, score)).withColumn("score_breakdown", F.when(kept, breakdown)))
+    rows = rows.withColumn("score", F.when(kept, score)).withColumn("score_breakdown", F.when(kept, breakdown))
+    rows = table(rows.observe(counts, *S.count_columns()) if counts is not None else rows)
     if not config.cluster:
         return rows.withColumn("cluster_id", F.lit(None).cast("bigint")).withColumn("is_cluster_representative", F.lit(False))
     bits = F.when(F.col("fingerprint").isNull(), F.raise_error(F.concat(F.lit("no fingerprint to cluster for "), "identifier"))).otherwise(F.col("fingerprint"))
@@ -185,17 +209,45 @@ def finalize(described: DataFrame, config: TriageConfig, table: Table = material
     return S.representatives(rows.join(found, "ord", "left"))
 
 
-def report(rows: DataFrame, config: TriageConfig) -> DataFrame:
-    """Shortlist, duplicates, dropped and failed rows in that order, with report_group 0 to 3."""
+def _grouped(rows: DataFrame, config: TriageConfig) -> DataFrame:
+    """Rows of the report before the cut, with report_group 0 to 3."""
     group = F.when(~F.col("parse_ok"), 3).when(F.col("drop_reason").isNotNull(), 2).when(F.col("duplicate_of").isNotNull(), 1).otherwise(0)
     out = rows.withColumn("report_group", group)
-    if config.representatives_only:
-        out = out.where((F.col("report_group") > 0) | F.col("is_cluster_representative"))
+    return out.where((F.col("report_group") > 0) | F.col("is_cluster_representative")) if config.representatives_only else out
+
+
+def report(rows: DataFrame, config: TriageConfig) -> DataFrame:
+    """Shortlist, duplicates, dropped and failed rows in that order, with report_group 0 to 3."""
+    out = _grouped(rows, config)
     if config.top_n is not None:
         out = S.top_n(out.where("report_group = 0"), config.top_n).unionByName(out.where("report_group > 0"))
     return out.drop("fingerprint").orderBy("report_group", F.desc("score"), "identifier", "ord")
 
 
+def write_report(library: DataFrame, config: TriageConfig, path: str, table: Table = materialised, entries: tuple[Entry, ...] = ENTRIES, phase: Callable[[str], None] = lambda name: None, rows_per_file: int = 50_000) -> dict[str, int]:
+    """Writes the report as pages under ``path`` and returns the counts.
+
+    Everything that is counted is counted while rows are written that the plan writes anyway:
+    submitted to retained with the scored rows, clusters (a representative each) with the sorted ones.
+    """
+    phase("per_molecule")
+    described = table(describe(library, config.standardize, config.alert_catalogs, config.fingerprint_radius, config.fingerprint_bits, entries))
+    phase("deduplicate")
+    counts, clusters = Observation("counts"), Observation("clusters")
+    rows = _grouped(finalize(described, config, table, counts), config).drop("fingerprint")
+    phase("report")
+
+    def sorted_table(df: DataFrame) -> DataFrame:
+        return table(df.observe(clusters, F.count_if("is_cluster_representative").alias("clusters"), F.count_if(F.col("report_group") == 0).alias("short")))
+
+    ranked = S.dense_index(rows, ["report_group", F.desc("score"), "identifier", "ord"], "rank", sorted_table)
+    if config.top_n is not None:
+        cut = max(0, clusters.get["short"] - config.top_n)
+        ranked = ranked.where((F.col("report_group") > 0) | (F.col("rank") < config.top_n)).withColumn("rank", F.when(F.col("report_group") > 0, F.col("rank") - cut).otherwise(F.col("rank")))
+    write_pages(checked(ranked.withColumn("rank", F.col("rank").cast("bigint")), REPORT), path, rows_per_file)
+    return {**counts.get, "clusters": clusters.get["clusters"]}
+
+
 def triage(library: DataFrame, config: TriageConfig = TriageConfig(), table: Table = materialised, entries: tuple[Entry, ...] = ENTRIES) -> tuple[DataFrame, DataFrame]:
     """(report, counts) of a library (ord, identifier, input_smiles)."""
     described = table(describe(library, config.standardize, config.alert_catalogs, config.fingerprint_radius, config.fingerprint_bits, entries))

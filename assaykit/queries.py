@@ -11,9 +11,9 @@ from .functions import rules as R
 from .functions import score as X
 from .operators import selection as S
 from .operators import similarity as T
-from .plans.triage import TriageConfig, describe, generic_scaffolds, standardised, triage
-from .sources.shared import written
-from .sources.sinks import json_lines
+from .plans.triage import TriageConfig, describe, generic_scaffolds, standardised, triage, write_report
+from .sources.shared import new_folder, written
+from .sources.sinks import json_lines, read_page
 
 #: Descriptors derived from order keys; the same text runs in Spark and DuckDB.
 PROXY = """o_orderkey AS ord, 'C' || CAST(o_orderkey AS VARCHAR(20)) AS identifier, CAST(100 + (o_orderkey * 37) % 500 AS DOUBLE) AS molecular_weight,
@@ -151,6 +151,24 @@ def triage_drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("identifier", "duplicate_of", "report_group", F.round("score", 4).alias("score"), F.size(F.filter("rules", lambda r: r["passed"])).alias("passed"), "is_cluster_representative")
 
 
+def submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drugs, every eleventh record broken."""
+    return drugs(spark, sf_dir).withColumn("input_smiles", F.when(F.col("ord") % 11 == 0, "C(((").otherwise(F.col("input_smiles")))
+
+
+def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a report, clusters included, as they were taken while it was written."""
+    counts = write_report(submitted(spark, sf_dir), TriageConfig(rule_sets=("veber", "lipinski")), new_folder(spark, "report"))
+    return spark.createDataFrame([counts]).select(*(F.col(c).cast("bigint").alias(c) for c in counts))
+
+
+def report_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a report that was written under its contract."""
+    path = new_folder(spark, "report")
+    write_report(submitted(spark, sf_dir), TriageConfig(rule_sets=("veber", "lipinski"), top_n=5), path, rows_per_file=1000)
+    return read_page(spark, path, 0, 200)[0].select("rank", "identifier", "report_group", "duplicate_of", F.round("score", 4).alias("score"))
+
+
 def _text(value: str | None) -> str:
     return "NULL" if value is None else f"'{value}'"
 
@@ -160,6 +178,11 @@ def _drug_sql() -> str:
     return f"WITH d(k, molecular_weight, clogp, tpsa, hbd, hba, rotatable_bonds, aromatic_rings, rings, stereocentres, alerts, murcko_scaffold) AS (VALUES {rows}), m AS (SELECT p_partkey AS ord, CAST(p_partkey AS VARCHAR) AS identifier, d.* FROM part JOIN d ON p_partkey % {len(DRUGS)} = k)"
 
 
+#: Enantiomers, the drugs 6 and 7, are one cluster; every other drug is its own.
+_REPORT = f"""{_drug_sql()}, f AS (SELECT *, min(ord) FILTER (ord % 11 <> 0) OVER (PARTITION BY k) AS first, 0 AS unassigned_stereocentres, CASE WHEN alerts = '' THEN 0 ELSE 1 END AS n_alerts,
+ CASE WHEN ord % 11 = 0 THEN 3 WHEN min(ord) FILTER (ord % 11 <> 0) OVER (PARTITION BY k) < ord THEN 1 ELSE 0 END AS g FROM m)"""
+
+
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("embedding")[i] > 0)
@@ -207,7 +230,7 @@ def ndjson_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triage_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = triage(molecules(spark, sf_dir).drop("n"), TriageConfig(rule_sets=(), cluster=False))
+    out, _ = triage(molecules(spark, sf_dir).drop("n"), TriageConfig(rule_sets=()))
     return out.select("identifier", "parse_ok", "duplicate_of", "report_group")
 
 
@@ -245,6 +268,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "representatives": lambda s, d: S.representatives(scored(s, d)).where("is_cluster_representative").select("cluster_id", "ord"),
         "descriptors_drugs": descriptors_drugs,
         "triage_drugs": triage_drugs,
+        "report_counts": report_counts,
+        "report_page": report_page,
         "generic_scaffold_groups": generic_scaffold_groups,
         "standardised_drugs": standardised_drugs,
         "cluster_check": cluster_check,
@@ -286,6 +311,11 @@ def oracle_sql() -> dict[str, str]:
         "triage_drugs": f"""{_drug_sql()}, f AS (SELECT *, min(ord) OVER (PARTITION BY k) AS first, 0 AS unassigned_stereocentres, CASE WHEN alerts = '' THEN 0 ELSE 1 END AS n_alerts FROM m)
             SELECT identifier, CASE WHEN first < ord THEN CAST(first AS VARCHAR) END AS duplicate_of, CASE WHEN first < ord THEN 1 ELSE 0 END AS report_group, CASE WHEN first = ord THEN round({_SCORE}, 4) END AS score, 2 AS passed,
             first = ord AND (k < 6 OR identifier = (SELECT max(identifier) FROM f g WHERE g.k >= 6 AND g.first = g.ord)) AS is_cluster_representative FROM f""",
+        "report_counts": f"""{_REPORT} SELECT count(*) AS submitted, count(*) FILTER (g < 3) AS parsed, count(*) FILTER (g = 3) AS parse_failed, count(*) FILTER (g = 1) AS duplicates_removed,
+            CAST(0 AS BIGINT) AS dropped_by_window, CAST(0 AS BIGINT) AS dropped_by_rule, CAST(0 AS BIGINT) AS dropped_by_alert, count(*) FILTER (g = 0) AS retained, count(DISTINCT least(k, 6)) FILTER (g = 0) AS clusters FROM f""",
+        "report_page": f"""{_REPORT}, s AS (SELECT *, CASE WHEN g = 0 THEN {_SCORE} END AS score FROM f),
+            t AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, identifier, ord) AS place FROM s)
+            SELECT row_number() OVER (ORDER BY g, place) - 1 AS rank, identifier, g AS report_group, CASE WHEN g = 1 THEN CAST(first AS VARCHAR) END AS duplicate_of, round(score, 4) AS score FROM t WHERE g > 0 OR place <= 5 QUALIFY rank < 200""",
         "generic_scaffold_groups": f"{_drug_sql()}, g AS (SELECT *, CASE k {' '.join(f'WHEN {i} THEN {_text(g)}' for i, g in enumerate(GENERIC))} END AS generic_scaffold FROM m) SELECT generic_scaffold, count(*) AS n, count(DISTINCT murcko_scaffold) AS scaffolds, min(ord) AS first_ord FROM g GROUP BY 1",
         "standardised_drugs": f"{_drug_sql()} SELECT count(*) AS n, min(ord) AS first_ord, CAST(0 AS BIGINT) AS errors FROM m GROUP BY k",
         "butina_clusters": f"{_BUTINA}, k AS (SELECT c, row_number() OVER (ORDER BY size DESC, c) - 1 AS cluster_id FROM z) SELECT id, CAST(cluster_id AS BIGINT) AS cluster_id, p = c AS is_centroid FROM g JOIN k USING (c)",
