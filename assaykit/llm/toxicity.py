@@ -279,21 +279,29 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 1.0, choices: tuple[t
                     best[choice] += [[s for *_, s in maximal_segments(scores[a:b])] for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ns, pa.int64()), *(pa.array(b, pa.list_(pa.float64())) for b in best), *batch.columns[1:]], names=["n", *(f"best_{c}" for c in range(len(models))), "toxic", "fold"])
 
-    # numbers of at most max_rows texts
+    # segments stay in a table; the driver gets a largest one and a statistic of each of at most max_rows texts and choice
     schema = ", ".join(["n bigint", *(f"best_{c} array<double>" for c in range(len(models))), "toxic int", "fold int"])
-    seen = sample.select("text", "toxic", "fold").mapInArrow(largest, schema).toPandas()
-    n, part, y = seen.n.to_numpy(), seen.fold.to_numpy(), seen.toxic.to_numpy(float)
-    clean, found = (y == 0) & (n > 0), None
-    for choice, (z, k) in enumerate(choices):
-        best, by_fold = seen[f"best_{choice}"], models[choice]
+    segments = scratch.table(sample.select("text", "toxic", "fold").mapInArrow(largest, schema))
+    seen = segments.where("toxic = 0 AND n > 0").select("n", "fold", *(F.coalesce(F.array_max(f"best_{c}"), F.lit(0.0)).alias(f"top_{c}") for c in range(len(models)))).toPandas()
+    n, part = seen.n.to_numpy(), seen.fold.to_numpy()
+    for choice, by_fold in enumerate(models):
         lam = np.array([m.lam for m in by_fold])[part]
-        top = np.array([max(b, default=0.0) for b in best])
-        same = float(1 / max(np.mean(n[clean] * np.exp(-lam[clean] * top[clean])), 1e-9)) if clean.any() else 1.0
+        same = float(1 / max(np.mean(n * np.exp(-lam * seen[f"top_{choice}"].to_numpy())), 1e-9)) if len(seen) else 1.0
         for m in by_fold:
             m.k = same
-        slope, cut, loss = _logistic(np.array([by_fold[f].statistic(list(b), int(m)) for f, b, m in zip(part.tolist(), best, n, strict=True)]), y)
+
+    def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ns, part = batch.column("n").to_pylist(), batch.column("fold").to_pylist()
+            stats = [[by_fold[f].statistic(b, m) for f, b, m in zip(part, batch.column(f"best_{c}").to_pylist(), ns, strict=True)] for c, by_fold in enumerate(models)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(x, pa.float64()) for x in stats)], names=["toxic", *(f"stat_{c}" for c in range(len(models)))])
+
+    stats = segments.mapInArrow(statistics, ", ".join(["toxic int", *(f"stat_{c} double" for c in range(len(models)))])).toPandas()
+    y, found = stats.toxic.to_numpy(float), None
+    for choice, (z, k) in enumerate(choices):
+        slope, cut, loss = _logistic(stats[f"stat_{choice}"].to_numpy(), y)
         if found is None or loss < found[0]:
-            found = (loss, z, k, same, slope, cut)
+            found = (loss, z, k, models[choice][0].k, slope, cut)
     _, z, k, same, slope, cut = found
     model = every.model(None, z, k, prior, shrink, drift)
     model.k, model.slope, model.cut, model.rate = same, slope, cut, float(rate)
