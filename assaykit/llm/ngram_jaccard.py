@@ -37,7 +37,7 @@ that clash with an output name are replaced; empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
@@ -56,8 +56,8 @@ U64 = np.uint64
 FREQUENT = 9
 #: 64-bit words of a bitmap.
 BITMAP = 16
-#: Rounds with other leaders before the remaining pairs are compared.
-STAR_ROUNDS = 2
+#: Rounds with other leaders before the remaining pairs are compared, and rows of a signature that are compared in one place then.
+STAR_ROUNDS, PAIR_ROWS = 2, 256
 
 
 def sets_of(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -232,6 +232,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ga", "gb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _pairs(open_: DataFrame, percent: int, table: Callable[[DataFrame], DataFrame], rows: int = PAIR_ROWS) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share a signature and may link.
+
+    A signature's rows fall into parts of about ``rows`` by hash, and its pairs into pairs of parts (i, j), so
+    that a hot signature is dealt out over as many keys as its pairs need.
+    """
+    sizes = table(open_.groupBy("sig").agg(F.ceil(F.count("*") / rows).cast("int").alias("k")))
+    placed = open_.join(sizes, "sig").withColumn("p", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
+    left = placed.select("sig", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "bits", F.col("p").alias("i"), F.explode(F.sequence("p", F.col("k") - 1)).alias("j"))
+    right = placed.select("sig", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("bits").alias("bobs"), F.explode(F.sequence(F.lit(0), "p")).alias("i"), F.col("p").alias("j"))
+    met = left.join(right, ["sig", "i", "j"]).where("ca <> cb AND (i <> j OR a < b)").where(_may_link("na", "nb", "bits", "bobs", percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", frequent: int = FREQUENT) -> DataFrame:
     """``docs`` without the text, with n_shingles, component_id and n_verified.
 
@@ -257,7 +271,8 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "t
     def unsettled() -> DataFrame:
         """Signature rows whose classes are still in different components."""
         labelled = sigs.join(labels.withColumnRenamed("v", "cls"), "cls", "left").select("sig", "cls", "n", F.coalesce("c", "cls").alias("c"))
-        mixed = labelled.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig")
+        # written, so that the join with them has nothing but rows to deal out and Spark may split it
+        mixed = scratch.table(labelled.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("sig"))
         return scratch.table(labelled.join(mixed, "sig").join(sets.select("cls", "bits"), "cls"))
 
     # other leaders, not the same in each signature, join what the first ones could not, so that few pairs are left to compare one by one
@@ -268,11 +283,9 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "t
             break
         if salt < STAR_ROUNDS:
             lead = open_.groupBy("sig").agg(F.min(F.struct(F.xxhash64("cls", "sig", F.lit(salt)), F.col("cls").alias("x"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("bits").alias("bobs"))).alias("l")).select("sig", "l.x", "l.m", "l.d", "l.bobs")
-            more = open_.join(lead, "sig").where("c <> d").where(_may_link("n", "m", "bits", "bobs", percent)).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
+            more = open_.join(scratch.table(lead), "sig").where("c <> d").where(_may_link("n", "m", "bits", "bobs", percent)).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
         else:
-            other = open_.select("sig", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("bits").alias("bobs"))
-            more = open_.select("sig", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "bits").join(other, "sig").where("ca <> cb AND a < b")
-            more = more.where(_may_link("na", "nb", "bits", "bobs", percent)).select("a", "b").distinct()
+            more = _pairs(open_, percent, scratch.table)
         more = scratch.table(more.join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(more)
         more = scratch.table(_verified(more, sets, percent))

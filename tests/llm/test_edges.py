@@ -244,3 +244,14 @@ def test_foreign_archives():
             list(W.read_archive(zstandard.ZstdCompressor().compress(r)))
     own = W.record_bytes(7, "http://b/", b"abc", W.digest(b"abc"), None).split(b"\r\n")
     assert b"WARC-Date: 1970-01-01T00:00:00Z" in own and own[0] == b"WARC/1.1"
+
+
+@pytest.mark.parametrize("rows", [3, 256])
+def test_pairs_of_a_hot_signature_are_all_met(spark, rows):
+    from assaykit.llm.ngram_jaccard import BITMAP, _pairs
+
+    given = [(1, i, 100, i % 7, [0] * BITMAP) for i in range(40)] + [(2, i, 100, i, [0] * BITMAP) for i in (3, 90, 91)] + [(3, 5, 10, 5, [0] * BITMAP), (3, 6, 100, 6, [0] * BITMAP)]
+    open_ = spark.createDataFrame(given, "sig bigint, cls bigint, n bigint, c bigint, bits array<bigint>")
+    got = sorted(map(tuple, _pairs(open_, 80, lambda df: df, rows).collect()))
+    want = {(x[1], y[1]) for x in given for y in given if x[0] == y[0] and x[1] < y[1] and x[3] != y[3] and 100 * min(x[2], y[2]) >= 80 * max(x[2], y[2])}
+    assert got == sorted(want)
