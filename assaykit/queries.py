@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import rules as R
 from .functions import score as X
+from .functions.sql import arguments, register
 from .operators import selection as S
 from .operators import similarity as T
 from .plans.triage import TriageConfig, describe, generic_scaffolds, standardised, triage, write_report
@@ -169,6 +171,26 @@ def report_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_page(spark, path, 0, 200)[0].select("rank", "identifier", "report_group", "duplicate_of", F.round("score", 4).alias("score"))
 
 
+def sql_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, windows and the score in SQL text alone, over the session functions."""
+    register(spark)
+    view = f"p_{uuid.uuid4().hex}"
+    proxy(spark, sf_dir).createOrReplaceTempView(view)
+    called = lambda kind, rule: f"{kind}_{rule}({', '.join(arguments(rule))})"
+    return spark.sql(f"""
+        WITH j AS (SELECT *, drop_reason(NOT within_window(molecular_weight, NULL, 500) OR NOT within_window(tpsa, 10, NULL), NOT {called("passes", "veber")}, n_alerts > 0) AS drop_reason FROM {view})
+        SELECT ord, {called("broken", "lipinski")} AS broken_lipinski, {called("passes", "ghose")} AS ghose, CASE WHEN parse_ok THEN drop_reason END AS drop_reason,
+          round(triage_score(molecular_weight, clogp, tpsa, unassigned_stereocentres, rings, n_alerts), 9) AS score FROM j""")
+
+
+def sql_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fingerprint against the one before it, in SQL text alone."""
+    register(spark)
+    view = f"f_{uuid.uuid4().hex}"
+    fingerprints(spark, sf_dir).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT b.id, round(tanimoto(a.bits, b.bits), 9) AS similarity FROM {view} a JOIN {view} b ON a.id + 1 = b.id")
+
+
 def _text(value: str | None) -> str:
     return "NULL" if value is None else f"'{value}'"
 
@@ -269,6 +291,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "descriptors_drugs": descriptors_drugs,
         "triage_drugs": triage_drugs,
         "report_counts": report_counts,
+        "sql_surface": sql_surface,
+        "sql_similarity": sql_similarity,
         "report_page": report_page,
         "generic_scaffold_groups": generic_scaffold_groups,
         "standardised_drugs": standardised_drugs,
@@ -311,6 +335,9 @@ def oracle_sql() -> dict[str, str]:
         "triage_drugs": f"""{_drug_sql()}, f AS (SELECT *, min(ord) OVER (PARTITION BY k) AS first, 0 AS unassigned_stereocentres, CASE WHEN alerts = '' THEN 0 ELSE 1 END AS n_alerts FROM m)
             SELECT identifier, CASE WHEN first < ord THEN CAST(first AS VARCHAR) END AS duplicate_of, CASE WHEN first < ord THEN 1 ELSE 0 END AS report_group, CASE WHEN first = ord THEN round({_SCORE}, 4) END AS score, 2 AS passed,
             first = ord AND (k < 6 OR identifier = (SELECT max(identifier) FROM f g WHERE g.k >= 6 AND g.first = g.ord)) AS is_cluster_representative FROM f""",
+        "sql_surface": f"""{P}, b AS (SELECT *, CAST(molecular_weight > 500 AS INT) + CAST(clogp > 5 AS INT) + CAST(hbd > 5 AS INT) + CAST(hba > 10 AS INT) AS broken_lipinski FROM p)
+            SELECT ord, broken_lipinski, molecular_weight BETWEEN 160 AND 480 AND clogp BETWEEN -0.4 AND 5.6 AND total_atoms BETWEEN 20 AND 70 AS ghose, CASE WHEN parse_ok THEN {_REASON} END AS drop_reason, round({_SCORE}, 9) AS score FROM b""",
+        "sql_similarity": f"{_FP} SELECT b AS id, round(c / (x + y - c), 9) AS similarity FROM s WHERE a + 1 = b",
         "report_counts": f"""{_REPORT} SELECT count(*) AS submitted, count(*) FILTER (g < 3) AS parsed, count(*) FILTER (g = 3) AS parse_failed, count(*) FILTER (g = 1) AS duplicates_removed,
             CAST(0 AS BIGINT) AS dropped_by_window, CAST(0 AS BIGINT) AS dropped_by_rule, CAST(0 AS BIGINT) AS dropped_by_alert, count(*) FILTER (g = 0) AS retained, count(DISTINCT least(k, 6)) FILTER (g = 0) AS clusters FROM f""",
         "report_page": f"""{_REPORT}, s AS (SELECT *, CASE WHEN g = 0 THEN {_SCORE} END AS score FROM f),
