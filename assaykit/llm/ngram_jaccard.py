@@ -20,7 +20,8 @@ n * n / 2**65.
    most; a set whose partners may have another power has signatures for both. A set that can't
    give such a cover (at 80 percent only one of a single n-gram) adds its frequent n-grams
    singly, which meets all others of this kind.
-3. Texts with equal sets are one class from here on. For each signature its classes are
+3. Texts with equal sets are one class from here on, by a 64-bit digest of the set; two of n different sets
+   have one by chance with probability n * n / 2**65. For each signature its classes are
    checked against one leader; a verified link joins components. Signatures whose
    classes are still in different components then yield those pairs that cross
    components and pass the length and bitmap bounds, which are verified as well. So pairs

@@ -27,6 +27,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 counts, without the verdict that SQL can't express."""
+    return op7_quality_rules(spark, sf_dir).drop("kept")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import suffix_dedup
 
@@ -127,7 +132,7 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_token_counts, op2_suffix_dedup, op3_chat_format, op4_ngram_jaccard, op5_warc, op6_sentencepiece, op7_quality_rules, op8_toxicity, op9_decontaminate,
-        op10_lm_scoring, op11_html_extract, op12_lexical_search, token_counts_words,
+        op10_lm_scoring, op11_html_extract, op12_lexical_search, token_counts_words, quality_counts,
     )}
 
 
@@ -193,6 +198,18 @@ WITH t AS (SELECT source, lang, len(regexp_extract_all(coalesce(CASE WHEN source
 SELECT source, lang, 'words@1' AS tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM t GROUP BY source, lang
 """
 
+SQL_QUALITY = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+g AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS g FROM d, unnest(range(1, greatest(len(w) - 3, 1))) AS u(i)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM r, unnest(range(i, i + 5)) AS u(p) GROUP BY doc_id),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols FROM d)
+SELECT m.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+ CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed
+FROM m LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
 SQL_OP9 = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
@@ -231,4 +248,4 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 """
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": SQL_OP2, "op3_chat_format": SQL_OP3, "op4_ngram_jaccard": SQL_OP4, "op5_warc": SQL_OP5, "token_counts_words": SQL_TOKENS, "op9_decontaminate": SQL_OP9, "op11_html_extract": SQL_OP11, "op12_lexical_search": SQL_OP12}
+    return {"op2_suffix_dedup": SQL_OP2, "op3_chat_format": SQL_OP3, "op4_ngram_jaccard": SQL_OP4, "op5_warc": SQL_OP5, "token_counts_words": SQL_TOKENS, "quality_counts": SQL_QUALITY, "op9_decontaminate": SQL_OP9, "op11_html_extract": SQL_OP11, "op12_lexical_search": SQL_OP12}

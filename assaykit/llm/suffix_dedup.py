@@ -9,7 +9,8 @@ judged on the input.
    questions finds the keys that more than one document has; all else is unique.
 2. A run's bytes are a segment. In a second round each block sends digests of its
    distinct segments. If all segments of a key are the same string, the smallest id
-   among them settles every window in them.
+   among them settles every window in them. "The same" and the keys go by 64-bit hashes; two of n
+   different segments are taken for one by chance with probability n * n / 2**65.
 3. For the others the blocks send the segments themselves. In each bucket they form
    shards; each shard gets its suffix array and BWT, and the BWTs are merged by
    iterative interleave refinement (Holt and McMillan): a step sorts the merged
@@ -23,7 +24,7 @@ judged on the input.
    keys of the windows, so that no bucket holds the group.
 
 Cases: a null text is empty; texts shorter than ``width`` lose nothing; rows with one
-id don't cover each other; a null id counts as the largest; repeated rows are
+id don't cover each other; ids must be integers (an error otherwise), a null id counts as the largest; repeated rows are
 separate rows; extra columns pass through, and those that clash with a chosen output
 are replaced; an empty table gives an empty result.
 """
@@ -370,6 +371,8 @@ OUTPUT = [("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"),
 
 def suffix_dedup(docs: DataFrame, width: int = 50, text: str = "text", doc_id: str = "doc_id", outputs: tuple[str, ...] = tuple(n for n, _ in OUTPUT)) -> DataFrame:
     """``docs`` without the text, with the chosen ``outputs`` (all of ``OUTPUT`` by default)."""
+    if docs.schema[doc_id].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{doc_id} must be an integer")
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c in (text, doc_id) or c.lower() not in outputs])
     blocks: Blocks = pack(docs, text)
     text_at, id_at, bits = docs.columns.index(text), docs.columns.index(doc_id), blocks.bits

@@ -21,7 +21,7 @@ types of records and HTTP responses, whose payload is what follows the HTTP head
 ``page_id`` and ``refers_to`` are null and ``record_id`` says what the record is; digests
 are checked where they are SHA-1 and, of payloads, not transfer-encoded.
 
-Cases: a null html is an empty payload; a null url is empty; a null page_id is written
+Cases: a null html is an empty payload; a null url is empty; page ids must be integers (an error otherwise); a null page_id is written
 without a number and comes back null, after all others in the choice of a response; repeated rows
 are records of their own, and one of equal id revisits the first; extra columns are
 ignored; an empty table gives no archives and an empty result.
@@ -234,6 +234,8 @@ def _train(pages: DataFrame) -> bytes:
 
 def write_archives(pages: DataFrame, least_bytes: int = 0, date: str = DATE) -> DataFrame:
     """Archives (archive, content) of a pages table, ready to be written."""
+    if pages.schema["page_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError("page_id must be an integer")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"sha": F.sha1("payload"), "n": F.octet_length("payload")})

@@ -23,8 +23,10 @@ def register_batch(batch: DataFrame, epoch: int, path: str) -> dict[str, int]:
     if epoch > 0:
         kinds = {f.name: f.dataType.simpleString() for f in batch.schema}
         known = spark.read.schema(f"key {kinds['key']}, identifier {kinds['identifier']}, duplicate_of {kinds['identifier']}, epoch long, status string").parquet(path)
-        # one row a key is new in the register unless a batch has equal ord twice
-        earlier = known.where((F.col("epoch") < epoch) & (F.col("status") == "new")).groupBy("key").agg(F.min(F.struct("epoch", "identifier")).alias("__f"))
+        # the batch's keys go to the register, which is large, and not the other way; one row a key
+        # is new there unless a batch has equal ord twice
+        wanted = batch.where(F.col("key").isNotNull()).select("key").distinct()
+        earlier = known.where((F.col("epoch") < epoch) & (F.col("status") == "new")).join(wanted, "key", "leftsemi").groupBy("key").agg(F.min(F.struct("epoch", "identifier")).alias("__f"))
         rows = rows.join(earlier, "key", "left").withColumn("duplicate_of", F.coalesce(F.col("__f.identifier"), F.col("duplicate_of"))).drop("__f")
     status = F.when(F.col("key").isNull(), "empty").when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise("new")
     counts = Observation(f"register-{epoch}")

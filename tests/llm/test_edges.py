@@ -255,3 +255,24 @@ def test_pairs_of_a_hot_signature_are_all_met(spark, rows):
     got = sorted(map(tuple, _pairs(open_, 80, lambda df: df, rows).collect()))
     want = {(x[1], y[1]) for x in given for y in given if x[0] == y[0] and x[1] < y[1] and x[3] != y[3] and 100 * min(x[2], y[2]) >= 80 * max(x[2], y[2])}
     assert got == sorted(want)
+
+
+def test_ids_that_are_no_integers_are_an_error(spark):
+    with pytest.raises(TypeError, match="doc_id"):
+        suffix_dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    with pytest.raises(TypeError, match="page_id"):
+        W.write_archives(spark.createDataFrame([("a", "u", "b")], "page_id string, url string, html string"))
+
+
+def test_pieces_of_bytes_and_digests_of_ids(spark):
+    """n_byte_tokens and ids_sha256 follow from the ids; pieces of bytes are those of characters that no piece has."""
+    import hashlib
+
+    import sentencepiece as spm
+
+    model = spm.SentencePieceProcessor(model_file=MODEL)
+    docs = spark.createDataFrame([(1, "plain words"), (2, "\U0001f9ff\u4e9c\ue000 x\ue001"), (3, None), (4, "")], "doc_id int, text string")
+    for r in SP.sentencepiece(docs, MODEL).collect():
+        assert r.n_byte_tokens == sum(model.is_byte(i) for i in r.ids) and r.n_tokens == len(r.ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest()
+        assert (r.n_byte_tokens > 0) == (r.doc_id == 2)

@@ -12,7 +12,7 @@ from assaykit.sources import readers
 ASPIRIN = "CC(=O)Oc1ccccc1C(=O)O"
 
 
-@pytest.mark.parametrize("text", ["", "   ", "\t", "not_a_smiles", "C(((", "[Xx]", "*", "[*][*]", "nan", "CCO,extra,cols"])
+@pytest.mark.parametrize("text", ["", " \n ", "water", "N(C", "C1CC", "[Qq]", "*", "[*]*", "null", "CC;CC", "C=", "C)C"])
 def test_rejects(text):
     with pytest.raises(K.SmilesError):
         K.parse(text)
@@ -150,10 +150,10 @@ def test_stereocentres_fingerprints_scaffolds():
 
 def test_alerts():
     names = lambda s, *c: [(h["catalog"], h["name"]) for h in K.find_alerts(K.parse(s), c or ("pains", "brenk"))]
-    assert names("Oc1ccccc1O", "pains", "pains_b", "nih") == [("PAINS_B", "catechol_A(92)"), ("NIH", "catechol")]
-    assert names(ASPIRIN, "pains") == [] and names("Cn1cnc2c1c(=O)n(C)c(=O)n2C") == [] and names("CC(C)Cc1ccc(cc1)C(C)C(=O)O") == []
-    (hit,) = [h for h in K.find_alerts(K.parse("O=[N+]([O-])c1cccc(c1)[N+](=O)[O-]"), ("brenk",))]
-    assert (hit["name"], hit["atom_indices"]) == ("nitro_group", [0, 1, 2, 9, 10, 11])
+    assert names("Cc1ccc(O)c(O)c1", "pains", "pains_b", "nih") == [("PAINS_B", "catechol_A(92)"), ("NIH", "catechol")]
+    assert names("CCOC(C)=O", "pains") == [] and names("COc1ccc(CCN)cc1") == [] and names("CC1CCCCC1C(N)=O") == []
+    (hit,) = [h for h in K.find_alerts(K.parse("Cc1cc([N+](=O)[O-])cc(C)c1[N+](=O)[O-]"), ("brenk",))]
+    assert (hit["name"], hit["atom_indices"]) == ("nitro_group", [4, 5, 6, 11, 12, 13])
     assert len(K.Pattern("[#6;R]1~[#6]~[#6]~[#6]~[#6]~[#6]1").matches(K.parse("c1ccccc1"))) == 1
     with pytest.raises(KeyError):
         names("C", "panes")
