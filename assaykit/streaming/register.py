@@ -31,7 +31,7 @@ def register_batch(batch: DataFrame, epoch: int, path: str) -> dict[str, int]:
     status = F.when(F.col("key").isNull(), "empty").when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise("new")
     counts = Observation(f"register-{epoch}")
     out = rows.select(*batch.columns, "duplicate_of", F.lit(epoch).cast("long").alias("epoch"), status.alias("status"))
-    out = out.observe(counts, F.count("*").alias("submitted"), *(F.count_if(F.col("status") == s).alias(s) for s in ("new", "duplicate", "empty")))
+    out = out.hint("rebalance", "status").observe(counts, F.count("*").alias("submitted"), *(F.count_if(F.col("status") == s).alias(s) for s in ("new", "duplicate", "empty")))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch", "status").parquet(path)
     return counts.get
 

@@ -88,8 +88,10 @@ def shortlist(spark: SparkSession, documents: str, output: str, config: Shortlis
         best = best.select(F.col("lang").alias("__lang"), F.col("score").alias("__score"), F.col("doc_id").alias("__id"), "rank")
         same = F.col("lang").eqNullSafe(F.col("__lang")) & (F.col("score") == F.col("__score")) & F.col("doc_id").eqNullSafe(F.col("__id"))
         status = F.coalesce(F.col("drop_reason"), F.when(F.col("duplicate_of").isNotNull(), "duplicate").when(F.col("rank").isNotNull(), "shortlisted").otherwise("below_cut"))
-        out = rows.observe(counts, *S.count_columns()).join(best, same, "left").withColumn("status", status).withColumn("alerts", F.array_join("alerts", ",")).select(*OUTPUT)
-        out.write.mode("overwrite").partitionBy("lang", "status").parquet(output)
+        out = rows.join(best, same, "left").withColumn("status", status)
+        # files of even size: hot languages are split, small ones put together
+        out = out.hint("rebalance", "lang", "status").observe(counts, *S.count_columns())
+        out.withColumn("alerts", F.array_join("alerts", ",")).select(*OUTPUT).write.mode("overwrite").partitionBy("lang", "status").parquet(output)
     finally:
         rows.unpersist()
     got = counts.get

@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -114,6 +115,55 @@ def test_a_batch_done_again_changes_nothing(spark, tmp_path):
         assert rows_of(spark.read.schema(schema).parquet(path)) == first
 
 
+def test_intake_after_a_crash(spark, tmp_path, monkeypatch):
+    """A run that dies after it wrote a batch, before Spark noted it, is done again as it was, whatever has arrived meanwhile."""
+    from assaykit.streaming import register as module
+
+    arrivals, register, checkpoint = (str(tmp_path / x) for x in ("in", "register", "checkpoint"))
+    put(spark, arrivals, [(1, "a", "s"), (2, "b", "s")])
+    intake(spark, arrivals, register, checkpoint)
+    put(spark, arrivals, [(3, "a", "s"), (4, "c", "s"), (5, "c", "s")])
+    real = module.register_batch
+
+    def dies(*args):
+        real(*args)
+        raise OSError("lost the driver")
+
+    monkeypatch.setattr(module, "register_batch", dies)
+    with pytest.raises(Exception, match="lost the driver"):
+        intake(spark, arrivals, register, checkpoint)
+    half = rows_of(spark.read.schema(REGISTER_SCHEMA).parquet(register))
+    assert len(half) == 5
+    monkeypatch.setattr(module, "register_batch", real)
+    put(spark, arrivals, [(0, "c", "s")])
+    # the batch that was lost, and then what came after it
+    assert intake(spark, arrivals, register, checkpoint) == {"submitted": 4, "new": 1, "duplicate": 3, "empty": 0}
+    rows = spark.read.schema(REGISTER_SCHEMA).parquet(register)
+    assert rows_of(rows.where("epoch < 2")) == half
+    assert {r.identifier: (r.status, r.duplicate_of, r.epoch) for r in rows.collect()} == {
+        1: ("new", None, 0), 2: ("new", None, 0), 3: ("duplicate", 1, 1), 4: ("new", None, 1), 5: ("duplicate", 4, 1), 0: ("duplicate", 4, 2)}
+
+
+def test_growing_documents(spark, tmp_path):
+    """A copy of the documents that arrives in parts gives each text one first record, and a rerun of everything at once the same keys."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3, "doc_id")
+    arrivals, register, checkpoint = (str(tmp_path / x) for x in ("in", "register", "checkpoint"))
+    want, seen = {}, {}
+    for part in range(3):
+        some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == part)
+        some.coalesce(1).write.mode("append").parquet(arrivals)
+        got = intake(spark, arrivals, register, checkpoint)
+        rows = sorted((r.doc_id, " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "").split())) for r in some.collect())
+        assert got["submitted"] == len(rows) and got["new"] + got["duplicate"] + got["empty"] == len(rows)
+        for i, text in rows:
+            want[i] = ("empty", None) if not text else ("duplicate", seen[text]) if text in seen else ("new", None)
+            seen.setdefault(text, i)
+    found = spark.read.schema(REGISTER_SCHEMA).parquet(register)
+    assert {r.identifier: (r.status, r.duplicate_of) for r in found.collect()} == want and len(want) == docs.count()
+    intake(spark, arrivals, f"{register}-2", f"{checkpoint}-2")
+    assert rows_of(found.where("status = 'new'").select("key")) == rows_of(spark.read.schema(REGISTER_SCHEMA).parquet(f"{register}-2").where("status = 'new'").select("key"))
+
+
 def test_config(tmp_path):
     assert read_config(ShortlistConfig, HERE / "shortlist.json").top_n == 100
     bad = tmp_path / "bad.json"
