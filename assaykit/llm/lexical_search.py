@@ -59,6 +59,8 @@ TERM = np.zeros(256, bool)
 TERM[48:58] = TERM[65:91] = TERM[97:123] = TERM[128:] = True
 #: Blocks that are scored for an item's first threshold.
 SEEDS = 4
+#: Documents of a shard at most, so that a table of its blocks by query term stays small where texts are short.
+SHARD_DOCS = 4096
 _SCHEMA = "shard long, n_blocks int, block_docs int, ids array<long>, terms binary, maxima binary, forward_ptr binary, forward binary"
 
 
@@ -124,7 +126,7 @@ def build_index(docs: DataFrame, scratch: Scratch, shard_bytes: int = 4 << 20, b
         shard = TaskContext.get().partitionId() << 40
         for batch in batches:
             _, offsets = buffers(batch.column(1))
-            for i, j in groups(offsets, shard_bytes):
+            for i, j in ((a, min(a + SHARD_DOCS, j)) for i, j in groups(offsets, shard_bytes) for a in range(i, j, SHARD_DOCS)):
                 part = batch.slice(i, j - i)
                 blobs = _shard(_terms(part.column(1)), n_docs, n_terms, block_docs)
                 cols = [[shard], [-(-(j - i) // block_docs)], [block_docs], [part.column(0).to_pylist()], *([b] for b in blobs)]
@@ -198,7 +200,7 @@ class _Shard:
         present = self.number[self.number >= 0]
         row_of = np.full(len(q.vocabulary), len(present))
         row_of[present] = np.arange(len(present))
-        table = np.zeros((len(present) + 1, self.n_blocks), np.int64)
+        table = np.zeros((len(present) + 1, self.n_blocks), np.int32)
         table[row_of[self.number[term[known]]], block[known]] = most[known]
         step = max(1, (1 << 22) // self.n_blocks)  # entries at once
         a = 0

@@ -13,6 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A small table of fewer partitions than cores (one file of one row group) over all cores, for operators that work hard on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_jaccard import ngram_jaccard
 
@@ -22,7 +28,7 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
-    return quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return quality_rules(_spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
@@ -60,7 +66,7 @@ def _maintained(spark: SparkSession, sf_dir: str, tokenizers: dict) -> DataFrame
     from .token_counts import TokenRollup
 
     rollup = TokenRollup(spark, Scratch(spark).dir, tokenizers)
-    docs = _table(spark, sf_dir, "documents")
+    docs = _spread(_table(spark, sf_dir, "documents").select("source", "lang", "text"))
     old = docs.where("source = 'src2'")
     revised = old.withColumns({"sign": F.lit(1), "text": F.concat("text", F.lit(" revised"))})
     batches = {
@@ -97,14 +103,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_unigram import sentencepiece
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return sentencepiece(docs, f"{TOKENIZERS}/piece_bpe_32k.model", outputs=("n_tokens", "n_byte_tokens", "ids_sha256", "round_trip")).drop("text")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, toxicity
 
-    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    docs, labels = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), _table(spark, sf_dir, "labels")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     model = fit(docs, labels.where(~held))
     return toxicity(docs, model, spans=False).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
@@ -120,13 +126,13 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import html_extract
 
-    return html_extract(_table(spark, sf_dir, "pages"))
+    return html_extract(_spread(_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
 
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lexical_search import lexical_search
 
-    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return lexical_search(_spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
