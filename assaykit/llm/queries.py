@@ -53,7 +53,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
-    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("item_ids")
+    return decontaminate(_spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), _table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
 #: Where the public tokenizers lie; a parameter, never copied into the repository.
