@@ -347,10 +347,13 @@ def _answer_windows(width: int):
                 owners += window_owners(text[at], np.concatenate(([0], np.cumsum(length))), size[some], least[some], width)
             i = j
         flat, begin = np.concatenate(owners), np.concatenate(([0], np.cumsum(size[first])))[of]
-        each = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        removed = flat[each] < np.repeat(least, size)
-        bounds = np.concatenate(([0], np.cumsum(size)))[np.cumsum(counts)]
-        return [np.packbits(x).tobytes() for x in np.split(removed, bounds[:-1])]
+        # a block's part at a time, as its windows need some arrays of numbers each
+        out, last = [], np.cumsum(counts).tolist()
+        for a, b in zip([0, *last[:-1]], last, strict=True):
+            n, lead = size[a:b], np.cumsum(size[a:b]) - size[a:b]
+            each = np.repeat(begin[a:b] - lead, n) + np.arange(n.sum())
+            out.append(np.packbits(flat[each] < np.repeat(least[a:b], n)).tobytes())
+        return out
 
     return answer
 
