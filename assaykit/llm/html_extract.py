@@ -8,11 +8,12 @@ forms, readers' comments), are taken out before the rules.
 
 First pass, each block on its own: the share of its characters inside links, its length and
 the share of its words that are stop words make it good, bad or undecided (too short, or
-nearly good). Second pass: an undecided block takes the label of the nearest decided block of
-its page; where two are equally near and differ, a nearly good one becomes good and a short
-one, such as a heading, goes with what follows it; where a page has no decided block at all,
-undecided ones are good. The text is made of the good blocks in page order, joined by one
-space.
+nearly good). Where no block of a page has enough stop words, its language is not one of
+theirs, and length and links decide alone. Second pass: an undecided block takes the label of
+the nearest decided block of its container or, if that has none, of its page. Where two are
+equally near and differ, a nearly good one becomes good, and a short one, such as a heading,
+goes with what follows it; where a page has no decided block at all, undecided ones are good.
+The text is made of the good blocks in page order, joined by one space.
 
 Where a page marks its article (``article``, ``main`` or the matching roles), blocks outside
 are bad and blocks inside are good, but for runs of ``menu_run`` or more list entries that are links.
@@ -90,9 +91,9 @@ class ExtractParams:
 
     max_link_density: float = 0.2
     short: int = 70
-    long: int = 200
-    few_stop_words: float = 0.30
-    many_stop_words: float = 0.32
+    long: int = 140
+    few_stop_words: float = 0.12
+    many_stop_words: float = 0.20
     menu_run: int = 3
     menu_link_density: float = 0.9
     stop_words: frozenset[str] = STOP_WORDS
@@ -124,8 +125,8 @@ def _kind(name: str, tag: str, outer: int) -> int:
 class _Frame:
     """An open container and the elements that are open directly in it."""
 
-    def __init__(self, name: str, kind: int, link: bool = False, comments: bool = False):
-        self.name, self.kind, self.link, self.comments = name, kind, link, comments
+    def __init__(self, name: str, kind: int, link: bool = False, comments: bool = False, number: int = 0):
+        self.name, self.kind, self.link, self.comments, self.number = name, kind, link, comments, number
         self.open: list[tuple[str, int, bool]] = []  # name, kind, in a link
         self.count: Counter = Counter()
 
@@ -141,11 +142,11 @@ class _Frame:
                     return
 
 
-def blocks_of(html: str) -> list[tuple[str, int, int, bool]]:
-    """(text, characters in links, kind, in a list) of the blocks of a page that no removed element holds."""
-    out: list[tuple[str, int, int, bool]] = []
+def blocks_of(html: str) -> list[tuple[str, int, int, bool, int]]:
+    """(text, characters in links, kind, in a list, number of its container) of the blocks of a page that no removed element holds."""
+    out: list[tuple[str, int, int, bool, int]] = []
     pieces: list[str] = []
-    linked, kind_now = 0, NEUTRAL
+    linked, kind_now, n_frames = 0, NEUTRAL, 0
     frames, open_frames = [_Frame("", NEUTRAL)], Counter({"": 1})
     at, end = 0, len(html)
 
@@ -154,7 +155,7 @@ def blocks_of(html: str) -> list[tuple[str, int, int, bool]]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append((text, min(linked, len(text)), kind_now, open_frames["ul"] + open_frames["ol"] > 0))
+                out.append((text, min(linked, len(text)), kind_now, open_frames["ul"] + open_frames["ol"] > 0, frames[-1].number))
             pieces.clear()
         linked = 0
 
@@ -208,7 +209,8 @@ def blocks_of(html: str) -> list[tuple[str, int, int, bool]]:
             if outer == GONE and not (name in ("article", "main") and not frame.comments):
                 kind = GONE
             beside = frame.comments or (kind == GONE and (name in ("aside", "article") or any(w in tag.lower() for w in ("comment", "repl", "respond", "disqus", "discussion", "sidebar", "related", "recommend"))))
-            frames.append(_Frame(name, kind, link, beside))
+            n_frames += 1
+            frames.append(_Frame(name, kind, link, beside, n_frames))
             open_frames[name] += 1
         else:
             frame = frames[-1]
@@ -225,14 +227,33 @@ def blocks_of(html: str) -> list[tuple[str, int, int, bool]]:
     return out
 
 
-def judge(page: np.ndarray, length: np.ndarray, linked: np.ndarray, kind: np.ndarray, listed: np.ndarray, stops: np.ndarray, marked: np.ndarray, p: ExtractParams) -> np.ndarray:
-    """True for the good ones of the blocks of several pages in order (``page`` rises); ``marked``: the page marks its article; ``stops``: share of stop words."""
+def _inherited(group: np.ndarray, place: np.ndarray, label: np.ndarray, decided: np.ndarray, near: int) -> np.ndarray:
+    """Label of the nearest decided block of the same group, -1 without one; groups and places rise."""
+    n, far = len(group), np.iinfo(np.int64).max
+    at = np.arange(n)
+    before = np.maximum.accumulate(np.where(decided, at, -1))
+    after = np.minimum.accumulate(np.where(decided, at, n)[::-1])[::-1]
+    up = np.where(before >= np.searchsorted(group, group), place - place[before], far)
+    down = np.where(after < np.searchsorted(group, group, "right"), place[np.minimum(after, n - 1)] - place, far)
+    above, below = label[before], label[np.minimum(after, n - 1)]
+    taken = np.where(up < down, above, below)
+    taken = np.where((up == down) & (label == near) & (above != below), 1, taken)
+    return np.where((up == far) & (down == far), -1, taken)
+
+
+def judge(page: np.ndarray, length: np.ndarray, linked: np.ndarray, kind: np.ndarray, listed: np.ndarray, stops: np.ndarray, marked: np.ndarray, p: ExtractParams, box: np.ndarray | None = None) -> np.ndarray:
+    """True for the good ones of the blocks of several pages in order (``page`` rises).
+
+    ``marked``: the page marks its article; ``stops``: share of stop words; ``box``: number of the block's container in its page.
+    """
     n = len(page)
     density = linked / np.maximum(length, 1)
     good, bad, near, unknown = 1, 0, 2, 3
+    # pages in a language that the stop words are not of: length and links decide alone
+    foreign = np.bincount(page, (stops >= p.few_stop_words) & (length >= p.short), minlength=page[-1] + 1 if n else 0)[page] == 0
     label = np.full(n, bad)
-    label[(stops >= p.few_stop_words)] = near
-    label[(stops >= p.many_stop_words) & (length > p.long)] = good
+    label[(stops >= p.few_stop_words) | foreign] = near
+    label[((stops >= p.many_stop_words) | foreign) & (length > p.long)] = good
     brief = length < p.short
     label[brief] = np.where(linked[brief] > 0, bad, unknown)
     label[density > p.max_link_density] = bad
@@ -241,21 +262,15 @@ def judge(page: np.ndarray, length: np.ndarray, linked: np.ndarray, kind: np.nda
     cut = np.flatnonzero((np.diff(link.astype(np.int8), prepend=-1) != 0) | (np.diff(page, prepend=-1) != 0))
     run = np.repeat(np.diff(cut, append=n), np.diff(cut, append=n))
     label[marked] = np.where((kind == ARTICLE) & ~(link & (run >= p.menu_run)), good, bad)[marked]
-    # second pass
-    decided = label < near
-    place = np.arange(n)
-    first = np.searchsorted(page, page)
-    last = np.searchsorted(page, page, "right") - 1
-    before = np.maximum.accumulate(np.where(decided, place, -1))
-    after = np.minimum.accumulate(np.where(decided, place, n)[::-1])[::-1]
-    far = 2 * n + 1
-    up = np.where(before >= first, place - before, far)
-    down = np.where(after <= last, after - place, far)
-    above, below = label[np.maximum(before, 0)], label[np.minimum(after, n - 1)]
-    taken = np.where(up < down, above, below)
-    taken = np.where((up == down) & (label == near) & (above != below), good, taken)
-    taken = np.where((up == far) & (down == far), good, taken)
-    return np.where(decided, label, taken) == good
+    # second pass: neighbours in the same container, then those in the page
+    decided, place = label < near, np.arange(n)
+    taken = np.where(decided, label, -1)
+    for group in ([] if box is None else [page * (box.max(initial=0) + 1) + box]) + [page]:
+        order = np.argsort(group, kind="stable")
+        found = np.empty(n, label.dtype)
+        found[order] = _inherited(group[order], place[order], label[order], decided[order], near)
+        taken = np.where(taken < 0, found, taken)
+    return taken != bad
 
 
 def extract(pages: list[str | None], p: ExtractParams = ExtractParams()) -> list[str]:
@@ -263,19 +278,19 @@ def extract(pages: list[str | None], p: ExtractParams = ExtractParams()) -> list
     texts, page, rest = [], [], []
     for i, html in enumerate(pages):
         got = blocks_of(html or "")
-        marked = any(k == ARTICLE for _, _, k, _ in got)
-        for text, linked, kind, listed in got:
+        marked = any(k == ARTICLE for _, _, k, _, _ in got)
+        for text, linked, kind, listed, box in got:
             stops = 0.0
             if not marked:
                 words = _WORD.findall(text.lower())
                 stops = sum(w in p.stop_words for w in words) / max(1, len(words))
             texts.append(text)
             page.append(i)
-            rest.append((len(text), linked, kind, listed, stops, marked))
+            rest.append((len(text), linked, kind, listed, stops, marked, box))
     out = [[] for _ in pages]
     if texts:
-        length, linked, kind, listed, stops, marked = map(np.array, zip(*rest, strict=True))
-        for k in np.flatnonzero(judge(np.array(page), length, linked, kind, listed, stops, marked, p)).tolist():
+        length, linked, kind, listed, stops, marked, box = map(np.array, zip(*rest, strict=True))
+        for k in np.flatnonzero(judge(np.array(page), length, linked, kind, listed, stops, marked, p, box)).tolist():
             out[page[k]].append(texts[k])
     return [" ".join(x) for x in out]
 

@@ -131,6 +131,15 @@ def test_rules_without_a_marked_article():
     assert H.extract([page("<p>Only a few words.</p>"), "plain text &lt;b&gt;", None, "", "<p>", "<div></div>"]) == ["Only a few words.", "plain text <b>", "", "", "", ""]
 
 
+def test_short_blocks_go_with_their_container():
+    """Headings and last lines beside unmarked menus, and pages in a language without known stop words."""
+    menu = "<div>" + " ".join(f"<a href='{i}'>Entry {i}</a>" for i in range(9)) + "</div>"
+    text = f"<div><h1>Heading</h1><h2>Second</h2><p>{LONG}</p><p>End.</p></div>"
+    assert H.extract([page(menu + text + menu)]) == [f"Heading Second {LONG} End."]
+    foreign = " ".join(f"sana{i}" for i in range(40))
+    assert H.extract([page(f"{menu}<div><p>{foreign}</p><p>loppu</p></div>{menu}"), page(f"<div>{LONG}</div><div>{foreign}</div>")]) == [f"{foreign} loppu", LONG]
+
+
 def test_second_pass_takes_the_nearest():
     p = H.ExtractParams()
     lengths = np.array([300, 10, 10, 300, 10, 300, 100, 300, 10, 100])
