@@ -74,6 +74,8 @@ MARKS = frozenset(
 HEADS = frozenset("header topbar".split())
 #: Words after which a mark names what the element has beside it (fixed values).
 BESIDE = frozenset("with has no without".split())
+#: Words before which a mark tells a state of the element (fixed values).
+STATES = frozenset("open opened closed enabled disabled on off allowed count".split())
 NEUTRAL, ARTICLE, GONE = 0, 1, 2
 
 _TOKEN = re.compile(
@@ -106,11 +108,10 @@ def _kind(name: str, tag: str, outer: int) -> int:
         for key, value in _ATTRIBUTE.findall(tag, len(name) + 1):
             key, value = key.lower(), value.strip("\"'")
             if key in ("class", "id") and name not in ("html", "body", "main"):
-                last = ""
-                for word in map(str.lower, _CLASS.findall(value)):
-                    if last not in BESIDE and (word in MARKS or (word in HEADS and outer != ARTICLE)):
+                words = ["", *map(str.lower, _CLASS.findall(value)), ""]
+                for last, word, then in zip(words, words[1:], words[2:]):
+                    if (word in MARKS or (word in HEADS and outer != ARTICLE)) and last not in BESIDE and then not in STATES:
                         return GONE
-                    last = word
             elif key == "role":
                 if value.lower() in ROLES:
                     return GONE

@@ -119,6 +119,7 @@ def test_marked_article():
     want = f"A title & more {PROSE} Short. So bold yes no now one two A link a b"
     assert H.extract([page(NOISE_BEFORE + article + NOISE_AFTER)]) == [want]
     assert H.extract([page(f"<form id=all>{article}</form>"), page(f"<div class='ad'>{PROSE}{article}")]) == [want, want]
+    assert H.extract([page(f"<article class='post comments-open hasAds sharing-disabled'>{PROSE}<p class='comments-link'>3 comments</p></article>")]) == [PROSE]
     assert H.extract([page(f"<div role='main'><p>{PROSE}</p></div><div>{LONG}</div>")]) == [PROSE]
 
 
