@@ -291,11 +291,14 @@ def distances_at(tiles: DataFrame, positions: DataFrame) -> DataFrame:
     row = F.when(start(guess) > p, guess - 1).when(start(guess + 1) <= p, guess + 1).otherwise(guess)  # the root is a double
     places = positions.where(p >= 0).select("position", row.alias("row")).withColumn("column", F.col("position") - start(F.col("row")))
     size = tiles.agg(F.max("n_rows")).first()[0] or 1
-    spots = tiles.select("i", "first_row", "n_rows").distinct()
-    spots = places.withColumn("bucket", F.floor(F.col("row") / size)).join(spots.select("i", "first_row", "n_rows", F.explode(F.sequence(F.floor(F.col("first_row") / size), F.floor((F.col("first_row") + F.col("n_rows") - 1) / size))).alias("bucket")), "bucket")
-    spots = spots.where((F.col("row") >= F.col("first_row")) & (F.col("row") < F.col("first_row") + F.col("n_rows"))).select("position", "row", "column", F.col("i").alias("i_"), F.floor(F.col("column") / size).alias("column_bucket"))
-    wide = tiles.withColumn("column_bucket", F.explode(F.sequence(F.floor(F.col("first_column") / size), F.floor((F.col("first_column") + F.col("n_columns") - 1) / size))))
-    found = spots.join(wide, (F.col("i") == F.col("i_")) & (spots["column_bucket"] == wide["column_bucket"])).where((F.col("column") >= F.col("first_column")) & (F.col("column") < F.col("first_column") + F.col("n_columns")))
+    # rows and columns find their tiles by the multiples of the largest tile that these touch
+    touched = lambda first, n: F.explode(F.sequence(F.floor(F.col(first) / size), F.floor((F.col(first) + F.col(n) - 1) / size)))
+    inside = lambda at, first, n: (F.col(at) >= F.col(first)) & (F.col(at) < F.col(first) + F.col(n))
+    bands = tiles.select("i", "first_row", "n_rows").distinct().withColumn("bucket", touched("first_row", "n_rows"))
+    located = places.withColumn("bucket", F.floor(F.col("row") / size)).join(bands, "bucket").where(inside("row", "first_row", "n_rows"))
+    wanted = located.select("position", "row", "column", "i", F.floor(F.col("column") / size).alias("bucket"))
+    wide = tiles.select("i", "n_columns", "first_row", "first_column", "distances", touched("first_column", "n_columns").alias("bucket"))
+    found = wanted.join(wide, ["i", "bucket"]).where(inside("column", "first_column", "n_columns"))
     at = (F.col("row") - F.col("first_row")) * F.col("n_columns") + F.col("column") - F.col("first_column")
     four = F.conv(F.hex(F.substring("distances", (4 * at + 1).cast("int"), F.lit(4))), 16, 10).cast("bigint")
     return found.select("position", "row", "column", _float_of(four).alias("distance"))

@@ -21,7 +21,7 @@ from ..kernel.alerts import ENTRIES, Entry
 from ..operators import selection as S
 from ..operators.similarity import butina, leader_clusters, numbered_leaders
 from ..sources.contract import REPORT, checked
-from ..sources.shared import written
+from ..sources.shared import Tables, written
 from ..sources.sinks import write_pages
 
 DESCRIPTORS = {
@@ -224,12 +224,21 @@ def report(rows: DataFrame, config: TriageConfig) -> DataFrame:
     return out.drop("fingerprint").orderBy("report_group", F.desc("score"), "identifier", "ord")
 
 
-def write_report(library: DataFrame, config: TriageConfig, path: str, table: Table = materialised, entries: tuple[Entry, ...] = ENTRIES, phase: Callable[[str], None] = lambda name: None, rows_per_file: int = 50_000) -> dict[str, int]:
+def write_report(library: DataFrame, config: TriageConfig, path: str, entries: tuple[Entry, ...] = ENTRIES, phase: Callable[[str], None] = lambda name: None, rows_per_file: int = 50_000) -> dict[str, int]:
     """Writes the report as pages under ``path`` and returns the counts.
 
     Everything that is counted is counted while rows are written that the plan writes anyway:
     submitted to retained with the scored rows, clusters (a representative each) with the sorted ones.
+    The tables in between are removed at the end.
     """
+    table = Tables(library.sparkSession)
+    try:
+        return _write_report(library, config, path, table, entries, phase, rows_per_file)
+    finally:
+        table.drop()
+
+
+def _write_report(library: DataFrame, config: TriageConfig, path: str, table: Table, entries: tuple[Entry, ...], phase: Callable[[str], None], rows_per_file: int) -> dict[str, int]:
     phase("per_molecule")
     described = table(describe(library, config.standardize, config.alert_catalogs, config.fingerprint_radius, config.fingerprint_bits, entries))
     phase("deduplicate")

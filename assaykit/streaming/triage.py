@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.triage import TriageConfig, describe, finalize, materialised
+from ..plans.triage import TriageConfig, describe, finalize
+from ..sources.shared import Tables
 from .register import register_batch
 
 
@@ -21,10 +22,14 @@ def triage_batch(batch: DataFrame, epoch: int, path: str, config: TriageConfig)
     empty, with their parse_error or drop_reason. A batch that is done again replaces what it wrote.
     """
     alone = replace(config, deduplicate=False, cluster=False, representatives_only=False, top_n=None)
-    described = materialised(describe(batch, config.standardize, config.alert_catalogs, config.fingerprint_radius, config.fingerprint_bits))
-    rows = finalize(described, alone).drop("duplicate_of", "cluster_id", "is_cluster_representative", "fingerprint")
-    live = F.col("parse_ok") & F.col("drop_reason").isNull()
-    return register_batch(rows.withColumn("key", F.when(live, F.nullif("standard_smiles", F.lit("")))), epoch, path)
+    table = Tables(batch.sparkSession)
+    try:
+        described = table(describe(batch, config.standardize, config.alert_catalogs, config.fingerprint_radius, config.fingerprint_bits))
+        rows = finalize(described, alone, table).drop("duplicate_of", "cluster_id", "is_cluster_representative", "fingerprint")
+        live = F.col("parse_ok") & F.col("drop_reason").isNull()
+        return register_batch(rows.withColumn("key", F.when(live, F.nullif("standard_smiles", F.lit("")))), epoch, path)
+    finally:
+        table.drop()
 
 
 def triage_stream(library: DataFrame, path: str, checkpoint: str, config: TriageConfig = TriageConfig(), seen: Callable[[int, dict[str, int]], None] = lambda epoch, counts: None) -> StreamingQuery:

@@ -13,6 +13,7 @@ from assaykit.plans.store import CANCELLED, FolderStore, Job, MemoryStore, Progr
 from assaykit.plans.triage import TriageConfig, finalize, report, triage, write_report
 from assaykit.sources import readers
 from assaykit.sources.contract import REPORT, Field, checked, violations, with_fields
+from assaykit.sources.shared import shared_dir
 from assaykit.sources.sinks import read_manifest, read_page, write_pages
 
 
@@ -151,8 +152,9 @@ SMILES = ["CCO", "OCC", "c1ccccc1", "C(((", "CCN", "Cc1ccccc1", "CCCCCCCCCCCCCCC
 def test_written_reports_equal_the_plan(spark, tmp_path, more):
     config = TriageConfig(rule_sets=("veber",), drop_rule_failures=True, **more)
     library = readers.inline(spark, SMILES)
-    seen = []
+    seen, before = [], set(os.listdir(shared_dir(spark)))
     counts = write_report(library, config, str(tmp_path / "r"), phase=seen.append)
+    assert set(os.listdir(shared_dir(spark))) == before  # no table in between is left
     plan, plan_counts = triage(library, config)
     want = [(r.identifier, r.report_group, r.duplicate_of, r.cluster_id, r.is_cluster_representative, r.score) for r in plan.collect()]
     rows = spark.read.parquet(str(tmp_path / "r" / "rows")).orderBy("rank").collect()
