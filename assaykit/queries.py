@@ -121,6 +121,10 @@ DRUGS = [
 ]
 
 
+#: Heavy atoms of the drugs above, in their order (fixed values).
+HEAVY = [13, 15, 14, 11, 26, 20, 6, 6]
+
+
 def drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = F.array(*(F.lit(d[0]) for d in DRUGS))
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("identifier"), F.get(texts, (F.col("p_partkey") % len(DRUGS)).cast("int")).alias("input_smiles"))
@@ -142,9 +146,12 @@ GENERIC = ["C1CCCCC1", "C1CCCCC1", "CC1CC(C)C2CCCC2C1", "C1CCCCC1", "C1CCC(CC1)C
 
 
 def standardised_drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows each standard text stands for, and whether it is one of several inputs."""
+    """Of each standard text: how many rows and spellings it stands for, its length, and whether it is its own standard text."""
     rows = standardised(drugs(spark, sf_dir))
-    return rows.groupBy("standard_smiles").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"), F.count("error").alias("errors")).drop("standard_smiles")
+    each = written(rows.groupBy("standard_smiles").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"), F.count("error").alias("errors"), F.count_distinct("input_smiles").alias("spellings")))
+    again = standardised(each.select(F.col("first_ord").alias("ord"), F.lit("").alias("identifier"), F.col("standard_smiles").alias("input_smiles"))).select(F.col("ord").alias("first_ord"), F.col("standard_smiles").alias("again"))
+    letters = F.length(F.regexp_replace("standard_smiles", "[^A-Za-z]|H|l", "")).alias("atoms")  # none has another element of two letters
+    return each.join(again, "first_ord").select("n", "first_ord", "errors", "spellings", letters, (F.col("again") == F.col("standard_smiles")).alias("stable"))
 
 
 def triage_drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,7 +351,7 @@ def oracle_sql() -> dict[str, str]:
             t AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, identifier, ord) AS place FROM s)
             SELECT row_number() OVER (ORDER BY g, place) - 1 AS rank, identifier, g AS report_group, CASE WHEN g = 1 THEN CAST(first AS VARCHAR) END AS duplicate_of, round(score, 4) AS score FROM t WHERE g > 0 OR place <= 5 QUALIFY rank < 200""",
         "generic_scaffold_groups": f"{_drug_sql()}, g AS (SELECT *, CASE k {' '.join(f'WHEN {i} THEN {_text(g)}' for i, g in enumerate(GENERIC))} END AS generic_scaffold FROM m) SELECT generic_scaffold, count(*) AS n, count(DISTINCT murcko_scaffold) AS scaffolds, min(ord) AS first_ord FROM g GROUP BY 1",
-        "standardised_drugs": f"{_drug_sql()} SELECT count(*) AS n, min(ord) AS first_ord, CAST(0 AS BIGINT) AS errors FROM m GROUP BY k",
+        "standardised_drugs": f"{_drug_sql()}, a AS (SELECT * FROM (VALUES {', '.join(f'({i}, {n})' for i, n in enumerate(HEAVY))}) t(k, atoms)) SELECT count(*) AS n, min(ord) AS first_ord, CAST(0 AS BIGINT) AS errors, CAST(1 AS BIGINT) AS spellings, any_value(atoms) AS atoms, true AS stable FROM m JOIN a USING (k) GROUP BY k",
         "butina_clusters": f"{_BUTINA}, k AS (SELECT c, row_number() OVER (ORDER BY size DESC, c) - 1 AS cluster_id FROM z) SELECT id, CAST(cluster_id AS BIGINT) AS cluster_id, p = c AS is_centroid FROM g JOIN k USING (c)",
         "cluster_check": f"{_BUTINA} SELECT g.id, size, m.id AS centroid, g.p = g.c OR EXISTS (SELECT 1 FROM e WHERE e.a = g.id AND e.b = m.id) AS within FROM g JOIN z USING (c) JOIN o m ON m.p = g.c",
         "leader_clusters": f"{_LEADER} SELECT g.id, m.id AS leader, g.p = g.c AS is_leader FROM g JOIN o m ON m.p = g.c",
