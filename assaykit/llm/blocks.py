@@ -124,6 +124,10 @@ class Blocks:
 
         return sent.groupBy("bucket").applyInArrow(reply, "block_id long, tag int, bucket int, blob binary")
 
+    def release(self) -> None:
+        """Gives the blocks' storage back, once all that reads them is written."""
+        self.df.unpersist()
+
     def with_answers(self, answers: DataFrame, use: Callable, schema: str) -> DataFrame:
         """``use(block_id, body, {tag: buffers by bucket})`` for every block, a batch or table each."""
 

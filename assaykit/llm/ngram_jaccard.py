@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import decode_batch, pack, slices, split_key
+from .blocks import Blocks, decode_batch, pack, slices, split_key
 from .components import components, joined
 from .kernels import Words, buffers, gram_hashes, gram_starts, mix64
 from .scratch import Scratch
@@ -176,8 +176,8 @@ def _may_link(n: str, m: str, bits: str, bobs: str, percent: int) -> Column:
     return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (differ * (100 + percent) <= (x + y) * (100 - percent))
 
 
-def _scan(docs: DataFrame, text: str, n: int, percent: int, frequent: int, extra: list[str]) -> DataFrame:
-    """Each row without its text, with n_shingles, and, if it may link, the ``extra`` columns: class, n-grams, signatures, bitmap."""
+def _scan(docs: DataFrame, text: str, n: int, percent: int, frequent: int, extra: list[str]) -> tuple[DataFrame, Blocks]:
+    """Each row without its text, with n_shingles, and, if it may link, the ``extra`` columns: class, n-grams, signatures, bitmap; and the blocks it reads."""
     blocks = pack(docs, text)
     bits, at = blocks.bits, docs.columns.index(text)
     answers = blocks.ask(lambda batch, _: _ask(batch.column(at), n, bits), _answer, 1)
@@ -210,7 +210,7 @@ def _scan(docs: DataFrame, text: str, n: int, percent: int, frequent: int, extra
             names=[*keep, "n_shingles", *extra],
         )
 
-    return blocks.with_answers(answers, use, schema)
+    return blocks.with_answers(answers, use, schema), blocks
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -258,7 +258,9 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "t
     extra = ["cls", "grams", "sigs", "bits"]
     while {c.lower() for c in docs.columns} & set(extra):  # not the names of columns that are kept
         extra = [f"_{c}" for c in extra]
-    rows = scratch.table(_scan(docs, text, n, percent, frequent, extra))
+    scanned, blocks = _scan(docs, text, n, percent, frequent, extra)
+    rows = scratch.table(scanned)
+    blocks.release()
     own = rows.select(F.col(f"`{doc_id}`").alias("low"), "n_shingles", *(F.col(c).alias(k) for c, k in zip(extra, ("cls", "grams", "sigs", "bits"), strict=True)))
     sets = scratch.table(own.where("cls IS NOT NULL").groupBy("cls").agg(F.min("low").alias("low"), *(F.first(c).alias(c) for c in ("n_shingles", "grams", "sigs", "bits"))))
     sigs = sets.select("cls", F.col("n_shingles").alias("n"), F.explode("sigs").alias("sig"))
@@ -290,6 +292,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "t
         more = scratch.table(more.join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(more)
         more = scratch.table(_verified(more, sets, percent))
+        scratch.drop(open_)
         links = links.unionByName(more)
         labels = joined(labels, more, scratch)
     every, final = links, labels
