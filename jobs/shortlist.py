@@ -8,7 +8,8 @@ Nothing is lost on the way: every record is in the output with its status
 
 as Parquet under ``OUTPUT``, partitioned by language and status, so that a reader of one
 shortlist opens that folder only. The whole output is replaced by each run, and a run over the
-same input writes the same rows. Texts are read once and don't go through a shuffle. A text that occurs very
+same input writes the same rows. Texts are read once and don't go through a shuffle, but for an input of
+fewer partitions than cores, which is spread first. A text that occurs very
 often is no hot spot: its first record is found by partial minima, and the join that brings it
 back can be split. Ranks come from a window whose limit Spark applies before the shuffle.
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions import rules as R
 from assaykit.operators import selection as S
+from assaykit.plans.triage import spread
 
 from .config import LOG, command_line
 
@@ -79,7 +81,7 @@ def judged(docs: DataFrame, config: ShortlistConfig) -> DataFrame:
 
 def shortlist(spark: SparkSession, documents: str, output: str, config: ShortlistConfig) -> dict[str, int]:
     """Writes the output and returns the counts, which Spark takes while it writes."""
-    docs = spark.read.parquet(documents).select("doc_id", "source", "lang", "text")
+    docs = spread(spark.read.parquet(documents).select("doc_id", "source", "lang", "text"))
     rows, counts = judged(docs, config).persist(StorageLevel.MEMORY_AND_DISK), Observation("counts")
     try:
         order = Window.partitionBy("lang").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
