@@ -240,11 +240,11 @@ def cluster_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row's distance to the row before it and to the row of half its number, read from the tiles of the triangle."""
+    """Each row's distance to the row before it and to the row of half its number, read from the tiles of the triangle that hold one of them."""
     rows = fingerprints(spark, sf_dir)
-    tiles = written(T.distance_tiles(rows, size=256))
     r = F.col("id")
     places = spark.range(1, rows.count()).select(F.explode(F.array(F.shiftright(r * (r - 1), 1) + r - 1, F.shiftright(r * (r - 1), 1) + F.shiftright(r, 1))).alias("position")).distinct()
+    tiles = written(T.distance_tiles(rows, size=256, positions=places))
     return T.distances_at(tiles, places).select("position", "row", "column", F.col("distance").cast("double").alias("distance"))
 
 
