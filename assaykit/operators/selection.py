@@ -11,10 +11,12 @@ def deduplicate(df: DataFrame, key: str = "key", order: str = "ord", name: str =
 
     Null keys and rows without an ``order`` are always kept. The first row of each key is combined before the shuffle
     and joined back, a join that can be split where a key is hot, so no key's rows need
-    to meet in one task.
+    to meet in one task. Null keys have no first row; the join deals them out by
+    their ``order`` (a plain 0 on the other side would be folded away, and the rows would meet in one task).
     """
-    first = df.where(F.col(key).isNotNull() & F.col(order).isNotNull()).groupBy(key).agg(F.min(F.struct(F.col(order).alias("o"), F.col(name).alias("n"))).alias("__first"))
-    joined = df.join(first, key, "left")
+    first = df.where(F.col(key).isNotNull() & F.col(order).isNotNull()).groupBy(key).agg(F.min(F.struct(F.col(order).alias("o"), F.col(name).alias("n"))).alias("__first"), F.max(F.lit(0).cast("bigint")).alias("__null"))
+    dealt = df.withColumn("__null", F.when(F.col(key).isNull(), F.xxhash64(order)).otherwise(F.lit(0).cast("bigint")))
+    joined = dealt.join(first, [key, "__null"], "left")
     return joined.withColumn("duplicate_of", F.when(F.col("__first.o") < F.col(order), F.col("__first.n"))).select(*df.columns, "duplicate_of")
 
 

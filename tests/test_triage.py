@@ -1,11 +1,15 @@
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from assaykit.functions import rules as R
 from assaykit.functions.score import composite_score
 from assaykit import kernel as K
+from assaykit.operators import selection as S
 from assaykit.operators import similarity as T
+from assaykit.plans import triage as P
 from assaykit.plans.triage import TriageConfig, describe, triage
 from assaykit.sources import readers
 
@@ -206,3 +210,18 @@ def test_long_line_files_and_guards(spark, tmp_path):
     (tmp_path / "b.smi").write_bytes(b"C \xff\n")
     with pytest.raises(Exception, match="UTF-8"):
         readers.lines(spark, str(tmp_path / "b.smi")).collect()
+
+
+def test_rows_without_a_key_do_not_meet_in_one_task(spark):
+    """Dropped and broken records have null keys and are most of some inputs."""
+    was = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        df = spark.range(4000).selectExpr("id AS ord", "CAST(id AS STRING) AS identifier", "CASE WHEN id % 10 = 0 THEN id % 300 END AS key")
+        found = S.deduplicate(df).withColumn("part", F.spark_partition_id())
+        assert [r["count"] < 1500 for r in found.groupBy("part").count().collect()] == [True] * 4
+        assert found.where("duplicate_of IS NOT NULL").count() == 400 - 30 and found.count() == 4000
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)
