@@ -34,6 +34,8 @@ _ALERT = pa.list_(pa.struct([("catalog", pa.string()), ("name", pa.string()), ("
 _HEAD = {"parse_ok": pa.bool_(), "parse_error": pa.string(), "standard_smiles": pa.string(), "murcko_scaffold": pa.string(), "alerts": _ALERT, "fingerprint": pa.list_(pa.int32())}
 _HEAD_SQL = "parse_ok boolean, parse_error string, standard_smiles string, murcko_scaffold string, alerts array<struct<catalog string, name string, description string, atom_indices array<int>>>, fingerprint array<int>"
 Table = Callable[[DataFrame], DataFrame]
+#: Different texts whose results a task holds at once.
+MOST_TEXTS = 10_000
 
 
 #: The rows, computed once: a table in the shared folder.
@@ -111,10 +113,24 @@ def spread(library: DataFrame) -> DataFrame:
     return library.repartition(cores) if library.rdd.getNumPartitions() < cores else library
 
 
+def _once(texts: pa.Array, work: Callable[[str], list], kinds: list[pa.DataType], held: dict[str, list]) -> list[pa.Array]:
+    """Columns of ``work(text)`` for each text: each different one is worked on once; ``held`` keeps what it gave for the batches that follow."""
+    codes = texts.fill_null("").dictionary_encode()
+    rows = []
+    for text in codes.dictionary.to_pylist():
+        if text not in held:
+            if len(held) >= MOST_TEXTS:
+                held.clear()
+            held[text] = work(text)
+        rows.append(held[text])
+    return [pa.array([r[k] if k < len(r) else None for r in rows], t).take(codes.indices) for k, t in enumerate(kinds)]
+
+
 def describe(library: DataFrame, standardize: bool = True, catalogs: tuple[str, ...] = (), radius: int = 2, n_bits: int = 2048, entries: tuple[Entry, ...] = ENTRIES) -> DataFrame:
     """Adds what the kernel finds of ``input_smiles``: parse_ok, parse_error, standard_smiles, murcko_scaffold, alerts, fingerprint, descriptors.
 
-    A bad record has parse_ok false and a parse_error; it never fails the job.
+    A bad record has parse_ok false and a parse_error; it never fails the job. A text that a task meets again
+    (copies are a large part of what is submitted) costs a look-up, not another pass of the kernel.
     """
     keep = library.columns
     schema = ", ".join([f"`{c}` {t}" for c, t in library.dtypes] + [_HEAD_SQL] + [f"{d} {_SQL[t]}" for d, t in DESCRIPTORS.items()])
@@ -137,10 +153,9 @@ def describe(library: DataFrame, standardize: bool = True, catalogs: tuple[str,
                 return [False, f"{type(e).__name__}: {e}"]
 
         names, kinds = [*_HEAD, *DESCRIPTORS], [*_HEAD.values(), *DESCRIPTORS.values()]
+        held: dict[str, list] = {}
         for batch in batches:
-            rows = [one(text or "") for text in batch.column(at).to_pylist()]
-            cols = [[r[k] if k < len(r) else None for r in rows] for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[*keep, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_once(batch.column(at), one, kinds, held)], names=[*keep, *names])
 
     return spread(library).mapInArrow(run, schema)
 
@@ -151,15 +166,15 @@ def standardised(library: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .. import kernel as K
 
-        def one(text: str) -> tuple[str | None, str | None]:
+        def one(text: str) -> list[str | None]:
             try:
-                return K.write(K.standardise(K.parse(text))), None
+                return [K.write(K.standardise(K.parse(text))), None]
             except Exception as e:  # noqa: BLE001  one record must not fail the others
-                return None, f"could not standardise: {e}"
+                return [None, f"could not standardise: {e}"]
 
+        held: dict[str, list] = {}
         for batch in batches:
-            found = [one(text or "") for text in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], names=["ord", "identifier", "input_smiles", "standard_smiles", "error"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_once(batch.column(2), one, [pa.string(), pa.string()], held)], names=["ord", "identifier", "input_smiles", "standard_smiles", "error"])
 
     rows = spread(library.select(F.col("ord").cast("bigint"), F.col("identifier").cast("string"), "input_smiles"))
     return rows.mapInArrow(run, "ord bigint, identifier string, input_smiles string, standard_smiles string, error string")

@@ -225,3 +225,14 @@ def test_rows_without_a_key_do_not_meet_in_one_task(spark):
     finally:
         for c, v in was.items():
             spark.conf.set(c, v)
+
+
+def test_each_text_is_worked_on_once_a_task(monkeypatch):
+    seen, held, kinds = [], {}, [pa.string(), pa.list_(pa.int32())]
+    work = lambda t: (seen.append(t), [t.upper(), [len(t)]] if t else [None])[1]
+    for _ in range(2):
+        got = [c.to_pylist() for c in P._once(pa.array(["cc", None, "o", "cc", "", "o"]), work, kinds, held)]
+        assert got == [["CC", None, "O", "CC", None, "O"], [[2], None, [1], [2], None, [1]]]
+    assert seen == ["cc", "", "o"]
+    monkeypatch.setattr(P, "MOST_TEXTS", 2)
+    assert P._once(pa.array(["a", "b", "c"]), work, kinds, held)[0].to_pylist() == ["A", "B", "C"] and len(held) <= 2
