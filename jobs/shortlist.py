@@ -61,16 +61,27 @@ class ShortlistConfig:
 def described(docs: DataFrame) -> DataFrame:
     """Adds n_chars, n_words, symbol_share and the key under which equal texts meet (case of A-Z and white space apart)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    plain = F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), SPACE, " "))
+    # lower() is several times faster than translate(), and the same where there is nothing but ASCII
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    plain = F.trim(F.regexp_replace(low, SPACE, " "))
     symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
     return docs.select("*", F.length(text).alias("n_chars"), F.regexp_count(text, F.lit(SPACE.replace("[", "[^"))).alias("n_words"),
         (symbols / F.greatest(F.length(text), F.lit(1))).alias("symbol_share"), F.sha2(plain.cast("binary"), 256).alias("key"))
 
 
+def read(docs: DataFrame, config: ShortlistConfig) -> DataFrame:
+    """Every record with all that is taken from its text, without it."""
+    found = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), F.lit(name)) for name, p in config.alerts.items())).cast("array<string>"))
+    return described(docs).select("doc_id", "source", "lang", "n_chars", "n_words", "symbol_share", "key", found.alias("alerts"))
+
+
 def judged(docs: DataFrame, config: ShortlistConfig) -> DataFrame:
     """Every record with its alerts, drop_reason, duplicate_of, score and the columns that are counted; without its text."""
-    found = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), F.lit(name)) for name, p in config.alerts.items())).cast("array<string>"))
-    rows = described(docs).select("doc_id", "source", "lang", "n_chars", "n_words", "symbol_share", "key", found.alias("alerts"))
+    return weighed(read(docs, config), config)
+
+
+def weighed(rows: DataFrame, config: ShortlistConfig) -> DataFrame:
+    """``judged`` for the rows of ``read``."""
     dropping = F.size(F.array_intersect("alerts", F.array(*map(F.lit, config.drop_alerts)).cast("array<string>")))
     rows = rows.withColumn("drop_reason", R.drop_reason({k: tuple(v) for k, v in config.windows.items()}, None, dropping)).withColumn("parse_ok", F.lit(True))
     rows = S.deduplicate(rows.withColumn("key", F.when(F.col("drop_reason").isNull(), F.col("key"))), "key", "doc_id", "doc_id")
@@ -82,7 +93,9 @@ def judged(docs: DataFrame, config: ShortlistConfig) -> DataFrame:
 def shortlist(spark: SparkSession, documents: str, output: str, config: ShortlistConfig) -> dict[str, int]:
     """Writes the output and returns the counts, which Spark takes while it writes."""
     docs = spread(spark.read.parquet(documents).select("doc_id", "source", "lang", "text"))
-    rows, counts = judged(docs, config).persist(StorageLevel.MEMORY_AND_DISK), Observation("counts")
+    # dedup takes its rows twice; texts are worked on once
+    facts = read(docs, config).persist(StorageLevel.MEMORY_AND_DISK)
+    rows, counts = weighed(facts, config).persist(StorageLevel.MEMORY_AND_DISK), Observation("counts")
     try:
         order = Window.partitionBy("lang").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
         # ids may repeat, so ranks are joined on all that they depend on
@@ -96,6 +109,7 @@ def shortlist(spark: SparkSession, documents: str, output: str, config: Shortlis
         out.withColumn("alerts", F.array_join("alerts", ",")).select(*OUTPUT).write.mode("overwrite").partitionBy("lang", "status").parquet(output)
     finally:
         rows.unpersist()
+        facts.unpersist()
     got = counts.get
     LOG.info("read %d records of %s", got["submitted"], documents)
     LOG.info("wrote %s: %s", output, ", ".join(f"{k} {v}" for k, v in got.items()))

@@ -185,3 +185,13 @@ def test_command_line(spark, library, tmp_path):
     assert done.returncode == 0, done.stderr[-2000:]
     assert "read 30 records" in done.stderr and "retained" in done.stderr
     assert spark.read.schema(SHORTLIST_SCHEMA).parquet(str(tmp_path / "out")).count() == 30
+
+
+def test_texts_are_worked_on_once_a_run(spark, tmp_path, monkeypatch):
+    from jobs import shortlist as J
+
+    spark.createDataFrame([(i, "s", "en", "Abİ K " * (i % 7 + 3)) for i in range(40)], "doc_id bigint, source string, lang string, text string").write.parquet(f"{tmp_path}/in")
+    seen, real = [], J.S.deduplicate
+    monkeypatch.setattr(J.S, "deduplicate", lambda df, *rest: (seen.append(df._jdf.queryExecution().executedPlan().toString()), real(df, *rest))[1])
+    assert shortlist(spark, f"{tmp_path}/in", f"{tmp_path}/out", ShortlistConfig())["duplicates_removed"] == 33
+    assert len(seen) == 1 and "InMemoryTableScan" in seen[0]
