@@ -7,9 +7,10 @@ Coverage is the share of word characters inside n-grams that occur before or aga
 the same text, and of the bytes of lines (those with a word) in lines equal to an
 earlier one.
 
-The operator is a narrow map: no shuffle, one text never leaves its row, and
-memory is bounded by one Arrow batch plus scratch of a few times ``GROUP_BYTES``
-or, if larger, of one text.
+The operator is a narrow map: no shuffle, one text never leaves its row and goes to
+Python once, and memory is bounded by two Arrow batches (PySpark holds one while it
+reads the next; Spark's defaults end one at 10 000 rows or 64 MB) plus scratch of a few
+times ``GROUP_BYTES`` or, if larger, of one text.
 
 Cases: a null or empty text has no words, counts of 0, and fails; ties and
 repeated rows are judged row by row; extra columns are kept, and those that clash
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import NOT_SPACE, Words, buffers, gram_hashes, groups, release
+from .kernels import Words, buffers, gram_hashes, groups, release
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -108,18 +109,20 @@ def measure(data: np.ndarray, offsets: np.ndarray, p: QualityParams) -> dict[str
     """All output columns for the texts of one buffer."""
     out: dict[str, list] = {name: [] for name, _ in OUTPUT}
     whole = data.tobytes()
-    lead = (data & 0xC0) != 0x80
-    points = np.concatenate(([0], np.cumsum(lead & NOT_SPACE[data])))
-    symbols = np.concatenate(([0], np.cumsum(_SYMBOL[data])))
+    # places, not running sums, which would be eight bytes for each byte
+    inner = np.flatnonzero((data & 0xC0) == 0x80)
+    symbols = np.searchsorted(np.flatnonzero(_SYMBOL[data]), offsets)
     words = Words(data, offsets, hashes=False)
-    chars = points[words.end] - points[words.start]
+    chars = words.end - words.start
+    chars -= np.searchsorted(inner, words.end) - np.searchsorted(inner, words.start)
+    points = np.concatenate(([0], np.cumsum(chars)))[words.bounds]
     for i in range(len(offsets) - 1):
         a, b = offsets[i], offsets[i + 1]
         text = whole[a:b]
         seen: dict[bytes, int] = {}
         ids = np.array([seen.setdefault(w, len(seen)) for w in text.split()], np.int64)
         n, size = len(ids), chars[words.bounds[i] : words.bounds[i + 1]]
-        word_chars, n_symbols = int(points[b] - points[a]), int(symbols[b] - symbols[a])
+        word_chars, n_symbols = int(points[i + 1] - points[i]), int(symbols[i + 1] - symbols[i])
         dup_lines, dup_bytes, line_bytes = _dup_lines(text)
         top_share = dup_share = 0.0
         rejected, repeat_words = False, 0
@@ -151,20 +154,24 @@ def measure(data: np.ndarray, offsets: np.ndarray, p: QualityParams) -> dict[str
     return out
 
 
-def quality_rules(docs: DataFrame, params: QualityParams = QualityParams(), text: str = "text") -> DataFrame:
-    """``docs`` with the measures of ``OUTPUT`` for each row's ``text``."""
+def quality_rules(docs: DataFrame, params: QualityParams = QualityParams(), text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with the measures of ``OUTPUT`` for each row's ``text``; the texts themselves come back only where ``keep_text`` asks for them."""
     names = [n for n, _ in OUTPUT]
-    keep = [c for c in docs.columns if c.lower() not in names]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("__bytes"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema] + [f"{n} {_DDL[t]}" for n, t in OUTPUT])
+    own = text if text in docs.columns else next((c for c in docs.columns if c.lower() == text.lower()), text)
+    keep = [c for c in docs.columns if c.lower() not in names and (keep_text or c != own)]
+    # a text that is kept is measured where it stands: it goes to Python once
+    at = keep.index(own) if own in keep and dict(docs.dtypes)[own] in ("string", "binary") else len(keep)
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    source = kept if at < len(keep) else docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{own}`").cast("binary").alias("__bytes"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"{n} {_DDL[t]}" for n, t in OUTPUT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(batch.num_columns - 1))
+            data, offsets = buffers(batch.column(at))
             for i, j in groups(offsets):
                 got = measure(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], params)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(got[n], t) for n, t in OUTPUT)], names=[*keep, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(got[n], t) for n, t in OUTPUT)], names=[*keep, *names])
                 del got
                 release()
 

@@ -28,7 +28,7 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
-    return quality_rules(_spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))).select(
+    return quality_rules(_spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), keep_text=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
