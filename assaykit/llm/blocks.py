@@ -143,8 +143,8 @@ class Blocks:
         return self.df.groupBy("block_id").cogroup(answers.groupBy("block_id")).applyInArrow(run, schema)
 
 
-def pack(docs: DataFrame, text: str = "text", bucket_bytes: int = 8 << 20) -> Blocks:
-    """Blocks of all rows; null texts become empty. Runs one job (sizes) and persists lazily."""
+def pack(docs: DataFrame, text: str = "text", add: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, bucket_bytes: int = 8 << 20) -> Blocks:
+    """Blocks of all rows, with the columns that ``add`` gives them; null texts become empty. Runs one job (sizes) and persists lazily."""
     spark = docs.sparkSession
     docs = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
     rows, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
@@ -157,7 +157,8 @@ def pack(docs: DataFrame, text: str = "text", bucket_bytes: int = 8 << 20) -> Bl
         for batch in batches:
             _, offsets = buffers(batch.column(at))
             for i, j in groups(offsets, block_bytes):
-                yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([encode_batch(batch.slice(i, j - i))], pa.binary())], names=["block_id", "body"])
+                rows = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([encode_batch(add(rows) if add else rows)], pa.binary())], names=["block_id", "body"])
                 n += 1
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (32 << 20)))

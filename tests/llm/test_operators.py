@@ -154,6 +154,49 @@ def test_hot_key_windows(spark, monkeypatch):
     assert got[0] == 0 and all(got[i] >= len(passage.encode()) for i in range(1, 12))
 
 
+def test_repeated_grams(spark):
+    """Windows that hold their smallest gram repeatedly, beside others, against brute force."""
+    rng = random.Random(9)
+    tiles = ["a", "ab", "-=", "xyz ", "0123456789", "q" * 31 + "p", "q" * 32 + "p", words(3, rng) + " "]
+    texts = ["".join(rng.choice(tiles) * rng.randint(1, 90) + words(rng.randint(0, 12), rng) for _ in range(4)) for _ in range(16)]
+    texts += [t[:k] + "#" + t[k + 1 :] for t in texts for k in (len(t) // 3,)] + ["a" * 900, "ab" * 400, "a" * 49, "a" * 50, "é" * 300]
+    low = {}
+    for i, t in enumerate(texts):
+        b = t.encode()
+        for k in range(len(b) - 49):
+            low.setdefault(b[k : k + 50], i)
+    for r in suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)).collect():
+        b = texts[r.doc_id].encode()
+        gone = sorted({k + x for k in range(len(b) - 49) if low[b[k : k + 50]] < r.doc_id for x in range(50)})
+        assert (r.n_removed, r.kept) == (len(gone), bytes(c for k, c in enumerate(b) if k not in set(gone)))
+        assert [x for s in r.removed_spans for x in range(s.start, s.end)] == gone and r.n_spans == len(r.removed_spans)
+
+
+def test_merge_does_without_shared_grams(monkeypatch):
+    """What segments of one key have in common is neither sent nor merged, and windows that nothing differs from aren't merged at all."""
+    from assaykit.llm import suffix_dedup as module
+
+    rng = random.Random(4)
+    passage = " ".join(words(9, rng) for _ in range(40))
+    texts = [passage[:k] + "~" + passage[k + 1 :] for k in (rng.randrange(len(passage)) for _ in range(60))]
+    merged = []
+    owners = module.window_owners
+    monkeypatch.setattr(module, "window_owners", lambda text, *rest: merged.append((len(text), rest[3])) or owners(text, *rest))
+    for code, most in ((2, 0.7), (3, 0.0)):  # segments, and their windows
+        blobs, size = {}, 0
+        for i, t in enumerate(texts):
+            batch = module.with_runs(pa.RecordBatch.from_pydict({"doc_id": [i], "text": [t]}), 1, 50)
+            block = module._Block(batch, 1, 0, 50, 3)
+            block.distinct(np.ones(len(block.head), bool))
+            size += int((block.length[block.first] + 49).sum())
+            for bucket, blob in module._ask_windows(block, np.full(len(block.first), code, np.uint8)):
+                blobs.setdefault(bucket, []).append((i, blob))
+        merged.clear()
+        for sent in blobs.values():
+            module._answer_windows(50)([b for _, b in sent])
+        assert sum(n for n, _ in merged) <= most * size and all(depth <= 24 for _, depth in merged)
+
+
 def test_ngram_jaccard(docs, texts):
     sets = []
     for t in texts:
