@@ -49,7 +49,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 #: Keeps the first k bytes of eight.
-_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
 #: Longer ranges are hashed as the hashes of their pieces of so many bytes.
 PIECE = 256
 
@@ -69,7 +69,7 @@ def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     at, left = (start, size) if rows is None else (start[rows], size[rows])
     while len(at):
         x = eight[at]
-        x &= _KEEP[np.minimum(left, 8)]
+        x &= KEEP[np.minimum(left, 8)]
         if rows is None:
             out = mix64(out ^ x)
         else:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Blocks, decode_batch, id_array, pack, slices, split_key
-from .kernels import buffers, hash_ranges, mix64, rolling, sliding_min
+from .kernels import KEEP, buffers, hash_ranges, mix64, rolling, sliding_min
 from .scratch import Scratch
 
 GRAM = 32
@@ -261,15 +261,17 @@ def named_grams(text: np.ndarray, length: np.ndarray, lead: np.ndarray, key: np.
     return out, n + 1
 
 
-def gram_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the grams at ``at``: eight bytes a round, each round a bijection of what it mixes in."""
-    eight = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
-    out = np.zeros(len(at), U64)
+def short_hashes(data: np.ndarray, at: np.ndarray, size: np.ndarray | int, most: int) -> np.ndarray:
+    """64-bit hashes of ranges of up to ``most`` bytes: eight bytes a round, each round a bijection of what it mixes in. All take as many rounds."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out, size = np.zeros(len(at), U64), np.broadcast_to(size, len(at))
     for a in range(0, len(at), CACHED):
-        some = at[a : a + CACHED]
-        h = np.zeros(len(some), U64)
-        for k in range(0, GRAM, 8):
-            h ^= eight[some + k]
+        some, left = at[a : a + CACHED], size[a : a + CACHED]
+        h = left.astype(U64)
+        for k in range(0, most, 8):
+            # a range that has ended takes zeros in, from any place
+            h ^= eight[np.minimum(some + k, len(data))] & KEEP[np.clip(left - k, 0, 8)] if k + 8 > int(left.min()) else eight[some + k]
             h *= U64(0x9FB21C651E98DF25)
             h ^= h >> U64(32)
         out[a : a + CACHED] = mix64(h)
@@ -290,7 +292,7 @@ class _Block:
         length = (length & 127) + np.int64(1)
         begin = np.concatenate(([0], np.cumsum(length)))
         start = begin[:-1] + np.repeat(self.offsets[:-1] - begin[end[:-1]], runs)
-        key = gram_keys(self.data, start + lead)
+        key = short_hashes(self.data, start + lead, GRAM, GRAM)
         key[more] = mix64(key[more] ^ U64(0x5851F42D4C957F2D))
         lead[more] = RAW
         self.start, self.length, self.text, self.key, self.lead = start, length, text, key, lead
@@ -310,13 +312,17 @@ class _Block:
         """Keeps the runs with a shared key; collapses equal segments to their smallest id."""
         size = np.diff(np.concatenate((self.head, [len(self.start)])))
         rows = np.repeat(shared, size)
-        group = np.repeat(np.arange(len(size)), size)[rows].astype(U64)
-        self._take(self.order[rows])
-        content = hash_ranges(self.data, self.start, self.start + self.length + self.width - 1)
+        group, rows = np.repeat(np.arange(len(size)), size)[rows].astype(U64), self.order[rows]
+        start, size = self.start[rows], self.length[rows] + self.width - 1
+        most = 2 * self.width - GRAM  # where all windows share their gram
+        content, rest = short_hashes(self.data, start, np.minimum(size, most), most), np.flatnonzero(size > most)
+        if len(rest):
+            content[rest] = hash_ranges(self.data, start[rest], start[rest] + size[rest])
         # equal ones that this order leaves apart are found by who answers
-        room = U64(len(size).bit_length())
-        order = np.argsort((group << (U64(64) - room)) | (content >> room)) if len(group) else np.zeros(0, np.int64)
-        self._take(order)
+        bits, room = len(shared).bit_length(), len(rows).bit_length()
+        some = max(0, 64 - bits - room)
+        order, _ = in_order((group << U64(some)) | (content >> U64(64 - some)) if some else group, bits + some)
+        self._take(rows[order])
         content, group, ids = content[order], group[order], self.ids[self.text]
         new = np.ones(len(order), bool)
         new[1:] = (content[1:] != content[:-1]) | (group[1:] != group[:-1])
@@ -375,17 +381,19 @@ def _answer_segments(blobs: list[bytes]) -> list[bytes]:
     """0: kept as far as other ids go, 1: removed, 2: send the bytes, 3: send the windows."""
     parts = [np.frombuffer(b, _SEGMENT) for b in blobs]
     every = np.concatenate(parts)
-    order = np.lexsort((every["least"], every["content"], every["rest"]))
-    s = every[order]
-    new_key = np.ones(len(s), bool)
-    new_key[1:] = s["rest"][1:] != s["rest"][:-1]
+    rest, content, least = (np.ascontiguousarray(every[n]) for n in ("rest", "content", "least"))
+    order = np.argsort(content)
+    order = order[in_order(rest[order].astype(U64), 32)[0]]
+    rest, content, least = rest[order], content[order], least[order]
+    new_key = np.ones(len(order), bool)
+    new_key[1:] = rest[1:] != rest[:-1]
     new = new_key.copy()
-    new[1:] |= s["content"][1:] != s["content"][:-1]
-    key = np.cumsum(new_key) - 1
-    least = s["least"][np.flatnonzero(new)][np.cumsum(new) - 1]
-    kinds = np.bincount(key, weights=new)[key]
-    code = np.empty(len(s), np.uint8)
-    code[order] = np.where(kinds == 1, (least < s["least"]).astype(np.uint8), np.where(kinds <= HOT, 2, 3))
+    new[1:] |= content[1:] != content[:-1]
+    head = np.flatnonzero(new_key)
+    size = np.diff(np.concatenate((head, [len(order)])))
+    kinds, lowest = np.repeat(np.add.reduceat(new, head, dtype=np.int64), size), np.repeat(np.minimum.reduceat(least, head), size)
+    code = np.empty(len(order), np.uint8)
+    code[order] = np.where(kinds == 1, (lowest < least).astype(np.uint8), np.where(kinds <= HOT, 2, 3))
     return [x.tobytes() for x in np.split(code, np.cumsum([len(p) for p in parts])[:-1])]
 
 
